@@ -7,17 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from lexfreq import fixed_values as V
-from lexfreq.functions.quality import strip
 
 LETTERS = r"\p{L}"
 
 
-def collapse_repeats(text: Column, shortest: int = V.REPEAT_SHORTEST,
-                     longest: int = V.REPEAT_LONGEST) -> Column:
-    """Keep one copy of any span that is immediately repeated, trying long spans first."""
-    return F.regexp_replace(text, rf"(?s)(.{{{shortest},{longest}}})\1+", "$1")
-
-
 def clauses(text: Column, ends: str = V.CLAUSE_ENDS) -> Column:
     """Split behind clause punctuation, without blank pieces."""
     return F.filter(F.split(text, f"(?<=[{ends}])"), lambda c: c.rlike(r"(?U)\S"))
@@ -52,8 +45,8 @@ def strip_lead(text: Column, script: str = V.HAN, glued: bool = True) -> Column:
     """Remove question numbers, option letters, the example mark and punctuation from the front.
 
     No alternative matches the empty string, so one repeated group strips as far as repeated
-    passes would. `glued` is for scripts without blanks, where a number or an option letter may
-    touch the sentence.
+    passes would. Trailing white space goes in the same pass. `glued` is for scripts without
+    blanks, where a number or an option letter may touch the sentence.
     """
     after_letter = rf"[\s,，．.]|[{script}]" if glued else r"[\s,，．.]"
     alternatives = [
@@ -64,11 +57,11 @@ def strip_lead(text: Column, script: str = V.HAN, glued: bool = True) -> Column:
         rf"[{V.OPTION_LETTERS}](?={after_letter})",
         rf"[{V.LEAD_CLUSTER}]+",
     ]
-    return strip(F.regexp_replace(strip(text), rf"(?U)^(?:{'|'.join(alternatives)})+", ""))
+    return F.regexp_replace(text, rf"(?U)\A(?:{'|'.join(alternatives)})+|\s+\z", "")
 
 
 def script_chars(text: Column, script: str = V.HAN) -> Column:
-    return F.regexp_count(text, F.lit(f"[{script}]"))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{script}]+", ""))
 
 
 def reads_as_sentence(text: Column, script: str = V.HAN) -> Column:
@@ -76,8 +69,8 @@ def reads_as_sentence(text: Column, script: str = V.HAN) -> Column:
     edge = r"[\s，,。.]"
     noise = rf"(?U)(?:^|{edge})[{V.OPTION_LETTERS}](?:{edge}|$)|[（(]\s*[）)]"
     n = script_chars(text, script)
-    return ((n >= V.MIN_SCRIPT_CHARS) & (F.length(text) <= V.MAX_SENTENCE) & ~text.rlike(noise)
-            & (n / F.length(text) >= V.MIN_SCRIPT_SHARE))
+    return (F.length(text).between(V.MIN_SCRIPT_CHARS, V.MAX_SENTENCE) & (n >= V.MIN_SCRIPT_CHARS)
+            & (n / F.length(text) >= V.MIN_SCRIPT_SHARE) & ~text.rlike(noise))
 
 
 def characters(text: Column) -> Column:

@@ -10,28 +10,130 @@ from lexfreq import fixed_values as V
 from lexfreq.functions import text as X
 
 
-def _block_collapser(longest_block: int, shortest_single: int, similarity: float):
-    """An Arrow UDF that drops clause blocks repeating the block right before them.
+def collapse_repeats(text: Column, shortest: int = V.REPEAT_SHORTEST,
+                     longest: int = V.REPEAT_LONGEST) -> Column:
+    """Keep one copy of any span that is immediately repeated, trying long spans first.
+
+    A regex with a back-reference says the same, but tries every length at every character. Here
+    the characters of a batch of texts are compared with themselves, shifted by each length, at so
+    few places that no repeat can fall between them. Whole texts; a repeat never crosses two texts.
+    """
+    batch_chars = 4_000_000
+
+    def collapse(texts):
+        import numpy as np
+
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        # A code of its own behind each text: no repeat can reach over it.
+        joined = np.empty(int(ends[-1]), dtype=np.uint32)
+        begin = 0
+        for number, (t, end) in enumerate(zip(texts, ends)):
+            joined[begin:end - 1] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            joined[end - 1] = 0x110000 + number
+            begin = end
+        size = len(joined)
+        width = min(shortest, 4)
+        gram = np.zeros(max(size - width + 1, 0), dtype=np.uint64)
+        for k in range(width):
+            gram ^= joined[k:size - width + 1 + k].astype(np.uint64) << np.uint64(16 * k)
+        best = np.zeros(size, dtype=np.int32)
+
+        def equal_until(start, shift):
+            """First place from start on where the text differs from itself shifted."""
+            at, window = start, 64
+            while at + shift < size:
+                stop = min(at + window, size - shift)
+                differs = np.flatnonzero(joined[at:stop] != joined[at + shift:stop + shift])
+                if len(differs):
+                    return at + int(differs[0])
+                at, window = stop, window * 4
+            return at
+
+        def equal_since(start, shift):
+            at, window = start, 64
+            while at > 0:
+                low = max(at - window, 0)
+                differs = np.flatnonzero(joined[low:at] != joined[low + shift:at + shift])
+                if len(differs):
+                    return low + int(differs[-1]) + 1
+                at, window = low, window * 4
+            return at
+
+        for shift in range(shortest, longest + 1):
+            # A stretch of `shift` equal characters holds a gram at a multiple of this step.
+            step = shift - width + 1
+            here = gram[:max(len(gram) - shift, 0):step]
+            hits = np.flatnonzero(here == gram[shift::step][:len(here)]) * step
+            done = 0
+            for place in hits:
+                if place < done:
+                    continue
+                done = equal_until(int(place), shift)
+                since = equal_since(int(place), shift)
+                if done - since >= shift:
+                    best[since:done - shift + 1] = shift
+        starts = np.flatnonzero(best)
+
+        cleaned, begin = [], 0
+        for t, end in zip(texts, ends):
+            low, high = np.searchsorted(starts, (begin, end))
+            kept, at = [], 0
+            while low < high:
+                place = int(starts[low]) - begin
+                span = int(best[starts[low]])
+                kept.append(t[at:place + span])
+                at = place + span
+                while t[at:at + span] == t[at - span:at]:
+                    at += span
+                low += int(np.searchsorted(starts[low:high], begin + at))
+            kept.append(t[at:])
+            cleaned.append("".join(kept))
+            begin = end
+        return cleaned
+
+    def run(batch: pd.Series) -> pd.Series:
+        result, group, chars = [], [], 0
+        values = batch.tolist()
+        for i, value in enumerate(values):
+            if value is not None:
+                group.append(i)
+                chars += len(value)
+            if group and (chars >= batch_chars or i == len(values) - 1):
+                for j, text_out in zip(group, collapse([values[j] for j in group])):
+                    values[j] = text_out
+                group, chars = [], 0
+        return pd.Series(values, dtype="object")
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, returnType=StringType())(text)
+
+
+def collapse_clause_blocks(parts: Column, longest_block: int = V.CLAUSE_BLOCK,
+                           shortest_single: int = V.CLAUSE_SHORTEST,
+                           similarity: float = V.CLAUSE_SIMILARITY) -> Column:
+    """Drop clause blocks that repeat the block right before them, exactly or nearly.
 
     The scan is greedy: what counts as the next block depends on what was dropped before, which
     column expressions cannot say. Each row is handled on its own.
     """
 
     def collapse(parts):
+        from collections import Counter
         from difflib import SequenceMatcher
 
         seen: dict[tuple[int, int], bool] = {}
+        letters = [Counter(part) for part in parts]
 
         def alike(a: int, b: int) -> bool:
             known = seen.get((a, b))
             if known is None:
-                if parts[a] == parts[b]:
-                    known = True
-                else:
-                    m = SequenceMatcher(None, parts[a], parts[b])
-                    # The two quick ratios are upper bounds of ratio().
-                    known = (m.real_quick_ratio() >= similarity and m.quick_ratio() >= similarity
-                             and m.ratio() >= similarity)
+                one, two = parts[a], parts[b]
+                whole = len(one) + len(two)
+                # Shared length, then shared letters, bound the similarity from above.
+                known = (one == two
+                         or (2 * min(len(one), len(two)) >= similarity * whole
+                             and 2 * (letters[a] & letters[b]).total() >= similarity * whole
+                             and SequenceMatcher(None, one, two).ratio() >= similarity))
                 seen[(a, b)] = known
             return known
 
@@ -51,33 +153,27 @@ def _block_collapser(longest_block: int, shortest_single: int, similarity: float
                 at += size
         return kept
 
-    def run(batches: pd.Series) -> pd.Series:
-        return batches.map(lambda parts: None if parts is None else collapse(list(parts)))
-
-    run.__annotations__ = {"batches": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, returnType=ArrayType(StringType()))
-
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda parts: None if parts is None else collapse(list(parts)))
 
-def collapse_clause_blocks(parts: Column, longest_block: int = V.CLAUSE_BLOCK,
-                           shortest_single: int = V.CLAUSE_SHORTEST,
-                           similarity: float = V.CLAUSE_SIMILARITY) -> Column:
-    return _block_collapser(longest_block, shortest_single, similarity)(parts)
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, returnType=ArrayType(StringType()))(parts)
 
 
 def dedupe_transcripts(files: DataFrame, listening: Column, text: str = "text",
                        output: str = "text_clean") -> DataFrame:
     """Remove immediate repeats from listening rows; other rows pass through.
 
-    Exact repeats go in the JVM. Only listening rows with two clauses or more hand an array to
-    Python; all other rows hand over a null.
+    Only listening rows hand their text to Python, and only those with two clauses or more hand
+    over an array; all other rows hand over a null.
     """
-    exact = F.when(listening, X.collapse_repeats(F.col(text)))
-    split = files.withColumn("__clauses", F.when(listening, X.clauses(exact)))
+    exact = files.withColumn("__exact", collapse_repeats(F.when(listening, F.col(text))))
+    split = exact.withColumn("__clauses", X.clauses(F.col("__exact")))
     fuzzy = split.withColumn(
         "__kept", collapse_clause_blocks(F.when(F.size("__clauses") > 1, F.col("__clauses"))))
     cleaned = F.array_join(F.coalesce(F.col("__kept"), F.col("__clauses")), "")
-    return (fuzzy.withColumn(output, F.coalesce(F.when(listening, cleaned), F.col(text)))
-            .drop("__clauses", "__kept"))
+    return (fuzzy.withColumn(output, F.coalesce(cleaned, F.col(text)))
+            .drop("__exact", "__clauses", "__kept"))
 
 
 def character_pairs(dictionary: DataFrame, traditional: str = "traditional",

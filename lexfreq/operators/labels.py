@@ -56,17 +56,16 @@ def flag_members(words: DataFrame, members: DataFrame, flag: str) -> DataFrame:
 
 
 def characters_known(words: DataFrame, wordlist: DataFrame) -> DataFrame:
-    """words(word) -> (word, all_chars_known): is every character listed by itself?
+    """words(word, ...) -> the same rows with all_chars_known: is every character listed by itself?
 
-    Characters are looked up by join; a word is known when it has as many known distinct
-    characters as it has distinct characters.
+    Rows are unique by word; their other columns ride along, so the words are derived once.
     """
     singles = (wordlist.filter((F.length("word") == 1) & F.col("word_level").isNotNull())
-               .select(F.col("word").alias("char")).distinct().withColumn("__known", F.lit(1)))
-    chars = words.select("word").distinct().select(
-        "word", F.explode(F.array_distinct(characters(F.col("word")))).alias("char"))
-    return (chars.join(singles, "char", "left")
-            .groupBy("word").agg(F.bool_and(F.col("__known").isNotNull()).alias("all_chars_known")))
+               .select(F.col("word").alias("__char")).distinct().withColumn("__known", F.lit(True)))
+    chars = words.withColumn("__char", F.explode(F.array_distinct(characters(F.col("word")))))
+    return (chars.join(singles, "__char", "left")
+            .groupBy(*words.columns)
+            .agg(F.bool_and(F.col("__known").isNotNull()).alias("all_chars_known")))
 
 
 def unmatched_review(labelled: DataFrame, wordlist: DataFrame, segmenter_words: DataFrame,
@@ -84,6 +83,6 @@ def unmatched_review(labelled: DataFrame, wordlist: DataFrame, segmenter_words:
                   seen("source_type").alias("source_types_seen"))
              .withColumn("char_length", F.length("word"))
              .withColumn("likely_noise", likely_noise(F.col("total_count"), F.col("exam_count"))))
-    flagged = words.join(characters_known(words, wordlist), "word", "left")
+    flagged = characters_known(words, wordlist)
     return flag_members(flag_members(flagged, segmenter_words, "in_segmenter_dict"),
                         dictionary_words, "in_dictionary")

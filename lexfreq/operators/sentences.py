@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexfreq import fixed_values as V
 from lexfreq.functions import text as X
+from lexfreq.operators.keyed import top_k_per_group
 
 
 def candidates(files: DataFrame, text: str = "text", ends: str = V.SENTENCE_ENDS, script: str = V.HAN,
                glued: bool = True) -> DataFrame:
     """(file columns, pos, sentence): cleaned pieces that read as a sentence."""
     others = [c for c in files.columns if c != text]
-    return (files.select(*others, F.posexplode(X.sentence_parts(F.col(text), ends)).alias("pos", "part"))
-            .withColumn("sentence", X.strip_lead(F.col("part"), script, glued))
-            .filter(X.reads_as_sentence(F.col("sentence"), script))
-            .drop("part"))
+    # Cleaned inside the array: behind an explode the filter would repeat the cleaning per condition.
+    cleaned = F.transform(X.sentence_parts(F.col(text), ends), lambda p: X.strip_lead(p, script, glued))
+    kept = F.filter(cleaned, lambda s: X.reads_as_sentence(s, script))
+    return files.select(*others, F.posexplode(kept).alias("pos", "sentence"))
 
 
 def per_file(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,10 +36,27 @@ def boilerplate(found: DataFrame, exams: int = V.BOILERPLATE_EXAMS) -> DataFrame
 
 
 def exam_sentences(found: DataFrame, exams: int = V.BOILERPLATE_EXAMS) -> DataFrame:
-    """(exam_id, source_type, sentence), unique, without boilerplate."""
-    unique = found.select("exam_id", "source_type", "sentence").distinct()
-    return unique.join(boilerplate(unique, exams).select("sentence"), "sentence", "left_anti").select(
-        "exam_id", "source_type", "sentence")
+    """(exam_id, source_type, sentence), unique, without boilerplate.
+
+    The texts are read once. For each sentence the first `exams` exams are enough to tell whether
+    it is boilerplate, and that limit acts before the shuffle, so a sentence printed in every file
+    costs each task a few rows. A sentence that stays has all its exams.
+    """
+    by_exam = found.groupBy("sentence", "exam_id").agg(F.collect_set("source_type").alias("source_types"))
+    first = top_k_per_group(by_exam, ["sentence"], [F.asc("exam_id")], exams)
+    kept = (first.withColumn("__exams", F.count("*").over(Window.partitionBy("sentence")))
+            .filter(F.col("__exams") < exams))
+    return kept.select("exam_id", F.explode("source_types").alias("source_type"), "sentence")
+
+
+def with_first_file(sentences: DataFrame) -> DataFrame:
+    """Mark, for each sentence, its first file by exam and source type.
+
+    After the boilerplate filter a sentence has fewer files than the threshold allows exams times
+    source types, so the groups are small.
+    """
+    order = Window.partitionBy("sentence").orderBy("exam_id", "source_type")
+    return sentences.withColumn("is_first", F.row_number().over(order) == 1)
 
 
 def distance(sentence: Column, best: int = V.BEST_EXAMPLE_LENGTH) -> Column:
@@ -46,17 +64,18 @@ def distance(sentence: Column, best: int = V.BEST_EXAMPLE_LENGTH) -> Column:
 
 
 def word_sentence_pairs(sentences: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, exam_id, source_type, sentence) for every word and every sentence that contains it.
+    """(word, sentence columns) for every word and every sentence that contains it.
 
-    Each sentence row is turned into its distinct substrings, of the lengths that occur in `words`,
-    and joined with the words by equality. Sentences are short (at most 80 characters).
+    Each sentence is turned into its distinct substrings, of the lengths that occur in `words`, and
+    joined with the words by equality. Sentences are short (at most 80 characters) but grow a
+    hundredfold here, so they are spread over all shuffle partitions first.
     """
+    spread = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lengths = words.agg(F.array_sort(F.collect_set(F.length("word")))).scalar()
     grams = F.array_distinct(F.flatten(F.transform(
-        F.col("__lengths"),
-        lambda n: F.when(F.length("sentence") >= n, F.transform(
-            F.sequence(F.lit(1), F.length("sentence") - n + 1),
-            lambda i: F.substr(F.col("sentence"), i, n))).otherwise(F.array().cast("array<string>")))))
-    return (sentences.withColumn("__lengths", lengths)
-            .select("exam_id", "source_type", "sentence", F.explode(grams).alias("word"))
+        F.filter("__lengths", lambda n: n <= F.length("sentence")),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length("sentence") - n + 1),
+                              lambda i: F.substr(F.col("sentence"), i, n)))))
+    return (sentences.repartition(spread, "sentence").withColumn("__lengths", lengths)
+            .select(*sentences.columns, F.explode(grams).alias("word"))
             .join(words.select("word"), "word"))

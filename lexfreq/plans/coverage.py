@@ -119,7 +119,8 @@ def funnel(counts: DataFrame) -> DataFrame:
     sums = counts.agg(part("direct").alias("direct"), part("decomposed").alias("decomposed"),
                       F.sum("frequency").alias("whole"))
     stages = F.array(F.struct(F.lit(1).alias("stage"), F.lit("direct").alias("name"), F.col("direct").alias("occurrences")),
-                     F.struct(F.lit(2), F.lit("direct and decomposed"), F.col("direct") + F.col("decomposed")))
+                     F.struct(F.lit(2).alias("stage"), F.lit("direct and decomposed").alias("name"),
+                              (F.col("direct") + F.col("decomposed")).alias("occurrences")))
     return (sums.select("whole", F.inline(stages))
             .select("stage", "name", "occurrences",
                     F.try_divide(F.col("occurrences"), F.col("whole")).alias("share")))

@@ -11,7 +11,7 @@ from lexfreq.functions import arguments, reading
 from lexfreq.functions.quality import all_true
 from lexfreq.operators.counts import live_totals
 from lexfreq.operators.keyed import top_k_per_group
-from lexfreq.operators.sentences import distance, word_sentence_pairs
+from lexfreq.operators.sentences import distance, with_first_file, word_sentence_pairs
 from lexfreq.plans.corpus import Corpus
 
 FILE_KEY = ["exam_id", "source_type"]
@@ -186,14 +186,12 @@ def word_detail(corpus: Corpus, query: str) -> DataFrame:
 def sentence_totals_of_all_words(corpus: Corpus) -> DataFrame:
     """sentence_total and file_total of every word in the word list that occurs in a sentence.
 
-    The two distinct counts are two grouped passes, so no pair is copied once per distinct count.
+    A sentence counts where it is marked first, a file once per word: both are plain sums.
     """
-    pairs = word_sentence_pairs(corpus.sentences, corpus.wordlist.select("word").distinct())
-    by_sentence = pairs.groupBy("word", "sentence").agg(F.count("*").alias("n"))
-    sentences = by_sentence.groupBy("word").agg(F.count("*").alias("sentence_total"))
-    by_file = pairs.groupBy("word", *FILE_KEY).agg(F.count("*").alias("n"))
-    files = by_file.groupBy("word").agg(F.count("*").alias("file_total"))
-    return sentences.join(files, "word")
+    pairs = word_sentence_pairs(with_first_file(corpus.sentences), corpus.wordlist.select("word").distinct())
+    per_file = pairs.groupBy("word", *FILE_KEY).agg(F.count_if("is_first").alias("first_here"))
+    return per_file.groupBy("word").agg(
+        F.sum("first_here").alias("sentence_total"), F.count("*").alias("file_total"))
 
 
 def examples_of_all_words(corpus: Corpus, limit: int = V.MAX_EXAMPLES) -> DataFrame:
@@ -201,9 +199,8 @@ def examples_of_all_words(corpus: Corpus, limit: int = V.MAX_EXAMPLES) -> DataFr
 
     Which file stands for a sentence does not depend on the word, so it is settled first.
     """
-    first_file = (corpus.sentences.groupBy("sentence").agg(F.min(F.struct(*FILE_KEY)).alias("file"))
-                  .select("file.*", "sentence"))
-    pairs = word_sentence_pairs(first_file, corpus.wordlist.select("word").distinct())
+    firsts = with_first_file(corpus.sentences).filter("is_first").drop("is_first")
+    pairs = word_sentence_pairs(firsts, corpus.wordlist.select("word").distinct())
     best = (pairs.groupBy("word", *FILE_KEY)
             .agg(F.min(F.struct(distance(F.col("sentence")).alias("distance"), "sentence")).alias("pick"))
             .select("word", *FILE_KEY, "pick.*"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexfreq.operators.decompose import PLAIN_RULES, RuleSet
+from lexfreq.operators.labels import label_counts_in_full, unmatched_review
 from lexfreq.plans import corpus as K
 from lexfreq.schemas import DOCUMENTS
+from lexfreq.session import stored
 from lexfreq.sources.sinks import source_rows
-from lexfreq.sources.tables import read_parquet
+from lexfreq.sources.tables import read_parquet, spread_small
 
 LANGUAGES = ("de", "en", "es", "fr")
 EXAM_LEVELS = (3, 4)
@@ -37,7 +40,7 @@ def as_files(documents: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return as_files(table(spark, sf, "documents"))
+    return as_files(spread_small(table(spark, sf, "documents")))
 
 
 def wordlist(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,6 +62,20 @@ def counts(spark: SparkSession, sf: str) -> DataFrame:
     return K.file_counts(files(spark, sf))
 
 
+def stored_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts as a table of their own, for queries that read them more than once."""
+    return stored(counts(spark, sf), "counts")
+
+
+def labelled(spark: SparkSession, sf: str, rules: RuleSet = PLAIN_RULES) -> DataFrame:
+    return label_counts_in_full(stored_counts(spark, sf), wordlist(spark, sf), rules)
+
+
+def review(spark: SparkSession, sf: str) -> DataFrame:
+    return unmatched_review(labelled(spark, sf), wordlist(spark, sf), segmenter_words(spark, sf),
+                            dictionary_words(spark, sf))
+
+
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return K.sentences_of(files(spark, sf), LATIN_ENDS, LATIN, glued=False)
 

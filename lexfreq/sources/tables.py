@@ -15,6 +15,16 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None
     return reader.parquet(path)
 
 
+def spread_small(df: DataFrame, below: int = 256 << 20) -> DataFrame:
+    """Spread the rows of a small table over all cores.
+
+    A file of one row group is read by one task, which then also does all work per text. Larger
+    inputs are split by the scan itself and stay as they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings; a byte-order mark in the first header is removed."""
     rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
