@@ -68,7 +68,8 @@ def word_sentence_pairs(sentences: DataFrame, words: DataFrame) -> DataFrame:
 
     Each sentence is turned into its distinct substrings, of the lengths that occur in `words`, and
     joined with the words by equality. Sentences are short (at most 80 characters) but grow a
-    hundredfold here, so they are spread over all shuffle partitions first.
+    hundredfold here, so they are spread over all shuffle partitions first (on a key of their own:
+    a partitioning by sentence alone may have been merged into few partitions by then).
     """
     spread = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lengths = words.agg(F.array_sort(F.collect_set(F.length("word")))).scalar()
@@ -76,6 +77,6 @@ def word_sentence_pairs(sentences: DataFrame, words: DataFrame) -> DataFrame:
         F.filter("__lengths", lambda n: n <= F.length("sentence")),
         lambda n: F.transform(F.sequence(F.lit(1), F.length("sentence") - n + 1),
                               lambda i: F.substr(F.col("sentence"), i, n)))))
-    return (sentences.repartition(spread, "sentence").withColumn("__lengths", lengths)
+    return (sentences.repartition(spread, "exam_id", "source_type", "sentence").withColumn("__lengths", lengths)
             .select(*sentences.columns, F.explode(grams).alias("word"))
             .join(words.select("word"), "word"))
