@@ -121,7 +121,7 @@ def method_summary(files: DataFrame) -> DataFrame:
 
 def method_by_exam_level(files: DataFrame, exam_levels: Sequence[int]) -> DataFrame:
     table = (files.withColumn("method", method_label(F.col("notes")))
-             .groupBy("method").pivot("exam_level", list(exam_levels)).agg(F.count("*")))
+             .groupBy("method").pivot("exam_level", list(exam_levels)).agg(F.count("method")))
     return table.toDF("method", *[f"exam_level_{n}" for n in exam_levels]).fillna(0)
 
 

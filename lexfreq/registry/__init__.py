@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lexfreq.registry import words, labels  # noqa: F401
+from lexfreq.registry import labels, loads, texts, words  # noqa: F401
 from lexfreq.registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

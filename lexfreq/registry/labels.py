@@ -149,7 +149,8 @@ def _(spark, sf):
     return V.triple_signal_noise(I.review(spark, sf))
 
 
-@query("noise_sample")
+@query("noise_sample", sql("review", _REVIEW + """
+    WHERE likely_noise AND NOT in_segmenter_dict AND NOT in_dictionary ORDER BY md5('42' || word), word LIMIT 15"""))
 def _(spark, sf):
     return V.repeatable_sample(V.triple_signal_noise(I.review(spark, sf)))
 
