@@ -58,7 +58,8 @@ def rank_frequency(counts: DataFrame) -> DataFrame:
 def heat_map(counts: DataFrame, words: int = 15) -> DataFrame:
     """(word, exam_id, total_count) of the top words, long form."""
     top = top_overall(counts, words).select("word")
-    return word_totals(counts.join(top, "word", "left_semi"), "exam_id")
+    totals = word_totals(counts.join(top, "word", "left_semi"), "exam_id")
+    return totals.select("word", "exam_id", "total_count")
 
 
 def heat_map_matrix(counts: DataFrame, exam_ids: Sequence[str], words: int = 15) -> DataFrame:

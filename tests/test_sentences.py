@@ -1,0 +1,72 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lexfreq.functions import text as X
+from lexfreq.operators import sentences as S
+from lexfreq.plans.corpus import sentences_of
+
+
+def cleaned(spark, raw):
+    df = spark.createDataFrame([(raw,)], "raw string").select(X.strip_lead(F.col("raw")).alias("s"))
+    rows = df.filter(X.reads_as_sentence(F.col("s"))).collect()
+    return rows[0].s if rows else None
+
+
+@pytest.mark.parametrize("raw, expected", [
+    ("12．他每天早上跑步。", "他每天早上跑步。"),
+    ("１２、他每天早上跑步。", "他每天早上跑步。"),
+    ("一，我们明天见面。", "我们明天见面。"),
+    ("A 我喜欢吃苹果。", "我喜欢吃苹果。"),
+    ("例如：他昨天去了图书馆。", "他昨天去了图书馆。"),
+    (" 12．★ 他来北京6年了。　", "他来北京6年了。"),
+    ("23他来北京很多年了", "他来北京很多年了"),
+    ("B他来北京很多年了", "他来北京很多年了"),
+    ("你好。", None),
+    ("我" * 80, "我" * 80),
+    ("我" * 81, None),
+    ("老朋友 B 不认识的字，还有很多问题。", None),
+    ("我（ ）去过北京，但是很想去。", None),
+    ("HSK Level 3 Reading Test Paper Instructions Booklet", None),
+])
+def test_cleaning(spark, raw, expected):
+    assert cleaned(spark, raw) == expected
+
+
+def listed(spark, text):
+    files = spark.createDataFrame([("f", text)], "file string, text string")
+    first = S.numbered(S.per_file(S.candidates(files), ["file"]), ["file"])
+    return [r.sentence for r in first.orderBy("ordinal").collect()]
+
+
+def test_split_and_order(spark):
+    assert listed(spark, "我今天很高兴看到你。你今天心情怎么样呢？我们一起去公园散步吧！") == [
+        "我今天很高兴看到你。", "你今天心情怎么样呢？", "我们一起去公园散步吧！"]
+    assert listed(spark, "他每天早上跑步。他每天早上跑步。他每天晚上看书。") == ["他每天早上跑步。", "他每天晚上看书。"]
+    assert listed(spark, "他每天早上跑步\n他每天晚上都在看书。") == ["他每天早上跑步", "他每天晚上都在看书。"]
+
+
+def test_boilerplate_is_dropped(spark):
+    shared = "请仔细阅读下面的题目和要求。"
+    rows = [("e1", "reading", shared + "他每天早上跑步。"), ("e2", "reading", shared + "他喜欢喝茶不喜欢喝咖啡。"),
+            ("e3", "reading", shared + "我们明天一起去看电影。")]
+    files = spark.createDataFrame(rows, "exam_id string, source_type string, text string")
+    got = {(r.exam_id, r.sentence) for r in sentences_of(files).collect()}
+    assert got == {("e1", "他每天早上跑步。"), ("e2", "他喜欢喝茶不喜欢喝咖啡。"), ("e3", "我们明天一起去看电影。")}
+
+
+def test_two_exams_are_no_boilerplate(spark):
+    s = "他喜欢喝茶不喜欢喝咖啡。"
+    rows = [("e1", "reading", s), ("e1", "listening", s), ("e2", "reading", s)]
+    files = spark.createDataFrame(rows, "exam_id string, source_type string, text string")
+    for parts in (1, 16):
+        got = {(r.exam_id, r.source_type) for r in sentences_of(files.repartition(parts)).collect()}
+        assert got == {("e1", "reading"), ("e1", "listening"), ("e2", "reading")}
+
+
+def test_pairs_match_containment(spark):
+    sentences = spark.createDataFrame([("e", "reading", "abcabc"), ("e", "listening", "xbcax"), ("f", "reading", "ab")],
+                                      "exam_id string, source_type string, sentence string")
+    words = ["a", "ab", "bca", "abcabc", "abcabcd", "zz"]
+    listed = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(r.word, r.sentence) for r in S.word_sentence_pairs(sentences, listed).collect()}
+    assert got == {(w, s) for w in words for s in ("abcabc", "xbcax", "ab") if w in s}
