@@ -117,23 +117,56 @@ def collapse_clause_blocks(parts: Column, longest_block: int = V.CLAUSE_BLOCK,
     column expressions cannot say. Each row is handled on its own.
     """
 
+    buckets = 64
+
+    def near(parts):
+        """For each distance, which clauses share enough letters with the clause so far behind.
+
+        Letters fall into buckets, which can only raise the shared number: an upper bound.
+        """
+        import numpy as np
+
+        sizes = np.array([len(p) for p in parts])
+        letters = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        held = np.bincount(owner * buckets + letters % buckets, minlength=len(parts) * buckets)
+        held = held.reshape(len(parts), buckets)
+        possible = {}
+        for gap in range(1, min(longest_block, len(parts) // 2) + 1):
+            shared = np.minimum(held[:-gap], held[gap:]).sum(axis=1)
+            # A little slack keeps rounding from ruling out a pair that is exactly at the limit.
+            possible[gap] = 2 * shared >= similarity * (sizes[:-gap] + sizes[gap:]) - 1e-6
+        return possible
+
     def collapse(parts):
-        from collections import Counter
         from difflib import SequenceMatcher
 
+        possible = near(parts)
         seen: dict[tuple[int, int], bool] = {}
-        letters = [Counter(part) for part in parts]
+        places: dict[int, dict[str, int]] = {}
+
+        def common(a: int, b: int) -> int:
+            """Length of the longest common subsequence (bit-parallel): matching blocks are one."""
+            if a not in places:
+                bits = places[a] = {}
+                for i, letter in enumerate(parts[a]):
+                    bits[letter] = bits.get(letter, 0) | 1 << i
+            bits, full = places[a], (1 << len(parts[a])) - 1
+            row = full
+            for letter in parts[b]:
+                hit = row & bits.get(letter, 0)
+                row = ((row + hit) | (row - hit)) & full
+            return len(parts[a]) - row.bit_count()
 
         def alike(a: int, b: int) -> bool:
+            if not possible[b - a][a]:
+                return False
             known = seen.get((a, b))
             if known is None:
                 one, two = parts[a], parts[b]
-                whole = len(one) + len(two)
-                # Shared length, then shared letters, bound the similarity from above.
-                known = (one == two
-                         or (2 * min(len(one), len(two)) >= similarity * whole
-                             and 2 * (letters[a] & letters[b]).total() >= similarity * whole
-                             and SequenceMatcher(None, one, two).ratio() >= similarity))
+                known = one == two or (
+                    2 * common(a, b) >= similarity * (len(one) + len(two)) - 1e-6
+                    and SequenceMatcher(None, one, two).ratio() >= similarity)
                 seen[(a, b)] = known
             return known
 

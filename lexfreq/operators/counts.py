@@ -24,23 +24,20 @@ def label_counts(counts: DataFrame, wordlist: DataFrame) -> DataFrame:
 
 
 def rollup(counts: DataFrame) -> DataFrame:
-    """Totals per (word, source) and per word over all sources, in one pass.
+    """Totals per (word, source) and per word over all sources ('all'), in one pass.
 
-    The level is a function of the word, so both grains carry it as a key. The distinct count is
-    spread over (word, exam) before it is summed per word, so a word found everywhere is not
-    counted by one task.
+    Each row counts for its source and for 'all'. Adding up per exam first makes the number of
+    exams a plain row count; both steps combine in the task before they shuffle, and the first is
+    spread over (word, exam), so a word found everywhere is never the work of one task. The level is
+    a function of the word.
     """
-    grain = [F.col("word"), F.col("word_level"), F.col("source_type")]
-    sets = [grain, grain[:2]]
-    totals = counts.groupingSets(sets, *grain).agg(
-        F.grouping("source_type").alias("__all"),
-        F.sum("frequency").alias("total_frequency"),
-        F.count_distinct("exam_id").alias("exam_count"),
-        F.bool_or("in_official_wordlist").alias("in_official_wordlist"))
-    return (totals
-            .withColumn("source_type", F.when(F.col("__all") == 1, F.lit("all")).otherwise(F.col("source_type")))
-            .select("word", "word_level", "source_type", "total_frequency", "exam_count",
-                    "in_official_wordlist"))
+    both = F.array(F.lit("all"), F.col("source_type"))
+    official = F.bool_or("in_official_wordlist").alias("in_official_wordlist")
+    grain = ["word", "word_level", "source_type"]
+    per_exam = (counts.withColumn("source_type", F.explode(both))
+                .groupBy(*grain, "exam_id").agg(F.sum("frequency").alias("frequency"), official))
+    return per_exam.groupBy(*grain).agg(
+        F.sum("frequency").alias("total_frequency"), F.count("*").alias("exam_count"), official)
 
 
 def relevel(counts: DataFrame, wordlist: DataFrame) -> DataFrame:

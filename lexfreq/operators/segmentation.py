@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lexfreq import fixed_values as V
+from lexfreq.session import stored
 
 
 def script_runs(files: DataFrame, script: str = V.HAN, text: str = "text") -> DataFrame:
@@ -75,10 +76,14 @@ def segment_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def segmented_tokens(files: DataFrame, lexicon: DataFrame, script: str = V.HAN,
                      text: str = "text") -> DataFrame:
-    """files(keys, text) -> (keys, word, frequency). Equal runs are counted before they are cut."""
+    """files(keys, text) -> (keys, word, frequency).
+
+    Equal runs are counted before they are cut. The counted runs are stored, because cutting and
+    counting both read them.
+    """
     runs = script_runs(files, script, text)
     keys = [c for c in runs.columns if c != "run"]
-    counted = runs.groupBy(*keys, "run").agg(F.count("*").alias("n"))
+    counted = stored(runs.groupBy(*keys, "run").agg(F.count("*").alias("n")), "runs")
     cut = segment_runs(counted, lexicon)
     return (counted.join(cut, "run")
             .select(*keys, "n", F.explode("words").alias("word"))
