@@ -111,14 +111,25 @@ class _Grid:
         self.lead = F.length(_run(word, rules.front))
         self.trail = F.length(_run(word, rules.back, at_end=True))
 
-    def cells(self) -> Column:
-        return F.flatten(F.transform(
+    def cells(self, detail: bool = False) -> Column:
+        """The remainders in order; with detail also what several rules ask about each."""
+        def cell(front: Column, back: Column) -> Column:
+            text = F.substr(self.word, front + 1, F.length(self.word) - front - back)
+            return F.struct(front.alias("front"), back.alias("back"), text.alias("text"))
+
+        def detailed(c: Column) -> Column:
+            text, rules = c["text"], self.rules
+            ordinal = _run(text, rules.numerals, lead=rules.ordinal) if rules.ordinal else F.lit("")
+            return F.struct(
+                c["front"].alias("front"), c["back"].alias("back"), text.alias("text"),
+                F.length(text).alias("size"), F.left(text, F.lit(1)).alias("first"),
+                F.right(text, F.lit(1)).alias("last"), ordinal.alias("ordinal"),
+                _run(text, rules.numerals).alias("number"))
+
+        grid = F.flatten(F.transform(
             F.sequence(F.col("trail"), F.lit(0), F.lit(-1)),
-            lambda back: F.transform(
-                F.sequence(F.col("lead"), F.lit(0), F.lit(-1)),
-                lambda front: F.struct(
-                    front.alias("front"), back.alias("back"),
-                    F.substr(self.word, front + 1, F.length(self.word) - front - back).alias("text")))))
+            lambda back: F.transform(F.sequence(F.col("lead"), F.lit(0), F.lit(-1)), lambda front: cell(front, back))))
+        return F.transform(grid, detailed) if detail else grid
 
     @staticmethod
     def index(front: Column, back: Column) -> Column:
@@ -138,56 +149,50 @@ def _probes(text: Column, rules: RuleSet) -> Column:
     return F.concat(*parts)
 
 
+def _highest(levels: Column) -> Column:
+    """Maximum of an array of levels, null when any is unknown."""
+    return F.aggregate(levels, F.lit(0), lambda top, level: F.when(
+        top.isNotNull() & level.isNotNull(), F.greatest(top, level)))
+
+
 def _cell_level(cell: Column, resolved: Column, rules: RuleSet) -> Column:
     """Level of one remainder, given the levels of the remainders before it."""
-    text, front, back = cell["text"], cell["front"], cell["back"]
-    size = F.length(text)
-    first = F.substr(text, F.lit(1), F.lit(1))
-    last = F.substr(text, size, F.lit(1))
+    text, size, first, last = cell["text"], cell["size"], cell["first"], cell["last"]
 
     def listed(part: Column) -> Column:
         return F.try_element_at(F.col("known"), part)
 
     def rest(skip: Column, drop: Column) -> Column:
-        return F.get(resolved, _Grid.index(front + skip, back + drop))
-
-    def highest(*levels: Column) -> Column:
-        """Maximum, null when any part is unknown."""
-        return F.when(F.coalesce(*[F.when(v.isNull(), F.lit(True)) for v in levels], F.lit(False)),
-                      F.lit(None).cast("int")).otherwise(
-            F.greatest(*levels) if len(levels) > 1 else levels[0])
+        return F.get(resolved, _Grid.index(cell["front"] + skip, cell["back"] + drop))
 
-    def highest_char(run: Column) -> Column:
-        found = F.transform(characters(run), listed)
-        return F.when((run != "") & F.forall(found, lambda v: v.isNotNull()), F.array_max(found))
+    def characters_of(run: Column) -> Column:
+        return F.transform(characters(run), listed)
 
     zero, one = F.lit(0), F.lit(1)
-    rule_levels = [listed(text)]
     long_rules: list[Column] = []
     if rules.ordinal and rules.numerals:
-        run = _run(text, rules.numerals, lead=rules.ordinal)
-        base = F.coalesce(listed(run), highest(highest_char(F.substr(run, F.lit(2), size)), listed(first)))
-        long_rules.append(F.when(run != "", F.when(F.length(run) == size, base).otherwise(
-            highest(base, rest(F.length(run), zero)))))
+        run = cell["ordinal"]
+        base = F.coalesce(listed(run), _highest(characters_of(run)))
+        tail = F.when(F.length(run) == size, F.array(base)).otherwise(F.array(base, rest(F.length(run), zero)))
+        long_rules.append(F.when(run != "", _highest(tail)))
     long_rules.append(F.when(_is_double(text), listed(first)))
     long_rules.append(F.when(_is_aabb(text), listed(_aabb_base(text))))
     if rules.silent_suffix:
         long_rules.append(F.when(last == rules.silent_suffix, rest(zero, one)))
     if rules.numerals:
-        run = _run(text, rules.numerals)
-        long_rules.append(F.when(F.length(run) == size, highest_char(run)))
-        long_rules.append(F.when((run != "") & (F.length(run) < size),
-                                 highest(highest_char(run), rest(F.length(run), zero))))
+        run = cell["number"]
+        tail = F.when(F.length(run) < size, F.array(rest(F.length(run), zero))).otherwise(
+            F.array().cast("array<int>"))
+        long_rules.append(F.when(run != "", _highest(F.concat(characters_of(run), tail))))
     if rules.prefixes:
         long_rules.append(F.when(_in(first, rules.prefixes) & ~_is_name(text, rules),
-                                 highest(listed(first), rest(one, zero))))
+                                 _highest(F.array(listed(first), rest(one, zero)))))
     if rules.suffixes:
-        long_rules.append(F.when(_in(last, rules.suffixes), highest(rest(zero, one), listed(last))))
-    pairs = F.transform(_splits(text), lambda i: highest(listed(_left(text, i)), listed(_from(text, i))))
+        long_rules.append(F.when(_in(last, rules.suffixes), _highest(F.array(rest(zero, one), listed(last)))))
+    pairs = F.transform(_splits(text), lambda i: _highest(F.array(listed(_left(text, i)), listed(_from(text, i)))))
     long_rules.append(F.get(F.filter(pairs, lambda v: v.isNotNull()), zero))
-    rule_levels.append(F.when(size == 1, listed(F.concat(text, text)))
-                       .when(size > 1, F.coalesce(*long_rules)))
-    return F.coalesce(*rule_levels)
+    return F.coalesce(listed(text), F.when(size == 1, listed(F.concat(text, text)))
+                      .when(size > 1, F.coalesce(*long_rules)))
 
 
 def _is_name(text: Column, rules: RuleSet) -> Column:
@@ -257,7 +262,7 @@ def resolve_words(words: DataFrame, wordlist: DataFrame, rules: RuleSet = HAN_RU
     folded = (found
               .select("word", "known", grid.lead.alias("lead"), grid.trail.alias("trail"))
               .withColumn("levels", F.aggregate(
-                  grid.cells(), F.array().cast("array<int>"),
+                  grid.cells(detail=True), F.array().cast("array<int>"),
                   lambda resolved, cell: F.concat(resolved, F.array(_cell_level(cell, resolved, rules)))))
               .withColumn("decomposed_level", F.element_at("levels", -1)))
     return (folded.filter(F.col("decomposed_level").isNotNull())

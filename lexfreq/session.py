@@ -12,6 +12,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Small shuffles feed costly steps here; merging them into 1 MB partitions would idle the cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
 }
 
 
