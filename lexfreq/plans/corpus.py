@@ -19,7 +19,7 @@ class Corpus:
     sources: DataFrame      # exam_id, source_type, year, exam_level, filename
     frequencies: DataFrame  # word, word_level, source_type, exam_id, frequency, in_official_wordlist
     aggregates: DataFrame   # word, word_level, source_type, total_frequency, exam_count, in_official_wordlist
-    sentences: DataFrame    # exam_id, source_type, sentence
+    sentences: DataFrame | None  # exam_id, source_type, sentence
 
 
 def spaced_tokens(files: DataFrame, text: str = "text", pattern: str = rf"({X.LETTERS}+)") -> DataFrame:
@@ -38,7 +38,9 @@ def file_counts(files: DataFrame) -> DataFrame:
     return C.word_counts(spaced_tokens(files.select(*C.FILE_KEY, "text")))
 
 
-def build(files: DataFrame, wordlist: DataFrame, sources: DataFrame, sentences: DataFrame) -> Corpus:
+def build(files: DataFrame, wordlist: DataFrame, sources: DataFrame,
+          sentences: DataFrame | None = None) -> Corpus:
+    """`sentences` may be left out when only words are asked for."""
     frequencies = C.label_counts(file_counts(files), wordlist).select(
         "word", "word_level", "source_type", "exam_id", "frequency", "in_official_wordlist")
     return Corpus(wordlist, sources, frequencies, C.rollup(frequencies), sentences)

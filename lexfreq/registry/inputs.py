@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexfreq.operators.decompose import PLAIN_RULES, RuleSet
 from lexfreq.operators.labels import label_counts_in_full, unmatched_review
 from lexfreq.plans import corpus as K
-from lexfreq.schemas import DOCUMENTS
+from lexfreq.schemas import SUPPLIED
 from lexfreq.session import stored
 from lexfreq.sources.sinks import source_rows
 from lexfreq.sources.tables import read_parquet, spread_small
@@ -20,9 +20,7 @@ WORD = "the"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    if name == "documents":
-        return read_parquet(spark, f"{sf}/documents.parquet", DOCUMENTS)
-    return read_parquet(spark, f"{sf}/{name}.parquet")
+    return read_parquet(spark, f"{sf}/{name}.parquet", SUPPLIED.get(name))
 
 
 def as_files(documents: DataFrame) -> DataFrame:
@@ -80,6 +78,11 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return K.sentences_of(files(spark, sf), LATIN_ENDS, LATIN, glued=False)
 
 
+def word_corpus(spark: SparkSession, sf: str) -> K.Corpus:
+    """The corpus without sentences, for queries on words."""
+    return K.build(files(spark, sf), full_wordlist(spark, sf), sources(spark, sf))
+
+
 def corpus(spark: SparkSession, sf: str) -> K.Corpus:
     return K.build(files(spark, sf), full_wordlist(spark, sf), sources(spark, sf), sentences(spark, sf))
 

@@ -61,7 +61,7 @@ def _(spark, sf):
 
 @query("rollup", sql("agg", "SELECT * FROM agg"))
 def _(spark, sf):
-    return I.corpus(spark, sf).aggregates
+    return I.word_corpus(spark, sf).aggregates
 
 
 _TOP = """
@@ -72,17 +72,17 @@ ORDER BY total_frequency DESC, a.word LIMIT {limit}"""
 
 @query("top_words", sql("agg", _TOP.format(where="source_type = 'all'", limit=50)))
 def _(spark, sf):
-    return Q.top_words(I.corpus(spark, sf), source_types=I.LANGUAGES)
+    return Q.top_words(I.word_corpus(spark, sf), source_types=I.LANGUAGES)
 
 
 @query("top_words_level", sql("agg", _TOP.format(where="source_type = 'all' AND a.word_level = 4", limit=20)))
 def _(spark, sf):
-    return Q.top_words(I.corpus(spark, sf), word_level=4, limit=20, source_types=I.LANGUAGES)
+    return Q.top_words(I.word_corpus(spark, sf), word_level=4, limit=20, source_types=I.LANGUAGES)
 
 
 @query("top_words_source", sql("agg", _TOP.format(where="source_type = 'fr'", limit=10000)))
 def _(spark, sf):
-    return Q.top_words(I.corpus(spark, sf), source_type="fr", limit=10000, source_types=I.LANGUAGES)
+    return Q.top_words(I.word_corpus(spark, sf), source_type="fr", limit=10000, source_types=I.LANGUAGES)
 
 
 _LIVE = """
@@ -99,29 +99,29 @@ FROM freq f JOIN src s ON f.exam_id = s.exam_id AND f.source_type = s.source_typ
 
 @query("top_words_exam_level", sql("freq src", _LIVE.format(where="s.exam_level = 3", limit=50)))
 def _(spark, sf):
-    return Q.top_words(I.corpus(spark, sf), exam_level=3, source_types=I.LANGUAGES)
+    return Q.top_words(I.word_corpus(spark, sf), exam_level=3, source_types=I.LANGUAGES)
 
 
 @query("top_words_exams", sql("freq src", _LIVE.format(
     where="f.exam_id IN ('src1', 'src2', 'src7') AND f.source_type = 'en' AND f.word_level = 5", limit=100)))
 def _(spark, sf):
-    return Q.top_words(I.corpus(spark, sf), word_level=5, exam_ids=["src1", "src2", "src7"], source_type="en",
+    return Q.top_words(I.word_corpus(spark, sf), word_level=5, exam_ids=["src1", "src2", "src7"], source_type="en",
                        limit=100, source_types=I.LANGUAGES)
 
 
 @query("top_words_total", sql("agg", "SELECT count(*) AS total_count FROM agg WHERE source_type = 'all'"))
 def _(spark, sf):
-    return Q.top_words_total(I.corpus(spark, sf), source_types=I.LANGUAGES)
+    return Q.top_words_total(I.word_corpus(spark, sf), source_types=I.LANGUAGES)
 
 
 @query("top_words_total_exam_level", sql("freq src", _LIVE_TOTAL.format(where="s.exam_level = 4")))
 def _(spark, sf):
-    return Q.top_words_total(I.corpus(spark, sf), exam_level=4, source_types=I.LANGUAGES)
+    return Q.top_words_total(I.word_corpus(spark, sf), exam_level=4, source_types=I.LANGUAGES)
 
 
 @query("top_words_total_exams", sql("freq src", _LIVE_TOTAL.format(where="f.exam_id IN ('src1', 'src2')")))
 def _(spark, sf):
-    return Q.top_words_total(I.corpus(spark, sf), exam_ids=["src1", "src2"], source_types=I.LANGUAGES)
+    return Q.top_words_total(I.word_corpus(spark, sf), exam_ids=["src1", "src2"], source_types=I.LANGUAGES)
 
 
 @query("exams", sql("src", """
@@ -151,23 +151,23 @@ _COMPARE_LIVE = _SIDES.replace("{inner}", """
 
 @query("compare_words", sql("agg", _COMPARE.format(where="source_type = 'all'", limit=50)))
 def _(spark, sf):
-    return Q.compare_words(I.corpus(spark, sf), source_types=I.LANGUAGES)
+    return Q.compare_words(I.word_corpus(spark, sf), source_types=I.LANGUAGES)
 
 
 @query("compare_words_source", sql("agg", _COMPARE.format(where="source_type = 'en'", limit=500)))
 def _(spark, sf):
-    return Q.compare_words(I.corpus(spark, sf), source_type="en", limit=500, source_types=I.LANGUAGES)
+    return Q.compare_words(I.word_corpus(spark, sf), source_type="en", limit=500, source_types=I.LANGUAGES)
 
 
 @query("compare_words_exam", sql("freq src", _COMPARE_LIVE.format(where="f.exam_id = 'src5'", limit=50)))
 def _(spark, sf):
-    return Q.compare_words(I.corpus(spark, sf), exam_id="src5", source_types=I.LANGUAGES)
+    return Q.compare_words(I.word_corpus(spark, sf), exam_id="src5", source_types=I.LANGUAGES)
 
 
 @query("compare_words_exam_level", sql("freq src", _COMPARE_LIVE.format(
     where="s.exam_level = 4 AND f.source_type = 'en'", limit=100)))
 def _(spark, sf):
-    return Q.compare_words(I.corpus(spark, sf), exam_level=4, source_type="en", limit=100,
+    return Q.compare_words(I.word_corpus(spark, sf), exam_level=4, source_type="en", limit=100,
                            source_types=I.LANGUAGES)
 
 
@@ -175,12 +175,12 @@ def _(spark, sf):
     SELECT f.word, f.word_level, f.source_type, f.exam_id, f.frequency, f.in_official_wordlist, s.year, s.filename
     FROM freq f LEFT JOIN src s ON f.exam_id = s.exam_id AND f.source_type = s.source_type WHERE f.word = '{I.WORD}'"""))
 def _(spark, sf):
-    return Q.word_occurrences(I.corpus(spark, sf), I.WORD)
+    return Q.word_occurrences(I.word_corpus(spark, sf), I.WORD)
 
 
 @query("word_aggregates", sql("agg", f"SELECT * FROM agg WHERE word = '{I.WORD}'"))
 def _(spark, sf):
-    return Q.word_aggregates(I.corpus(spark, sf), I.WORD)
+    return Q.word_aggregates(I.word_corpus(spark, sf), I.WORD)
 
 
 @query("word_detail", sql("sent wl", f"""
@@ -240,14 +240,14 @@ def _(spark, sf):
     FROM (SELECT word, sum(frequency) AS t, count(DISTINCT exam_id) AS e, bool_or(in_official_wordlist) AS o
           FROM freq WHERE exam_level = 3 GROUP BY 1)"""))
 def _(spark, sf):
-    return Q.scope_summary(Q.scope_words(I.corpus(spark, sf), exam_level=3))
+    return Q.scope_summary(Q.scope_words(I.word_corpus(spark, sf), exam_level=3))
 
 
 @query("word_page", sql("agg", """
     SELECT word, word_level, total_frequency FROM agg WHERE source_type = 'all' AND word_level IS NOT NULL
     ORDER BY total_frequency DESC, word LIMIT 10 OFFSET 20"""))
 def _(spark, sf):
-    items = Q.levelled_words(Q.scope_words(I.corpus(spark, sf)))
+    items = Q.levelled_words(Q.scope_words(I.word_corpus(spark, sf)))
     return Q.word_page(items, 3).select("word", "word_level", "total_frequency")
 
 
@@ -257,7 +257,7 @@ def _(spark, sf):
        FROM agg WHERE source_type = 'es' AND word_level IS NOT NULL)
     WHERE floor(pos / 10) = floor((n - 1) / 10)"""))
 def _(spark, sf):
-    items = Q.levelled_words(Q.scope_words(I.corpus(spark, sf), source_type="es"))
+    items = Q.levelled_words(Q.scope_words(I.word_corpus(spark, sf), source_type="es"))
     return Q.word_page(items, 10 ** 6).select("word", "word_level", "total_frequency")
 
 
@@ -267,7 +267,7 @@ def _(spark, sf):
     WHERE contains(word, 'Ea U') OR contains(replace(lower(strip_accents(pinyin)), ' ', ''), 'eau')"""))
 def _(spark, sf):
     # Every word gets a reading and a level here, so that accented words can be found.
-    items = Q.scope_words(I.corpus(spark, sf)).withColumn("known_level", F.col("word_level"))
+    items = Q.scope_words(I.word_corpus(spark, sf)).withColumn("known_level", F.col("word_level"))
     items = items.withColumn("word_level", F.coalesce("word_level", F.lit(0))).withColumn(
         "pinyin", F.regexp_replace("word", "(..)", "$1 "))
     return Q.search_words(items, " Ea U").select("word", F.col("known_level").alias("word_level"), "total_frequency")
@@ -288,4 +288,4 @@ def _(spark, sf):
     SELECT word, count(DISTINCT exam_id) AS exam_count FROM freq WHERE NOT in_official_wordlist
     GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""))
 def _(spark, sf):
-    return Q.unlisted_by_exams(I.corpus(spark, sf))
+    return Q.unlisted_by_exams(I.word_corpus(spark, sf))

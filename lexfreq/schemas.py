@@ -43,3 +43,12 @@ WORD_COUNTS = _struct(
     "word STRING, level INT, exam_id STRING, exam_level INT, source_type STRING, count BIGINT, "
     "match_pattern STRING, effective_level INT, match_type STRING")
 DOCUMENTS = _struct("doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+
+# The supplied tables. A given schema saves the job that would read it from a file.
+SUPPLIED = {
+    "documents": DOCUMENTS,
+    "benchmark": _struct("item_id BIGINT, text STRING"),
+    "labels": _struct("doc_id BIGINT, quality INT, toxic INT"),
+    "conversations": _struct("conv_id BIGINT, turn BIGINT, role STRING, text STRING"),
+    "pages": _struct("page_id BIGINT, url STRING, html STRING"),
+}
