@@ -232,9 +232,10 @@ def simplify_text(text: Column, pairs: DataFrame) -> Column:
     The table holds at most one row per character that exists, which bounds the two strings.
     """
     listed = F.array_sort(F.collect_list(F.struct("source", "target")))
-    sources = pairs.agg(F.array_join(F.transform(listed, lambda p: p["source"]), "")).scalar()
-    targets = pairs.agg(F.array_join(F.transform(listed, lambda p: p["target"]), "")).scalar()
-    return F.call_function("translate", text, sources, targets)
+    both = pairs.agg(F.struct(
+        F.array_join(F.transform(listed, lambda p: p["source"]), "").alias("source"),
+        F.array_join(F.transform(listed, lambda p: p["target"]), "").alias("target"))).scalar()
+    return F.call_function("translate", text, both["source"], both["target"])
 
 
 def simplify_words(words: DataFrame, dictionary: DataFrame, pairs: DataFrame, word: str = "word",
