@@ -95,27 +95,32 @@ def apportioned(shares: DataFrame, parent: list[str], child: str, votes: str, se
         *keys, F.when(F.col(votes) > 0, F.col("_low") + F.col("_won")).otherwise(0).alias(out))
 
 
-def _taken(block: int) -> Column:
-    """Words taken from a document that covers the words [start, start + size) of its shard."""
+def _extra(block: int) -> Column:
+    """Word ranges of a document, which covers the words [start, start + size) of its shard, in the chosen blocks."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    chosen = F.col("extra_blocks")
 
     def words(j: Column) -> Column:
         place = F.pmod(F.col("stride") * j + F.col("offset"), F.col("blocks"))
-        begin = F.greatest(F.col("start"), j * block)
-        end = F.least(F.col("start") + F.col("size"), (j + 1) * block)
         # The last block of the choice is taken only as far as the quota goes.
-        part = F.least(end, j * block + F.col("extra_words")) - begin
-        return F.when(place < chosen, end - begin).when(place == chosen, F.greatest(F.lit(0).cast("bigint"), part)).otherwise(0)
+        reach = F.when(place < F.col("extra_blocks"), F.lit(block)).when(place == F.col("extra_blocks"), F.col("extra_words")).otherwise(0)
+        begin = F.greatest(F.lit(0).cast("bigint"), j * block - F.col("start"))
+        end = F.least(F.col("size"), j * block + reach - F.col("start"))
+        return F.struct(begin.alias("from"), end.cast("bigint").alias("to"))
 
-    extra = F.aggregate(F.sequence(first, last), F.lit(0).cast("bigint"), lambda a, j: a + words(j))
-    return F.when(F.col("size") > 0, F.least(F.col("passes") * F.col("size") + extra, F.lit(MOST_REPEATS) * F.col("size"))).otherwise(0)
+    ranges = F.filter(F.transform(F.sequence(first, last), words), lambda r: r["from"] < r["to"])
+    return F.when(F.col("size") > 0, ranges).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every document."""
+def mix(docs: DataFrame, keep: list[str] = ["doc_id"], weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK,
+        seed: int = 0) -> DataFrame:
+    """The mix as one row per document.
+
+    row holds the columns to keep; size, source_size and target are as described; the mix takes the document
+    `passes` times as a whole and the word ranges `extra` once more, `taken` words in all.
+    """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+                        F.struct(*keep).alias("row"))
     sized = written(sized.withColumn("dealt", F.xxhash64("doc_id", F.lit(seed))), "sizes")
     # One row per source: as many as the weights are stated for.
     totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
@@ -159,7 +164,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     line = Window.partitionBy("source", "shard").orderBy("dealt", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     lined = placed.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0).cast("bigint")))
     joined = lined.join(shares, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("d")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", _taken(block).cast("bigint").alias("taken"))
+    joined = joined.select("row", "source", "size", "source_size", "target", F.col("passes").cast("int").alias("passes"),
+                           _extra(block).alias("extra"))
+    words = F.aggregate("extra", F.lit(0).cast("bigint"), lambda a, r: a + r["to"] - r["from"])
+    return joined.withColumn("taken", F.col("passes") * F.col("size") + words)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, with the columns of `docs`.
+
+    A document comes as often as the mix takes all of it, and once more with the words taken beyond that, each with
+    the white space after it; n_chars, if there is such a column, follows the text.
+    """
+    taken = mix(docs, docs.columns, **options)
+    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.flatten(F.transform(
+        "extra", lambda r: F.slice("_pieces", (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), "")
+    rows = taken.withColumn("_pieces", F.when(F.size("extra") > 0, pieces))
+    texts = F.concat(F.array_repeat(F.col("row.text"), F.col("passes")), F.when(F.size("extra") > 0, F.array(part)).otherwise(
+        F.array().cast("array<string>")))
+    rows = rows.select("row", F.explode(texts).alias("_text"))
+    own = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
+    return rows.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _coprime(step: Column, n: Column) -> Column:

@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfreq.llm import line_dedup, mixing, simhash
+from lexfreq.llm import ann, html_text, line_dedup, mixing, pii, quality, simhash, token_shards, toxicity
 from lexfreq.llm.decontaminate import covered, decontaminate
 from lexfreq.llm.scratch import table
+from lexfreq.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), every=100)
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +32,27 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op6_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes the shards and returns where each sequence stands, with a digest of its record."""
+    sequences = token_shards.ordered(table(spark, folder, "documents"))
+    token_shards.write_shards(sequences, scratch_path(spark, "shards"))
+    step = token_shards.stride()
+    return sequences.select("slot", "shard", (F.col("record").cast("bigint") * step).alias("byte_offset"), "doc_id", "part", "n_tokens",
+                            F.sha2("ids", 256).alias("ids_sha256"))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
@@ -36,6 +62,10 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 OP9_ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -63,6 +93,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mix_sources, op3_simhash_near_duplicates, op4_line_dedup, op9_decontaminate)}
+    op1_mix_sources, op2_nearest_vectors, op3_simhash_near_duplicates, op4_line_dedup, op5_quality, op6_token_shards, op7_toxicity,
+    op8_main_text, op9_decontaminate, op10_surrogates)}
 
 ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op9_decontaminate": OP9_ORACLE}
