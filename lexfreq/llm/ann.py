@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexfreq.llm.scratch import written
+from lexfreq.session import ship_package
 
 SAMPLE_ROWS = 16_384
 MOST_LISTS = 4_096
@@ -112,6 +113,7 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, share: float = P
            sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest of every vector whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
+    ship_package(spark)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sizes = rows.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()

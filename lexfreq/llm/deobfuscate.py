@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexfreq.llm.words import LOWER, SPACED, find_words, flat, slices
+from lexfreq.session import ship_package
 
 ORDER = 4
 SLOT_BITS = 21
@@ -91,6 +92,7 @@ def character_counts(docs: DataFrame) -> DataFrame:
 
 def language_model(docs: DataFrame) -> bytes:
     """The table of counts, 8 MiB whatever the size of the corpus."""
+    ship_package(docs.sparkSession)
     counts = character_counts(docs).toPandas()
     table = np.zeros(1 << SLOT_BITS, np.uint32)
     # Only ratios matter, so counts are scaled down where they would not fit.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexfreq.session import ready_for_checkpoint, scratch_path
+from lexfreq.session import ready_for_checkpoint, scratch_path, ship_package
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,6 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Derive a table once: later steps read the files, whichever executors are lost meanwhile."""
+    ship_package(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -20,5 +21,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same for small tables; Spark removes the files once nothing refers to the frame."""
+    ship_package(df.sparkSession)
     ready_for_checkpoint(df.sparkSession)
     return df.checkpoint()

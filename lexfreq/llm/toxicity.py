@@ -59,7 +59,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
 
 
 def _presence(sample: DataFrame, model: bytes) -> DataFrame:
-    """label and the sorted distinct buckets of each sampled document."""
+    """doc_id, label and the sorted distinct buckets of each sampled document."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,16 +71,17 @@ def _presence(sample: DataFrame, model: bytes) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             buckets = pa.array((pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part["label"], pa.ListArray.from_arrays(pa.array(offsets), buckets)], ["label", "buckets"])
+                [part["doc_id"], part["label"], pa.ListArray.from_arrays(pa.array(offsets), buckets)], ["doc_id", "label", "buckets"])
 
-    return sample.select("label", "text").mapInArrow(run, "label int, buckets array<int>")
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    return sample.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, buckets array<int>")
 
 
 def _telling(present: DataFrame, most: int) -> list[int]:
     """The buckets whose presence tells most about the label."""
     n, positive = present.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     seen = (present.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket")
-            .agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("c")).filter("c >= 5"))
+            .agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("c")).filter("c >= 3"))
 
     def part(observed: Column, expected: Column) -> Column:
         return F.when(observed > 0, observed * F.ln(observed / expected)).otherwise(0.0)
@@ -89,7 +90,7 @@ def _telling(present: DataFrame, most: int) -> list[int]:
     share = positive / max(n, 1)
     g = 2 * (part(a, c * share) + part(c - a, c * (1 - share)) + part(positive - a, (n - c) * share)
              + part((n - c) - (positive - a), (n - c) * (1 - share)))
-    rows = seen.withColumn("g", g).filter("g > 12").orderBy(F.desc("g"), "bucket").limit(most)
+    rows = seen.withColumn("g", g).filter("g > 10").orderBy(F.desc("g"), "bucket").limit(most)
     return [r.bucket for r in rows.select("bucket").collect()]
 
 
@@ -109,11 +110,14 @@ def train(docs: DataFrame, labels: DataFrame, language: bytes, sample_rows: int
             owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[known], minlength=len(lists)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch["label"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[known].astype(np.int32)))],
-                ["label", "features"])
-
-    rows = present.mapInArrow(only, "label int, features array<int>").toPandas()
-    weights, bias = linear.fit([np.asarray(f, np.int64) for f in rows["features"]], rows["label"].to_numpy(), len(buckets))
+                [batch["doc_id"], batch["label"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[known].astype(np.int32)))],
+                ["doc_id", "label", "features"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = present.mapInArrow(only, f"doc_id {kind}, label int, features array<int>").toPandas().sort_values("doc_id", kind="stable")
+    label = rows["label"].to_numpy()
+    lift = (label == 0).sum() / max(1, label.sum())
+    weights, bias = linear.fit_at([np.asarray(f, np.int64) for f in rows["features"]], label, len(buckets), THRESHOLD, lift=lift)
     return buckets, weights, bias
 
 
