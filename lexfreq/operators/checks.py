@@ -11,41 +11,37 @@ from lexfreq import fixed_values as V
 from lexfreq.schemas import TABLES
 
 
-def _count(df: DataFrame, check: str) -> DataFrame:
-    return df.agg(F.count("*").alias("violations")).select(F.lit(check).alias("check_name"), "violations")
-
-
-def broken_rule(df: DataFrame, check: str, rule: Column) -> DataFrame:
-    """Rows that break a rule; a null outcome is no violation."""
-    return _count(df.filter(~rule), check)
-
-
-def repeated_keys(df: DataFrame, check: str, keys: list[str]) -> DataFrame:
-    return _count(df.groupBy(*keys).count().filter("count > 1"), check)
-
-
-def missing_parents(child: DataFrame, parent: DataFrame, check: str, keys: list[str]) -> DataFrame:
-    return _count(child.join(parent.select(*keys).distinct(), keys, "left_anti"), check)
+def _report(rows: DataFrame, table: str, keys: list[str], rules: Mapping[str, Column], key_name: str = "key",
+            parents: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """(check_name, violations) of one table, in one pass over it.
+
+    Rows that break a rule (a null outcome is no violation), keys that occur more than once, and rows without a
+    parent row. Rows are first counted per key, before the shuffle as far as that goes.
+    """
+    per_key = rows.groupBy(*keys).agg(
+        F.count("*").alias("__rows"), *[F.count_if(~rule).alias(f"__broken_{name}") for name, rule in rules.items()])
+    figures = {**{name: F.sum(f"__broken_{name}") for name in rules}, key_name: F.count_if(F.col("__rows") > 1)}
+    if parents is not None:
+        parent, on = parents
+        per_key = per_key.join(parent.select(*on).distinct().withColumn("__parent", F.lit(True)), on, "left")
+        figures["source"] = F.sum(F.when(F.col("__parent").isNull(), F.col("__rows")))
+    one = per_key.agg(*[F.coalesce(figure, F.lit(0)).cast("bigint").alias(name) for name, figure in figures.items()])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(f"{table}.{name}").alias("check_name"), F.col(name).alias("violations")) for name in figures])))
 
 
 def constraint_violations(wordlist: DataFrame, sources: DataFrame, frequencies: DataFrame,
                           sentences: DataFrame, source_types: Iterable[str] = V.SOURCE_TYPES) -> DataFrame:
     """(check_name, violations) for every rule of the five tables."""
     file_key = ["exam_id", "source_type"]
-    known = list(source_types)
-    level = F.col("word_level").between(*V.LEVELS)
+    known = {"source_type": F.col("source_type").isin(list(source_types))}
+    level = F.col("word_level").isNotNull() & F.col("word_level").between(*V.LEVELS)
+    parents = (sources, file_key)
     reports = [
-        broken_rule(wordlist, "wordlist.word_level", F.col("word_level").isNotNull() & level),
-        repeated_keys(wordlist, "wordlist.word", ["word"]),
-        broken_rule(sources, "exam_sources.exam_level", F.col("exam_level").between(*V.LEVELS)),
-        broken_rule(sources, "exam_sources.source_type", F.col("source_type").isin(known)),
-        repeated_keys(sources, "exam_sources.key", file_key),
-        broken_rule(frequencies, "word_frequencies.source_type", F.col("source_type").isin(known)),
-        repeated_keys(frequencies, "word_frequencies.key", ["word", *file_key]),
-        missing_parents(frequencies, sources, "word_frequencies.source", file_key),
-        broken_rule(sentences, "exam_sentences.source_type", F.col("source_type").isin(known)),
-        repeated_keys(sentences, "exam_sentences.key", [*file_key, "sentence"]),
-        missing_parents(sentences, sources, "exam_sentences.source", file_key),
+        _report(wordlist, "wordlist", ["word"], {"word_level": level}, "word"),
+        _report(sources, "exam_sources", file_key, {"exam_level": F.col("exam_level").between(*V.LEVELS), **known}),
+        _report(frequencies, "word_frequencies", ["word", *file_key], known, parents=parents),
+        _report(sentences, "exam_sentences", [*file_key, "sentence"], known, parents=parents),
     ]
     return reduce(DataFrame.unionByName, reports)
 

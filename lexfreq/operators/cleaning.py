@@ -170,20 +170,26 @@ def collapse_clause_blocks(parts: Column, longest_block: int = V.CLAUSE_BLOCK,
                 seen[(a, b)] = known
             return known
 
-        def repeats(first: int, second: int, size: int) -> bool:
-            return all(alike(first + k, second + k) for k in range(size))
-
-        kept, at, end = [], 0, len(parts)
-        while at < end:
-            size = min(longest_block, (end - at) // 2)
-            while size and not ((size > 1 or len(parts[at]) >= shortest_single)
-                                and repeats(at, at + size, size)):
-                size -= 1
-            step = size or 1
-            kept.extend(parts[at:at + step])
-            at += step
-            while size and at + size <= end and repeats(at - size, at, size):
-                at += size
+        # For every distance, how many clauses in a row are alike from each clause on: a block of n clauses
+        # comes again right behind itself where that run, at distance n, is n long or longer.
+        count = len(parts)
+        runs = {}
+        for gap in possible:
+            run = runs[gap] = [0] * (count + 1)
+            for place in range(count - gap - 1, -1, -1):
+                run[place] = run[place + 1] + 1 if alike(place, place + gap) else 0
+
+        def block_at(place: int) -> int:
+            """The longest block that begins here and comes again; 0 if there is none."""
+            return next((gap for gap in sorted(runs, reverse=True) if runs[gap][place] >= gap
+                         and (gap > 1 or len(parts[place]) >= shortest_single)), 0)
+
+        kept, place = [], 0
+        while place < count:
+            block = block_at(place)
+            kept += parts[place:place + max(block, 1)]
+            # A run of r alike clauses at the distance of the block covers r // block further copies.
+            place += block * (1 + runs[block][place] // block) if block else 1
         return kept
 
     def run(batch: pd.Series) -> pd.Series:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,21 +24,26 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return picked if rank else picked.drop(column)
 
 
+def columns_per_value(column: Column, values: Sequence, prefix: str, figure: Callable[[Column], Column]) -> list[Column]:
+    """One aggregate for each given value of a column, and `<prefix>other` for all other values and null."""
+    known = F.coalesce(column.isin(list(values)), F.lit(False))
+    return [*(F.coalesce(figure(column == v), F.lit(0)).alias(f"{prefix}{v}") for v in values),
+            F.coalesce(figure(~known), F.lit(0)).alias(f"{prefix}other")]
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One whole row per key: the first in the given order."""
     return top_k_per_group(df, keys, order, 1)
 
 
-def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str],
-                 update_cols: Sequence[str] | None = None,
-                 order: Sequence[Column] | None = None) -> DataFrame:
-    """Upsert `new` into `old`.
+def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                 update_cols: Sequence[str] | None = None) -> DataFrame:
+    """Upsert `new` into `old`, which is unique by the keys.
 
     Without `update_cols` a new row replaces the old one as a whole. With it, a key that exists
     keeps its other columns. `order` decides between rows of `new` that share a key: the first wins.
     """
-    if order is not None:
-        new = first_per_key(new, keys, order)
+    new = first_per_key(new, keys, order)
     rest = [c for c in old.columns if c not in keys]
     taken = rest if update_cols is None else list(update_cols)
     left = old.select(*keys, F.struct(*rest).alias("__old"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfreq import fixed_values as V
-from lexfreq.functions.text import characters
 from lexfreq.operators.decompose import HAN_RULES, RuleSet, resolve_words
 
 MATCH_TYPES = ("direct", "decomposed", "unmatched")
@@ -13,8 +12,12 @@ NOT_LISTED = "Not in wordlist"
 
 
 def label_vocabulary(vocabulary: DataFrame, wordlist: DataFrame, rules: RuleSet = HAN_RULES) -> DataFrame:
-    """vocabulary(word) -> (word, word_level, match_pattern, effective_level, match_type)."""
-    direct = vocabulary.select("word").distinct().join(wordlist.select("word", "word_level"), "word", "left")
+    """vocabulary(word) -> (word, word_level, match_pattern, effective_level, match_type).
+
+    A word listed more than once has its lowest level.
+    """
+    listed = wordlist.groupBy("word").agg(F.min("word_level").alias("word_level"))
+    direct = vocabulary.select("word").distinct().join(listed, "word", "left")
     composed = resolve_words(direct.filter("word_level IS NULL"), wordlist, rules)
     both = direct.join(composed, "word", "left")
     return both.select(
@@ -58,14 +61,12 @@ def flag_members(words: DataFrame, members: DataFrame, flag: str) -> DataFrame:
 def characters_known(words: DataFrame, wordlist: DataFrame) -> DataFrame:
     """words(word, ...) -> the same rows with all_chars_known: is every character listed by itself?
 
-    Rows are unique by word; their other columns ride along, so the words are derived once.
     """
-    singles = (wordlist.filter((F.length("word") == 1) & F.col("word_level").isNotNull())
-               .select(F.col("word").alias("__char")).distinct().withColumn("__known", F.lit(True)))
-    chars = words.withColumn("__char", F.explode(F.array_distinct(characters(F.col("word")))))
-    return (chars.join(singles, "__char", "left")
-            .groupBy(*words.columns)
-            .agg(F.bool_and(F.col("__known").isNotNull()).alias("all_chars_known")))
+    # One entry at most for every character there is, so the set fits a scalar subquery.
+    singles = wordlist.filter((F.length("word") == 1) & F.col("word_level").isNotNull())
+    known = singles.agg(F.array_join(F.collect_set("word"), "")).scalar()
+    unknown = F.call_function("translate", F.col("word"), F.coalesce(known, F.lit("")), F.lit(""))
+    return words.withColumn("all_chars_known", unknown == "")
 
 
 def unmatched_review(labelled: DataFrame, wordlist: DataFrame, segmenter_words: DataFrame,

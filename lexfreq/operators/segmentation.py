@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lexfreq import fixed_values as V
+from lexfreq.functions.text import characters
 from lexfreq.session import stored
 
 
@@ -17,61 +18,72 @@ def script_runs(files: DataFrame, script: str = V.HAN, text: str = "text") -> Da
 
 
 def _best_path():
-    def cut(run, starts, sizes, weights, floor):
-        steps = [[] for _ in run]
-        for start, size, weight in zip(starts, sizes, weights):
-            steps[start].append((weight, size))
-        value = [0.0] * (len(run) + 1)
-        choice = [1] * len(run)
-        for at in range(len(run) - 1, -1, -1):
-            options = steps[at]
-            if not any(size == 1 for _, size in options):
-                options = options + [(floor, 1)]
-            value[at], choice[at] = max((weight + value[at + size], size) for weight, size in options)
-        words, at = [], 0
-        while at < len(run):
-            words.append(run[at:at + choice[at]])
-            at += choice[at]
-        return words
-
-    def run_batch(runs: pd.Series, starts: pd.Series, sizes: pd.Series, weights: pd.Series,
-                  floors: pd.Series) -> pd.Series:
-        none = ()
-        return pd.Series([
-            cut(run, none if s is None else s, none if z is None else z, none if w is None else w, f)
-            for run, s, z, w, f in zip(runs, starts, sizes, weights, floors)], dtype="object")
-
-    run_batch.__annotations__ = {name: pd.Series for name in
-                                 ("runs", "starts", "sizes", "weights", "floors", "return")}
+    def path(starts, sizes, words, weights):
+        """The words of the path with the largest sum of weights; a longer word wins a tie."""
+        steps: dict[int, list] = {}
+        for start, size, word, weight in zip(starts, sizes, words, weights):
+            steps.setdefault(start, []).append((weight, size, word))
+        first, end = min(steps), max(start + size for start, size in zip(starts, sizes))
+        value, choice = {end: 0.0}, {}
+        for at in range(end - 1, first - 1, -1):
+            value[at], _, choice[at] = max((weight + value[at + size], size, (size, word)) for weight, size, word in steps[at])
+        out, at = [], first
+        while at < end:
+            size, word = choice[at]
+            out.append(word)
+            at += size
+        return out
+
+    def run_batch(starts: pd.Series, sizes: pd.Series, words: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else path(s, z, t, w) for s, z, t, w in zip(starts, sizes, words, weights)], dtype="object")
+
+    run_batch.__annotations__ = {name: pd.Series for name in ("starts", "sizes", "words", "weights", "return")}
     return F.pandas_udf(run_batch, returnType=ArrayType(StringType()))
 
 
-def segment_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """runs(run), lexicon(word, weight) -> (run, words), one row per distinct run.
+def cut_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """runs(run_id, run), lexicon(word, weight) -> (run_id, piece, words): the words of each piece of each run, in order.
 
-    Each distinct run looks its substrings up with one equi-join, so the word list may outgrow
-    memory: Spark broadcasts it while its size allows and shuffles it beyond. Only the hits of a
-    run reach the Python helper that picks the path. A character on no path stands alone.
+    Every character sees the listed words that begin with it, by an equi-join on substrings; the run itself travels
+    nowhere. A run falls into pieces wherever no listed word crosses from one character to the next, and the
+    paths of the pieces are independent. Most pieces are one character; only others reach the Python helper.
+    A character on no path stands alone, with the weight of a word seen once.
     """
-    distinct = runs.select("run").distinct()
     total = lexicon.agg(F.sum("weight").cast("double")).scalar()
     longest = lexicon.agg(F.max(F.length("word"))).scalar()
     scored = lexicon.select(F.col("word").alias("gram"), F.log(F.col("weight").cast("double")).alias("log_weight"))
-    starts = F.sequence(F.lit(0), F.length("run") - 1)
-    grams = (distinct
-             .select("run", F.explode(starts).alias("start"))
-             .select("run", "start", F.explode(F.sequence(
-                 F.lit(1), F.least(longest, F.length("run") - F.col("start")))).alias("size"))
-             .withColumn("gram", F.substr("run", F.col("start") + 1, F.col("size"))))
-    hits = (grams.join(scored, "gram")
-            .groupBy("run")
-            .agg(F.collect_list(F.struct("start", "size", "log_weight")).alias("hits")))
-    floor = F.log(total)
-    path = _best_path()(
-        F.col("run"), F.col("hits.start"), F.col("hits.size"),
-        F.transform("hits", lambda h: h["log_weight"] - F.col("floor")), -F.col("floor"))
-    return (distinct.join(hits, "run", "left").withColumn("floor", floor)
-            .select("run", path.alias("words")))
+    # Slices of an array take the time of their length; substrings of a long text take that of the way to them.
+    spelled = runs.select("run_id", characters(F.col("run")).alias("letters"), F.coalesce(longest, F.lit(1)).alias("longest"))
+    stretches = spelled.select("run_id", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.size("letters")),
+        lambda i: F.array_join(F.slice("letters", i, F.col("longest")), ""))).alias("start", "stretch"))
+    grams = (stretches
+             .select("run_id", "start", "stretch", F.explode(F.sequence(F.lit(1), F.length("stretch"))).alias("size"))
+             .select("run_id", "start", "size", F.substr("stretch", F.lit(1), F.col("size")).alias("gram")))
+    hits = grams.join(scored, "gram", "left").filter("size = 1 OR log_weight IS NOT NULL")
+    along = Window.partitionBy("run_id").orderBy("start", "size")
+    reach = F.max(F.col("start") + F.col("size")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.col("size") == 1) & (F.col("start") >= F.coalesce(reach, F.lit(0)))
+    pieces = (hits.withColumn("opens", opens.cast("int"))
+              .withColumn("piece", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("weight", F.coalesce("log_weight", F.lit(0.0)) - F.log(total)))
+    gathered = pieces.groupBy("run_id", "piece").agg(F.collect_list(F.struct("start", "size", "gram", "weight")).alias("hits"))
+    several = F.when(F.size("hits") > 1, F.col("hits"))
+    path = _best_path()(several["start"], several["size"], several["gram"], several["weight"])
+    return gathered.select("run_id", "piece", F.coalesce(path, F.col("hits.gram")).alias("words"))
+
+
+def _numbered(runs: DataFrame) -> DataFrame:
+    """Distinct runs with a number, as a table of their own: numbers must not change while they are used."""
+    return stored(runs.select("run").distinct().withColumn("run_id", F.monotonically_increasing_id()), "runs")
+
+
+def segment_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """runs(run), lexicon(word, weight) -> (run, words), one row per distinct run."""
+    numbered = _numbered(runs)
+    pieces = cut_runs(numbered, lexicon).groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece", "words"))).alias("pieces"))
+    return numbered.join(pieces, "run_id").select("run", F.flatten("pieces.words").alias("words"))
 
 
 def segmented_tokens(files: DataFrame, lexicon: DataFrame, script: str = V.HAN,
@@ -83,8 +95,9 @@ def segmented_tokens(files: DataFrame, lexicon: DataFrame, script: str = V.HAN,
     """
     runs = script_runs(files, script, text)
     keys = [c for c in runs.columns if c != "run"]
-    counted = stored(runs.groupBy(*keys, "run").agg(F.count("*").alias("n")), "runs")
-    cut = segment_runs(counted, lexicon)
-    return (counted.join(cut, "run")
-            .select(*keys, "n", F.explode("words").alias("word"))
-            .groupBy(*keys, "word").agg(F.sum("n").alias("frequency")))
+    counted = stored(runs.groupBy(*keys, "run").agg(F.count("*").alias("n")), "counted_runs")
+    numbered = _numbered(counted)
+    words = (cut_runs(numbered, lexicon).select("run_id", F.explode("words").alias("word"))
+             .groupBy("run_id", "word").agg(F.count("*").alias("times")))
+    return (counted.join(numbered, "run").drop("run").join(words, "run_id")
+            .groupBy(*keys, "word").agg(F.sum(F.col("n") * F.col("times")).alias("frequency")))

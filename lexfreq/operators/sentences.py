@@ -63,22 +63,17 @@ def distance(sentence: Column, best: int = V.BEST_EXAMPLE_LENGTH) -> Column:
     return F.abs(F.length(sentence) - best)
 
 
-def word_sentence_pairs(sentences: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, sentence columns), once for every word and every sentence row that contains it.
+def word_sentence_pairs(sentences: DataFrame, words: DataFrame, keep: list[str]) -> DataFrame:
+    """(word, columns to keep), once for every word and every sentence row that contains it.
 
     Each sentence is cut into its substrings of the lengths that occur in `words`, and these are
     joined with the words by equality. Sentences are short (at most 80 characters) but grow a
-    hundredfold here, so they are spread over all shuffle partitions first (on a key of their own:
-    a partitioning by sentence alone may have been merged into few partitions by then).
+    hundredfold here, so they are dealt out first, and what is kept should be short: a number of the
+    sentence rather than its text.
     """
-    spread = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lengths = words.agg(F.array_sort(F.collect_set(F.length("word")))).scalar()
-    grams = (sentences.repartition(spread, "exam_id", "source_type", "sentence")
-             .withColumn("__n", F.explode(lengths))
-             .filter(F.col("__n") <= F.length("sentence"))
-             .withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("sentence") - F.col("__n") + 1)))
-             .withColumn("word", F.substr("sentence", F.col("__at"), F.col("__n"))))
-    # A word found twice in a sentence is kept where it is found first; that needs no shuffle.
-    return (grams.join(words.select("word"), "word")
-            .filter(F.instr("sentence", F.col("word")) == F.col("__at"))
-            .select("word", *sentences.columns))
+    grams = F.array_distinct(F.flatten(F.transform(F.col("__lengths"), lambda n: F.transform(
+        F.when(n <= F.length("sentence"), F.sequence(F.lit(1), F.length("sentence") - n + 1)).otherwise(F.array().cast("array<int>")),
+        lambda at: F.substr("sentence", at, n)))))
+    dealt = sentences.repartition("sentence").withColumn("__lengths", lengths)
+    return dealt.select(*keep, F.explode(grams).alias("word")).join(words.select("word"), "word").select("word", *keep)

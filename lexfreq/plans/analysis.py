@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexfreq import fixed_values as V
 from lexfreq.functions.quality import length_bin, method_label
-from lexfreq.operators.keyed import global_rank, top_k_per_group
+from lexfreq.operators.keyed import columns_per_value, global_rank, top_k_per_group
 
 
 def by_total() -> list[Column]:
@@ -63,9 +63,9 @@ def heat_map(counts: DataFrame, words: int = 15) -> DataFrame:
 
 
 def heat_map_matrix(counts: DataFrame, exam_ids: Sequence[str], words: int = 15) -> DataFrame:
-    """The heat map with one column per given exam, zero where a word is missing."""
-    return (heat_map(counts, words).groupBy("word").pivot("exam_id", list(exam_ids))
-            .agg(F.sum("total_count")).fillna(0))
+    """The heat map with one column per exam the caller names, zero where a word is missing, and one for all other exams."""
+    return heat_map(counts, words).groupBy("word").agg(*columns_per_value(
+        F.col("exam_id"), exam_ids, "", lambda hit: F.sum(F.when(hit, F.col("total_count")))))
 
 
 def list_size_against_seen(wordlist: DataFrame, counts: DataFrame) -> DataFrame:
@@ -121,9 +121,9 @@ def method_summary(files: DataFrame) -> DataFrame:
 
 
 def method_by_exam_level(files: DataFrame, exam_levels: Sequence[int]) -> DataFrame:
-    table = (files.withColumn("method", method_label(F.col("notes")))
-             .groupBy("method").pivot("exam_level", list(exam_levels)).agg(F.count("method")))
-    return table.toDF("method", *[f"exam_level_{n}" for n in exam_levels]).fillna(0)
+    """Files per method and paper level; levels not given, and files without one, are in exam_level_other."""
+    return files.withColumn("method", method_label(F.col("notes"))).groupBy("method").agg(*columns_per_value(
+        F.col("exam_level"), exam_levels, "exam_level_", F.count_if))
 
 
 def combine_extractions(reading: DataFrame, listening: DataFrame) -> DataFrame:

@@ -1,14 +1,22 @@
-"""From extracted text to labelled counts, rollup and example sentences."""
+"""From extracted text to labelled counts, rollup and example sentences; the five tables, written and read."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexfreq import fixed_values as V
 from lexfreq.functions import text as X
-from lexfreq.operators import counts as C, sentences as S
+from lexfreq.operators import cleaning, counts as C, sentences as S
+from lexfreq.operators.decompose import RuleSet
+from lexfreq.operators.labels import label_vocabulary
+from lexfreq.operators.segmentation import segmented_tokens
+from lexfreq.schemas import TABLES
+from lexfreq.sources.sinks import save_parquet
+
+Counting = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -17,8 +25,8 @@ class Corpus:
 
     wordlist: DataFrame     # word, pinyin, word_level, definition, definition_th
     sources: DataFrame      # exam_id, source_type, year, exam_level, filename
-    frequencies: DataFrame  # word, word_level, source_type, exam_id, frequency, in_official_wordlist
-    aggregates: DataFrame   # word, word_level, source_type, total_frequency, exam_count, in_official_wordlist
+    frequencies: DataFrame  # word, word_level, effective_level, source_type, exam_id, frequency, in_official_wordlist
+    aggregates: DataFrame   # word, word_level, effective_level, source_type, total_frequency, exam_count, in_official_wordlist
     sentences: DataFrame | None  # exam_id, source_type, sentence
 
 
@@ -35,14 +43,40 @@ def tokens_to_wordlist(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def file_counts(files: DataFrame) -> DataFrame:
+    """Counts of words that are separated in the text."""
     return C.word_counts(spaced_tokens(files.select(*C.FILE_KEY, "text")))
 
 
-def build(files: DataFrame, wordlist: DataFrame, sources: DataFrame,
-          sentences: DataFrame | None = None) -> Corpus:
-    """`sentences` may be left out when only words are asked for."""
-    frequencies = C.label_counts(file_counts(files), wordlist).select(
-        "word", "word_level", "source_type", "exam_id", "frequency", "in_official_wordlist")
+def segmented_counts(lexicon: DataFrame, script: str = V.HAN) -> Counting:
+    """Counts of words that are found in unbroken runs of a script, by a weighted list (word, weight)."""
+    return lambda files: segmented_tokens(files.select(*C.FILE_KEY, "text"), lexicon, script)
+
+
+def cleaned(files: DataFrame, transcripts: Column | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Files as they are counted: repeats taken out of transcripts, then the script converted by a pairs table."""
+    if transcripts is not None:
+        files = cleaning.dedupe_transcripts(files, transcripts, output="text")
+    if pairs is not None:
+        files = files.withColumn("text", cleaning.simplify_text(F.col("text"), pairs))
+    return files
+
+
+def build(files: DataFrame, wordlist: DataFrame, sources: DataFrame, sentences: DataFrame | None = None,
+          count: Counting = file_counts, rules: RuleSet | None = None) -> Corpus:
+    """Count the files, label the counts and roll them up.
+
+    `files` are the texts to count (see `cleaned`), `count` finds their words. With `rules`, words that are not
+    listed get their effective level by decomposition; without, it is the level of the list.
+    `sentences` may be left out when only words are asked for.
+    """
+    labelled = C.label_counts(count(files), wordlist)
+    if rules is None:
+        labelled = labelled.withColumn("effective_level", F.col("word_level"))
+    else:
+        levels = label_vocabulary(labelled, wordlist, rules).select("word", "effective_level")
+        labelled = labelled.join(levels, "word")
+    frequencies = labelled.select("word", "word_level", "effective_level", "source_type", "exam_id", "frequency",
+                                  "in_official_wordlist")
     return Corpus(wordlist, sources, frequencies, C.rollup(frequencies), sentences)
 
 
@@ -50,3 +84,28 @@ def sentences_of(files: DataFrame, ends: str = V.SENTENCE_ENDS, script: str = V.
                  glued: bool = True) -> DataFrame:
     found = S.candidates(files.select("exam_id", "source_type", "text"), "text", ends, script, glued)
     return S.exam_sentences(found.select("exam_id", "source_type", "sentence"))
+
+
+def write(corpus: Corpus, folder: str) -> None:
+    """Write the five tables, with the time columns of their schemas.
+
+    Counts and rollup are partitioned by source type and sorted by word, so a query on one source reads that
+    source, and one on a word few row groups. The rollup is derived from the counts as written.
+    """
+    spark = corpus.wordlist.sparkSession
+    now = F.current_timestamp()
+    save_parquet(corpus.wordlist.withColumn("created_at", now), f"{folder}/wordlist")
+    save_parquet(corpus.sources.withColumn("processed_at", now), f"{folder}/exam_sources")
+    save_parquet(corpus.frequencies.withColumn("created_at", now), f"{folder}/word_frequencies", "word", ("source_type",))
+    stored = spark.read.parquet(f"{folder}/word_frequencies")
+    save_parquet(C.rollup(stored).withColumn("updated_at", now), f"{folder}/frequency_aggregates", "word", ("source_type",))
+    if corpus.sentences is not None:
+        save_parquet(corpus.sentences.withColumn("created_at", now), f"{folder}/exam_sentences")
+
+
+def read(spark: SparkSession, folder: str, sentences: bool = True) -> Corpus:
+    """The corpus of a folder."""
+    wanted = [name for name in TABLES if sentences or name != "exam_sentences"]
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in wanted}
+    return Corpus(tables["wordlist"], tables["exam_sources"], tables["word_frequencies"], tables["frequency_aggregates"],
+                  tables.get("exam_sentences"))

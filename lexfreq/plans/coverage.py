@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexfreq import fixed_values as V
+from lexfreq.operators.keyed import columns_per_value
 from lexfreq.operators.labels import MATCH_TYPES, NOT_LISTED, level_label, level_order
 
 
@@ -26,13 +27,17 @@ def match_share(counts: DataFrame) -> DataFrame:
             .withColumn("occurrence_share", F.try_divide(F.col("matched_occurrences"), F.col("total_occurrences"))))
 
 
-def _fixed(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """A row for each of the listed values, with zeros where the data has none."""
-    spine = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"{column} STRING, __at INT")
+def _with_values(df: DataFrame, column: str, values: Sequence[str], order: Column) -> DataFrame:
+    """A row for each of the listed values, with zeros where the data has none, and whatever else the data has."""
+    spine = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} STRING")
     numbers = [c for c in df.columns if c != column]
-    return (spine.join(df, column, "left")
-            .select(column, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in numbers], "__at")
-            .orderBy("__at").drop("__at"))
+    return (spine.join(df, column, "full_outer")
+            .select(column, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in numbers])
+            .orderBy(order, column))
+
+
+def _in_levels(df: DataFrame, levels: Sequence[int]) -> DataFrame:
+    return _with_values(df, "level_label", [f"L{n}" for n in levels] + [NOT_LISTED], level_order(F.col("level_label")))
 
 
 def words_with_totals(counts: DataFrame, *attributes: str) -> DataFrame:
@@ -47,7 +52,7 @@ def by_match_type(counts: DataFrame) -> DataFrame:
     """
     per_type = words_with_totals(counts, "match_type").groupBy("match_type").agg(
         F.count("*").alias("words"), F.sum("total_count").alias("occurrences"))
-    full = _fixed(per_type, "match_type", MATCH_TYPES)
+    full = _with_values(per_type, "match_type", MATCH_TYPES, F.array_position(F.lit(list(MATCH_TYPES)), F.col("match_type")))
     # Three rows.
     whole = Window.partitionBy(F.lit(0))
     return (full
@@ -61,7 +66,7 @@ def by_level(counts: DataFrame, levels: Sequence[int] = V.LIST_LEVELS) -> DataFr
                  .withColumn("level_label", level_label(F.col("effective_level")))
                  .groupBy("level_label")
                  .agg(F.count("*").alias("words"), F.sum("total_count").alias("occurrences")))
-    return _fixed(per_level, "level_label", [f"L{n}" for n in levels] + [NOT_LISTED])
+    return _in_levels(per_level, levels)
 
 
 def words_per_paper(counts: DataFrame, *attributes: str) -> DataFrame:
@@ -84,13 +89,17 @@ def by_exam_level(counts: DataFrame) -> DataFrame:
 
 def level_by_exam_level(counts: DataFrame, exam_levels: Sequence[int], measure: str = "occurrences",
                         levels: Sequence[int] = V.LIST_LEVELS) -> DataFrame:
-    """Cross-table of word level and paper level. The paper levels are given, so no pass finds them."""
+    """Cross-table of word level and paper level.
+
+    The paper levels are given, so no pass finds them; what has another one, or none, is in exam_level_other.
+    """
     cells = words_per_paper(counts, "effective_level").withColumn(
         "level_label", level_label(F.col("effective_level")))
-    value = F.sum("total_count") if measure == "occurrences" else F.count("word")
-    table = cells.groupBy("level_label").pivot("exam_level", list(exam_levels)).agg(value)
-    named = table.toDF("level_label", *[f"exam_level_{n}" for n in exam_levels])
-    return _fixed(named, "level_label", [f"L{n}" for n in levels] + [NOT_LISTED])
+    # A word in papers of several other levels counts once for them.
+    figures = {"occurrences": lambda hit: F.sum(F.when(hit, F.col("total_count"))),
+               "words": lambda hit: F.count_distinct(F.when(hit, F.col("word")))}
+    return _in_levels(cells.groupBy("level_label").agg(*columns_per_value(
+        F.col("exam_level"), exam_levels, "exam_level_", figures[measure])), levels)
 
 
 def decomposed_examples(counts: DataFrame, limit: int = 20) -> DataFrame:

@@ -10,13 +10,12 @@ from lexfreq import fixed_values as V
 from lexfreq.functions import arguments, reading
 from lexfreq.functions.quality import all_true
 from lexfreq.operators.counts import live_totals
-from lexfreq.operators.keyed import top_k_per_group
+from lexfreq.operators.keyed import global_rank, top_k_per_group
 from lexfreq.operators.sentences import distance, with_first_file, word_sentence_pairs
 from lexfreq.plans.corpus import Corpus
+from lexfreq.session import stored
 
 FILE_KEY = ["exam_id", "source_type"]
-# Lists up to this length are written into the filter; longer ones are joined.
-MAX_INLINE_IDS = 1000
 
 
 def list_exams(sources: DataFrame) -> DataFrame:
@@ -28,8 +27,6 @@ def list_exams(sources: DataFrame) -> DataFrame:
 
 
 def _with_ids(rows: DataFrame, exam_ids: Sequence[str]) -> DataFrame:
-    if len(exam_ids) <= MAX_INLINE_IDS:
-        return rows.filter(F.col("exam_id").isin(list(exam_ids)))
     ids = rows.sparkSession.createDataFrame([(i,) for i in exam_ids], "exam_id STRING").distinct()
     return rows.join(ids, "exam_id", "left_semi")
 
@@ -74,7 +71,7 @@ def top_words(corpus: Corpus, word_level: int | None = None, exam_level: int | N
     """The most frequent words in scope. Without an exam scope the rollup answers."""
     _check(word_level, exam_level, source_type, source_types)
     arguments.limit(limit, V.TOP_LIMIT)
-    columns = ["word", "word_level", "source_type", "total_frequency", "exam_count",
+    columns = ["word", "word_level", "effective_level", "source_type", "total_frequency", "exam_count",
                "in_official_wordlist", "pinyin"]
     readings = corpus.wordlist.groupBy("word").agg(F.max("pinyin").alias("pinyin"))
     totals = scope_words(corpus, word_level, exam_level, exam_ids, source_type)
@@ -188,7 +185,8 @@ def sentence_totals_of_all_words(corpus: Corpus) -> DataFrame:
 
     A sentence counts where it is marked first, a file once per word: both are plain sums.
     """
-    pairs = word_sentence_pairs(with_first_file(corpus.sentences), corpus.wordlist.select("word").distinct())
+    pairs = word_sentence_pairs(with_first_file(corpus.sentences), corpus.wordlist.select("word").distinct(),
+                                [*FILE_KEY, "is_first"])
     per_file = pairs.groupBy("word", *FILE_KEY).agg(F.count_if("is_first").alias("first_here"))
     return per_file.groupBy("word").agg(
         F.sum("first_here").alias("sentence_total"), F.count("*").alias("file_total"))
@@ -197,15 +195,19 @@ def sentence_totals_of_all_words(corpus: Corpus) -> DataFrame:
 def examples_of_all_words(corpus: Corpus, limit: int = V.MAX_EXAMPLES) -> DataFrame:
     """Example sentences of every listed word: example_sentences() for the whole list at once.
 
-    Which file stands for a sentence does not depend on the word, so it is settled first.
+    Neither which file stands for a sentence nor which of two sentences is the better example depends on
+    the word: both are settled first, and sentences go through the join as their place in that order. Their texts
+    are fetched for the examples alone.
     """
-    firsts = with_first_file(corpus.sentences).filter("is_first").drop("is_first")
-    pairs = word_sentence_pairs(firsts, corpus.wordlist.select("word").distinct())
-    best = (pairs.groupBy("word", *FILE_KEY)
-            .agg(F.min(F.struct(distance(F.col("sentence")).alias("distance"), "sentence")).alias("pick"))
-            .select("word", *FILE_KEY, "pick.*"))
+    sentences = with_first_file(corpus.sentences).filter("is_first").select(*FILE_KEY, "sentence")
+    sentences = sentences.withColumn("distance", distance(F.col("sentence")))
+    ordered = stored(global_rank(sentences, [F.asc("distance"), F.asc("sentence")], "place"), "ordered_sentences")
+    pairs = word_sentence_pairs(ordered, corpus.wordlist.select("word").distinct(), [*FILE_KEY, "place"])
+    best = pairs.groupBy("word", *FILE_KEY).agg(F.min("place").alias("place"))
     known = best.join(corpus.sources.select(*FILE_KEY, "filename", "exam_level"), FILE_KEY)
-    return top_k_per_group(known, ["word"], [F.asc("distance"), F.asc("sentence")], limit, rank="example_rank")
+    picked = top_k_per_group(known, ["word"], [F.asc("place")], limit, rank="example_rank")
+    return picked.join(ordered.select("place", "distance", "sentence"), "place").select(
+        "word", *FILE_KEY, "distance", "sentence", "filename", "exam_level", "example_rank")
 
 
 def scope_summary(items: DataFrame) -> DataFrame:
@@ -227,13 +229,20 @@ def search_words(items: DataFrame, query: str) -> DataFrame:
     return levelled_words(items).filter(reading.matches(F.col("word"), plain, query))
 
 
-def word_page(items: DataFrame, page: int, page_size: int = V.PAGE_SIZE) -> DataFrame:
-    """Page k (from 1) by descending total; a page behind the end is the last page."""
+def ranked_items(items: DataFrame) -> DataFrame:
+    """Items with their place by descending total. Written to the shared folder, so that pages can be taken from it."""
+    return stored(global_rank(items, [F.desc("total_frequency"), F.asc("word")], "place"), "ranked_items")
+
+
+def word_page(ranked: DataFrame, page: int, page_size: int = V.PAGE_SIZE) -> DataFrame:
+    """Page k (from 1) of ranked items; a page behind the end is the last page. Only the page's rows leave the scan."""
     if page < 1:
         raise ValueError("pages start at 1")
-    last = max(1, -(-items.count() // page_size))
-    order = [F.desc("total_frequency"), F.asc("word")]
-    return items.orderBy(*order).offset((min(page, last) - 1) * page_size).limit(page_size)
+    items = ranked.agg(F.coalesce(F.max("place"), F.lit(0))).scalar()
+    last = F.greatest(F.lit(1), F.ceil(items / page_size))
+    first = (F.least(F.lit(page), last) - 1) * page_size
+    return (ranked.filter((F.col("place") > first) & (F.col("place") <= first + page_size))
+            .orderBy("place").drop("place"))
 
 
 def exam_groups(sources: DataFrame, query: str = "") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexfreq import fixed_values as V
 from lexfreq.operators.decompose import PLAIN_RULES, RuleSet
 from lexfreq.operators.labels import label_counts_in_full, unmatched_review
 from lexfreq.plans import corpus as K
 from lexfreq.schemas import SUPPLIED
-from lexfreq.session import stored
+from lexfreq.session import scratch_path, stored
 from lexfreq.sources.sinks import source_rows
-from lexfreq.sources.tables import read_parquet, spread_small
+from lexfreq.sources.tables import read_parquet, spread
 
 LANGUAGES = ("de", "en", "es", "fr")
 EXAM_LEVELS = (3, 4)
@@ -38,7 +39,7 @@ def as_files(documents: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return as_files(spread_small(table(spark, sf, "documents")))
+    return as_files(spread(table(spark, sf, "documents")))
 
 
 def wordlist(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,6 +61,11 @@ def counts(spark: SparkSession, sf: str) -> DataFrame:
     return K.file_counts(files(spark, sf))
 
 
+def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct words of all documents."""
+    return K.spaced_tokens(files(spark, sf).select("text")).distinct()
+
+
 def stored_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The counts as a table of their own, for queries that read them more than once."""
     return stored(counts(spark, sf), "counts")
@@ -74,17 +80,30 @@ def review(spark: SparkSession, sf: str) -> DataFrame:
                             dictionary_words(spark, sf))
 
 
+REVIEW = ["word", "total_count", "exam_count", "exam_levels_seen", "source_types_seen", "char_length", "likely_noise",
+          "all_chars_known", "in_segmenter_dict", "in_dictionary"]
+
+
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return K.sentences_of(files(spark, sf), LATIN_ENDS, LATIN, glued=False)
 
 
-def word_corpus(spark: SparkSession, sf: str) -> K.Corpus:
-    """The corpus without sentences, for queries on words."""
-    return K.build(files(spark, sf), full_wordlist(spark, sf), sources(spark, sf))
+def load(spark: SparkSession, sf: str) -> str:
+    """Build the corpus from the tables and write it; the folder it is in."""
+    folder = scratch_path(spark, "corpus")
+    K.write(K.build(files(spark, sf), full_wordlist(spark, sf), sources(spark, sf), sentences(spark, sf)), folder)
+    return folder
+
+
+_LOADED: dict[tuple[str, str], str] = {}
 
 
 def corpus(spark: SparkSession, sf: str) -> K.Corpus:
-    return K.build(files(spark, sf), full_wordlist(spark, sf), sources(spark, sf), sentences(spark, sf))
+    """The stored corpus, loaded once per application: the queries on it read its tables, not the texts."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LOADED:
+        _LOADED[key] = load(spark, sf)
+    return K.read(spark, _LOADED[key])
 
 
 def dictionary_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +158,7 @@ SQL = {
     "cand": """cand AS (
       SELECT doc_id, exam_id, source_type, pos, sentence FROM (
         SELECT *, regexp_replace(regexp_replace(part,
-            '^(?:[\\s\\pZ]+|例如|[0-9０-９]{1,3}[\\s\\pZ]*[.．、，,:：]|[一二三四五六七八九十]{1,3}[\\s\\pZ]*[.．、，,:：]|[A-EＡ-Ｅ][\\s\\pZ,，．.]|[★☆•·▲←↑→↓□（）()\\[\\]【】“”"''－—\\-.．、，,:：？?！!。；;]+)+', ''),
+            '__LEAD__', ''),
             '[\\s\\pZ]+$', '') AS sentence
         FROM parts)
       WHERE len(regexp_extract_all(sentence, '\\p{L}')) >= 6 AND length(sentence) <= 80
@@ -191,6 +210,13 @@ SQL = {
             FROM lab WHERE match_type = 'unmatched' GROUP BY 1) u JOIN known k USING (word))""",
 }
 
+_BLANK = r"[\s\pZ]"
+_LEAD = "|".join([
+    rf"{_BLANK}+", V.EXAMPLE_LEAD.replace(r"\s", r"\s\pZ"),
+    *(rf"[{digits}]{{1,3}}{_BLANK}*[{V.NUMBER_SEPARATORS}]" for digits in (V.DIGITS, V.HAN_NUMBERS)),
+    rf"[{V.OPTION_LETTERS}][\s\pZ,，．.]", rf"[{V.LEAD_CLUSTER}]+"])
+SQL["cand"] = SQL["cand"].replace("__LEAD__", f"^(?:{_LEAD})+".replace("'", "''"))
+
 _NEEDS = {
     "tok": ["files"], "counts": ["tok"], "freq": ["counts", "wl"], "agg": ["freq"], "src": ["files"],
     "parts": ["files"], "cand": ["parts"], "sent": ["cand"], "vocab": ["tok"], "composed": ["vocab", "wl"],

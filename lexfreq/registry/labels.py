@@ -18,14 +18,12 @@ LATIN_RULES = RuleSet(ordinal="q", numerals="iou", verbs="tw", pronouns="s", mea
 
 @query("compound_levels", sql("composed", "SELECT word, decomposed_level, match_pattern FROM composed"))
 def _(spark, sf):
-    counts = I.stored_counts(spark, sf)
-    return resolve_words(counts.select("word"), I.wordlist(spark, sf), PLAIN_RULES)
+    return resolve_words(I.vocabulary(spark, sf), I.wordlist(spark, sf), PLAIN_RULES)
 
 
 @query("affixed_compound_levels")
 def _(spark, sf):
-    counts = I.stored_counts(spark, sf)
-    return resolve_words(counts.select("word"), I.wordlist(spark, sf), LATIN_RULES)
+    return resolve_words(I.vocabulary(spark, sf), I.wordlist(spark, sf), LATIN_RULES)
 
 
 @query("labelled_counts", sql("lab", """
@@ -74,20 +72,22 @@ def _(spark, sf):
 
 
 _CROSS = """
-    SELECT {label} AS level_label, coalesce({m3}, 0) AS exam_level_3, coalesce({m4}, 0) AS exam_level_4
+    SELECT {label} AS level_label, coalesce({m3}, 0) AS exam_level_3, coalesce({m4}, 0) AS exam_level_4, coalesce({mx}, 0) AS exam_level_other
     FROM lab GROUP BY 1"""
 
 
 @query("level_by_exam_level_occurrences", sql("lab", _CROSS.format(
     label=_LEVEL_LABEL, m3="CAST(sum(frequency) FILTER (exam_level = 3) AS BIGINT)",
-    m4="CAST(sum(frequency) FILTER (exam_level = 4) AS BIGINT)")))
+    m4="CAST(sum(frequency) FILTER (exam_level = 4) AS BIGINT)",
+    mx="CAST(sum(frequency) FILTER (exam_level NOT IN (3, 4) OR exam_level IS NULL) AS BIGINT)")))
 def _(spark, sf):
     return V.level_by_exam_level(I.labelled(spark, sf), I.EXAM_LEVELS)
 
 
 @query("level_by_exam_level_words", sql("lab", _CROSS.format(
     label=_LEVEL_LABEL, m3="count(DISTINCT word) FILTER (exam_level = 3)",
-    m4="count(DISTINCT word) FILTER (exam_level = 4)")))
+    m4="count(DISTINCT word) FILTER (exam_level = 4)",
+    mx="count(DISTINCT word) FILTER (exam_level NOT IN (3, 4) OR exam_level IS NULL)")))
 def _(spark, sf):
     return V.level_by_exam_level(I.labelled(spark, sf), I.EXAM_LEVELS, measure="words")
 
@@ -135,13 +135,16 @@ def _(spark, sf):
     return V.dictionary_confirmed(I.review(spark, sf))
 
 
-@query("strongest_candidates", sql("review", _REVIEW + """
-    WHERE char_length = 5 AND all_chars_known = (SELECT bool_and(length(word) > 0) AND false FROM wl)
-      AND in_segmenter_dict AND in_dictionary AND NOT likely_noise"""))
+@query("strongest_candidates", sql("review", """
+    SELECT * REPLACE (true AS all_chars_known) FROM review
+    WHERE char_length = 5 AND in_segmenter_dict AND in_dictionary AND NOT likely_noise
+      AND NOT regexp_matches(word, '[^aehinorst]')"""))
 def _(spark, sf):
-    # The word list has no full alphabet, so the flag is turned round to leave something to see.
-    review = I.review(spark, sf).withColumn("all_chars_known", ~F.col("all_chars_known"))
-    return V.strongest_candidates(review, length=5).withColumn("all_chars_known", ~F.col("all_chars_known"))
+    # A list of single letters stands for the characters a learner knows.
+    words = I.review(spark, sf).drop("all_chars_known")
+    letters = spark.createDataFrame([(c, 1) for c in "aehinorst"], "word string, word_level int")
+    review = L.characters_known(words, letters).select(I.REVIEW)
+    return V.strongest_candidates(review, length=5)
 
 
 @query("triple_signal_noise", sql("review", _REVIEW + " WHERE likely_noise AND NOT in_segmenter_dict AND NOT in_dictionary"))
@@ -181,7 +184,7 @@ def _(spark, sf):
 
 @query("character_knowledge", sql("review vocab", "SELECT word, all_chars_known FROM known"))
 def _(spark, sf):
-    return L.characters_known(I.stored_counts(spark, sf).select("word").distinct(), I.wordlist(spark, sf))
+    return L.characters_known(I.vocabulary(spark, sf), I.wordlist(spark, sf))
 
 
 # --- rankings --------------------------------------------------------------------------------
@@ -245,12 +248,13 @@ def _(spark, sf):
     return A.heat_map(I.stored_counts(spark, sf))
 
 
-_EXAMS = [f"src{n}" for n in range(20)]
+# The columns this report asks for; what is in other exams is in the column `other`.
+_EXAMS = [f"src{n}" for n in range(10)]
 
 
 @query("heat_map_matrix", sql("counts", "SELECT word, " + ", ".join(
     f"CAST(coalesce(sum(frequency) FILTER (exam_id = '{e}'), 0) AS BIGINT) AS {e}" for e in _EXAMS)
-    + f" FROM counts WHERE word IN {_TOP15} GROUP BY 1"))
+    + f", CAST(coalesce(sum(frequency) FILTER (exam_id NOT IN {tuple(_EXAMS)}), 0) AS BIGINT) AS other FROM counts WHERE word IN {_TOP15} GROUP BY 1"))
 def _(spark, sf):
     return A.heat_map_matrix(I.stored_counts(spark, sf), _EXAMS)
 
@@ -277,4 +281,4 @@ def _(spark, sf):
 
 @query("distinct_words", sql("vocab", "SELECT word FROM vocab"))
 def _(spark, sf):
-    return I.counts(spark, sf).select("word").distinct()
+    return I.vocabulary(spark, sf)

@@ -51,11 +51,6 @@ def _(spark, sf):
         names.file_type(name).alias("file_type"))
 
 
-@query("file_inventory")
-def _(spark, sf):
-    return FL.list_files(spark, sf, ["parquet"])
-
-
 @query("best_copies", _with_names("""
   SELECT filename, n_chars AS size, exam_id, exam_level, source_type FROM named
   QUALIFY row_number() OVER (PARTITION BY exam_id, source_type ORDER BY copy_score, filename) = 1"""))
@@ -72,10 +67,14 @@ def _(spark, sf):
 
 
 @query("only_in_one_source", """
-  SELECT conv_id AS exam_id, min(role) AS source_type FROM conversations GROUP BY 1 HAVING min(role) = max(role)""")
+  SELECT exam_id, min(source_type) AS source_type FROM (
+    SELECT word AS exam_id, 'benchmark' AS source_type FROM (SELECT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS word FROM benchmark)
+    UNION ALL SELECT word, 'conversations' FROM (SELECT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS word FROM conversations))
+  GROUP BY 1 HAVING min(source_type) = max(source_type)""")
 def _(spark, sf):
-    return FL.only_in_one_source(I.table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("exam_id"), F.col("role").alias("source_type")))
+    # Words stand for exams and the tables they occur in for source types: some are in one only, some in both.
+    return FL.only_in_one_source(_word_rows(spark, sf, "benchmark", 6).unionByName(_word_rows(spark, sf, "conversations", 9))
+                                 .select(F.col("word").alias("exam_id"), F.col("pinyin").alias("source_type")))
 
 
 @query("first_file_per_source", sql("files", """
@@ -194,16 +193,19 @@ def _word_rows(spark, sf, name, cap):
   SELECT word, 'conversations' AS pinyin, CAST(l AS INTEGER) AS word_level FROM new
   UNION ALL SELECT word, 'benchmark', CAST(l AS INTEGER) FROM old WHERE word NOT IN (SELECT word FROM new)""")
 def _(spark, sf):
-    return merge_latest(_word_rows(spark, sf, "benchmark", 6), _word_rows(spark, sf, "conversations", 9), ["word"])
+    return merge_latest(_word_rows(spark, sf, "benchmark", 6), _word_rows(spark, sf, "conversations", 9), ["word"], [F.asc("word_level")])
 
 
-def _labelled_files(spark, sf, quality_label):
-    chosen = I.table(spark, sf, "labels").filter(F.col("quality") == quality_label).select("doc_id")
-    return I.files(spark, sf).join(chosen, "doc_id", "left_semi")
+def _halves(spark, sf):
+    """All files in two deliveries: those of documents marked as good come later."""
+    good = I.table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    files = I.files(spark, sf)
+    return files.join(good, "doc_id", "left_anti"), files.join(good, "doc_id", "left_semi")
 
 
-_HALF = """{name} AS (SELECT * FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = {q}))"""
-_HALVES = "," + _HALF.format(name="f0", q=0) + "," + _HALF.format(name="f1", q=1)
+_HALVES = """,
+  f0 AS (SELECT * FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)),
+  f1 AS (SELECT * FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"""
 
 
 @query("source_upsert", sql("files", "") + _HALVES + """,
@@ -211,8 +213,8 @@ _HALVES = "," + _HALF.format(name="f0", q=0) + "," + _HALF.format(name="f1", q=1
   s1 AS (SELECT exam_id, source_type, max(year) AS year, max(exam_level) AS exam_level, min(filename) AS filename FROM f1 GROUP BY 1, 2)
   SELECT * FROM s1 UNION ALL SELECT * FROM s0 WHERE (exam_id, source_type) NOT IN (SELECT (exam_id, source_type) FROM s1)""")
 def _(spark, sf):
-    return merge_latest(sinks.source_rows(_labelled_files(spark, sf, 0)),
-                        sinks.source_rows(_labelled_files(spark, sf, 1)), ["exam_id", "source_type"])
+    old, new = _halves(spark, sf)
+    return merge_latest(sinks.source_rows(old), sinks.source_rows(new), ["exam_id", "source_type"], [F.asc("filename")])
 
 
 @query("frequency_upsert", sql("files wl", "") + _HALVES + """,
@@ -225,33 +227,41 @@ def _(spark, sf):
 def _(spark, sf):
     keys = ["word", "source_type", "exam_id"]
     columns = [*keys, "frequency", "word_level", "in_official_wordlist"]
-    old = C.label_counts(K.file_counts(_labelled_files(spark, sf, 0)),
-                         I.wordlist(spark, sf).select("word", "word_level")).select(columns)
-    new = (K.file_counts(_labelled_files(spark, sf, 1))
+    early, late = _halves(spark, sf)
+    old = C.label_counts(K.file_counts(early), I.wordlist(spark, sf).select("word", "word_level")).select(columns)
+    new = (K.file_counts(late)
            .withColumn("word_level", F.lit(9)).withColumn("in_official_wordlist", F.lit(True)).select(columns))
-    return merge_latest(old, new, keys, update_cols=["frequency"])
+    return merge_latest(old, new, keys, [F.desc("frequency")], update_cols=["frequency"])
 
 
 # --- checks ---------------------------------------------------------------------------------------------
 
-@query("constraint_violations", sql("freq src sent wl", """
-  SELECT 'wordlist.word_level' AS check_name, count(*) FILTER (word_level NOT BETWEEN 1 AND 9) AS violations FROM wl
-  UNION ALL SELECT 'wordlist.word', count(*) FROM (SELECT word FROM wl GROUP BY 1 HAVING count(*) > 1)
-  UNION ALL SELECT 'exam_sources.exam_level', count(*) FILTER (exam_level NOT BETWEEN 1 AND 9) FROM src
-  UNION ALL SELECT 'exam_sources.source_type', count(*) FILTER (source_type NOT IN ('en', 'fr')) FROM src
-  UNION ALL SELECT 'exam_sources.key', count(*) FROM (SELECT 1 FROM src GROUP BY exam_id, source_type HAVING count(*) > 1)
-  UNION ALL SELECT 'word_frequencies.source_type', count(*) FILTER (source_type NOT IN ('en', 'fr')) FROM freq
-  UNION ALL SELECT 'word_frequencies.key', count(*) FROM (SELECT 1 FROM freq GROUP BY word, exam_id, source_type HAVING count(*) > 1)
-  UNION ALL SELECT 'word_frequencies.source', count(*) FROM freq WHERE source_type = 'de'
-  UNION ALL SELECT 'exam_sentences.source_type', count(*) FILTER (source_type NOT IN ('en', 'fr')) FROM sent
-  UNION ALL SELECT 'exam_sentences.key', count(*) FROM (SELECT 1 FROM sent GROUP BY exam_id, source_type, sentence HAVING count(*) > 1)
-  UNION ALL SELECT 'exam_sentences.source', count(*) FROM sent WHERE source_type = 'de'""").replace(
-    "FROM src\n", "FROM (SELECT * FROM src WHERE source_type <> 'de')\n").replace("FROM src GROUP", "FROM (SELECT * FROM src WHERE source_type <> 'de') GROUP"))
+# Rows that break rules, added to the tables.
+_BAD = {"wl": [("the", 12), ("zz", 0)], "src": [("src1", "en", 3), ("nowhere", "video", 12)],
+        "freq": [("the", "src1", "en"), ("the", "lost", "fr")], "sent": [("lost", "fr", "x"), ("lost", "fr", "x")]}
+_COLUMNS = {"wl": "word, word_level", "src": "exam_id, source_type, exam_level", "freq": "word, exam_id, source_type",
+            "sent": "exam_id, source_type, sentence"}
+
+
+@query("constraint_violations", sql("freq src sent wl", "") + "".join(
+    f", {name}2 AS (SELECT {_COLUMNS[name]} FROM {name} UNION ALL VALUES {', '.join(map(repr, rows))})" for name, rows in _BAD.items()) + """
+  SELECT 'wordlist.word_level' AS check_name, count(*) FILTER (word_level NOT BETWEEN 1 AND 9) AS violations FROM wl2
+  UNION ALL SELECT 'wordlist.word', count(*) FROM (SELECT word FROM wl2 GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'exam_sources.exam_level', count(*) FILTER (exam_level NOT BETWEEN 1 AND 9) FROM src2
+  UNION ALL SELECT 'exam_sources.source_type', count(*) FILTER (source_type NOT IN ('de', 'en', 'es')) FROM src2
+  UNION ALL SELECT 'exam_sources.key', count(*) FROM (SELECT 1 FROM src2 GROUP BY exam_id, source_type HAVING count(*) > 1)
+  UNION ALL SELECT 'word_frequencies.source_type', count(*) FILTER (source_type NOT IN ('de', 'en', 'es')) FROM freq2
+  UNION ALL SELECT 'word_frequencies.key', count(*) FROM (SELECT 1 FROM freq2 GROUP BY word, exam_id, source_type HAVING count(*) > 1)
+  UNION ALL SELECT 'word_frequencies.source', count(*) FROM freq2 WHERE (exam_id, source_type) NOT IN (SELECT (exam_id, source_type) FROM src2)
+  UNION ALL SELECT 'exam_sentences.source_type', count(*) FILTER (source_type NOT IN ('de', 'en', 'es')) FROM sent2
+  UNION ALL SELECT 'exam_sentences.key', count(*) FROM (SELECT 1 FROM sent2 GROUP BY exam_id, source_type, sentence HAVING count(*) > 1)
+  UNION ALL SELECT 'exam_sentences.source', count(*) FROM sent2 WHERE (exam_id, source_type) NOT IN (SELECT (exam_id, source_type) FROM src2)""")
 def _(spark, sf):
-    # Two languages are allowed and the files of a third have no source row: some rules must fail.
-    sources = I.sources(spark, sf).filter("source_type <> 'de'")
-    counts = C.label_counts(I.stored_counts(spark, sf), I.wordlist(spark, sf).select("word", "word_level"))
-    return checks.constraint_violations(I.wordlist(spark, sf), sources, counts, I.sentences(spark, sf), ("en", "fr"))
+    stored = I.corpus(spark, sf)
+    tables_ = {"wl": stored.wordlist, "src": stored.sources, "freq": stored.frequencies, "sent": stored.sentences}
+    rows = {name: (df := tables_[name].select(*_COLUMNS[name].split(", "))).unionByName(spark.createDataFrame(_BAD[name], df.schema))
+            for name in _BAD}
+    return checks.constraint_violations(rows["wl"], rows["src"], rows["freq"], rows["sent"], ("de", "en", "es"))
 
 
 @query("sanity_checks", sql("counts", """
@@ -273,11 +283,11 @@ def _(spark, sf):
 
 # --- written tables and the stream ------------------------------------------------------------------
 
-@query("counts_written_per_source", sql("counts", "SELECT exam_id, exam_level, word, frequency FROM counts WHERE source_type = 'fr'"))
+@query("counts_written_per_source", sql("counts", "SELECT exam_id, exam_level, word, frequency, source_type FROM counts"))
 def _(spark, sf):
     path = scratch_path(spark, "per-source")
     sinks.save_per_source(I.counts(spark, sf), path)
-    return spark.read.parquet(f"{path}/source_type=fr")
+    return spark.read.parquet(path)
 
 
 @query("top_words_as_csv", sql("counts", """
@@ -295,17 +305,30 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
+def _file_counts(rows):
+    files = I.as_files(rows).select(F.col("filename").alias("file_id"), "exam_id", "source_type", "text")
+    return C.word_counts(K.spaced_tokens(files), ("file_id", "exam_id", "source_type"))
+
+
 def _follow(spark, sf):
-    """Count the documents as a file stream; returns the folder with counts and rollup."""
-    folder = scratch_path(spark, "stream")
+    """Count the documents as they arrive in five parts, which share exams; returns the folder with counts and rollup."""
+    landed, folder = scratch_path(spark, "landed"), scratch_path(spark, "stream")
+    I.table(spark, sf, "documents").repartition(5).write.parquet(landed)
     words = I.wordlist(spark, sf).select("word", "word_level")
     stream = incremental.follow_files(
-        spark, f"{sf}/documents*.parquet", DOCUMENTS,
-        lambda rows: K.file_counts(I.as_files(rows)).drop("exam_level"), folder, words)
+        spark, landed, DOCUMENTS, _file_counts, folder, words, files_per_batch=1,
+        to_files=lambda rows: I.as_files(rows).select(F.col("filename").alias("file_id")))
     stream.awaitTermination()
     return folder
 
 
+@query("compacted_rollup", sql("agg", "SELECT * FROM agg"))
+def _(spark, sf):
+    folder = _follow(spark, sf)
+    incremental.compact(spark, folder)
+    return incremental.current_rollup(spark, folder)
+
+
 @query("streamed_counts", sql("freq", """
   SELECT word, source_type, exam_id, frequency, word_level, in_official_wordlist FROM freq"""))
 def _(spark, sf):

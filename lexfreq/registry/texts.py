@@ -184,7 +184,8 @@ def _(spark, sf):
 
 
 @query("method_by_exam_level", _with_quality("""
-  SELECT method, count(*) FILTER (exam_level = 3) AS exam_level_3, count(*) FILTER (exam_level = 4) AS exam_level_4
+  SELECT method, count(*) FILTER (exam_level = 3) AS exam_level_3, count(*) FILTER (exam_level = 4) AS exam_level_4,
+         count(*) FILTER (exam_level NOT IN (3, 4) OR exam_level IS NULL) AS exam_level_other
   FROM methods GROUP BY 1"""))
 def _(spark, sf):
     from lexfreq.plans.analysis import method_by_exam_level

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from lexfreq.functions import text as X
 from lexfreq.operators import counts as C
@@ -10,8 +12,12 @@ from lexfreq.plans import corpus as K, word_queries as Q
 from lexfreq.registry import inputs as I
 from lexfreq.registry.base import query
 from lexfreq.registry.inputs import sql
+from lexfreq.operators.decompose import PLAIN_RULES
+from lexfreq.schemas import TABLES
 from lexfreq.sources.sinks import frequency_rows
 
+_AGGREGATE = ["word", "word_level", "source_type", "total_frequency", "exam_count", "in_official_wordlist"]
+
 
 @query("document_scan", sql("", "SELECT doc_id, lang, source, n_chars FROM documents"))
 def _(spark, sf):
@@ -59,34 +65,71 @@ def _(spark, sf):
                                          .select("word", "word_level")))
 
 
+@query("counts_with_repeated_list", sql("counts wl", "") + """,
+    twice AS (SELECT word, word_level FROM wl UNION ALL
+      SELECT word, CAST(least(9, length(word) + 1) AS INTEGER) FROM (
+        SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS word FROM conversations)),
+    lowest AS (SELECT word, min(word_level) AS word_level FROM twice GROUP BY 1)
+    SELECT c.word, l.word_level, c.source_type, c.exam_id, c.frequency, l.word IS NOT NULL AS in_official_wordlist
+    FROM counts c LEFT JOIN lowest l USING (word)""")
+def _(spark, sf):
+    """A word list with several rows, and levels, for many words."""
+    more = I.segmenter_words(spark, sf).select("word", F.least(F.lit(9), F.length("word") + 1).alias("word_level"))
+    listed = I.wordlist(spark, sf).select("word", "word_level").unionByName(more)
+    return frequency_rows(C.label_counts(I.counts(spark, sf), listed))
+
+
 @query("rollup", sql("agg", "SELECT * FROM agg"))
 def _(spark, sf):
-    return I.word_corpus(spark, sf).aggregates
+    return I.corpus(spark, sf).aggregates.select(*_AGGREGATE)
+
+
+@query("corpus_written", sql("freq agg src sent wl", """
+    SELECT 'exam_sources' AS table_name, count(*) AS table_rows FROM src
+    UNION ALL SELECT 'exam_sentences', count(*) FROM sent UNION ALL SELECT 'frequency_aggregates', count(*) FROM agg
+    UNION ALL SELECT 'word_frequencies', count(*) FROM freq UNION ALL SELECT 'wordlist', count(*) FROM wl"""))
+def _(spark, sf):
+    """The whole load: counts, labels, rollup and sentences, written as the five tables."""
+    folder = I.load(spark, sf)
+    counted = [spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("table_rows"))
+               .select(F.lit(name).alias("table_name"), "table_rows") for name in TABLES]
+    return reduce(DataFrame.unionByName, counted)
 
 
 _TOP = """
-SELECT a.word, a.word_level, a.source_type, a.total_frequency, a.exam_count, a.in_official_wordlist, w.pinyin
+SELECT a.word, a.word_level, a.word_level AS effective_level, a.source_type, a.total_frequency, a.exam_count, a.in_official_wordlist, w.pinyin
 FROM agg a LEFT JOIN wl w ON a.word = w.word WHERE {where}
 ORDER BY total_frequency DESC, a.word LIMIT {limit}"""
 
 
 @query("top_words", sql("agg", _TOP.format(where="source_type = 'all'", limit=50)))
 def _(spark, sf):
-    return Q.top_words(I.word_corpus(spark, sf), source_types=I.LANGUAGES)
+    return Q.top_words(I.corpus(spark, sf), source_types=I.LANGUAGES)
+
+
+@query("top_words_effective_level", sql("lab", """
+    SELECT word, word_level, effective_level, 'all' AS source_type, CAST(sum(frequency) AS BIGINT) AS total_frequency,
+           count(DISTINCT exam_id) AS exam_count, word_level IS NOT NULL AS in_official_wordlist,
+           CASE WHEN word_level IS NOT NULL THEN regexp_replace(word, '(..)', '\\1 ', 'g') END AS pinyin
+    FROM lab GROUP BY ALL ORDER BY total_frequency DESC, word LIMIT 200"""))
+def _(spark, sf):
+    """Served rows with the level that decomposition gives to words that are not listed."""
+    built = K.build(I.files(spark, sf), I.full_wordlist(spark, sf), I.sources(spark, sf), rules=PLAIN_RULES)
+    return Q.top_words(built, limit=200, source_types=I.LANGUAGES)
 
 
 @query("top_words_level", sql("agg", _TOP.format(where="source_type = 'all' AND a.word_level = 4", limit=20)))
 def _(spark, sf):
-    return Q.top_words(I.word_corpus(spark, sf), word_level=4, limit=20, source_types=I.LANGUAGES)
+    return Q.top_words(I.corpus(spark, sf), word_level=4, limit=20, source_types=I.LANGUAGES)
 
 
 @query("top_words_source", sql("agg", _TOP.format(where="source_type = 'fr'", limit=10000)))
 def _(spark, sf):
-    return Q.top_words(I.word_corpus(spark, sf), source_type="fr", limit=10000, source_types=I.LANGUAGES)
+    return Q.top_words(I.corpus(spark, sf), source_type="fr", limit=10000, source_types=I.LANGUAGES)
 
 
 _LIVE = """
-SELECT f.word, f.word_level,
+SELECT f.word, f.word_level, f.word_level AS effective_level,
        CASE WHEN count(DISTINCT f.source_type) > 1 THEN 'all' ELSE min(f.source_type) END AS source_type,
        CAST(sum(frequency) AS BIGINT) AS total_frequency, count(DISTINCT f.exam_id) AS exam_count,
        bool_or(in_official_wordlist) AS in_official_wordlist, max(w.pinyin) AS pinyin
@@ -99,29 +142,29 @@ FROM freq f JOIN src s ON f.exam_id = s.exam_id AND f.source_type = s.source_typ
 
 @query("top_words_exam_level", sql("freq src", _LIVE.format(where="s.exam_level = 3", limit=50)))
 def _(spark, sf):
-    return Q.top_words(I.word_corpus(spark, sf), exam_level=3, source_types=I.LANGUAGES)
+    return Q.top_words(I.corpus(spark, sf), exam_level=3, source_types=I.LANGUAGES)
 
 
 @query("top_words_exams", sql("freq src", _LIVE.format(
     where="f.exam_id IN ('src1', 'src2', 'src7') AND f.source_type = 'en' AND f.word_level = 5", limit=100)))
 def _(spark, sf):
-    return Q.top_words(I.word_corpus(spark, sf), word_level=5, exam_ids=["src1", "src2", "src7"], source_type="en",
+    return Q.top_words(I.corpus(spark, sf), word_level=5, exam_ids=["src1", "src2", "src7"], source_type="en",
                        limit=100, source_types=I.LANGUAGES)
 
 
 @query("top_words_total", sql("agg", "SELECT count(*) AS total_count FROM agg WHERE source_type = 'all'"))
 def _(spark, sf):
-    return Q.top_words_total(I.word_corpus(spark, sf), source_types=I.LANGUAGES)
+    return Q.top_words_total(I.corpus(spark, sf), source_types=I.LANGUAGES)
 
 
 @query("top_words_total_exam_level", sql("freq src", _LIVE_TOTAL.format(where="s.exam_level = 4")))
 def _(spark, sf):
-    return Q.top_words_total(I.word_corpus(spark, sf), exam_level=4, source_types=I.LANGUAGES)
+    return Q.top_words_total(I.corpus(spark, sf), exam_level=4, source_types=I.LANGUAGES)
 
 
 @query("top_words_total_exams", sql("freq src", _LIVE_TOTAL.format(where="f.exam_id IN ('src1', 'src2')")))
 def _(spark, sf):
-    return Q.top_words_total(I.word_corpus(spark, sf), exam_ids=["src1", "src2"], source_types=I.LANGUAGES)
+    return Q.top_words_total(I.corpus(spark, sf), exam_ids=["src1", "src2"], source_types=I.LANGUAGES)
 
 
 @query("exams", sql("src", """
@@ -151,23 +194,23 @@ _COMPARE_LIVE = _SIDES.replace("{inner}", """
 
 @query("compare_words", sql("agg", _COMPARE.format(where="source_type = 'all'", limit=50)))
 def _(spark, sf):
-    return Q.compare_words(I.word_corpus(spark, sf), source_types=I.LANGUAGES)
+    return Q.compare_words(I.corpus(spark, sf), source_types=I.LANGUAGES)
 
 
 @query("compare_words_source", sql("agg", _COMPARE.format(where="source_type = 'en'", limit=500)))
 def _(spark, sf):
-    return Q.compare_words(I.word_corpus(spark, sf), source_type="en", limit=500, source_types=I.LANGUAGES)
+    return Q.compare_words(I.corpus(spark, sf), source_type="en", limit=500, source_types=I.LANGUAGES)
 
 
 @query("compare_words_exam", sql("freq src", _COMPARE_LIVE.format(where="f.exam_id = 'src5'", limit=50)))
 def _(spark, sf):
-    return Q.compare_words(I.word_corpus(spark, sf), exam_id="src5", source_types=I.LANGUAGES)
+    return Q.compare_words(I.corpus(spark, sf), exam_id="src5", source_types=I.LANGUAGES)
 
 
 @query("compare_words_exam_level", sql("freq src", _COMPARE_LIVE.format(
     where="s.exam_level = 4 AND f.source_type = 'en'", limit=100)))
 def _(spark, sf):
-    return Q.compare_words(I.word_corpus(spark, sf), exam_level=4, source_type="en", limit=100,
+    return Q.compare_words(I.corpus(spark, sf), exam_level=4, source_type="en", limit=100,
                            source_types=I.LANGUAGES)
 
 
@@ -175,12 +218,12 @@ def _(spark, sf):
     SELECT f.word, f.word_level, f.source_type, f.exam_id, f.frequency, f.in_official_wordlist, s.year, s.filename
     FROM freq f LEFT JOIN src s ON f.exam_id = s.exam_id AND f.source_type = s.source_type WHERE f.word = '{I.WORD}'"""))
 def _(spark, sf):
-    return Q.word_occurrences(I.word_corpus(spark, sf), I.WORD)
+    return Q.word_occurrences(I.corpus(spark, sf), I.WORD)
 
 
 @query("word_aggregates", sql("agg", f"SELECT * FROM agg WHERE word = '{I.WORD}'"))
 def _(spark, sf):
-    return Q.word_aggregates(I.word_corpus(spark, sf), I.WORD)
+    return Q.word_aggregates(I.corpus(spark, sf), I.WORD).select(*_AGGREGATE)
 
 
 @query("word_detail", sql("sent wl", f"""
@@ -213,7 +256,7 @@ def _(spark, sf):
 
 @query("sentences_with_mark", sql("sent", "SELECT * FROM sent WHERE contains(sentence, '%')"))
 def _(spark, sf):
-    return Q.sentences_with(I.corpus(spark, sf), "%")
+    return Q.sentences_with(I.corpus(spark, sf), "%").drop("created_at")
 
 
 @query("all_word_sentence_totals", sql("sent wl", """
@@ -240,15 +283,15 @@ def _(spark, sf):
     FROM (SELECT word, sum(frequency) AS t, count(DISTINCT exam_id) AS e, bool_or(in_official_wordlist) AS o
           FROM freq WHERE exam_level = 3 GROUP BY 1)"""))
 def _(spark, sf):
-    return Q.scope_summary(Q.scope_words(I.word_corpus(spark, sf), exam_level=3))
+    return Q.scope_summary(Q.scope_words(I.corpus(spark, sf), exam_level=3))
 
 
 @query("word_page", sql("agg", """
     SELECT word, word_level, total_frequency FROM agg WHERE source_type = 'all' AND word_level IS NOT NULL
     ORDER BY total_frequency DESC, word LIMIT 10 OFFSET 20"""))
 def _(spark, sf):
-    items = Q.levelled_words(Q.scope_words(I.word_corpus(spark, sf)))
-    return Q.word_page(items, 3).select("word", "word_level", "total_frequency")
+    items = Q.levelled_words(Q.scope_words(I.corpus(spark, sf)))
+    return Q.word_page(Q.ranked_items(items), 3).select("word", "word_level", "total_frequency")
 
 
 @query("word_page_past_end", sql("agg", """
@@ -257,20 +300,19 @@ def _(spark, sf):
        FROM agg WHERE source_type = 'es' AND word_level IS NOT NULL)
     WHERE floor(pos / 10) = floor((n - 1) / 10)"""))
 def _(spark, sf):
-    items = Q.levelled_words(Q.scope_words(I.word_corpus(spark, sf), source_type="es"))
-    return Q.word_page(items, 10 ** 6).select("word", "word_level", "total_frequency")
+    items = Q.levelled_words(Q.scope_words(I.corpus(spark, sf), source_type="es"))
+    return Q.word_page(Q.ranked_items(items), 10 ** 6).select("word", "word_level", "total_frequency")
 
 
 @query("reading_search", sql("agg", """
     SELECT word, word_level, total_frequency FROM
-      (SELECT *, regexp_replace(word, '(..)', '\\1 ', 'g') AS pinyin FROM agg WHERE source_type = 'all')
-    WHERE contains(word, 'Ea U') OR contains(replace(lower(strip_accents(pinyin)), ' ', ''), 'eau')"""))
+      (SELECT a.*, w.pinyin FROM agg a JOIN wl w USING (word) WHERE source_type = 'all')
+    WHERE word_level IS NOT NULL AND (contains(word, 'En T') OR contains(replace(lower(strip_accents(pinyin)), ' ', ''), 'ent'))"""))
 def _(spark, sf):
-    # Every word gets a reading and a level here, so that accented words can be found.
-    items = Q.scope_words(I.word_corpus(spark, sf)).withColumn("known_level", F.col("word_level"))
-    items = items.withColumn("word_level", F.coalesce("word_level", F.lit(0))).withColumn(
-        "pinyin", F.regexp_replace("word", "(..)", "$1 "))
-    return Q.search_words(items, " Ea U").select("word", F.col("known_level").alias("word_level"), "total_frequency")
+    # Levels and readings are those of the list; words without a level are not searched.
+    stored = I.corpus(spark, sf)
+    items = Q.scope_words(stored).join(stored.wordlist.select("word", "pinyin"), "word", "left")
+    return Q.search_words(items, " En T").select("word", "word_level", "total_frequency")
 
 
 @query("exam_groups", sql("src", """
@@ -288,4 +330,4 @@ def _(spark, sf):
     SELECT word, count(DISTINCT exam_id) AS exam_count FROM freq WHERE NOT in_official_wordlist
     GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""))
 def _(spark, sf):
-    return Q.unlisted_by_exams(I.word_corpus(spark, sf))
+    return Q.unlisted_by_exams(I.corpus(spark, sf))

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from lexfreq import fixed_values as V
 from lexfreq.functions.quality import blank_to_null, checked_level, strip
 from lexfreq.operators.keyed import first_per_key
+from lexfreq.session import SPREAD
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -15,14 +16,14 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None
     return reader.parquet(path)
 
 
-def spread_small(df: DataFrame, below: int = 256 << 20) -> DataFrame:
-    """Spread the rows of a small table over all cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out to as many partitions as the session's SPREAD setting says, if it is set.
 
-    A file of one row group is read by one task, which then also does all work per text. Larger
-    inputs are split by the scan itself and stay as they are.
+    A file of one row group is read by one task, which then also does all work per text. Whether that is worth
+    a shuffle is known to whoever sets up the session; without the setting the scan stays as it is.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+    partitions = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Counts and rollup kept up to date as files arrive.
 
-Every micro-batch writes its own counts below `counts/batch=<id>` and the new rollup rows of the
-words it touched below `rollup/batch=<id>`. A batch that runs again overwrites what it wrote, so a
-replay after a failure changes nothing. Readers take the newest frequency per key and the newest
-rollup row per word and source.
+Every micro-batch writes, below folders named batch=<id>: `files`, the files it has counted; `counts`, their words, by hash
+bucket of the word; and `rollup`, the new rollup rows of the words it touched, by the same buckets. A batch that
+runs again overwrites what it wrote, so a replay after a failure changes nothing.
+
+Counts are kept per file. A file that comes again replaces what it said before as a whole; files of the same exam add up,
+in whichever batches they come. A batch reads only the buckets of the words it touches. `compact` rewrites what
+is current as one folder, so that readers need not go through all batches for ever.
 """
 
 from __future__ import annotations
@@ -17,55 +20,137 @@ from pyspark.sql.types import StructType
 from lexfreq.operators.counts import label_counts, relevel, rollup
 
 KEY = ["word", "source_type", "exam_id"]
-COUNTS = "word STRING, source_type STRING, exam_id STRING, frequency BIGINT, word_level INT, " \
-         "in_official_wordlist BOOLEAN, batch BIGINT"
+BUCKETS = 64
+FILES = "file_id STRING, batch BIGINT"
+COUNTS = "file_id STRING, word STRING, source_type STRING, exam_id STRING, frequency BIGINT, word_level INT, " \
+         "in_official_wordlist BOOLEAN, batch BIGINT, bucket INT"
 ROLLUP = "word STRING, word_level INT, source_type STRING, total_frequency BIGINT, exam_count BIGINT, " \
-         "in_official_wordlist BOOLEAN, batch BIGINT"
+         "in_official_wordlist BOOLEAN, batch BIGINT, bucket INT"
 
 
-def current_counts(spark: SparkSession, folder: str, up_to: int | None = None) -> DataFrame:
-    """One row per key: the frequency of the newest batch, level and flag of the oldest."""
-    rows = spark.read.schema(COUNTS).parquet(f"{folder}/counts")
+def _bucket(word: str = "word"):
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def _generation(spark: SparkSession, folder: str) -> str:
+    """Where the current batches are: compactions are listed only once they are complete."""
+    listing = spark.createDataFrame([], "generation INT")
+    try:
+        listing = spark.read.schema("generation INT").parquet(f"{folder}/generations")
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    last = listing.agg(F.max("generation")).first()[0]
+    return f"{folder}/generation={last or 0}"
+
+
+def _current(spark: SparkSession, base: str, up_to: int | None = None) -> DataFrame:
+    """The counts of the newest version of every file."""
+    files, rows = spark.read.schema(FILES).parquet(f"{base}/files"), spark.read.schema(COUNTS).parquet(f"{base}/counts")
     if up_to is not None:
-        rows = rows.filter(F.col("batch") <= up_to)
+        files, rows = files.filter(F.col("batch") <= up_to), rows.filter(F.col("batch") <= up_to)
+    newest = files.groupBy("file_id").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["file_id", "batch"], "left_semi")
+
+
+def _per_key(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(
-        F.max_by("frequency", "batch").alias("frequency"),
+        F.sum("frequency").alias("frequency"),
         F.min_by("word_level", "batch").alias("word_level"),
         F.min_by("in_official_wordlist", "batch").alias("in_official_wordlist"))
 
 
+def current_counts(spark: SparkSession, folder: str, up_to: int | None = None) -> DataFrame:
+    """One row per word, source and exam: its files added up, with level and flag of the oldest of them."""
+    return _per_key(_current(spark, _generation(spark, folder), up_to))
+
+
 def current_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest rollup row of each word and source."""
-    rows = spark.read.schema(ROLLUP).parquet(f"{folder}/rollup")
+    """The newest rollup row of each word and source; words that are in no file any more are left out."""
+    return _newest_rollup(spark.read.schema(ROLLUP).parquet(f"{_generation(spark, folder)}/rollup"))
+
+
+def _newest_rollup(rows: DataFrame) -> DataFrame:
     values = ["word_level", "total_frequency", "exam_count", "in_official_wordlist"]
     return (rows.groupBy("word", "source_type")
             .agg(*[F.max_by(c, "batch").alias(c) for c in values])
+            .filter("total_frequency > 0")
             .select("word", "word_level", "source_type", *values[1:]))
 
 
-def apply_batch(counts: DataFrame, batch: int, folder: str, wordlist: DataFrame) -> None:
-    """Write a batch of counts(word, source_type, exam_id, frequency) and the rollup of its words.
+def apply_batch(counts: DataFrame, batch: int, folder: str, wordlist: DataFrame, files: DataFrame | None = None) -> None:
+    """Write a batch of counts(file_id, word, source_type, exam_id, frequency) and the rollup of its words.
 
-    Levels in the rollup come from the word list as it is now, not from the stored rows.
+    `files` (file_id) names the files of the batch where some may have no words. Levels in the rollup come from the
+    word list as it is now, not from the stored rows.
     """
     spark = counts.sparkSession
-    written = f"{folder}/counts/batch={batch}"
-    label_counts(counts, wordlist).select(*KEY, "frequency", "word_level", "in_official_wordlist") \
-        .write.mode("overwrite").parquet(written)
-    touched = spark.read.parquet(written).select("word").distinct()
-    affected = current_counts(spark, folder, up_to=batch).join(touched, "word", "left_semi")
-    rollup(relevel(affected, wordlist)).write.mode("overwrite").parquet(f"{folder}/rollup/batch={batch}")
+    base = _generation(spark, folder)
+    labelled = label_counts(counts, wordlist).select("file_id", *KEY, "frequency", "word_level", "in_official_wordlist")
+    written = f"{base}/counts/batch={batch}"
+    labelled.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(written)
+    own = spark.read.schema(COUNTS).parquet(written)
+    seen = (counts if files is None else files).select("file_id").distinct()
+    seen.write.mode("overwrite").parquet(f"{base}/files/batch={batch}")
+    touched = own.select("word", "bucket")
+    # What a file said before it came again is touched too.
+    listed = spark.read.schema(FILES).parquet(f"{base}/files")
+    again = (listed.filter(F.col("batch") < batch).select("file_id")
+             .join(listed.filter(F.col("batch") == batch).select("file_id"), "file_id", "left_semi").distinct())
+    replaced = not again.isEmpty()
+    if replaced:
+        before = spark.read.schema(COUNTS).parquet(f"{base}/counts").filter(F.col("batch") < batch)
+        touched = touched.unionByName(before.join(again, "file_id", "left_semi").select("word", "bucket"))
+    touched = touched.distinct()
+    # At most BUCKETS numbers.
+    buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]
+    affected = _current(spark, base, batch).filter(F.col("bucket").isin(buckets)).join(
+        touched.select("word"), "word", "left_semi")
+    totals = rollup(relevel(_per_key(affected), wordlist))
+    if replaced:
+        # Rollup rows of words that are gone are replaced by rows without occurrences.
+        earlier = spark.read.schema(ROLLUP).parquet(f"{base}/rollup").filter((F.col("batch") < batch) & F.col("bucket").isin(buckets))
+        gone = (earlier.select("word", "source_type").distinct().join(touched.select("word"), "word", "left_semi")
+                .join(totals, ["word", "source_type"], "left_anti"))
+        totals = totals.unionByName(gone.select(
+            "word", F.lit(None).cast("int").alias("word_level"), "source_type", F.lit(0).cast("bigint").alias("total_frequency"),
+            F.lit(0).cast("bigint").alias("exam_count"), F.lit(False).alias("in_official_wordlist")))
+    target = f"{base}/rollup/batch={batch}"
+    totals.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(target)
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Rewrite what is current as one batch of a new generation. Not to be run while a stream writes to the folder.
+
+    The compacted batch has the number -1: a batch that is replayed afterwards still replaces its files.
+    """
+    base = _generation(spark, folder)
+    number = int(base.rpartition("=")[2]) + 1
+    target = f"{folder}/generation={number}"
+    rows = _current(spark, base)
+    oldest = _per_key(rows).select(*KEY, "word_level", "in_official_wordlist")
+    rows = rows.drop("word_level", "in_official_wordlist", "batch").join(oldest, KEY)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/counts/batch=-1")
+    files = spark.read.schema(FILES).parquet(f"{base}/files")
+    files.select("file_id").distinct().write.mode("overwrite").parquet(f"{target}/files/batch=-1")
+    totals = _newest_rollup(spark.read.schema(ROLLUP).parquet(f"{base}/rollup"))
+    totals.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/rollup/batch=-1")
+    spark.createDataFrame([(number,)], "generation INT").write.mode("append").parquet(f"{folder}/generations")
 
 
 def follow_files(spark: SparkSession, source: str, schema: StructType | str, to_counts: Callable[[DataFrame], DataFrame],
-                 folder: str, wordlist: DataFrame, files_per_batch: int | None = None) -> StreamingQuery:
-    """Count files that were not counted before, then stop. `to_counts` turns file rows into counts."""
+                 folder: str, wordlist: DataFrame, files_per_batch: int | None = None,
+                 to_files: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Count files that were not counted before, then stop.
+
+    `to_counts` turns arrived rows into counts per file, `to_files` into the ids of their files.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def take(batch: DataFrame, number: int) -> None:
-        apply_batch(to_counts(batch), number, folder, wordlist)
+        apply_batch(to_counts(batch), number, folder, wordlist, to_files(batch) if to_files else None)
 
     return (reader.parquet(source).writeStream
             .foreachBatch(take)

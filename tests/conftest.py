@@ -19,28 +19,24 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def seed(spark):
-    """Two exams, four words; the rollup says 8 where the counts say 10, to tell the two apart."""
+    """Two exams, four words; the rollup says 9 where the counts say 11, to tell the two apart."""
     wordlist = spark.createDataFrame(
-        [("你好", "nǐ hǎo", 1, "hello", "สวัสดี"), ("谢谢", "xiè xie", 1, "thank you", "ขอบคุณ"),
-         ("因为", "yīn wèi", 3, "because", "เพราะว่า")],
+        [("苹果", "píng guǒ", 1, "apple", "แอปเปิล"), ("老师", "lǎo shī", 1, "teacher", "ครู"), ("虽然", "suī rán", 4, "although", None)],
         "word string, pinyin string, word_level int, definition string, definition_th string")
     sources = spark.createDataFrame(
-        [("2020-01", "reading", 2020, 3, "reading_2020_01.pdf"),
-         ("2020-01", "listening", 2020, 3, "listening_2020_01.mp3"),
-         ("2021-02", "reading", 2021, 4, "reading_2021_02.pdf")],
+        [("k07", "listening", 2018, 4, "k07_tape.mp3"), ("k07", "reading", 2018, 4, "k07.pdf"), ("m11", "reading", 2022, 5, "m11.pdf")],
         "exam_id string, source_type string, year int, exam_level int, filename string")
+    levels = "word string, word_level int, effective_level int, source_type string"
     frequencies = spark.createDataFrame(
-        [("你好", 1, "reading", "2020-01", 5, True), ("你好", 1, "listening", "2020-01", 3, True),
-         ("你好", 1, "reading", "2021-02", 2, True), ("谢谢", 1, "reading", "2020-01", 1, True),
-         ("因为", 3, "reading", "2021-02", 10, True), ("喵星人", None, "reading", "2021-02", 1, False)],
-        "word string, word_level int, source_type string, exam_id string, frequency long, in_official_wordlist boolean")
+        [("苹果", 1, 1, "reading", "k07", 6, True), ("苹果", 1, 1, "listening", "k07", 4, True), ("苹果", 1, 1, "reading", "m11", 3, True),
+         ("老师", 1, 1, "reading", "k07", 2, True), ("虽然", 4, 4, "reading", "m11", 11, True), ("机器猫", None, None, "reading", "m11", 1, False)],
+        f"{levels}, exam_id string, frequency long, in_official_wordlist boolean")
     aggregates = spark.createDataFrame(
-        [("你好", 1, "reading", 7, 2, True), ("你好", 1, "listening", 3, 1, True), ("你好", 1, "all", 10, 2, True),
-         ("谢谢", 1, "reading", 1, 1, True), ("谢谢", 1, "all", 1, 1, True), ("因为", 3, "reading", 8, 1, True),
-         ("因为", 3, "all", 8, 1, True), ("喵星人", None, "reading", 1, 1, False), ("喵星人", None, "all", 1, 1, False)],
-        "word string, word_level int, source_type string, total_frequency long, exam_count long, in_official_wordlist boolean")
+        [("苹果", 1, 1, "reading", 9, 2, True), ("苹果", 1, 1, "listening", 4, 1, True), ("苹果", 1, 1, "all", 13, 2, True),
+         ("老师", 1, 1, "reading", 2, 1, True), ("老师", 1, 1, "all", 2, 1, True), ("虽然", 4, 4, "reading", 9, 1, True),
+         ("虽然", 4, 4, "all", 9, 1, True), ("机器猫", None, None, "reading", 1, 1, False), ("机器猫", None, None, "all", 1, 1, False)],
+        f"{levels}, total_frequency long, exam_count long, in_official_wordlist boolean")
     sentences = spark.createDataFrame(
-        [("2020-01", "reading", "你好，我叫小明。"), ("2020-01", "listening", "你好你好，请问现在几点了？"),
-         ("2021-02", "reading", "因为下雨，所以我们没有去公园。")],
+        [("k07", "reading", "老师每天早上吃一个苹果。"), ("k07", "listening", "这个苹果又大又甜。"), ("m11", "reading", "虽然外面很冷，他还是去跑步了。")],
         "exam_id string, source_type string, sentence string")
     return Corpus(wordlist, sources, frequencies, aggregates, sentences)

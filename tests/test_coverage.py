@@ -45,8 +45,8 @@ def test_coverage(counts):
     assert rows(V.by_level(counts)) == [("L1", 2, 10), ("L2", 1, 3), ("L3", 1, 1), ("L4", 0, 0), ("L5", 0, 0), ("L6", 0, 0),
                                         (L.NOT_LISTED, 2, 4)]
     assert rows(V.by_exam_level(counts)) == [(3, 3, 2, 8, 3), (4, 3, 1, 6, 1)]
-    assert rows(V.level_by_exam_level(counts, (3, 4)))[:2] == [("L1", 5, 5), ("L2", 2, 1)]
-    assert rows(V.level_by_exam_level(counts, (3, 4), measure="words"))[0] == ("L1", 1, 2)
+    assert rows(V.level_by_exam_level(counts, (3, 4)))[:2] == [("L1", 5, 5, 0), ("L2", 2, 1, 0)]
+    assert rows(V.level_by_exam_level(counts, (3, 4), measure="words"))[0] == ("L1", 1, 2, 0)
     assert rows(V.funnel(counts)) == [(1, "direct", 7, 7 / 18), (2, "direct and decomposed", 14, 14 / 18)]
     assert rows(V.pattern_counts(counts)) == [("aabb_reduplication", 1, 1), ("function_prefix", 1, 3), ("pronoun_prefix", 1, 3)]
     assert [r.word for r in V.decomposed_examples(counts, 2).collect()] == ["你我", "很多"]
@@ -95,10 +95,21 @@ def test_rankings(counts, wordlist):
     assert ranked[1] == (7, 7.0) and ranked[4] == (2, 7 / 4) and len(ranked) == 6
     assert {(r.effective_level, r.word) for r in A.top_per(counts, "effective_level", 1).collect()} == {(1, "我"), (2, "很多"), (3, "干干净净")}
     assert {tuple(r) for r in A.heat_map(counts, 1).collect()} == {("我", "e1", 5), ("我", "e2", 2)}
-    assert rows(A.heat_map_matrix(counts, ["e1", "e2", "e3"], 1)) == [("我", 5, 2, 0)]
+    assert rows(A.heat_map_matrix(counts, ["e1", "e2", "e3"], 1)) == [("我", 5, 2, 0, 0)]
+    assert rows(A.heat_map_matrix(counts, ["e2"], 1)) == [("我", 2, 5)]
 
 
 def test_list_against_seen(counts, wordlist):
     assert rows(A.list_size_against_seen(wordlist, counts)) == [(1, 3, 2), (2, 2, 1), (3, 1, 1)]
     assert [r.word_level for r in A.missing_levels(wordlist).collect()] == [4, 5, 6, 7, 8, 9]
     assert rows(A.words_per_level(wordlist)) == [(1, 3), (2, 2), (3, 1)]
+
+
+def test_levels_beyond_the_list_and_other_papers_are_kept(spark):
+    wordlist = spark.createDataFrame([("a", 8), ("b", 2)], "word string, word_level int")
+    counts = spark.createDataFrame([("a", "e1", "reading", 3, 5), ("a", "e2", "reading", 7, 2), ("b", "e3", "reading", None, 1), ("a", "e4", "reading", 9, 4)],
+                                   "word string, exam_id string, source_type string, exam_level int, frequency long")
+    labelled = L.label_counts_in_full(counts, wordlist)
+    assert rows(V.by_level(labelled)) == [("L1", 0, 0), ("L2", 1, 1), *[(f"L{n}", 0, 0) for n in (3, 4, 5, 6)], ("L8", 1, 11), (L.NOT_LISTED, 0, 0)]
+    assert rows(V.level_by_exam_level(labelled, (3, 4)))[6:] == [("L8", 5, 0, 6), (L.NOT_LISTED, 0, 0, 0)]
+    assert rows(V.level_by_exam_level(labelled, (3, 4), measure="words"))[6] == ("L8", 1, 0, 1)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexfreq.operators import checks
 from lexfreq.operators.counts import label_counts, relevel, rollup
 from lexfreq.operators.keyed import first_per_key, global_rank, merge_latest, top_k_per_group
+from lexfreq.operators.labels import label_vocabulary
 from lexfreq.schemas import TABLES, WORD_COUNTS
 from lexfreq.sources import sinks, tables
 
@@ -17,11 +18,11 @@ def loaded(spark, path, text, bom=False):
 
 
 def test_wordlist_csv(spark, tmp_path):
-    rows = loaded(spark, tmp_path / "w.csv", HEADER + "你好,nǐ hǎo,1,hello,สวัสดี\n 谢谢 ,xiè xie,1.0, ,\nหมา,,nan,x,\nbad,,99,x,\nnone,,,,\n", bom=True)
+    rows = loaded(spark, tmp_path / "w.csv", HEADER + "苹果,píng guǒ,1,hello,แอปเปิล\n 老师 ,lǎo shī,1.0, ,\nหมา,,nan,x,\nbad,,99,x,\nnone,,,,\n", bom=True)
     good = {r.word: r for r in tables.accepted(rows).collect()}
-    assert set(good) == {"你好", "谢谢"}
-    assert good["你好"].pinyin == "nǐ hǎo" and good["你好"].word_level == 1
-    assert good["谢谢"].definition is None and good["谢谢"].word_level == 1
+    assert set(good) == {"苹果", "老师"}
+    assert good["苹果"].pinyin == "píng guǒ" and good["苹果"].word_level == 1
+    assert good["老师"].definition is None and good["老师"].word_level == 1
     assert {r.word for r in tables.rejected(rows).collect()} == {"หมา", "bad", "none"}
 
 
@@ -31,11 +32,11 @@ def test_other_level_column(spark, tmp_path):
 
 
 def test_wordlist_upsert(spark, tmp_path):
-    old = tables.accepted(loaded(spark, tmp_path / "a.csv", HEADER + "你好,old,1,was,\n谢谢,x,1,,\n"))
-    new = tables.accepted(loaded(spark, tmp_path / "b.csv", HEADER + "你好,new,2,,\n因为,y,3,,\n"))
-    merged = {r.word: r for r in merge_latest(old, new, ["word"]).collect()}
-    assert set(merged) == {"你好", "谢谢", "因为"}
-    assert merged["你好"].pinyin == "new" and merged["你好"].word_level == 2 and merged["你好"].definition is None
+    old = tables.accepted(loaded(spark, tmp_path / "a.csv", HEADER + "苹果,old,1,was,\n老师,x,1,,\n"))
+    new = tables.accepted(loaded(spark, tmp_path / "b.csv", HEADER + "苹果,new,2,,\n虽然,y,3,,\n"))
+    merged = {r.word: r for r in merge_latest(old, new, ["word"], [F.asc("pinyin")]).collect()}
+    assert set(merged) == {"苹果", "老师", "虽然"}
+    assert merged["苹果"].pinyin == "new" and merged["苹果"].word_level == 2 and merged["苹果"].definition is None
 
 
 def test_last_row_of_a_load_wins(spark):
@@ -49,7 +50,7 @@ def test_sources_by_exam_and_type(spark):
     schema = "exam_id string, source_type string, year int, exam_level int, filename string"
     old = spark.createDataFrame([("e", "reading", 2020, 3, "a.pdf")], schema)
     new = spark.createDataFrame([("e", "reading", 2020, 3, "b.pdf"), ("e", "listening", None, 3, "c.mp3")], schema)
-    got = {(r.source_type, r.filename) for r in merge_latest(old, new, ["exam_id", "source_type"]).collect()}
+    got = {(r.source_type, r.filename) for r in merge_latest(old, new, ["exam_id", "source_type"], [F.asc("filename")]).collect()}
     assert got == {("reading", "b.pdf"), ("listening", "c.mp3")}
 
 
@@ -57,7 +58,7 @@ COUNTS = "word string, word_level int, source_type string, exam_id string, frequ
 
 
 def test_rollup_values(spark):
-    rows = [("你好", 1, "reading", "e1", 5, True), ("你好", 1, "reading", "e2", 2, True), ("你好", 1, "listening", "e1", 3, True)]
+    rows = [("苹果", 1, "reading", "e1", 5, True), ("苹果", 1, "reading", "e2", 2, True), ("苹果", 1, "listening", "e1", 3, True)]
     for parts in (1, 16):
         out = rollup(spark.createDataFrame(rows, COUNTS).repartition(parts)).collect()
         assert {(r.source_type, r.total_frequency, r.exam_count) for r in out} == {
@@ -68,8 +69,8 @@ def test_frequency_upsert_keeps_level_and_flag(spark):
     keys = ["word", "source_type", "exam_id"]
     old = spark.createDataFrame([("a", None, "reading", "e", 5, False)], COUNTS)
     new = spark.createDataFrame([("a", 2, "reading", "e", 9, True), ("b", 3, "reading", "e", 1, True)], COUNTS)
-    once = merge_latest(old, new, keys, update_cols=["frequency"])
-    twice = merge_latest(once, new, keys, update_cols=["frequency"])
+    once = merge_latest(old, new, keys, [F.asc("frequency")], update_cols=["frequency"])
+    twice = merge_latest(once, new, keys, [F.asc("frequency")], update_cols=["frequency"])
     expected = {("a", None, 9, False), ("b", 3, 1, True)}
     for merged in (once, twice):
         assert {(r.word, r.word_level, r.frequency, r.in_official_wordlist) for r in merged.collect()} == expected
@@ -87,19 +88,19 @@ def test_snapshot_is_kept_unless_refreshed(spark, tmp_path):
 
 
 def test_landed_pages(spark, tmp_path):
-    pages = [[{"id": 1, "Word": "你好", "level": "1", "extra": 1}, {"id": 2, "Word": "好", "level": "x", "extra": 1}],
+    pages = [[{"id": 1, "Word": "苹果", "level": "1", "extra": 1}, {"id": 2, "Word": "好", "level": "x", "extra": 1}],
              [{"id": 2, "Word": "again", "level": "2", "extra": 1}, {"id": 3, "Word": "书", "level": "2.0", "extra": 1}]]
     for i, records in enumerate(pages):
         (tmp_path / f"page{i}.json").write_text(json.dumps({"data": records, "metadata": {"has_next": i == 0}}), encoding="utf-8")
     out = tables.wordlist_snapshot(tables.read_wordlist_pages(spark, str(tmp_path)))
     assert out.columns == ["id", "word", "level"]
-    assert {tuple(r) for r in out.collect()} == {(1, "你好", 1), (2, "好", None), (3, "书", 2)}
+    assert {tuple(r) for r in out.collect()} == {(1, "苹果", 1), (2, "好", None), (3, "书", 2)}
 
 
 def test_dictionary_text(spark, tmp_path):
-    (tmp_path / "d.u8").write_text("# comment\n\n什麼 什么 [shen2 me5] /what/\n你好 你好 [ni3 hao3] /hello/\n嗎 吗 [ma5] /x/\n嘛 吗 [ma5] /y/\nlone\n", encoding="utf-8")
+    (tmp_path / "d.u8").write_text("# comment\n\n什麼 什么 [shen2 me5] /what/\n苹果 苹果 [ni3 hao3] /hello/\n嗎 吗 [ma5] /x/\n嘛 吗 [ma5] /y/\nlone\n", encoding="utf-8")
     entries = tables.read_dictionary(spark, str(tmp_path / "d.u8"))
-    assert {r.word for r in tables.headwords(entries).collect()} == {"什么", "你好", "吗"}
+    assert {r.word for r in tables.headwords(entries).collect()} == {"什么", "苹果", "吗"}
 
 
 def test_parquet_round_trip_and_split(spark, tmp_path):
@@ -124,7 +125,7 @@ def test_sentences_are_replaced(spark, tmp_path):
 def test_constraints(spark, seed):
     clean = checks.constraint_violations(seed.wordlist, seed.sources, seed.frequencies, seed.sentences)
     assert {r.violations for r in clean.collect()} == {0}
-    words = seed.wordlist.union(spark.createDataFrame([("你好", "", 12, None, None)], seed.wordlist.schema))
+    words = seed.wordlist.union(spark.createDataFrame([("苹果", "", 12, None, None)], seed.wordlist.schema))
     orphan = seed.sentences.union(spark.createDataFrame([("nope", "video", "s")], seed.sentences.schema))
     found = {r.check_name: r.violations for r in checks.constraint_violations(
         words, seed.sources, seed.frequencies, orphan).collect()}
@@ -162,7 +163,7 @@ def test_sanity_and_levels(spark, seed):
 def test_labels_come_from_the_list(spark, seed):
     out = label_counts(seed.frequencies.drop("word_level", "in_official_wordlist"), seed.wordlist.select("word", "word_level"))
     assert {(r.word, r.word_level, r.in_official_wordlist) for r in out.collect()} == {
-        ("你好", 1, True), ("谢谢", 1, True), ("因为", 3, True), ("喵星人", None, False)}
+        ("苹果", 1, True), ("老师", 1, True), ("虽然", 4, True), ("机器猫", None, False)}
 
 
 def test_rank_is_global(spark):
@@ -181,3 +182,10 @@ def test_top_k_limits_before_the_shuffle(spark):
     assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
     assert {(r.g, r.v, r.r) for r in top.collect()} == {(g, 998 + g - 2 * i, i + 1) for g in (0, 1) for i in range(3)}
     assert first_per_key(df, ["g"], [F.asc("v")]).orderBy("g").collect() == [(0, 0), (1, 1)]
+
+
+def test_a_list_with_repeated_words_does_not_multiply_counts(spark):
+    counts = spark.createDataFrame([("a", "reading", "e", 5)], "word string, source_type string, exam_id string, frequency long")
+    listed = spark.createDataFrame([("a", 4), ("a", 1), ("a", None)], "word string, word_level int")
+    assert [(r.word_level, r.frequency, r.in_official_wordlist) for r in label_counts(counts, listed).collect()] == [(1, 5, True)]
+    assert [(r.word_level, r.effective_level) for r in label_vocabulary(counts, listed).collect()] == [(1, 1)]

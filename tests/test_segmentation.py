@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 from lexfreq.operators import segmentation as G
 
@@ -36,6 +37,22 @@ def test_paths_are_the_most_probable(spark):
         assert "".join(words) == run and abs(score(words) - top) < 1e-9
 
 
+def test_time_follows_the_length(spark):
+    """One run of 200,000 characters, cut by a list whose words cross no more than a few of them."""
+    lexicon = spark.createDataFrame([("你好", 100), ("好吗", 50), ("我们", 70)], "word string, weight long")
+
+    def seconds(n):
+        run = "".join(random.Random(n).choices("你好吗我们x", k=n))
+        start = time.perf_counter()
+        row, = G.segment_runs(spark.createDataFrame([(run,)], "run string"), lexicon).collect()
+        assert "".join(row.words) == run
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    short, long = seconds(20_000), seconds(200_000)
+    assert long < 20 * short + 10
+
+
 def test_counts_per_file(spark):
     files = spark.createDataFrame([("a", "你好你好"), ("b", "你好 abc"), ("c", ""), ("d", "123, xyz")], "file string, text string")
     lexicon = spark.createDataFrame([("你好", 100), ("你", 5), ("好", 5)], "word string, weight long")

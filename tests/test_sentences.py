@@ -68,5 +68,5 @@ def test_pairs_match_containment(spark):
                                       "exam_id string, source_type string, sentence string")
     words = ["a", "ab", "bca", "abcabc", "abcabcd", "zz"]
     listed = spark.createDataFrame([(w,) for w in words], "word string")
-    got = {(r.word, r.sentence) for r in S.word_sentence_pairs(sentences, listed).collect()}
+    got = {(r.word, r.sentence) for r in S.word_sentence_pairs(sentences, listed, ["sentence"]).collect()}
     assert got == {(w, s) for w in words for s in ("abcabc", "xbcax", "ab") if w in s}

@@ -1,20 +1,22 @@
-from lexfreq.operators.counts import rollup
+from lexfreq.operators.counts import rollup, word_counts
 from lexfreq.plans import corpus as K
 from lexfreq.streaming import incremental as N
 
-SCHEMA = "exam_id string, source_type string, exam_level int, text string"
+SCHEMA = "file_id string, exam_id string, source_type string, exam_level int, text string"
+COUNTS = "file_id string, word string, source_type string, exam_id string, frequency long"
 
 
 def to_counts(rows):
-    return K.file_counts(rows).drop("exam_level")
+    return word_counts(K.spaced_tokens(rows.drop("exam_level")), ("file_id", "exam_id", "source_type"))
 
 
 def land(spark, folder, name, exam, source, text):
-    spark.createDataFrame([(exam, source, 3, text)], SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark.createDataFrame([(f"{name.partition('-')[0]}.pdf", exam, source, 3, text)], SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def follow(spark, source, folder, wordlist):
-    N.follow_files(spark, f"{source}/*", SCHEMA, to_counts, folder, wordlist, files_per_batch=1).awaitTermination()
+    N.follow_files(spark, f"{source}/*", SCHEMA, to_counts, folder, wordlist, files_per_batch=1,
+                   to_files=lambda rows: rows.select("file_id")).awaitTermination()
 
 
 def state(spark, folder):
@@ -48,9 +50,8 @@ def test_only_new_files_are_counted(spark, tmp_path):
 def test_newest_frequency_wins_and_replay_changes_nothing(spark, tmp_path):
     folder = str(tmp_path / "out")
     words = wordlist_of(spark, ("ja", 1))
-    schema = "word string, source_type string, exam_id string, frequency long"
-    first = spark.createDataFrame([("ja", "reading", "e1", 5), ("ja", "reading", "e2", 1)], schema)
-    second = spark.createDataFrame([("ja", "reading", "e1", 9)], schema)
+    first = spark.createDataFrame([("f1", "ja", "reading", "e1", 5), ("f2", "ja", "reading", "e2", 1)], COUNTS)
+    second = spark.createDataFrame([("f1", "ja", "reading", "e1", 9)], COUNTS)
     N.apply_batch(first, 0, folder, words)
     N.apply_batch(second, 1, folder, words)
     once = state(spark, folder)
@@ -63,12 +64,13 @@ def test_newest_frequency_wins_and_replay_changes_nothing(spark, tmp_path):
 
 def test_rollup_takes_the_level_of_the_current_list(spark, tmp_path):
     folder = str(tmp_path / "out")
-    schema = "word string, source_type string, exam_id string, frequency long"
-    batch = spark.createDataFrame([("ja", "reading", "e1", 5)], schema)
+    batch = spark.createDataFrame([("f", "ja", "reading", "e1", 5)], COUNTS)
     N.apply_batch(batch, 0, folder, wordlist_of(spark, ("ja", 1)))
     N.apply_batch(batch, 1, folder, wordlist_of(spark, ("ja", 4)))
+    later = spark.createDataFrame([("g", "ja", "reading", "e1", 2)], COUNTS)
+    N.apply_batch(later, 2, folder, wordlist_of(spark, ("ja", 4)))
     stored = N.current_counts(spark, folder).first()
-    assert stored.word_level == 1
+    assert (stored.frequency, stored.word_level) == (7, 4)
     assert state(spark, folder)[1][("ja", "all")][0] == 4
 
 
@@ -79,7 +81,41 @@ def test_stream_equals_batch(spark, tmp_path):
     for i, (exam, kind, text) in enumerate(texts):
         land(spark, source, str(i), exam, kind, text)
     follow(spark, source, folder, words)
-    files = spark.createDataFrame([(e, k, 3, t) for e, k, t in texts], SCHEMA)
+    files = spark.createDataFrame([("f", e, k, 3, t) for e, k, t in texts], SCHEMA)
     from lexfreq.operators.counts import label_counts
     batch = rollup(label_counts(K.file_counts(files), words))
     assert sorted(map(repr, N.current_rollup(spark, folder).collect())) == sorted(map(repr, batch.collect()))
+
+
+def test_files_of_one_exam_add_up_across_batches(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    words = wordlist_of(spark, ("ja", 1))
+    land(spark, source, "1", "e1", "reading", "ja ja")
+    land(spark, source, "2", "e1", "reading", "ja nein")
+    follow(spark, source, folder, words)
+    land(spark, source, "3", "e1", "reading", "")
+    follow(spark, source, folder, words)
+    counts, totals = state(spark, folder)
+    assert counts == {("ja", "reading", "e1"): 3, ("nein", "reading", "e1"): 1} and totals[("ja", "all")] == (1, 3, 1, True)
+
+
+def test_a_file_that_comes_again_replaces_itself(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    words = wordlist_of(spark, ("ja", 1))
+    land(spark, source, "1", "e1", "reading", "ja alt alt")
+    land(spark, source, "2", "e1", "reading", "alt")
+    land(spark, source, "9", "e2", "reading", "weg")
+    follow(spark, source, folder, words)
+    for again in ("1-b", "9-b"):
+        land(spark, source, again, "e1", "reading", "ja neu")
+    follow(spark, source, folder, words)
+    for _ in range(2):
+        counts, totals = state(spark, folder)
+        assert counts == {("ja", "reading", "e1"): 2, ("neu", "reading", "e1"): 2, ("alt", "reading", "e1"): 1}
+        assert {w: t for (w, s), (_, t, *_) in totals.items() if s == "all"} == {"ja": 2, "neu": 2, "alt": 1}
+        N.compact(spark, folder)
+    land(spark, source, "2-b", "e1", "reading", "ende")
+    follow(spark, source, folder, words)
+    counts, totals = state(spark, folder)
+    assert counts == {("ja", "reading", "e1"): 2, ("neu", "reading", "e1"): 2, ("ende", "reading", "e1"): 1}
+    assert ("alt", "all") not in totals and totals[("ende", "all")] == (None, 1, 1, False)

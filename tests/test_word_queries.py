@@ -2,9 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexfreq.functions import reading
+from lexfreq.operators import checks
 from lexfreq.operators.counts import label_counts, rollup
-from lexfreq.plans import word_queries as Q
+from lexfreq.operators.decompose import PLAIN_RULES
+from lexfreq.plans import corpus as K, word_queries as Q
 from lexfreq.plans.corpus import Corpus
+from lexfreq.schemas import TABLES
 
 
 def pairs(df, a, b):
@@ -18,16 +21,16 @@ def words(df):
 def test_exams(seed):
     rows = Q.list_exams(seed.sources).collect()
     assert [(r.exam_id, r.exam_level, r.source_types) for r in rows] == [
-        ("2020-01", 3, ["listening", "reading"]), ("2021-02", 4, ["reading"])]
+        ("k07", 4, ["listening", "reading"]), ("m11", 5, ["reading"])]
 
 
 def test_exams_without_level_come_last(spark, seed):
     more = seed.sources.union(spark.createDataFrame(
         [("0000", "reading", None, None, "x")], seed.sources.schema))
     assert [r.exam_id for r in Q.list_exams(more).collect()][-1] == "0000"
-    assert [r.exam_id for r in Q.exam_groups(more).collect()] == ["2020-01", "2021-02", "0000"]
-    assert [r.exam_id for r in Q.exam_groups(more, " 2021").collect()] == ["2021-02"]
-    assert [r.exam_level for r in Q.exam_levels(more).collect()] == [3, 4]
+    assert [r.exam_id for r in Q.exam_groups(more).collect()] == ["k07", "m11", "0000"]
+    assert [r.exam_id for r in Q.exam_groups(more, " M1").collect()] == ["m11"]
+    assert [r.exam_level for r in Q.exam_levels(more).collect()] == [4, 5]
 
 
 def total(corpus, **scope):
@@ -36,20 +39,20 @@ def total(corpus, **scope):
 
 def test_top_uses_the_rollup(seed):
     rows = Q.top_words(seed).collect()
-    assert [r.word for r in rows][:2] == ["你好", "因为"]
-    assert {r.word for r in rows[2:]} == {"谢谢", "喵星人"}
-    assert rows[1].total_frequency == 8 and rows[0].pinyin == "nǐ hǎo"
+    assert [r.word for r in rows][:2] == ["苹果", "虽然"]
+    assert {r.word for r in rows[2:]} == {"老师", "机器猫"}
+    assert rows[1].total_frequency == 9 and rows[0].pinyin == "píng guǒ"
     assert total(seed) == 4
 
 
 def test_top_by_word_level(seed):
-    assert set(words(Q.top_words(seed, word_level=1))) == {"你好", "谢谢"}
+    assert set(words(Q.top_words(seed, word_level=1))) == {"苹果", "老师"}
     assert total(seed, word_level=1) == 2
 
 
 def test_top_by_source(seed):
     assert pairs(Q.top_words(seed, source_type="reading"), "word", "total_frequency") == {
-        "你好": 7, "谢谢": 1, "因为": 8, "喵星人": 1}
+        "苹果": 9, "老师": 2, "虽然": 9, "机器猫": 1}
 
 
 def test_limit_does_not_change_the_total(seed):
@@ -58,21 +61,21 @@ def test_limit_does_not_change_the_total(seed):
 
 
 def test_top_by_exam_level_counts_live(seed):
-    rows = {r.word: r for r in Q.top_words(seed, exam_level=3).collect()}
-    assert rows["你好"].total_frequency == 8 and rows["你好"].exam_count == 1
-    assert rows["你好"].source_type == "all" and rows["谢谢"].source_type == "reading"
-    assert "因为" not in rows and total(seed, exam_level=3) == 2
+    rows = {r.word: r for r in Q.top_words(seed, exam_level=4).collect()}
+    assert rows["苹果"].total_frequency == 10 and rows["苹果"].exam_count == 1
+    assert rows["苹果"].source_type == "all" and rows["老师"].source_type == "reading"
+    assert "虽然" not in rows and total(seed, exam_level=4) == 2
 
 
 def test_top_by_exams(seed):
-    assert set(words(Q.top_words(seed, exam_ids=["2021-02"]))) == {"你好", "因为", "喵星人"}
-    assert pairs(Q.top_words(seed, exam_ids=["2020-01"], source_type="listening"), "word", "total_frequency") == {"你好": 3}
-    assert pairs(Q.top_words(seed, exam_ids=["2021-02"]), "word", "total_frequency")["因为"] == 10
+    assert set(words(Q.top_words(seed, exam_ids=["m11"]))) == {"苹果", "虽然", "机器猫"}
+    assert pairs(Q.top_words(seed, exam_ids=["k07"], source_type="listening"), "word", "total_frequency") == {"苹果": 4}
+    assert pairs(Q.top_words(seed, exam_ids=["m11"]), "word", "total_frequency")["虽然"] == 11
 
 
 def test_long_id_lists_are_joined(seed):
-    ids = ["2021-02"] + [f"x{i}" for i in range(Q.MAX_INLINE_IDS)]
-    assert set(words(Q.top_words(seed, exam_ids=ids))) == {"你好", "因为", "喵星人"}
+    ids = ["m11"] + [f"x{i}" for i in range(1500)] * 2
+    assert set(words(Q.top_words(seed, exam_ids=ids))) == {"苹果", "虽然", "机器猫"}
 
 
 def test_empty_scope(seed):
@@ -101,28 +104,28 @@ def sides(df):
 
 def test_compare(seed):
     listed, unlisted = sides(Q.compare_words(seed))
-    assert list(listed) == ["你好", "因为", "谢谢"] and list(unlisted) == ["喵星人"]
+    assert list(listed) == ["苹果", "虽然", "老师"] and list(unlisted) == ["机器猫"]
     listed, unlisted = sides(Q.compare_words(seed, word_level=1))
-    assert set(listed) == {"你好", "谢谢"} and not unlisted
+    assert set(listed) == {"苹果", "老师"} and not unlisted
 
 
 def test_compare_live(seed):
-    listed, unlisted = sides(Q.compare_words(seed, exam_id="2021-02"))
-    assert listed == {"因为": 10, "你好": 2} and list(unlisted) == ["喵星人"]
-    assert sides(Q.compare_words(seed, exam_level=3))[0] == {"你好": 8, "谢谢": 1}
-    assert sides(Q.compare_words(seed, exam_level=3, source_type="reading"))[0] == {"你好": 5, "谢谢": 1}
+    listed, unlisted = sides(Q.compare_words(seed, exam_id="m11"))
+    assert listed == {"虽然": 11, "苹果": 3} and list(unlisted) == ["机器猫"]
+    assert sides(Q.compare_words(seed, exam_level=4))[0] == {"苹果": 10, "老师": 2}
+    assert sides(Q.compare_words(seed, exam_level=4, source_type="reading"))[0] == {"苹果": 6, "老师": 2}
     assert sides(Q.compare_words(seed, exam_id="nope")) == ({}, {})
 
 
 def test_filters_combine_with_an_exam(seed):
-    assert sides(Q.compare_words(seed, exam_id="2020-01", source_type="listening"))[0] == {"你好": 3}
+    assert sides(Q.compare_words(seed, exam_id="k07", source_type="listening"))[0] == {"苹果": 4}
 
 
 def test_occurrences(seed):
-    rows = Q.word_occurrences(seed, "你好").collect()
-    assert [r.frequency for r in rows] == [5, 3, 2]
-    assert rows[0].filename == "reading_2020_01.pdf" and rows[2].year == 2021
-    assert Q.word_aggregates(seed, "你好").count() == 3
+    rows = Q.word_occurrences(seed, "苹果").collect()
+    assert [r.frequency for r in rows] == [6, 4, 3]
+    assert rows[0].filename == "k07.pdf" and rows[2].year == 2022
+    assert Q.word_aggregates(seed, "苹果").count() == 3
     assert Q.word_occurrences(seed, "没有").count() == 0
 
 
@@ -134,19 +137,19 @@ def test_query_length(seed, text):
 
 
 def test_detail(seed):
-    row = Q.word_detail(seed, "你好").first()
-    assert row.in_wordlist and row.pinyin == "nǐ hǎo" and row.definition_th == "สวัสดี"
+    row = Q.word_detail(seed, "苹果").first()
+    assert row.in_wordlist and row.pinyin == "píng guǒ" and row.definition_th == "แอปเปิล"
     assert (row.sentence_total, row.file_total) == (2, 2)
-    found = Q.example_sentences(seed, "你好").collect()
-    assert {(r.exam_id, r.source_type) for r in found} == {("2020-01", "reading"), ("2020-01", "listening")}
-    assert found[0].exam_level == 3
+    found = Q.example_sentences(seed, "苹果").collect()
+    assert {(r.exam_id, r.source_type) for r in found} == {("k07", "reading"), ("k07", "listening")}
+    assert found[0].exam_level == 4
 
 
 def test_detail_of_unlisted_word(seed):
-    row = Q.word_detail(seed, "喵星人").first()
+    row = Q.word_detail(seed, "机器猫").first()
     assert not row.in_wordlist and row.pinyin is None and row.word_level is None
     assert (row.sentence_total, row.file_total) == (0, 0)
-    assert Q.example_sentences(seed, "喵星人").count() == 0
+    assert Q.example_sentences(seed, "机器猫").count() == 0
 
 
 def test_search_has_no_wildcards(spark, seed):
@@ -167,9 +170,9 @@ def test_examples_spread_over_files(spark, seed):
 
 def test_batch_detail_equals_single_detail(spark, seed):
     listed = {r.word: (r.sentence_total, r.file_total) for r in Q.sentence_totals_of_all_words(seed).collect()}
-    assert listed == {"你好": (2, 2), "因为": (1, 1)}
+    assert listed == {"苹果": (2, 2), "老师": (1, 1), "虽然": (1, 1)}
     batch = Q.examples_of_all_words(seed).collect()
-    for word in ("你好", "因为"):
+    for word in ("苹果", "老师", "虽然"):
         single = [(r.sentence, r.filename) for r in Q.example_sentences(seed, word).collect()]
         assert single == [(r.sentence, r.filename) for r in sorted(
             (r for r in batch if r.word == word), key=lambda r: r.example_rank)]
@@ -180,15 +183,15 @@ def test_both_routes_agree_on_everything(spark, seed):
                           seed.wordlist.select("word", "word_level"))
     corpus = Corpus(seed.wordlist, seed.sources, counts, rollup(counts), seed.sentences)
     stored = pairs(Q.top_words(corpus), "word", "total_frequency")
-    live = pairs(Q.top_words(corpus, exam_ids=["2020-01", "2021-02"]), "word", "total_frequency")
+    live = pairs(Q.top_words(corpus, exam_ids=["k07", "m11"]), "word", "total_frequency")
     assert stored == live
 
 
 def test_summary_and_pages(seed):
     row = Q.scope_summary(Q.scope_words(seed)).first()
-    assert (row.total_occurrences, row.official_words, row.unofficial_words, row.max_exam_count) == (20, 3, 1, 2)
-    items = Q.scope_words(seed)
-    assert words(Q.word_page(items, 1, page_size=3))[:2] == ["你好", "因为"]
+    assert (row.total_occurrences, row.official_words, row.unofficial_words, row.max_exam_count) == (25, 3, 1, 2)
+    items = Q.ranked_items(Q.scope_words(seed))
+    assert words(Q.word_page(items, 1, page_size=3))[:2] == ["苹果", "虽然"]
     assert words(Q.word_page(items, 9, page_size=3)) == words(Q.word_page(items, 2, page_size=3))
     assert len(words(Q.word_page(items, 2, page_size=3))) == 1
     assert words(Q.word_page(items.filter("false"), 3)) == []
@@ -196,11 +199,11 @@ def test_summary_and_pages(seed):
 
 def test_reading_search(seed):
     items = Q.scope_words(seed).join(seed.wordlist.select("word", "pinyin"), "word", "left")
-    assert set(words(Q.search_words(items, " "))) == {"你好", "谢谢", "因为"}
-    assert words(Q.search_words(items, "NIhao")) == ["你好"]
-    assert words(Q.search_words(items, "xiè X")) == ["谢谢"]
-    assert words(Q.search_words(items, "为")) == ["因为"]
-    assert words(Q.search_words(items, "喵")) == []
+    assert set(words(Q.search_words(items, " "))) == {"苹果", "老师", "虽然"}
+    assert words(Q.search_words(items, "PINGguo")) == ["苹果"]
+    assert words(Q.search_words(items, "lǎo S")) == ["老师"]
+    assert words(Q.search_words(items, "然")) == ["虽然"]
+    assert words(Q.search_words(items, "机")) == []
 
 
 def test_plain_reading(spark):
@@ -209,4 +212,44 @@ def test_plain_reading(spark):
 
 
 def test_unlisted_by_exams(seed):
-    assert [(r.word, r.exam_count) for r in Q.unlisted_by_exams(seed).collect()] == [("喵星人", 1)]
+    assert [(r.word, r.exam_count) for r in Q.unlisted_by_exams(seed).collect()] == [("机器猫", 1)]
+
+
+def test_stored_corpus(spark, tmp_path):
+    """Written and read back, both routes give the same, no text is read, and no table or column is missing."""
+    files = spark.createDataFrame(
+        [("e1", "reading", 3, "a b b c c c aa"), ("e1", "listening", 3, "b c"), ("e2", "reading", 4, "c d aa")],
+        "exam_id string, source_type string, exam_level int, text string")
+    wordlist = spark.createDataFrame([("a", "", 5, None, None), ("a", "", 2, None, None), ("b", "", 3, None, None)],
+                                     "word string, pinyin string, word_level int, definition string, definition_th string")
+    sources = spark.createDataFrame([("e1", "reading", 1, 3, "x"), ("e1", "listening", 1, 3, "y"), ("e2", "reading", 1, 4, "z")],
+                                    "exam_id string, source_type string, year int, exam_level int, filename string")
+    sentences = spark.createDataFrame([("e1", "reading", "a b b")], "exam_id string, source_type string, sentence string")
+    K.write(K.build(files, wordlist, sources, sentences, rules=PLAIN_RULES), str(tmp_path))
+    corpus = K.read(spark, str(tmp_path))
+    rows = {r.word: r for r in Q.top_words(corpus).collect()}
+    assert {w: (r.total_frequency, r.exam_count, r.word_level, r.effective_level) for w, r in rows.items()} == {
+        "a": (1, 1, 2, 2), "b": (3, 1, 3, 3), "c": (5, 2, None, None), "aa": (2, 2, None, 2), "d": (1, 1, None, None)}
+    live = {r.word: r for r in Q.top_words(corpus, exam_ids=["e1", "e2"]).collect()}
+    for word, row in rows.items():
+        assert (row.total_frequency, row.exam_count, row.effective_level, row.in_official_wordlist) == (
+            live[word].total_frequency, live[word].exam_count, live[word].effective_level, live[word].in_official_wordlist)
+    actual = checks.schema_rows(spark, {t: spark.read.parquet(f"{tmp_path}/{t}").columns for t in TABLES})
+    assert checks.schema_drift(checks.schema_rows(spark, checks.expected_columns()), actual).count() == 0
+    assert set(checks.constraint_violations(corpus.wordlist, *[getattr(corpus, n) for n in ("sources", "frequencies", "sentences")])
+               .filter("violations > 0").toPandas()["check_name"]) == {"wordlist.word"}
+
+
+def test_cleaned_converted_and_segmented(spark):
+    """The whole way to counts for a script without blanks."""
+    files = spark.createDataFrame(
+        [("e1", "listening", 3, "他們去火車站,他們去火車站,很好。"), ("e1", "reading", 3, "火車站很大,很大。")],
+        "exam_id string, source_type string, exam_level int, text string")
+    pairs_ = spark.createDataFrame([("們", "们"), ("車", "车")], "source string, target string")
+    lexicon = spark.createDataFrame([("他们", 9), ("火车站", 9), ("火车", 5), ("很", 9), ("去", 9)], "word string, weight long")
+    ready = K.cleaned(files, F.col("source_type") == "listening", pairs_)
+    wordlist = spark.createDataFrame([("火车站", 2)], "word string, word_level int")
+    corpus = K.build(ready, wordlist, None, count=K.segmented_counts(lexicon))
+    got = {(r.word, r.source_type): (r.frequency, r.word_level) for r in corpus.frequencies.collect()}
+    assert got == {("他们", "listening"): (1, None), ("去", "listening"): (1, None), ("火车站", "listening"): (1, 2), ("很", "listening"): (1, None),
+                   ("好", "listening"): (1, None), ("火车站", "reading"): (1, 2), ("很", "reading"): (2, None), ("大", "reading"): (2, None)}
