@@ -10,7 +10,7 @@ import test_llm_simhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexfreq.llm import mixing, queries, simhash, token_shards
+from lexfreq.llm import mixing, queries, token_shards
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no supplied tables")
@@ -70,12 +70,12 @@ def test_toxic_documents_go(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    rows = stages[1].collect()
-    fps = {r.doc_id: test_llm_simhash.by_definition(r.text) for r in rows}
-    ids = sorted(fps)
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fps[a] ^ fps[b]).bit_count() <= 3]
-    root = test_llm_simhash.reachable(pairs, ids)
-    assert pairs and {r.doc_id for r in stages[2].collect()} == set(root.values())
+    sets = {r.doc_id: test_llm_simhash.shingles(r.text) for r in stages[1].collect()}
+    ids, kept = sorted(sets), {r.doc_id for r in stages[2].collect()}
+    like = {(a, b): len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) for i, a in enumerate(ids) for b in ids[:i]}
+    assert any(j >= 0.85 for j in like.values()) and not any(j >= 0.85 and {*pair} <= kept for pair, j in like.items())
+    root = test_llm_simhash.reachable([p for p, j in like.items() if j >= 0.8], ids)
+    assert set(root.values()) <= kept
 
 
 def test_contaminated_documents_go(spark, stages):
@@ -115,4 +115,3 @@ def test_sequences_give_the_texts_back(stages):
 
 def test_run_is_the_stages_in_turn(spark, stages):
     assert corpus_pipeline.run(spark, FOLDER).count() == stages[5].count()
-    assert simhash.RADIUS == 3

@@ -89,3 +89,32 @@ def test_near_duplicates(spark):
     assert {r.fingerprint for r in got if r.doc_id in (8, 2)} == {"0" * 16}
     assert {r.fingerprint for r in got if r.doc_id == 11} == {f"{by_definition('other words here'):016x}"}
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_documents(spark):
+    draw = random.Random(5)
+    rows = []
+    for family in range(60):
+        base = [f"w{draw.randint(0, 5000)}" for _ in range(draw.choice([6, 60, 300, 900]))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(draw.randint(0, 6)):
+            words = [w if draw.random() > draw.choice([0, 0.005, 0.02, 0.1]) else "changed" for w in base]
+            rows.append((len(rows), draw.choice([" ", "\n"]).join(words)))
+    rows += [(1000, None), (1001, ""), (1002, "two words"), (1003, "Two  words"), (None, rows[0][1]), (2, rows[2][1])]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], SCHEMA)
+    out = simhash.similar_documents(df).collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r.component_id for r in out}
+    sets = {i: shingles(t) for i, t in rows}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(1000) if a in sets for b in range(a) if b in sets}
+    near = [p for p, j in like.items() if j >= 0.85]
+    assert near and sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+    loose = reachable([p for p, j in like.items() if j >= 0.8], [i for i in sets if i is not None])
+    assert all(loose[i] == loose[got[i]] for i in range(len(rows) - 6))
+    assert got[1000] == got[1001] == 1000 and got[1002] == got[1003] == 1002 and got[None] == got[0]
+    assert simhash.similar_documents(df.limit(0)).collect() == []
