@@ -18,8 +18,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from lexfreq.registry import QUERIES  # noqa: E402
 from lexfreq.session import local_session  # noqa: E402
 
+# corpus_written is the load; the queries up to all_word_sentence_totals answer from a corpus that is loaded once.
 HEADLINES = [
-    "counts_per_file", "rollup", "top_words", "top_words_exam_level", "compare_words", "word_detail",
+    "corpus_written", "counts_per_file", "rollup", "top_words", "top_words_exam_level", "compare_words", "word_detail",
     "example_sentences", "exam_sentences", "all_word_sentence_totals", "transcripts_deduped",
     "repeats_collapsed", "converted_counts", "segmented_counts", "compound_levels",
     "affixed_compound_levels", "labelled_counts", "coverage_by_match_type", "unmatched_review",

@@ -38,7 +38,6 @@ LEVEL_IN_NAME = r"(?i)HSK(\d)"
 COPY_MARKS = (("_copy", 10), ("-audio", 10), ("试卷", 5), ("(1)", 3))
 INSTRUCTION_MARKS = ("exam-paper", "试卷")
 INVENTORY_EXTENSIONS = ("pdf", "mp3", "wav", "m4a", "flac")
-TRANSCRIPT_EXTENSIONS = ("mp3", "wav", "m4a", "flac", "ogg", "mp4")
 
 # --- extraction quality --------------------------------------------------------
 MIN_CHARS_PER_PAGE = 150

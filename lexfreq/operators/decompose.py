@@ -95,9 +95,10 @@ def _from(text: Column, start: Column) -> Column:
 
 
 def _splits(text: Column) -> Column:
-    """Left lengths at which both sides have two characters or more."""
-    return F.when(F.length(text) >= 4, F.sequence(F.lit(2), F.length(text) - 2)).otherwise(
-        F.array().cast("array<int>"))
+    """Left lengths at which both sides have two characters or more, and no more than the longest listed word."""
+    low = F.greatest(F.lit(2), F.length(text) - F.col("longest"))
+    high = F.least(F.length(text) - 2, F.col("longest"))
+    return F.when((F.length(text) >= 4) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
 class _Grid:
@@ -245,22 +246,22 @@ def resolve_words(words: DataFrame, wordlist: DataFrame, rules: RuleSet = HAN_RU
                 .join(listed.select(F.col("part").alias("word")), "word", "left_anti")
                 .filter(F.col("word") != ""))
     grid = _Grid(rules, F.col("word"))
-    shaped = unlisted.select("word", grid.lead.alias("lead"), grid.trail.alias("trail"))
+    longest = F.coalesce(listed.agg(F.max(F.length("part"))).scalar(), F.lit(0)).alias("longest")
+    shaped = unlisted.select("word", grid.lead.alias("lead"), grid.trail.alias("trail"), longest)
 
     asked = F.flatten(F.transform(grid.cells(), lambda c: _probes(c["text"], rules)))
     if rules.front or rules.back:
         class_chars = f"[{rules.front}{rules.back}]"
         asked = F.concat(asked, F.filter(characters(F.col("word")), lambda c: c.rlike(class_chars)))
-    longest = listed.agg(F.max(F.length("part"))).scalar()
     found = (shaped
-             .select("word", F.explode(F.array_distinct(asked)).alias("part"))
-             .filter((F.col("part") != "") & (F.length("part") <= longest))
+             .select("word", "longest", F.explode(F.array_distinct(asked)).alias("part"))
+             .filter((F.col("part") != "") & (F.length("part") <= F.col("longest")))
              .join(listed, "part")
-             .groupBy("word")
+             .groupBy("word", "longest")
              .agg(F.map_from_entries(F.collect_list(F.struct("part", "level"))).alias("known")))
     # A word without any known part cannot resolve, so it is not needed again.
     folded = (found
-              .select("word", "known", grid.lead.alias("lead"), grid.trail.alias("trail"))
+              .select("word", "longest", "known", grid.lead.alias("lead"), grid.trail.alias("trail"))
               .withColumn("levels", F.aggregate(
                   grid.cells(detail=True), F.array().cast("array<int>"),
                   lambda resolved, cell: F.concat(resolved, F.array(_cell_level(cell, resolved, rules)))))

@@ -169,24 +169,26 @@ SQL = {
       WHERE sentence NOT IN (SELECT sentence FROM cand GROUP BY 1 HAVING count(DISTINCT exam_id) >= 3))""",
     "vocab": "vocab AS (SELECT DISTINCT word FROM tok)",
     # Levels by the rules without character classes: doubled single, XX, AABB, two listed words.
-    "composed": """unlisted AS (SELECT word FROM vocab WHERE word NOT IN (SELECT word FROM wl)),
-    halves AS (
-      SELECT u.word, s.i, greatest(a.word_level, b.word_level) AS lv
-      FROM (SELECT word, unnest(range(2, length(word) - 1)) AS i FROM unlisted WHERE length(word) >= 4) s
-      JOIN unlisted u ON u.word = s.word
-      JOIN wl a ON a.word = left(s.word, s.i) JOIN wl b ON b.word = substr(s.word, s.i + 1)),
+    "composed": """unlisted AS MATERIALIZED (SELECT word FROM vocab WHERE word NOT IN (SELECT word FROM wl)),
+    splits AS MATERIALIZED (
+      SELECT word, i, left(word, i) AS a, substr(word, i + 1) AS b
+      FROM (SELECT word, unnest(range(2, length(word) - 1)) AS i, (SELECT max(length(word)) FROM wl) AS longest FROM unlisted WHERE length(word) >= 4)
+      WHERE i <= longest AND length(word) - i <= longest),
+    halves AS MATERIALIZED (
+      SELECT s.word, arg_min(greatest(a.word_level, b.word_level), s.i) AS lv
+      FROM splits s JOIN wl a ON a.word = s.a JOIN wl b ON b.word = s.b GROUP BY 1),
+    shaped AS MATERIALIZED (
+      SELECT word, CASE WHEN length(word) = 1 THEN word || word END AS doubled,
+             CASE WHEN length(word) = 2 AND word[1] = word[2] THEN word[1] END AS single,
+             CASE WHEN length(word) = 4 AND word[1] = word[2] AND word[3] = word[4] THEN word[1] || word[3] END AS base FROM unlisted),
     composed AS (
       SELECT word, decomposed_level, match_pattern FROM (
-        SELECT u.word,
-          CASE WHEN length(u.word) = 1 THEN d.word_level ELSE coalesce(x.word_level, ab.word_level, h.lv) END AS decomposed_level,
-          CASE WHEN length(u.word) = 1 THEN 'single_char_via_doubled_form'
+        SELECT u.word, coalesce(d.word_level, x.word_level, ab.word_level, h.lv) AS decomposed_level,
+          CASE WHEN u.doubled IS NOT NULL THEN 'single_char_via_doubled_form'
                WHEN x.word_level IS NOT NULL THEN 'reduplication'
                WHEN ab.word_level IS NOT NULL THEN 'aabb_reduplication' ELSE 'two_word_compound' END AS match_pattern
-        FROM unlisted u
-        LEFT JOIN wl d ON length(u.word) = 1 AND d.word = u.word || u.word
-        LEFT JOIN wl x ON length(u.word) = 2 AND u.word[1] = u.word[2] AND x.word = u.word[1]
-        LEFT JOIN wl ab ON length(u.word) = 4 AND u.word[1] = u.word[2] AND u.word[3] = u.word[4] AND ab.word = u.word[1] || u.word[3]
-        LEFT JOIN (SELECT word, arg_min(lv, i) AS lv FROM halves GROUP BY 1) h ON h.word = u.word)
+        FROM shaped u LEFT JOIN wl d ON d.word = u.doubled LEFT JOIN wl x ON x.word = u.single
+        LEFT JOIN wl ab ON ab.word = u.base LEFT JOIN halves h ON h.word = u.word)
       WHERE decomposed_level IS NOT NULL)""",
     "lab": """lab AS (
       SELECT c.*, w.word_level, p.match_pattern, coalesce(w.word_level, p.decomposed_level) AS effective_level,

@@ -84,7 +84,30 @@ def _(spark, sf):
     return cleaning.lowest_level(converted)
 
 
-@query("segmented_counts")
+# The best path from the end of each run to its start: values and paths of all later positions are carried along.
+_SEGMENTED = sql("files", "").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+  lex AS (SELECT word, count(*) AS weight FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS word FROM benchmark) GROUP BY 1),
+  size AS (SELECT CAST(sum(weight) AS DOUBLE) AS total, max(length(word)) AS longest FROM lex),
+  runs AS MATERIALIZED (SELECT exam_id, source_type, run, count(*) AS n FROM (
+    SELECT exam_id, source_type, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS run FROM files) GROUP BY ALL),
+  own AS MATERIALIZED (SELECT DISTINCT run FROM runs),
+  grams AS (SELECT run, s, z, substr(run, s, z) AS g
+            FROM (SELECT run, s, unnest(range(1, least(longest, length(run) - s + 1) + 1)) AS z
+                  FROM (SELECT run, unnest(range(1, length(run) + 1)) AS s FROM own), size)),
+  steps AS MATERIALIZED (SELECT run, s, list({'w': coalesce(ln(CAST(weight AS DOUBLE)), 0.0) - ln(total), 'z': z, 'g': g}) AS o
+            FROM grams LEFT JOIN lex ON g = word, size WHERE z = 1 OR weight IS NOT NULL GROUP BY run, s),
+  walk AS (
+    SELECT run, CAST(length(run) + 1 AS BIGINT) AS at, [CAST(0.0 AS DOUBLE)] AS vals, [CAST([] AS VARCHAR[])] AS paths FROM own
+    UNION ALL
+    SELECT run, at - 1, list_prepend(best.v, vals), list_prepend(list_prepend(best.g, paths[best.z]), paths) FROM (
+      SELECT walk.*, list_max([{'v': x.w + vals[x.z], 'z': x.z, 'g': x.g} FOR x IN o]) AS best
+      FROM walk JOIN steps ON steps.run = walk.run AND steps.s = walk.at - 1))
+  SELECT exam_id, source_type, word, CAST(sum(n) AS BIGINT) AS frequency
+  FROM (SELECT run, unnest(paths[1]) AS word FROM walk WHERE at = 1) JOIN runs USING (run) GROUP BY ALL"""
+
+
+@query("segmented_counts", _SEGMENTED)
 def _(spark, sf):
     """Words treated as unspaced runs and cut into listed words."""
     lexicon = C.word_counts(K.spaced_tokens(I.table(spark, sf, "benchmark").select("text")), keys=(), output="weight")

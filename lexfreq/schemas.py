@@ -36,9 +36,6 @@ TABLES = {
     "exam_sentences": EXAM_SENTENCES,
 }
 
-RAW_EXTRACTIONS = _struct(
-    "exam_id STRING, exam_level INT, source_type STRING, filename STRING, size_mb DOUBLE, "
-    "text STRING, text_length INT, notes STRING")
 WORD_COUNTS = _struct(
     "word STRING, level INT, exam_id STRING, exam_level INT, source_type STRING, count BIGINT, "
     "match_pattern STRING, effective_level INT, match_type STRING")
