@@ -45,6 +45,7 @@ COSTS = {"look_alike": 0.7, "kept_symbol": 6.0, "dropped_separator": 0.1, "kept_
 
 _ALIKE = np.zeros(256, bool)
 _ALIKE[[ord(c) for c in LOOK_ALIKES if ord(c) < 128]] = True
+# Look-alikes that may end a word or stand alone among spaced letters.
 _TRAILING = np.zeros(256, bool)
 _TRAILING[[ord(c) for c in "0123456789@$"]] = True
 _MASK = np.zeros(256, bool)
@@ -200,15 +201,20 @@ def _disguised(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = np.concatenate([data, np.zeros(7, np.uint8)])
     letters = np.concatenate([letter, np.zeros(7, bool)])
     n = len(data)
-    after = letters[1:n + 1]
+    # What follows must be in the same word: texts stand side by side in the data.
+    last = np.zeros(n + 7, bool)
+    last[end - 1] = True
+    lasts = np.concatenate([[0], np.cumsum(last)])
+    after = letters[1:n + 1] & ~last[:n]
     ascii_letter = letter & (data < 0x80)
     flags = _ALIKE[data] & after
     inner = np.zeros(n, bool)
-    inner[1:] = letter[:-1]
+    inner[1:] = letter[:-1] & ~last[:n - 1]
     masked = _MASK[data] & inner & after
-    triple = ascii_letter & (data == padded[1:n + 1]) & (data == padded[2:n + 2])
+    triple = ascii_letter & (data == padded[1:n + 1]) & (data == padded[2:n + 2]) & ~last[:n] & ~last[1:n + 1]
     apart = _SEPARATOR[padded]
-    chain = (letter & apart[1:n + 1] & letters[2:n + 2] & apart[3:n + 3] & letters[4:n + 4] & apart[5:n + 5] & letters[6:n + 6])
+    chain = (letter & apart[1:n + 1] & letters[2:n + 2] & apart[3:n + 3] & letters[4:n + 4] & apart[5:n + 5] & letters[6:n + 6]
+             & (lasts[6:n + 6] == lasts[:n]))
     sums = np.concatenate([[0], np.cumsum(flags | masked | triple | chain)])
     odd = sums[end] > sums[begin]
     # A short tail of look-alikes right after a letter (worthle55), not the long ones of junk.
@@ -222,7 +228,7 @@ def _disguised(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         odd[np.flatnonzero(fits)[ok]] = True
     # One character may be several bytes: all but the first are 10xxxxxx.
     leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    single = (leads[end] - leads[begin] == 1) & (letter[begin] | _ALIKE[data[begin]])
+    single = (leads[end] - leads[begin] == 1) & (letter[begin] | _TRAILING[data[begin]])
     linked = single[1:] & single[:-1] & (text[1:] == text[:-1]) & (begin[1:] == end[:-1] + 1)
     heads = single & ~np.concatenate([[False], linked])
     tails = single & ~np.concatenate([linked, [False]])

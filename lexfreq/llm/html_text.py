@@ -58,11 +58,11 @@ WIDTH = 1.0
 
 
 class _Lines(HTMLParser):
-    """Collects [text, tags, region, kept] of every block."""
+    """Collects text, tags and region of every block that is not left out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple, bool]] = []
+        self.lines: list[tuple[str, int, tuple]] = []
         self.stack: list[tuple[str, bool, tuple | None]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -75,7 +75,7 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((text, max(1, self.tags), self.regions[-1], not self.left_out))
+                self.lines.append((text, max(1, self.tags), self.regions[-1]))
                 self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -137,7 +137,8 @@ class _Lines(HTMLParser):
                     return
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if not self.left_out:
+            self.parts.append(data)
 
     def close(self) -> None:
         super().close()
@@ -159,19 +160,19 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = [line for line in parser.lines if line[3]]
+    lines = parser.lines
     if not lines:
         return ""
     lengths = np.array([len(text) for text, *_ in lines], float)
     ratios = smoothed(lengths / np.array([tags for _, tags, *_ in lines], float))
     content = ratios >= min(float(ratios.std()), float(ratios.max()))
     weight: dict[tuple, float] = {}
-    for (_, _, region, _), length, dense in zip(lines, lengths, content):
+    for (_, _, region), length, dense in zip(lines, lengths, content):
         weight[region] = weight.get(region, 0.0) + length * bool(dense)
     kind = max(r[0] for r in weight if weight[r] > 0)
     best = max(w for r, w in weight.items() if r[0] == kind)
     chosen = {r for r, w in weight.items() if r[0] == kind and w >= best / 2}
-    return "\n".join(text for text, _, region, _ in lines if region in chosen)
+    return "\n".join(text for text, _, region in lines if region in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:

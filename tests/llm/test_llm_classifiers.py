@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from lexfreq.llm import linear, quality, toxicity
-from lexfreq.llm.deobfuscate import Restorer, character_counts, language_model
+from lexfreq.llm.deobfuscate import Restorer, _one_slot, character_counts, language_model
 
 FOLDER = "/root/testdata/sf0.1"
 supplied = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no supplied tables")
@@ -86,14 +86,15 @@ def test_disguised_words_are_restored(restorer, seen, meant):
 
 
 def test_plain_texts_stay(restorer):
-    texts = ["book and look, all of it!", "THE!! IDIOT!! OF!!", "moron$$$ stupid### trash***", "a | b | c", "on 12 the 3.", "é è à ß"]
+    texts = ["book and look, all of it!", "THE!! IDIOT!! OF!!", "moron$$$ stupid### trash***", "a | b | c", "on 12 the 3.", "é è à", "boo", "ok", "a!", "the"]
     assert restorer.restore(pa.array(texts))[0].to_pylist() == texts
 
 
 def test_character_counts_cover_all_documents(spark):
     docs = spark.createDataFrame([("ab",)] * 7 + [(None,), ("",)], "text string").repartition(4)
-    one = spark.createDataFrame([("ab",)], "text string")
-    assert {(r.slot, r.n) for r in character_counts(docs).collect()} >= {(r.slot, 7 * r.n) for r in character_counts(one).collect() if r.n == 1}
+    counted = {r.slot: r.n for r in character_counts(docs).collect()}
+    for sequence in (b"a", b"b", b"ab", b" a", b" ab"):
+        assert counted[_one_slot(int.from_bytes(sequence, "big"), len(sequence))] == 7
 
 
 @pytest.mark.parametrize("module,label,fold", [(toxicity.toxicity, "toxic", (3, 1)), (quality.quality, "quality", (4, 2))])
