@@ -24,7 +24,7 @@ def _best_path():
         for start, size, word, weight in zip(starts, sizes, words, weights):
             steps.setdefault(start, []).append((weight, size, word))
         first, end = min(steps), max(start + size for start, size in zip(starts, sizes))
-        value, choice = {end: 0.0}, {}
+        value, choice = {end: 0}, {}
         for at in range(end - 1, first - 1, -1):
             value[at], _, choice[at] = max((weight + value[at + size], size, (size, word)) for weight, size, word in steps[at])
         out, at = [], first
@@ -66,7 +66,8 @@ def cut_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
     opens = (F.col("size") == 1) & (F.col("start") >= F.coalesce(reach, F.lit(0)))
     pieces = (hits.withColumn("opens", opens.cast("int"))
               .withColumn("piece", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("weight", F.coalesce("log_weight", F.lit(0.0)) - F.log(total)))
+              # Whole millionths: sums are exact, so paths that are equally probable tie.
+              .withColumn("weight", F.round((F.coalesce("log_weight", F.lit(0.0)) - F.log(total)) * 1_000_000).cast("bigint")))
     gathered = pieces.groupBy("run_id", "piece").agg(F.collect_list(F.struct("start", "size", "gram", "weight")).alias("hits"))
     several = F.when(F.size("hits") > 1, F.col("hits"))
     path = _best_path()(several["start"], several["size"], several["gram"], several["weight"])

@@ -95,16 +95,16 @@ _SEGMENTED = sql("files", "").replace("WITH ", "WITH RECURSIVE ", 1) + """,
   grams AS (SELECT run, s, z, substr(run, s, z) AS g
             FROM (SELECT run, s, unnest(range(1, least(longest, length(run) - s + 1) + 1)) AS z
                   FROM (SELECT run, unnest(range(1, length(run) + 1)) AS s FROM own), size)),
-  steps AS MATERIALIZED (SELECT run, s, list({'w': coalesce(ln(CAST(weight AS DOUBLE)), 0.0) - ln(total), 'z': z, 'g': g}) AS o
+  steps AS MATERIALIZED (SELECT run, s, list({'w': CAST(round((coalesce(ln(CAST(weight AS DOUBLE)), 0.0) - ln(total)) * 1000000) AS BIGINT), 'z': z, 'g': g}) AS o
             FROM grams LEFT JOIN lex ON g = word, size WHERE z = 1 OR weight IS NOT NULL GROUP BY run, s),
   walk AS (
-    SELECT run, CAST(length(run) + 1 AS BIGINT) AS at, [CAST(0.0 AS DOUBLE)] AS vals, [CAST([] AS VARCHAR[])] AS paths FROM own
+    SELECT run, CAST(length(run) + 1 AS BIGINT) AS place, [CAST(0 AS BIGINT)] AS vals, [CAST([] AS VARCHAR[])] AS paths FROM own
     UNION ALL
-    SELECT run, at - 1, list_prepend(best.v, vals), list_prepend(list_prepend(best.g, paths[best.z]), paths) FROM (
+    SELECT run, place - 1, list_prepend(best.v, vals), list_prepend(list_prepend(best.g, paths[best.z]), paths) FROM (
       SELECT walk.*, list_max([{'v': x.w + vals[x.z], 'z': x.z, 'g': x.g} FOR x IN o]) AS best
-      FROM walk JOIN steps ON steps.run = walk.run AND steps.s = walk.at - 1))
+      FROM walk JOIN steps ON steps.run = walk.run AND steps.s = walk.place - 1))
   SELECT exam_id, source_type, word, CAST(sum(n) AS BIGINT) AS frequency
-  FROM (SELECT run, unnest(paths[1]) AS word FROM walk WHERE at = 1) JOIN runs USING (run) GROUP BY ALL"""
+  FROM (SELECT run, unnest(paths[1]) AS word FROM walk WHERE place = 1) JOIN runs USING (run) GROUP BY ALL"""
 
 
 @query("segmented_counts", _SEGMENTED)

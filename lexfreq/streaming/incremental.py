@@ -20,7 +20,8 @@ from pyspark.sql.types import StructType
 from lexfreq.operators.counts import label_counts, relevel, rollup
 
 KEY = ["word", "source_type", "exam_id"]
-BUCKETS = 64
+# Words are dealt to so many folders of a batch. A store of billions of rows wants thousands.
+BUCKETS = 16
 FILES = "file_id STRING, batch BIGINT"
 COUNTS = "file_id STRING, word STRING, source_type STRING, exam_id STRING, frequency BIGINT, word_level INT, " \
          "in_official_wordlist BOOLEAN, batch BIGINT, bucket INT"
