@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexfreq.llm.scratch import written
-from lexfreq.session import ship_package
+from lexfreq.llm.scratch import arrow_map, written
 
 SAMPLE_ROWS = 16_384
 MOST_LISTS = 4_096
@@ -113,7 +112,6 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, share: float = P
            sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest of every vector whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
-    ship_package(spark)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sizes = rows.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
@@ -137,11 +135,11 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, share: float = P
                 lists = _nearest(_matrix(part["embedding"]) @ turn, centres, 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists.astype(np.int32))], [*part.schema.names, "list"])
 
-    index = written(rows.mapInArrow(assign, "vec_id bigint, embedding array<double>, list int"), "vector_lists")
+    index = written(arrow_map(rows, assign, "vec_id bigint, embedding array<double>, list int"), "vector_lists")
     counts = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
     blocks = {number: -(-n // BLOCK_ROWS) for number, n in counts.items()}
     held = spark.sparkContext.broadcast(blocks)
-    sizes = spark.createDataFrame(sorted(blocks.items()), "list int, blocks int")
+    sizes = written(spark.createDataFrame(sorted(blocks.items()), "list int, blocks int"), "list_blocks")
     stored = index.join(sizes, "list").select(
         "list", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "embedding")
 
@@ -161,7 +159,7 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, share: float = P
                         ["list", "block", "asks", "vec_id", "embedding"])
 
     queries = index.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").distinct()
-    asked = queries.mapInArrow(probe, stored.schema)
+    asked = arrow_map(queries, probe, stored.schema)
     wide = stored.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "asks", "vec_id")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +193,6 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, share: float = P
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)],
                                                  ["query_id", "query_key", "vec_id", "score"])
 
-    found = wide.mapInArrow(answer, "query_id bigint, query_key bigint, vec_id bigint, score double")
+    found = arrow_map(wide, answer, "query_id bigint, query_key bigint, vec_id bigint, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -24,10 +24,10 @@ def components(links: DataFrame) -> DataFrame:
                          .filter("u <> v").distinct())
     mark = _mark(links)
     while mark[0]:
-        ways = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = (ways.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .filter("u <> v").distinct())
+        # u is the larger end of every link; a larger neighbour goes to the smallest neighbour or the node itself.
+        upward = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = links.unionByName(upward.select("u", F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
+        large = upward.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                                F.col("m").alias("v")).distinct())

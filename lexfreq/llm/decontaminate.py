@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfreq.llm.scratch import written
+from lexfreq.llm.scratch import arrow_map, written
 from lexfreq.llm.words import ALPHANUMERIC, Words, find_words, grams, mix, slices
 
 WINDOW = 10
@@ -102,7 +102,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM, bits:
                      pa.array(slots.astype(np.int32))], ["item_id", "n", "h1", "h2", "slot"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, n int, h1 bigint, h2 bigint, slot int")
+    return arrow_map(items.select("item_id", "text"), run, f"item_id {kind}, n int, h1 bigint, h2 bigint, slot int")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM,
@@ -146,7 +146,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
                 ["doc_id", "n_words", "candidates"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, candidates array<{_SPAN}>")
+    scanned = arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, candidates array<{_SPAN}>")
     base = written(scanned.withColumn("row_id", F.monotonically_increasing_id()), "scanned_documents")
     exact = windows.groupBy("n", "h1", "h2").agg(F.collect_set("item_id").alias("item_ids"))
     hits = (base.filter(F.size("candidates") > 0).select("row_id", F.inline("candidates"))

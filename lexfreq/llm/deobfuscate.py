@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexfreq.llm.scratch import arrow_map
 from lexfreq.llm.words import LOWER, SPACED, find_words, flat, slices
-from lexfreq.session import ship_package
 
 ORDER = 4
 SLOT_BITS = 21
@@ -87,13 +87,12 @@ def character_counts(docs: DataFrame) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
 
-    return (docs.select("text").mapInArrow(run, "slot int, n bigint")
+    return (arrow_map(docs.select("text"), run, "slot int, n bigint")
             .groupBy("slot").agg(F.sum("n").alias("n")))
 
 
 def language_model(docs: DataFrame) -> bytes:
     """The table of counts, 8 MiB whatever the size of the corpus."""
-    ship_package(docs.sparkSession)
     counts = character_counts(docs).toPandas()
     table = np.zeros(1 << SLOT_BITS, np.uint32)
     # Only ratios matter, so counts are scaled down where they would not fit.

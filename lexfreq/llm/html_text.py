@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexfreq.session import ship_package
+from lexfreq.llm.scratch import arrow_map
 
 # Elements by role.
 CONTAINERS = {"article", "main", "section", "div", "td", "body"}
@@ -186,8 +186,8 @@ def extract(pages: DataFrame) -> DataFrame:
                     [part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     ["page_id", "url", "text", "n_chars"])
 
-    ship_package(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", pages["url"].cast("string").alias("url"), "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    wanted = pages.select("page_id", pages["url"].cast("string").alias("url"), "html")
+    return arrow_map(wanted, run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 

@@ -130,10 +130,10 @@ def mix(docs: DataFrame, keep: list[str] = ["doc_id"], weights: tuple[float, ...
     while block > 1 and least < 64 * block:
         block //= 2
     quotas = apportion(goal, round(sum(goal) / block))
-    plan = spark.createDataFrame(
+    plan = written(spark.createDataFrame(
         [(r.source, r.n, g, q, max(1, -(-r.rows // SHARD_ROWS), -(-r.n // SHARD_WORDS)))
          for r, g, q in zip(totals, goal, quotas)],
-        "source string, source_size bigint, target double, quota bigint, shards bigint")
+        "source string, source_size bigint, target double, quota bigint, shards bigint"), "mixing_plan")
     placed = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     placed = placed.withColumn("shard", F.pmod("dealt", "shards"))
     shares = placed.groupBy("source", "quota", "shard").agg(F.sum("size").alias("words")).withColumn(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfreq.llm.scratch import written
+from lexfreq.llm.scratch import arrow_map, written
 
 KEY = b"surrogates"
 
@@ -240,8 +240,8 @@ def mentions(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text_key", "kind", "value"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_key bigint, kind string, value string")
+    wanted = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return arrow_map(wanted, run, f"doc_id {kind}, text_key bigint, kind string, value string")
 
 
 def _given(entities: DataFrame, key: bytes) -> DataFrame:
@@ -252,7 +252,7 @@ def _given(entities: DataFrame, key: bytes) -> DataFrame:
             made = [normal(k, surrogate(k, v, n, key)) for k, v, n in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "made"])
 
-    return entities.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, made string")
+    return arrow_map(entities.select("kind", "value", "attempt"), run, "kind string, value string, attempt int, made string")
 
 
 def attempts(entities: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -309,4 +309,4 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "n_replaced"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.select(*names, "_later").mapInArrow(run, f"{fields}, n_replaced bigint")
+    return arrow_map(joined.select(*names, "_later"), run, f"{fields}, n_replaced bigint")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexfreq.llm.linear import sigmoid
-from lexfreq.llm.scratch import written
+from lexfreq.llm.scratch import arrow_map, written
 from lexfreq.llm.toxicity import held_out
 from lexfreq.llm.words import SPACED, find_words, flat, slices
 
@@ -205,8 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 ["doc_id", "label", "bucket", "value", "statistics"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(texts.select("doc_id", "text", "n_chars", "label").mapInArrow(
-        run, f"doc_id {kind}, label int, bucket array<int>, value array<float>, statistics array<double>"), "quality_inputs")
+    schema = f"doc_id {kind}, label int, bucket array<int>, value array<float>, statistics array<double>"
+    rows = written(arrow_map(texts.select("doc_id", "text", "n_chars", "label"), run, schema), "quality_inputs")
     found = rows.toPandas().sort_values("doc_id", kind="stable")
     lengths = [len(b) for b in found["bucket"]]
     x = Inputs(np.repeat(np.arange(len(found)), lengths),
@@ -225,7 +225,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(shared.value.score(inputs(part)))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _plain(docs).mapInArrow(run, f"doc_id {kind}, score double").withColumn(
+    return arrow_map(_plain(docs), run, f"doc_id {kind}, score double").withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lexfreq.session import ready_for_checkpoint, scratch_path, ship_package
 
 
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow by a function that uses this package, which the workers may not have of their own."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        # The worker lives on between tasks; Arrow's pool would keep what this one has freed.
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Derive a table once: later steps read the files, whichever executors are lost meanwhile."""
-    ship_package(df.sparkSession)
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Derive a table once: later steps read the files, whichever executors are lost meanwhile.
+
+    A small frame made on the driver goes the same way, for then Spark knows its size and can choose how to join it.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same for small tables; Spark removes the files once nothing refers to the frame."""
-    ship_package(df.sparkSession)
     ready_for_checkpoint(df.sparkSession)
     return df.checkpoint()

@@ -26,9 +26,8 @@ so `similar_documents` takes several short fingerprints instead: of 512 bits of
 fingerprint, which meets others within two bits as above, every fingerprint emitting itself and all variants with one bit flipped. Pairs that
 collided are verified by all 512 bits, whose share of differing bits is the angle between the shingle sets; with the sizes of the sets that
 gives their Jaccard similarity, with a standard deviation of about 0.03 at 0.8. Within 0.1 of the wanted similarity the sets themselves
-are compared. In a group of a variant every member is linked to the next
-one in an order that differs from fingerprint to fingerprint, and to the first; not to all others. A pair at 0.85 meets with a
-probability of 0.97, at 0.9 of 0.999; what is left out is mostly linked through others of its group.
+are compared. A pair at 0.85 meets with a probability of 0.97, at 0.9 of 0.999. Members of a group are linked to one of them, not to
+all others; who that is differs from fingerprint to fingerprint.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other. Rows with
 the same or a null doc_id each give a row; the component is the smallest doc_id that is not null.
@@ -45,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexfreq.llm.components import components
-from lexfreq.llm.scratch import written
+from lexfreq.llm.scratch import arrow_map, written
 from lexfreq.llm.words import SPACED, find_words, grams, mix, slices
 
 SHINGLE = 3
@@ -91,7 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint")
 
 
 def _masks() -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +101,42 @@ def _masks() -> tuple[np.ndarray, np.ndarray]:
     return masks, np.bitwise_count(masks).astype(np.int8)
 
 
+def _blocks(target: np.ndarray, targets: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows as blocks of bytes, one for each target that gets any."""
+    order = np.argsort(target, kind="stable")
+    cuts = np.searchsorted(target[order], np.arange(targets + 1))
+    full = [t for t in range(targets) if cuts[t] < cuts[t + 1]]
+    sorted_ = [c[order] for c in columns]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full, pa.int32()), *(pa.array([c[cuts[t]:cuts[t + 1]].tobytes() for t in full], pa.binary()) for c in sorted_)],
+        ["target", "variants", "numbers"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], *kinds: type) -> Iterator[tuple]:
+    """Each target of a task with all its rows."""
+    parts: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for target, *blocks in zip(batch["target"], batch["variants"], batch["numbers"]):
+            parts.setdefault(target.as_py(), []).append(tuple(np.frombuffer(x.as_buffer(), k) for x, k in zip(blocks, kinds)))
+    for target in list(parts):
+        own = parts.pop(target)
+        yield target, *(np.concatenate([x[i] for x in own]) for i in range(len(kinds)))
+
+
+_BLOCKS = "target int, variants binary, numbers binary"
+
+
+def _opens(groups: np.ndarray) -> np.ndarray:
+    """Where a new group begins in sorted groups."""
+    first = np.ones(len(groups), bool)
+    first[1:] = groups[1:] != groups[:-1]
+    return first
+
+
+def _first_of_group(first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return values[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(values) else values
+
+
 def links(distinct: DataFrame, count: int) -> DataFrame:
     """Pairs u, v of fingerprints at most 3 bits apart that join all such pairs into components.
 
@@ -118,52 +153,32 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
                 fps = all_fps[at:at + 1024]
                 even = np.bitwise_count(fps) % 2 == 0
                 for own, chosen in ((fps[even], np.arange(len(masks))), (fps[~even], np.arange(1, 65))):
-                    if not len(own):
-                        continue
-                    variants = (own[:, None] ^ masks[chosen]).ravel()
-                    numbers = np.tile(chosen.astype(np.uint16), len(own))
-                    target = (mix(variants) % np.uint64(targets)).astype(np.uint32)
-                    order = np.argsort(target, kind="stable")
-                    cuts = np.searchsorted(target[order], np.arange(targets + 1))
-                    variants, numbers = variants[order], numbers[order]
-                    full = [t for t in range(targets) if cuts[t] < cuts[t + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(full, pa.int32()),
-                         pa.array([variants[cuts[t]:cuts[t + 1]].tobytes() for t in full], pa.binary()),
-                         pa.array([numbers[cuts[t]:cuts[t + 1]].tobytes() for t in full], pa.binary())],
-                        ["target", "variants", "numbers"])
+                    if len(own):
+                        variants = (own[:, None] ^ masks[chosen]).ravel()
+                        target = (mix(variants) % np.uint64(targets)).astype(np.int64)
+                        yield _blocks(target, targets, variants, np.tile(chosen.astype(np.uint16), len(own)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for target, variants, numbers in zip(batch["target"], batch["variants"], batch["numbers"]):
-                parts.setdefault(target.as_py(), []).append(
-                    (np.frombuffer(variants.as_buffer(), np.uint64), np.frombuffer(numbers.as_buffer(), np.uint16)))
-        for target in list(parts):
-            blocks = parts.pop(target)
-            z = np.concatenate([b[0] for b in blocks])
+        for _, z, number in _gathered(batches, np.uint64, np.uint16):
             order = np.argsort(z)
             z = z[order]
             same = np.zeros(len(z) + 1, bool)
             same[1:-1] = z[1:] == z[:-1]
             crowded = np.flatnonzero(same[:-1] | same[1:])
-            z = z[crowded]
-            number = np.concatenate([b[1] for b in blocks])[order[crowded]]
+            z, number = z[crowded], number[order[crowded]]
             fp = z ^ masks[number]
             # Members with fewest flips come first in their group, then the smallest fingerprint.
             order = np.lexsort((fp, flips[number], z))
-            z, fp, flip = z[order], fp[order], flips[number][order]
-            first = np.ones(len(z), bool)
-            first[1:] = z[1:] != z[:-1]
-            centre = np.flatnonzero(first)[np.cumsum(first) - 1]
-            u, v = fp, fp[centre]
-            near = (flip[centre] <= 1) & (u != v) & (np.bitwise_count(u ^ v) <= RADIUS)
+            z, u, flip = z[order], fp[order], flips[number][order]
+            first = _opens(z)
+            v = _first_of_group(first, u)
+            near = (_first_of_group(first, flip) <= 1) & (u != v) & (np.bitwise_count(u ^ v) <= RADIUS)
             pairs = np.unique(np.stack([np.maximum(u, v)[near], np.minimum(u, v)[near]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["u", "v"])
 
-    return (distinct.select("fp").mapInArrow(emit, "target int, variants binary, numbers binary")
-            .repartitionById(targets, "target").mapInArrow(meet, "u bigint, v bigint").distinct())
+    emitted = arrow_map(distinct.select("fp"), emit, _BLOCKS).repartitionById(targets, "target")
+    return arrow_map(emitted, meet, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -219,63 +234,72 @@ def wide_signatures(docs: DataFrame, shingle: int) -> DataFrame:
                  pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "text_key", "signature", "size"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        run, f"doc_id {kind}, text_key bigint, signature array<bigint>, size bigint")
+    wanted = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return arrow_map(wanted, run, f"doc_id {kind}, text_key bigint, signature array<bigint>, size bigint")
 
 
 def _candidates(distinct: DataFrame, count: int) -> DataFrame:
-    """Pairs u, v of signatures (by number) with fingerprints that differ in two bits or fewer."""
+    """Pairs u, v of signatures (by number) whose fingerprints in some table differ in two bits or fewer.
+
+    First signatures with the same fingerprint in a table are linked, each to the next and to the first in an order that
+    differs from table to table. The first then stands for them: it emits the variants, and where several meet, all are linked
+    to the first of them. So links grow with the members of a group, however large it is.
+    """
     masks = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint32)
-    per_table = max(1, -(-count * len(masks) // VARIANTS_PER_TASK))
+    shards, per_table = max(1, -(-count // VARIANTS_PER_TASK)), max(1, -(-count * len(masks) // VARIANTS_PER_TASK))
+
+    def rank(number: np.ndarray, table: int) -> np.ndarray:
+        return mix(number.view(np.uint64) + np.uint64(table))
+
+    def place(values: np.ndarray, tables: np.ndarray, parts: int) -> np.ndarray:
+        return tables * parts + (mix(values.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+    def output(pairs: np.ndarray, codes: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([pairs[:, 1], numbers])), pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(len(numbers), pa.int64())]),
+             pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(codes)])], ["u", "v", "code"])
+
+    def emit_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                chunks = part["signature"].flatten().to_numpy().astype(">i8").view(">u4").astype(np.uint32)
+                tables = np.tile(np.arange(TABLES), part.num_rows)
+                yield _blocks(place(chunks, tables, shards), TABLES * shards, chunks, np.repeat(part["number"].to_numpy(), TABLES))
+
+    def meet_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for target, chunk, number in _gathered(batches, np.uint32, np.int64):
+            table = target // shards
+            order = np.lexsort((rank(number, table), chunk))
+            chunk, number = chunk[order], number[order]
+            first = _opens(chunk)
+            ends = np.concatenate([np.stack([number, _first_of_group(first, number)], axis=1),
+                                   np.stack([number, np.where(first, number, np.roll(number, 1))], axis=1)])
+            yield output(ends, (table << 32) | chunk[first].astype(np.int64), number[first])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                chunks = part["signature"].flatten().to_numpy().astype(">i8").view(">u4").astype(np.uint32).reshape(part.num_rows, TABLES)
-                numbers = np.repeat(part["number"].to_numpy(), len(masks))
-                for table in range(TABLES):
-                    variants = (chunks[:, table, None] ^ masks).ravel()
-                    target = (mix(variants.astype(np.uint64)) % np.uint64(per_table)).astype(np.int64)
-                    order = np.argsort(target, kind="stable")
-                    cuts = np.searchsorted(target[order], np.arange(per_table + 1))
-                    full = [t for t in range(per_table) if cuts[t] < cuts[t + 1]]
-                    sorted_variants, sorted_numbers = variants[order], numbers[order]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([table * per_table + t for t in full], pa.int32()),
-                         pa.array([sorted_variants[cuts[t]:cuts[t + 1]].tobytes() for t in full], pa.binary()),
-                         pa.array([sorted_numbers[cuts[t]:cuts[t + 1]].tobytes() for t in full], pa.binary())],
-                        ["target", "variants", "numbers"])
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                codes = part["code"].to_numpy()
+                variants = ((codes & 0xFFFFFFFF).astype(np.uint32)[:, None] ^ masks).ravel()
+                tables = np.repeat(codes >> 32, len(masks))
+                yield _blocks(place(variants, tables, per_table), TABLES * per_table, variants, np.repeat(part["u"].to_numpy(), len(masks)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for target, variants, numbers in zip(batch["target"], batch["variants"], batch["numbers"]):
-                parts.setdefault(target.as_py(), []).append(
-                    (np.frombuffer(variants.as_buffer(), np.uint32), np.frombuffer(numbers.as_buffer(), np.int64)))
-        for target in list(parts):
-            blocks = parts.pop(target)
-            z, number = (np.concatenate([b[i] for b in blocks]) for i in (0, 1))
-            order = np.argsort(z, kind="stable")
-            z, number = z[order], number[order]
-            same = np.zeros(len(z) + 1, bool)
-            same[1:-1] = z[1:] == z[:-1]
-            crowded = same[:-1] | same[1:]
-            z, number = z[crowded], number[crowded]
-            order = np.lexsort((mix(number.view(np.uint64) + np.uint64(target // per_table)), z))
+        for target, z, number in _gathered(batches, np.uint32, np.int64):
+            order = np.lexsort((rank(number, target // per_table), z))
             z, number = z[order], number[order]
-            first = np.ones(len(z), bool)
-            first[1:] = z[1:] != z[:-1]
-            centre = number[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(z) else number
-            before = np.where(first, number, np.roll(number, 1))
-            ends = np.concatenate([np.stack([number, centre], axis=1), np.stack([number, before], axis=1)])
-            ends = ends[ends[:, 0] != ends[:, 1]]
-            pairs = np.unique(np.sort(ends, axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["u", "v"])
+            ends = np.stack([number, _first_of_group(_opens(z), number)], axis=1)
+            yield output(ends, np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    targets = per_table * TABLES
-    return (distinct.select("number", "signature").mapInArrow(emit, "target int, variants binary, numbers binary")
-            .repartitionById(targets, "target").mapInArrow(meet, "u bigint, v bigint").distinct())
+    found = "u bigint, v bigint, code bigint"
+    emitted = arrow_map(distinct.select("number", "signature"), emit_own, _BLOCKS).repartitionById(TABLES * shards, "target")
+    own = written(arrow_map(emitted, meet_own, found), "equal_fingerprints")
+    emitted = arrow_map(own.filter("code IS NOT NULL"), emit, _BLOCKS).repartitionById(TABLES * per_table, "target")
+    near = arrow_map(emitted, meet, found)
+    return own.unionByName(near).filter("code IS NULL").select("u", "v").distinct()
 
 
 def _likeness() -> Column:
@@ -303,7 +327,7 @@ def _exactly(docs: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int)
 
     found = docs.select("doc_id", "text").join(
         needed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")))
-    sets = written(found.select("number", "text").dropDuplicates(["number"]).mapInArrow(run, "number bigint, shingles array<bigint>"),
+    sets = written(arrow_map(found.select("number", "text").dropDuplicates(["number"]), run, "number bigint, shingles array<bigint>"),
                    "shingle_sets")
     for side in ("u", "v"):
         pairs = pairs.join(sets.select(F.col("number").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexfreq.llm import linear
 from lexfreq.llm.deobfuscate import LETTERS, Restorer, language_model
-from lexfreq.llm.scratch import written
+from lexfreq.llm.scratch import arrow_map, written
 from lexfreq.llm.words import Words, find_words, slices
 
 SAMPLE_ROWS = 16_384
@@ -74,7 +74,7 @@ def _presence(sample: DataFrame, model: bytes) -> DataFrame:
                 [part["doc_id"], part["label"], pa.ListArray.from_arrays(pa.array(offsets), buckets)], ["doc_id", "label", "buckets"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    return sample.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, buckets array<int>")
+    return arrow_map(sample.select("doc_id", "label", "text"), run, f"doc_id {kind}, label int, buckets array<int>")
 
 
 def _telling(present: DataFrame, most: int) -> list[int]:
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, language: bytes, sample_rows: int
                 ["doc_id", "label", "features"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = present.mapInArrow(only, f"doc_id {kind}, label int, features array<int>").toPandas().sort_values("doc_id", kind="stable")
+    rows = arrow_map(present, only, f"doc_id {kind}, label int, features array<int>").toPandas().sort_values("doc_id", kind="stable")
     label = rows["label"].to_numpy()
     lift = (label == 0).sum() / max(1, label.sum())
     weights, bias = linear.fit_at([np.asarray(f, np.int64) for f in rows["features"]], label, len(buckets), THRESHOLD, lift=lift)
@@ -147,7 +147,7 @@ def score(docs: DataFrame, language: bytes, model: tuple[np.ndarray, np.ndarray,
                 [*part.schema.names, "score", "n_restored"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, n_restored bigint").withColumn(
+    return arrow_map(docs, run, f"{fields}, score double, n_restored bigint").withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
