@@ -21,7 +21,74 @@ def _(spark, sf):
     return resolve_words(I.vocabulary(spark, sf), I.wordlist(spark, sf), PLAIN_RULES)
 
 
-@query("affixed_compound_levels")
+# The same rules as SQL: every remainder a rule may ask for, then the levels of remainders from short to long.
+_HIGHEST = "CASE WHEN len(list_filter({0}, lambda x: x IS NULL)) = 0 THEN list_max({0}) END"
+_BOTH = "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN greatest({0}, {1}) END"
+_R = LATIN_RULES
+_AFFIXED = sql("vocab wl", "").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+  listed AS MATERIALIZED (SELECT word, min(word_level) AS lv FROM wl GROUP BY 1),
+  letters AS MATERIALIZED (SELECT map_from_entries(list((word, lv))) AS m FROM listed WHERE length(word) = 1),
+  need AS (
+    SELECT word AS t FROM vocab
+    UNION
+    SELECT c FROM (SELECT unnest([
+        CASE WHEN regexp_matches(t, '^{_R.ordinal}[{_R.numerals}]') THEN regexp_replace(t, '^{_R.ordinal}[{_R.numerals}]+', '') END,
+        CASE WHEN regexp_matches(t, '^[{_R.numerals}]') THEN regexp_replace(t, '^[{_R.numerals}]+', '') END,
+        CASE WHEN contains('{_R.prefixes}', t[1]) THEN substr(t, 2) END,
+        CASE WHEN contains('{_R.back}', right(t, 1)) THEN left(t, length(t) - 1) END]) AS c
+      FROM need WHERE length(t) > 1) WHERE c <> ''),
+  splits AS MATERIALIZED (
+    SELECT t, i, left(t, i) AS a, substr(t, i + 1) AS b
+    FROM (SELECT t, unnest(range(2, length(t) - 1)) AS i, (SELECT max(length(word)) FROM listed) AS longest FROM need WHERE length(t) >= 4)
+    WHERE i <= longest AND length(t) - i <= longest),
+  pairs AS MATERIALIZED (
+    SELECT t, arg_min(greatest(x.lv, y.lv), i) AS lv FROM splits JOIN listed x ON x.word = a JOIN listed y ON y.word = b GROUP BY 1),
+  shapes AS (
+    SELECT t, length(t) AS n, t[1] AS first, right(t, 1) AS last, regexp_extract(t, '^{_R.ordinal}[{_R.numerals}]+') AS ordinal,
+           regexp_extract(t, '^[{_R.numerals}]+') AS number, length(t) = 2 AND t[1] = t[2] AS is_double,
+           length(t) = 4 AND t[1] = t[2] AND t[3] = t[4] AS is_aabb,
+           length(t) = 2 AND contains('{_R.name_risk}', t[1]) AND contains('{_R.surnames}', t[2]) AS is_name FROM need),
+  facts AS MATERIALIZED (
+    SELECT s.*, own.lv AS own, twice.lv AS twice, m[first] AS first_lv, m[last] AS last_lv, base.lv AS base, pairs.lv AS pair,
+           coalesce(run.lv, {_HIGHEST.format("[m[c] FOR c IN string_split(ordinal, '')]")}) AS ordinal_lv,
+           {_HIGHEST.format("[m[c] FOR c IN string_split(number, '')]")} AS number_lv,
+           substr(s.t, length(ordinal) + 1) AS after_ordinal, substr(s.t, length(number) + 1) AS after_number, substr(s.t, 2) AS after_first,
+           left(s.t, n - 1) AS before_last
+    FROM shapes s CROSS JOIN letters LEFT JOIN listed own ON own.word = s.t
+      LEFT JOIN listed twice ON twice.word = CASE WHEN n = 1 THEN s.t || s.t END
+      LEFT JOIN listed run ON run.word = CASE WHEN ordinal <> '' THEN ordinal END
+      LEFT JOIN listed base ON base.word = CASE WHEN is_aabb THEN s.t[1] || s.t[3] END LEFT JOIN pairs ON pairs.t = s.t),
+  levels (t, n, lv) USING KEY (t) AS (
+    SELECT '', 0::BIGINT, NULL::INTEGER
+    UNION
+    (WITH step AS (SELECT max(n) + 1 AS n FROM levels),
+     known AS (SELECT t, lv FROM recurring.levels)
+     SELECT '', step.n, NULL FROM step WHERE step.n <= (SELECT max(n) FROM facts)
+     UNION ALL
+     SELECT f.t, f.n, coalesce(own, CASE WHEN f.n = 1 THEN twice ELSE coalesce(
+         CASE WHEN ordinal = f.t THEN ordinal_lv WHEN ordinal <> '' THEN {_BOTH.format("ordinal_lv", "k1.lv")} END,
+         CASE WHEN is_double THEN first_lv END, base,
+         CASE WHEN last = '{_R.silent_suffix}' THEN k4.lv END,
+         CASE WHEN number = f.t THEN number_lv WHEN number <> '' THEN {_BOTH.format("number_lv", "k2.lv")} END,
+         CASE WHEN contains('{_R.prefixes}', first) AND NOT is_name THEN {_BOTH.format("first_lv", "k3.lv")} END,
+         CASE WHEN contains('{_R.suffixes}', last) THEN {_BOTH.format("k4.lv", "last_lv")} END, pair) END)
+     FROM facts f JOIN step USING (n) LEFT JOIN known k1 ON k1.t = after_ordinal LEFT JOIN known k2 ON k2.t = after_number
+       LEFT JOIN known k3 ON k3.t = after_first LEFT JOIN known k4 ON k4.t = before_last))
+  SELECT f.t AS word, l.lv AS decomposed_level,
+    CASE WHEN f.n = 1 THEN 'single_char_via_doubled_form' WHEN ordinal <> '' THEN 'ordinal'
+         WHEN is_double AND first_lv IS NOT NULL THEN 'reduplication' WHEN base IS NOT NULL THEN 'aabb_reduplication'
+         WHEN last = '{_R.silent_suffix}' AND k4.lv IS NOT NULL THEN 'erhua_suffix'
+         WHEN number = f.t THEN 'pure_numeral' WHEN number <> '' AND k2.lv IS NOT NULL THEN 'numeral_plus_unit'
+         WHEN contains('{_R.prefixes}', first) AND NOT is_name AND k3.lv IS NOT NULL THEN
+           CASE WHEN contains('{_R.verbs}', first) THEN 'verb_prefix' WHEN contains('{_R.pronouns}', first) THEN 'pronoun_prefix'
+                WHEN contains('{_R.measures}', first) THEN 'measure_word' ELSE 'function_prefix' END
+         WHEN contains('{_R.suffixes}', last) AND k4.lv IS NOT NULL THEN 'aspect_suffix' ELSE 'two_word_compound' END AS match_pattern
+  FROM facts f JOIN vocab ON vocab.word = f.t JOIN levels l ON l.t = f.t LEFT JOIN levels k2 ON k2.t = after_number
+    LEFT JOIN levels k3 ON k3.t = after_first LEFT JOIN levels k4 ON k4.t = before_last
+  WHERE own IS NULL AND l.lv IS NOT NULL"""
+
+
+@query("affixed_compound_levels", _AFFIXED)
 def _(spark, sf):
     return resolve_words(I.vocabulary(spark, sf), I.wordlist(spark, sf), LATIN_RULES)
 

@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from lexfreq.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no supplied tables")
@@ -24,7 +25,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     sql = entry.oracle_sql().get(name)
