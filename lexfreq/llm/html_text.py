@@ -50,6 +50,8 @@ NAMES = {
     "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags",
     "teaser", "toolbar", "topbar", "widget", "widgets",
 }
+# With one of these the name speaks of what an element goes with, such as content-with-sidebar.
+ABOUT = {"with", "without", "has", "no", "layout"}
 _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 # Elements that hold their place on the stack; others may go unclosed.
@@ -57,6 +59,11 @@ _TRACKED = CONTAINERS | LEFT_OUT | {"figure", "table", "ul", "ol", "dl", "blockq
 WIDTH = 1.0
 
 
+def _says_so(name: str) -> bool:
+    words = _WORD.findall(name)
+    return not NAMES.isdisjoint(words) and ABOUT.isdisjoint(words)
+
+
 class _Lines(HTMLParser):
     """Collects text, tags and region of every block that is not left out."""
 
@@ -104,7 +111,7 @@ class _Lines(HTMLParser):
                 return True
             if not value or tag in ("article", "main", "body"):
                 continue
-            if name in ("class", "id", "role") and not NAMES.isdisjoint(_WORD.findall(value.lower())):
+            if name in ("class", "id", "role") and any(map(_says_so, value.lower().split())):
                 return True
             if name == "style" and _HIDDEN.search(value.lower()):
                 return True

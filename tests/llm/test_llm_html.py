@@ -20,7 +20,7 @@ JUNK = {
 
 
 @pytest.mark.parametrize("name", JUNK)
-@pytest.mark.parametrize("tag", ["article", "main", "div class='content'"])
+@pytest.mark.parametrize("tag", ["article", "main", "div class='content'", "div class='post content-with-sidebar'"])
 def test_junk_goes_wherever_it_stands(name, tag):
     end = tag.split()[0]
     page = f"<!DOCTYPE html><html><head><title>T</title></head><body>{{}}<{tag}>{BODY}{{}}</{end}>{{}}</body></html>"
