@@ -41,8 +41,9 @@ def op6_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     sequences = token_shards.ordered(table(spark, folder, "documents"))
     token_shards.write_shards(sequences, scratch_path(spark, "shards"))
     step = token_shards.stride()
-    return sequences.select("slot", "shard", (F.col("record").cast("bigint") * step).alias("byte_offset"), "doc_id", "part", "n_tokens",
-                            F.sha2("ids", 256).alias("ids_sha256"))
+    return sequences.select("slot", "shard", (F.col("record").cast("bigint") * step).alias("byte_offset"),
+                            F.col("pieces.doc_id").alias("doc_ids"), F.col("pieces.begin").alias("begins"), F.col("pieces.n").alias("counts"),
+                            "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,24 +34,29 @@ def test_shards_give_the_texts_back(spark, tmp_path):
         assert number not in shards
         shards[number] = path.read_bytes()
     assert sum(map(len, shards.values())) == n * T.stride(length=32)
-    ids = {}
+    pieces = {}
     for r in index:
         assert (r.shard, r.record) == divmod(r.slot, 64)
-        record = T.read_record(shards[r.shard], r.record, length=32)
-        assert record.tobytes() == bytes(r.ids) and len(record) == r.n_tokens
-        ids.setdefault(r.doc_id, []).append((r.part, record))
+        record = T.read_record(shards[r.shard], r.record, r.n_tokens, length=32)
+        assert record.tobytes() == bytes(r.ids) and len(record) == r.n_tokens == sum(p.n for p in r.pieces)
+        at = 0
+        for p in r.pieces:
+            pieces.setdefault(p.doc_id, []).append((p.begin, record[at:at + p.n]))
+            at += p.n
+    assert sum(r.n_tokens < 32 for r in index) <= 5
     for i, text in enumerate(texts):
         if i != 7:
-            whole = np.concatenate([x for _, x in sorted(ids[i], key=lambda p: p[0])])
+            whole = np.concatenate([x for _, x in sorted(pieces[i], key=lambda p: p[0])])
             assert whole[-1] == own.n_vocab and own.decode(whole[:-1].tolist()) == (text or "")
-    assert len(ids[7]) == 2 * len([1 for p, _ in ids[7] if p == 0]) // 2 * max(p for p, _ in ids[7]) + len([1 for p, _ in ids[7] if p == 0])
+    assert sum(len(x) for _, x in pieces[7]) == 2 * (len(own.encode_ordinary(texts[7])) + 1)
+    assert own.decode(np.concatenate([x for _, x in sorted(pieces[None], key=lambda p: p[0])])[:-1].tolist()) == "no id"
 
 
 def test_the_same_order_every_time(spark, tmp_path):
     spark.createDataFrame([(i, f"text {i}", 0, "x") for i in range(100)], SCHEMA).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    one, two = ({(r.doc_id, r.part): r.slot for r in T.ordered(docs).collect()} for _ in range(2))
-    assert one == two != {(r.doc_id, r.part): r.slot for r in T.ordered(docs, key=b"another").collect()}
+    one, two = ({tuple((p.doc_id, p.begin) for p in r.pieces): r.slot for r in T.ordered(docs, length=8).collect()} for _ in range(2))
+    assert one == two != {tuple((p.doc_id, p.begin) for p in r.pieces): r.slot for r in T.ordered(docs, key=b"another", length=8).collect()}
 
 
 def test_no_documents(spark, tmp_path):
