@@ -239,10 +239,10 @@ def wide_signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _candidates(distinct: DataFrame, count: int) -> DataFrame:
-    """Pairs u, v of signatures (by number) whose fingerprints in some table differ in two bits or fewer.
+    """Pairs one, other of signatures (by number) whose fingerprints in some table differ in two bits or fewer.
 
-    First signatures with the same fingerprint in a table are linked, each to the next and to the first in an order that
-    differs from table to table. The first then stands for them: it emits the variants, and where several meet, all are linked
+    First signatures with the same fingerprint in a table are linked, each to the next in an order that differs from
+    table to table. The first then stands for them: it emits the variants, and where several meet, all are linked
     to the first of them. So links grow with the members of a group, however large it is.
     """
     masks = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint32)
@@ -258,7 +258,7 @@ def _candidates(distinct: DataFrame, count: int) -> DataFrame:
         pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([pairs[:, 1], numbers])), pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(len(numbers), pa.int64())]),
-             pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(codes)])], ["u", "v", "code"])
+             pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(codes)])], ["one", "other", "code"])
 
     def emit_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,8 +274,7 @@ def _candidates(distinct: DataFrame, count: int) -> DataFrame:
             order = np.lexsort((rank(number, table), chunk))
             chunk, number = chunk[order], number[order]
             first = _opens(chunk)
-            ends = np.concatenate([np.stack([number, _first_of_group(first, number)], axis=1),
-                                   np.stack([number, np.where(first, number, np.roll(number, 1))], axis=1)])
+            ends = np.stack([number, np.where(first, number, np.roll(number, 1))], axis=1)
             yield output(ends, (table << 32) | chunk[first].astype(np.int64), number[first])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +284,7 @@ def _candidates(distinct: DataFrame, count: int) -> DataFrame:
                 codes = part["code"].to_numpy()
                 variants = ((codes & 0xFFFFFFFF).astype(np.uint32)[:, None] ^ masks).ravel()
                 tables = np.repeat(codes >> 32, len(masks))
-                yield _blocks(place(variants, tables, per_table), TABLES * per_table, variants, np.repeat(part["u"].to_numpy(), len(masks)))
+                yield _blocks(place(variants, tables, per_table), TABLES * per_table, variants, np.repeat(part["one"].to_numpy(), len(masks)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for target, z, number in _gathered(batches, np.uint32, np.int64):
@@ -294,20 +293,20 @@ def _candidates(distinct: DataFrame, count: int) -> DataFrame:
             ends = np.stack([number, _first_of_group(_opens(z), number)], axis=1)
             yield output(ends, np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    found = "u bigint, v bigint, code bigint"
+    found = "one bigint, other bigint, code bigint"
     emitted = arrow_map(distinct.select("number", "signature"), emit_own, _BLOCKS).repartitionById(TABLES * shards, "target")
     own = written(arrow_map(emitted, meet_own, found), "equal_fingerprints")
     emitted = arrow_map(own.filter("code IS NOT NULL"), emit, _BLOCKS).repartitionById(TABLES * per_table, "target")
     near = arrow_map(emitted, meet, found)
-    return own.unionByName(near).filter("code IS NULL").select("u", "v").distinct()
+    return own.unionByName(near).filter("code IS NULL").select("one", "other").distinct()
 
 
 def _likeness() -> Column:
     """The Jaccard similarity of two shingle sets, from the angle between them and their sizes."""
-    differing = F.aggregate(F.zip_with("signature_u", "signature_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))),
+    differing = F.aggregate(F.zip_with("signature_one", "signature_other", lambda a, b: F.bit_count(a.bitwiseXOR(b))),
                             F.lit(0), lambda a, b: a + b)
-    both = F.cos(differing * (np.pi / (64 * len(_SEEDS)))) * F.sqrt(F.col("size_u") * F.col("size_v"))
-    return both / (F.col("size_u") + F.col("size_v") - both)
+    both = F.cos(differing * (np.pi / (64 * len(_SEEDS)))) * F.sqrt(F.col("size_one") * F.col("size_other"))
+    return both / (F.col("size_one") + F.col("size_other") - both)
 
 
 def _exactly(docs: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -315,7 +314,7 @@ def _exactly(docs: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int)
 
     `texts` (number, doc_id, text_key) says which text a number stands for; only the texts of these pairs are read again.
     """
-    needed = pairs.select(F.col("u").alias("number")).unionByName(pairs.select(F.col("v").alias("number"))).distinct()
+    needed = pairs.select(F.col("one").alias("number")).unionByName(pairs.select(F.col("other").alias("number"))).distinct()
     needed = texts.join(needed, "number").select("number", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,10 +328,10 @@ def _exactly(docs: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int)
         needed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")))
     sets = written(arrow_map(found.select("number", "text").dropDuplicates(["number"]), run, "number bigint, shingles array<bigint>"),
                    "shingle_sets")
-    for side in ("u", "v"):
+    for side in ("one", "other"):
         pairs = pairs.join(sets.select(F.col("number").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
-    both = F.size(F.array_intersect("shingles_u", "shingles_v"))
-    return pairs.select("u", "v", (both / (F.size("shingles_u") + F.size("shingles_v") - both)).alias("exact"))
+    both = F.size(F.array_intersect("shingles_one", "shingles_other"))
+    return pairs.select("one", "other", (both / (F.size("shingles_one") + F.size("shingles_other") - both)).alias("exact"))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -344,14 +343,14 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
         F.first("signature").alias("signature"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"),
         F.min(text).alias("text")), "distinct_signatures")
     pairs = _candidates(distinct, distinct.count())
-    for side in ("u", "v"):
+    for side in ("one", "other"):
         pairs = pairs.join(distinct.select(F.col("number").alias(side), F.col("signature").alias(f"signature_{side}"),
                                            F.col("size").alias(f"size_{side}")), side)
-    likely = written(pairs.select("u", "v", _likeness().alias("likeness")).filter(F.col("likeness") >= similarity - UNSURE), "likely_pairs")
-    sure = likely.filter(F.col("likeness") >= similarity + UNSURE).select("u", "v")
-    unsure = likely.filter(F.col("likeness") < similarity + UNSURE).select("u", "v")
+    likely = written(pairs.select("one", "other", _likeness().alias("likeness")).filter(F.col("likeness") >= similarity - UNSURE), "likely_pairs")
+    sure = likely.filter(F.col("likeness") >= similarity + UNSURE).select("one", "other")
+    unsure = likely.filter(F.col("likeness") < similarity + UNSURE).select("one", "other")
     exact = _exactly(docs, unsure, distinct.select("number", "text.*"), shingle).filter(F.col("exact") >= similarity)
-    members = components(sure.unionByName(exact.select("u", "v")))
+    members = components(sure.unionByName(exact.select("one", "other")).toDF("u", "v"))
     joined = distinct.join(members, distinct["number"] == members["node"], "left").select(
         "number", "first_id", F.coalesce("root", "number").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
