@@ -23,11 +23,9 @@ count once. Links are deduplicated and their distances verified.
 
 Similar texts: three of 64 bits are soon exceeded (texts with 0.8 of their five-word shingles in common differ in about ten),
 so `similar_documents` takes several short fingerprints instead: of 512 bits of a text's distinct shingles every 32 make a
-fingerprint, which meets others within two bits as above, every fingerprint emitting itself and all variants with one bit flipped. Pairs that
-collided are verified by all 512 bits, whose share of differing bits is the angle between the shingle sets; with the sizes of the sets that
-gives their Jaccard similarity, with a standard deviation of about 0.03 at 0.8. Within 0.1 of the wanted similarity the sets themselves
-are compared. A pair at 0.85 meets with a probability of 0.97, at 0.9 of 0.999. Members of a group are linked to one of them, not to
-all others; who that is differs from fingerprint to fingerprint.
+fingerprint, which meets others within two bits as above, every fingerprint emitting itself and all variants with one bit flipped. Texts
+that emitted the same variant are a group. Jaccard similarity is not transitive, so a star around one member would lose pairs of others;
+members are compared by their shingle sets, in rounds, until any two of a group are in one component or have been compared (see `_joined`).
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other. Rows with
 the same or a null doc_id each give a row; the component is the smallest doc_id that is not null.
@@ -40,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexfreq.llm.components import components
@@ -196,8 +194,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 TABLES = 16
 SIMILARITY = 0.8
-# Where the similarity by signatures is this close to the wanted one, the shingle sets themselves decide.
-UNSURE = 0.1
 _SEEDS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(TABLES // 2)], np.uint64)
 
 
@@ -238,84 +234,40 @@ def wide_signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(wanted, run, f"doc_id {kind}, text_key bigint, signature array<bigint>, size bigint")
 
 
-def _candidates(distinct: DataFrame, count: int) -> DataFrame:
-    """Pairs one, other of signatures (by number) whose fingerprints in some table differ in two bits or fewer.
-
-    First signatures with the same fingerprint in a table are linked, each to the next in an order that differs from
-    table to table. The first then stands for them: it emits the variants, and where several meet, all are linked
-    to the first of them. So links grow with the members of a group, however large it is.
-    """
+def _groups(distinct: DataFrame, count: int) -> DataFrame:
+    """Rows bucket, number: which signatures (by number) emitted the same variant of a fingerprint in some table, where several did."""
     masks = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint32)
-    shards, per_table = max(1, -(-count // VARIANTS_PER_TASK)), max(1, -(-count * len(masks) // VARIANTS_PER_TASK))
-
-    def rank(number: np.ndarray, table: int) -> np.ndarray:
-        return mix(number.view(np.uint64) + np.uint64(table))
-
-    def place(values: np.ndarray, tables: np.ndarray, parts: int) -> np.ndarray:
-        return tables * parts + (mix(values.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-
-    def output(pairs: np.ndarray, codes: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
-        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([pairs[:, 1], numbers])), pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(len(numbers), pa.int64())]),
-             pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(codes)])], ["one", "other", "code"])
-
-    def emit_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 14):
-                part = batch.slice(at, 1 << 14)
-                chunks = part["signature"].flatten().to_numpy().astype(">i8").view(">u4").astype(np.uint32)
-                tables = np.tile(np.arange(TABLES), part.num_rows)
-                yield _blocks(place(chunks, tables, shards), TABLES * shards, chunks, np.repeat(part["number"].to_numpy(), TABLES))
-
-    def meet_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for target, chunk, number in _gathered(batches, np.uint32, np.int64):
-            table = target // shards
-            order = np.lexsort((rank(number, table), chunk))
-            chunk, number = chunk[order], number[order]
-            first = _opens(chunk)
-            ends = np.stack([number, np.where(first, number, np.roll(number, 1))], axis=1)
-            yield output(ends, (table << 32) | chunk[first].astype(np.int64), number[first])
+    per_table = max(1, -(-count * len(masks) // VARIANTS_PER_TASK))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 14):
-                part = batch.slice(at, 1 << 14)
-                codes = part["code"].to_numpy()
-                variants = ((codes & 0xFFFFFFFF).astype(np.uint32)[:, None] ^ masks).ravel()
-                tables = np.repeat(codes >> 32, len(masks))
-                yield _blocks(place(variants, tables, per_table), TABLES * per_table, variants, np.repeat(part["one"].to_numpy(), len(masks)))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for target, z, number in _gathered(batches, np.uint32, np.int64):
-            order = np.lexsort((rank(number, target // per_table), z))
-            z, number = z[order], number[order]
-            ends = np.stack([number, _first_of_group(_opens(z), number)], axis=1)
-            yield output(ends, np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    found = "one bigint, other bigint, code bigint"
-    emitted = arrow_map(distinct.select("number", "signature"), emit_own, _BLOCKS).repartitionById(TABLES * shards, "target")
-    own = written(arrow_map(emitted, meet_own, found), "equal_fingerprints")
-    emitted = arrow_map(own.filter("code IS NOT NULL"), emit, _BLOCKS).repartitionById(TABLES * per_table, "target")
-    near = arrow_map(emitted, meet, found)
-    return own.unionByName(near).filter("code IS NULL").select("one", "other").distinct()
+            for at in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(at, 1 << 12)
+                chunks = part["signature"].flatten().to_numpy().astype(">i8").view(">u4").astype(np.uint32)
+                variants = (chunks[:, None] ^ masks).ravel().astype(np.int64)
+                tables = np.tile(np.repeat(np.arange(TABLES), len(masks)), part.num_rows)
+                target = tables * per_table + (mix(variants.view(np.uint64)) % np.uint64(per_table)).astype(np.int64)
+                yield _blocks(target, TABLES * per_table, (tables << 32) | variants, np.repeat(part["number"].to_numpy(), TABLES * len(masks)))
 
+    emitted = arrow_map(distinct.select("number", "signature"), emit, _BLOCKS).repartitionById(TABLES * per_table, "target")
+    return arrow_map(emitted, _crowded, "bucket bigint, number bigint")
 
-def _likeness() -> Column:
-    """The Jaccard similarity of two shingle sets, from the angle between them and their sizes."""
-    differing = F.aggregate(F.zip_with("signature_one", "signature_other", lambda a, b: F.bit_count(a.bitwiseXOR(b))),
-                            F.lit(0), lambda a, b: a + b)
-    both = F.cos(differing * (np.pi / (64 * len(_SEEDS)))) * F.sqrt(F.col("size_one") * F.col("size_other"))
-    return both / (F.col("size_one") + F.col("size_other") - both)
 
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets and numbers of the buckets that hold more than one number."""
+    for _, bucket, number in _gathered(batches, np.int64, np.int64):
+        order = np.lexsort((number, bucket))
+        bucket, number = bucket[order], number[order]
+        new = _opens(bucket) | _opens(number)
+        bucket, number = bucket[new], number[new]
+        first = np.append(_opens(bucket), True)
+        several = ~(first[:-1] & first[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[several]), pa.array(number[several])], ["bucket", "number"])
 
-def _exactly(docs: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs with the Jaccard similarity of their shingle sets, `exact`.
 
-    `texts` (number, doc_id, text_key) says which text a number stands for; only the texts of these pairs are read again.
-    """
-    needed = pairs.select(F.col("one").alias("number")).unionByName(pairs.select(F.col("other").alias("number"))).distinct()
-    needed = texts.join(needed, "number").select("number", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+def _shingles_of(docs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """number and shingles of the given texts (number, doc_id, text_key); only these texts are read again."""
+    needed = texts.select("number", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -326,12 +278,61 @@ def _exactly(docs: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int)
 
     found = docs.select("doc_id", "text").join(
         needed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")))
-    sets = written(arrow_map(found.select("number", "text").dropDuplicates(["number"]), run, "number bigint, shingles array<bigint>"),
-                   "shingle_sets")
-    for side in ("one", "other"):
+    return arrow_map(found.select("number", "text").dropDuplicates(["number"]), run, "number bigint, shingles array<bigint>")
+
+
+def _exactly(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs member, centre with the Jaccard similarity of their shingle sets, `exact`."""
+    for side in ("member", "centre"):
         pairs = pairs.join(sets.select(F.col("number").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
-    both = F.size(F.array_intersect("shingles_one", "shingles_other"))
-    return pairs.select("one", "other", (both / (F.size("shingles_one") + F.size("shingles_other") - both)).alias("exact"))
+    both = F.size(F.array_intersect("shingles_member", "shingles_centre"))
+    return pairs.select("member", "centre", (both / (F.size("shingles_member") + F.size("shingles_centre") - both)).alias("exact"))
+
+
+def _joined(groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """node and root of all texts with a link: two that share a bucket and are that similar have the same root.
+
+    In each round some members of a bucket, its centres, are compared with all others of the bucket that are not of their component yet. Then
+    they are done with and leave the bucket, and a bucket whose members are all of one component is done with. So in the end any two
+    members of a bucket have been compared or are of one component. Centres are the members with most links so far; there are
+    four times as many in every round, so even where no two are similar the rounds grow with the logarithm of the members.
+    """
+    spark = groups.sparkSession
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    found: DataFrame | None = None
+    tested: DataFrame | None = None
+    centres = 1
+    while True:
+        state = sizes.join(roots, sizes["number"] == roots["node"], "left").select("number", "size", F.coalesce("root", "number").alias("root"))
+        links = F.lit(0).cast("bigint")
+        if found is not None:
+            degrees = (found.select(F.explode(F.array("member", "centre")).alias("end")).groupBy("end").agg(F.count("*").alias("links")))
+            state = state.join(degrees, state["number"] == degrees["end"], "left")
+            links = F.coalesce("links", F.lit(0).cast("bigint"))
+        state = state.select("number", "size", "root", F.struct((-links).alias("less"), F.xxhash64("number").alias("lot"), "number").alias("rank"))
+        members = groups.join(state, "number")
+        several = members.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("bucket")
+        members = written(members.join(several, "bucket"), "open_groups")
+        if members.isEmpty():
+            return roots
+        chosen = (members.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("rank")))
+                  .filter(F.col("place") <= centres))
+        chosen = written(chosen.select("bucket", F.col("number").alias("centre"), F.col("root").alias("centre_root"),
+                                       F.col("size").alias("centre_size"), F.col("rank").alias("centre_rank")), "centres")
+        # Sets whose sizes are too far apart cannot be that similar.
+        pairs = (members.join(chosen, "bucket").filter("root <> centre_root AND centre_rank < rank")
+                 .filter(F.least("size", "centre_size") >= F.greatest("size", "centre_size") * similarity)
+                 .select(F.col("number").alias("member"), "centre").distinct())
+        if tested is not None:
+            before = tested.select(F.least("member", "centre").alias("one"), F.greatest("member", "centre").alias("other"))
+            pairs = pairs.join(before, (F.least("member", "centre") == F.col("one")) & (F.greatest("member", "centre") == F.col("other")), "left_anti")
+        compared = written(_exactly(written(pairs, "pairs"), sets), "compared_pairs")
+        tested = compared if tested is None else tested.unionByName(compared)
+        found = tested.filter(F.col("exact") >= similarity)
+        roots = components(found.select(F.col("member").alias("u"), F.col("centre").alias("v")))
+        groups = members.join(chosen.select(F.col("bucket").alias("_bucket"), "centre"),
+                              (F.col("bucket") == F.col("_bucket")) & (F.col("number") == F.col("centre")), "left_anti").select("bucket", "number")
+        centres *= 4
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -342,15 +343,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
     distinct = written(own.groupBy("number").agg(
         F.first("signature").alias("signature"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"),
         F.min(text).alias("text")), "distinct_signatures")
-    pairs = _candidates(distinct, distinct.count())
-    for side in ("one", "other"):
-        pairs = pairs.join(distinct.select(F.col("number").alias(side), F.col("signature").alias(f"signature_{side}"),
-                                           F.col("size").alias(f"size_{side}")), side)
-    likely = written(pairs.select("one", "other", _likeness().alias("likeness")).filter(F.col("likeness") >= similarity - UNSURE), "likely_pairs")
-    sure = likely.filter(F.col("likeness") >= similarity + UNSURE).select("one", "other")
-    unsure = likely.filter(F.col("likeness") < similarity + UNSURE).select("one", "other")
-    exact = _exactly(docs, unsure, distinct.select("number", "text.*"), shingle).filter(F.col("exact") >= similarity)
-    members = components(sure.unionByName(exact.select("one", "other")).toDF("u", "v"))
+    groups = written(_groups(distinct, distinct.count()), "groups")
+    texts = written(distinct.join(groups.select("number").distinct(), "number").select("number", "size", "text.*"), "grouped_texts")
+    sets = written(_shingles_of(docs, texts, shingle), "shingle_sets")
+    members = _joined(groups, texts.select("number", "size"), sets, similarity)
     joined = distinct.join(members, distinct["number"] == members["node"], "left").select(
         "number", "first_id", F.coalesce("root", "number").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))

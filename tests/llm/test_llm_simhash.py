@@ -118,3 +118,27 @@ def test_similar_documents(spark):
     assert all(loose[i] == loose[got[i]] for i in range(len(rows) - 6))
     assert got[1000] == got[1001] == 1000 and got[1002] == got[1003] == 1002 and got[None] == got[0]
     assert simhash.similar_documents(df.limit(0)).collect() == []
+
+
+def test_copies_of_one_original_that_are_not_similar_to_each_other(spark):
+    """Copies are at 0.85 to 0.88 of the original and at about 0.73 of one another, so only the original joins them."""
+    draw = random.Random(6)
+    base = [f"w{draw.randint(0, 10**6)}" for _ in range(260)]
+    rows = [(2000, " ".join(base))]
+    for i in range(1000):
+        words = list(base)
+        for block in draw.sample(range(52), 4):
+            words[block * 5 + 2] = f"new{i}x{block}"
+        rows.append((i, " ".join(words)))
+    own = shingles(rows[0][1])
+    like = [len(own & s) / len(own | s) for s in (shingles(t) for _, t in rows[1:])]
+    assert 0.84 < min(like) and max(like) < 0.89
+    sets = [shingles(t) for _, t in rows[1:200]]
+    assert sum(len(a & b) / len(a | b) >= 0.8 for i, a in enumerate(sets) for b in sets[:i]) < 0.1 * 199 * 99
+    # Intruders that have a good part of the text, but not enough of it.
+    for i in range(200):
+        rows.append((3000 + i, " ".join(base[:205] + [f"other{i}x{k}" for k in range(55)])))
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert sum(got[i] == 0 for i in range(1000)) >= 980 and got[2000] == 0
+    assert all(got[i] == i for i in range(3000, 3200))
