@@ -21,11 +21,12 @@ bits and are that close meet elsewhere too. So links grow with the members of a
 pairs, and a group holds at most the 2,081 fingerprints of a ball. Copies share a fingerprint and
 count once. Links are deduplicated and their distances verified.
 
-Similar texts: three of 64 bits are soon exceeded (texts with 0.8 of their five-word shingles in common differ in about ten),
-so `similar_documents` takes several short fingerprints instead: of 512 bits of a text's distinct shingles every 32 make a
-fingerprint, which meets others within two bits as above, every fingerprint emitting itself and all variants with one bit flipped. Texts
-that emitted the same variant are a group. Jaccard similarity is not transitive, so a star around one member would lose pairs of others;
-members are compared by their shingle sets, in rounds, until any two of a group are in one component or have been compared (see `_joined`).
+Similar texts: three of 64 bits are soon exceeded (texts with 0.8 of their five-word shingles in common differ in about ten), and short
+fingerprints within two bits lose every seventh lone pair at 0.8, so `similar_documents` takes minima of hashes instead: two sets have the same
+minimum with a probability of their Jaccard similarity, whatever their sizes. Texts with five equal minima in one of 32 bands are a group, in which a pair
+at 0.8 meets but for 3 in a million, at 0.85 but for 2 in a hundred million. Similarity is not transitive, so a star around one member would lose
+pairs of others; members are compared by their shingle sets, all candidates exactly, in rounds, until any two of a group are in one component
+or have been compared (see `_joined`).
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other. Rows with
 the same or a null doc_id each give a row; the component is the smallest doc_id that is not null.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from lexfreq.llm.components import components
 from lexfreq.llm.scratch import arrow_map, written
-from lexfreq.llm.words import SPACED, find_words, grams, mix, slices
+from lexfreq.llm.words import BASES, SPACED, find_words, grams, mix, slices
 
 SHINGLE = 3
 RADIUS = 3
@@ -192,20 +193,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-TABLES = 16
 SIMILARITY = 0.8
-_SEEDS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(TABLES // 2)], np.uint64)
+# Two texts at similarity j have the same minima in a band with probability j^ROWS, so at 0.8 they meet in some band but for 3 in a million.
+BANDS = 32
+ROWS = 5
+_LOTS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.array([[0], [1]], np.uint32)
 
 
-def _wide_signature(shingles: np.ndarray) -> np.ndarray:
-    """Eight 64-bit words, each bit set if it is set in over half of the hashes of the distinct shingles."""
-    width = 8 * len(_SEEDS)
-    counted = np.zeros(width * 256, np.int64)
-    for at in range(0, len(shingles), 1 << 14):
-        octets = mix(shingles[at:at + (1 << 14), None] + _SEEDS).astype(">u8").view(np.uint8).reshape(-1, width)
-        counted += np.bincount((octets + np.arange(width) * 256).ravel(), minlength=len(counted))
-    ones = counted.reshape(width, 256).astype(float) @ _BITS.astype(float)
-    return np.packbits(ones.ravel() * 2 > len(shingles)).view(">u8").astype(np.uint64)
+def _bands(shingles: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A number for each band of each set; the sets stand one after the other and none is empty."""
+    spread = (mix(shingles) >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros((len(begins), BANDS), np.uint64)
+    for i in range(BANDS * ROWS):
+        own = (spread ^ _LOTS[0, i]) * _LOTS[1, i]
+        own ^= own >> np.uint32(15)
+        own *= np.uint32(0x2C1B3C6D)
+        lowest = np.minimum.reduceat(own, begins).astype(np.uint64)
+        out[:, i // ROWS] = mix(out[:, i // ROWS] * np.uint64(BASES[0]) + lowest + np.uint64(i + 1))
+    return out
 
 
 def _shingle_sets(part: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
@@ -218,38 +223,44 @@ def _shingle_sets(part: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
         yield np.unique(own[n][begin:end - n + 1]) if n else np.zeros(0, np.uint64)
 
 
-def wide_signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, signature (eight numbers) and size (distinct shingles) of every document."""
+def banded(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_key, number (a hash of the set of shingles), size (distinct shingles) and bands of every document; no bands if size is 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = list(_shingle_sets(part, shingle))
-            found = np.concatenate([_wide_signature(s) for s in sets]).view(np.int64)
-            offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(_SEEDS))
+            sizes = np.array([len(s) for s in sets])
+            full = np.flatnonzero(sizes)
+            number, bands = np.zeros(len(sets), np.uint64), np.zeros((0, BANDS), np.uint64)
+            if len(full):
+                values = np.concatenate(sets)
+                begins = (np.cumsum(sizes) - sizes)[full]
+                number[full] = mix(np.add.reduceat(mix(values ^ np.uint64(SEED)), begins) + sizes[full].astype(np.uint64))
+                bands = _bands(values, begins)
+            offsets = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], part["text_key"], pa.ListArray.from_arrays(offsets, pa.array(found)),
-                 pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "text_key", "signature", "size"])
+                [part["doc_id"], part["text_key"], pa.array(number.view(np.int64)), pa.array(sizes.astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel().view(np.int64)))],
+                ["doc_id", "text_key", "number", "size", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     wanted = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return arrow_map(wanted, run, f"doc_id {kind}, text_key bigint, signature array<bigint>, size bigint")
+    return arrow_map(wanted, run, f"doc_id {kind}, text_key bigint, number bigint, size bigint, bands array<bigint>")
 
 
 def _groups(distinct: DataFrame, count: int) -> DataFrame:
-    """Rows bucket, number: which signatures (by number) emitted the same variant of a fingerprint in some table, where several did."""
-    masks = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint32)
-    per_table = max(1, -(-count * len(masks) // VARIANTS_PER_TASK))
+    """Rows bucket, number: the texts (by number) that have a band in common with others."""
+    targets = max(1, -(-count * BANDS // VARIANTS_PER_TASK))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 12):
-                part = batch.slice(at, 1 << 12)
-                chunks = part["signature"].flatten().to_numpy().astype(">i8").view(">u4").astype(np.uint32)
-                variants = (chunks[:, None] ^ masks).ravel().astype(np.int64)
-                tables = np.tile(np.repeat(np.arange(TABLES), len(masks)), part.num_rows)
-                target = tables * per_table + (mix(variants.view(np.uint64)) % np.uint64(per_table)).astype(np.int64)
-                yield _blocks(target, TABLES * per_table, (tables << 32) | variants, np.repeat(part["number"].to_numpy(), TABLES * len(masks)))
-
-    emitted = arrow_map(distinct.select("number", "signature"), emit, _BLOCKS).repartitionById(TABLES * per_table, "target")
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                buckets = part["bands"].flatten().to_numpy()
+                if len(buckets):
+                    numbers = np.repeat(part["number"].to_numpy(), part["bands"].value_lengths().to_numpy())
+                    yield _blocks((mix(buckets.view(np.uint64)) % np.uint64(targets)).astype(np.int64), targets, buckets, numbers)
+
+    emitted = arrow_map(distinct.select("number", "bands"), emit, _BLOCKS).repartitionById(targets, "target")
     return arrow_map(emitted, _crowded, "bucket bigint, number bigint")
 
 
@@ -337,12 +348,11 @@ def _joined(groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: fl
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id: documents joined by pairs of texts whose shingles are that similar."""
-    own = wide_signatures(docs, shingle).withColumn("number", F.xxhash64("signature", "size"))
-    own = written(own, "signatures")
+    own = written(banded(docs, shingle), "banded_texts")
     text = F.struct("doc_id", "text_key")
     distinct = written(own.groupBy("number").agg(
-        F.first("signature").alias("signature"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"),
-        F.min(text).alias("text")), "distinct_signatures")
+        F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"),
+        F.min(text).alias("text")), "distinct_texts")
     groups = written(_groups(distinct, distinct.count()), "groups")
     texts = written(distinct.join(groups.select("number").distinct(), "number").select("number", "size", "text.*"), "grouped_texts")
     sets = written(_shingles_of(docs, texts, shingle), "shingle_sets")
