@@ -140,3 +140,25 @@ def test_stages_take_odd_documents(spark):
                 assert out.columns == docs.columns
                 out = spark.createDataFrame(rows_out, docs.schema)
         assert bool(rows_out) == (frame is docs)
+
+
+def test_rows_with_null_or_repeated_doc_ids_are_told_apart(spark):
+    """What becomes of a row says nothing of other rows with the same doc_id or none; of copies one stays, whatever their doc_ids."""
+    scored = queries.QUERIES["op7_toxicity"](spark, FOLDER).filter("predicted = 1").select("doc_id")
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    toxic = documents.join(scored, "doc_id").orderBy("doc_id").first().text
+    leak = max((r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()), key=len)
+    clean = ["a text of a few words that has nothing wrong with it, number one of all", "and there is one more of this kind that can stay as it is"]
+    copy = "this one comes more than once and one of its copies is to stay in the corpus"
+    stages = dict(corpus_pipeline.STAGES)
+    for doc_id in (None, 10**9):
+        for name, bad in (("toxicity", toxic), ("decontamination", leak)):
+            own = [(doc_id, bad), (doc_id, clean[0]), (doc_id, clean[1])]
+            frame = documents.select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id bigint, text string"))
+            kept = [(r.doc_id, r.text) for r in stages[name](spark, frame, FOLDER).collect()]
+            assert own[0] not in kept and own[1] in kept and own[2] in kept
+        own = [(doc_id, copy), (doc_id, copy), (doc_id, copy + " too"), (doc_id, clean[0]), (3, clean[1]), (doc_id, clean[1])]
+        kept = stages["near_duplicates"](spark, spark.createDataFrame(own, "doc_id bigint, text string"), FOLDER).collect()
+        assert sorted(r.text for r in kept if r.text.startswith("this")) in ([copy], [copy + " too"])
+        assert [(r.doc_id, r.text) for r in kept if not r.text.startswith("this")].count((doc_id, clean[0])) == 1
+        assert [r.doc_id for r in kept if r.text == clean[1]] == [3]
