@@ -162,3 +162,13 @@ def test_rows_with_null_or_repeated_doc_ids_are_told_apart(spark):
         assert sorted(r.text for r in kept if r.text.startswith("this")) in ([copy], [copy + " too"])
         assert [(r.doc_id, r.text) for r in kept if not r.text.startswith("this")].count((doc_id, clean[0])) == 1
         assert [r.doc_id for r in kept if r.text == clean[1]] == [3]
+
+
+def test_last_stage_writes_the_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda spark, name: str(tmp_path / name))
+    docs = spark.createDataFrame([(i, f"some words of text number {i} " * 200) for i in range(40)], "doc_id bigint, text string")
+    rows = corpus_pipeline.token_stage(spark, docs, FOLDER).collect()
+    files = {f.parent.name: f.read_bytes() for f in (tmp_path / "shards").glob("shard=*/part-*")}
+    assert files and len(rows) > 10
+    for r in rows:
+        assert token_shards.read_record(files[f"shard={r.shard}"], r.record, r.n_tokens).tobytes() == bytes(r.ids)
