@@ -3,10 +3,9 @@
 The page is streamed through the parser of the standard library; no tree is built. Every block (the text
 between two block-level tags) is a line with a text-to-tag ratio: its characters over its tags. The ratios are
 smoothed with a Gaussian along the page, and lines above the standard deviation of the smoothed ratios form the content
-cluster. Lines belong to regions: the outermost article or main element, else the innermost section, div or cell around them.
-The region with most characters in the content cluster is selected, and others with at least half as many; articles
-and main elements go before other regions. All lines of a selected region are kept, short ones too, except
-those inside navigation, headers, footers, asides, forms, scripts, styles and the like, or inside elements whose class, id or role
+cluster. Selected is the smallest container (article, main, section, div, cell, body, or the page) around all lines of the cluster. If some of
+these lie in articles or main elements, only the lines in such elements count, and only they are selected. All selected lines
+are kept, short ones too, except those inside navigation, headers, footers, asides, forms, scripts, styles and the like, or inside elements whose class, id or role
 names them as menus, notices, adverts, comments and so on.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by a line feed.
@@ -28,7 +27,8 @@ from pyspark.sql import DataFrame
 from lexfreq.llm.scratch import arrow_map
 
 # Elements by role.
-CONTAINERS = {"article", "main", "section", "div", "td", "body"}
+ARTICLES = {"article", "main"}
+CONTAINERS = ARTICLES | {"section", "div", "td", "body"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main",
@@ -65,24 +65,29 @@ def _says_so(name: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects text, tags and region of every block that is not left out."""
+    """Collects text, tags, container and place (in an article or main element, or not) of every block that is not left out.
+
+    Containers are numbered as they open; those inside container c have the numbers from c to last[c].
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple]] = []
-        self.stack: list[tuple[str, bool, tuple | None]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
+        self.stack: list[tuple[str, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.number = 0
         self.left_out = 0
-        self.regions: list[tuple] = [(0, 0)]
+        self.articles = 0
+        self.open = [0]
+        self.around = [0]
+        self.last = [0]
 
     def _flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((text, max(1, self.tags), self.regions[-1]))
+                self.lines.append((text, max(1, self.tags), self.open[-1], self.articles > 0))
                 self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -97,13 +102,13 @@ class _Lines(HTMLParser):
         if tag in VOID or tag not in _TRACKED:
             return
         out = tag in LEFT_OUT or bool(attrs) and self._named(tag, attrs)
-        region = None
-        if tag in CONTAINERS and self.regions[-1][0] == 0:
-            self.number += 1
-            region = (1 if tag in ("article", "main") else 0, self.number)
-            self.regions.append(region)
+        if tag in CONTAINERS:
+            self.around.append(self.open[-1])
+            self.open.append(len(self.last))
+            self.last.append(len(self.last))
+        self.articles += tag in ARTICLES
         self.left_out += out
-        self.stack.append((tag, out, region))
+        self.stack.append((tag, out))
 
     def _named(self, tag: str, attrs: list) -> bool:
         for name, value in attrs:
@@ -128,10 +133,11 @@ class _Lines(HTMLParser):
 
     def _pop(self, depth: int) -> None:
         while len(self.stack) > depth:
-            _, out, region = self.stack.pop()
+            tag, out = self.stack.pop()
             self.left_out -= out
-            if region is not None:
-                self.regions.pop()
+            self.articles -= tag in ARTICLES
+            if tag in CONTAINERS:
+                self.last[self.open.pop()] = len(self.last) - 1
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -150,6 +156,8 @@ class _Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._flush()
+        self._pop(0)
+        self.last[0] = len(self.last) - 1
 
 
 def smoothed(ratios: np.ndarray, width: float = WIDTH) -> np.ndarray:
@@ -173,13 +181,14 @@ def main_text(html: str | None) -> str:
     lengths = np.array([len(text) for text, *_ in lines], float)
     ratios = smoothed(lengths / np.array([tags for _, tags, *_ in lines], float))
     content = ratios >= min(float(ratios.std()), float(ratios.max()))
-    weight: dict[tuple, float] = {}
-    for (_, _, region), length, dense in zip(lines, lengths, content):
-        weight[region] = weight.get(region, 0.0) + length * bool(dense)
-    kind = max(r[0] for r in weight if weight[r] > 0)
-    best = max(w for r, w in weight.items() if r[0] == kind)
-    chosen = {r for r, w in weight.items() if r[0] == kind and w >= best / 2}
-    return "\n".join(text for text, _, region in lines if region in chosen)
+    dense = [(container, article) for (_, _, container, article), inside in zip(lines, content) if inside]
+    articles = any(article for _, article in dense)
+    found = [container for container, article in dense if article or not articles]
+    around, most = min(found), max(found)
+    while parser.last[around] < most:
+        around = parser.around[around]
+    return "\n".join(text for text, _, container, article in lines
+                     if around <= container <= parser.last[around] and (article or not articles))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -56,3 +56,20 @@ def test_table(spark):
     assert sorted([tuple(r) for r in out], key=repr) == sorted(
         [(1, "u", WANTED, len(WANTED))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=repr)
     assert extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("around", ["body", "div", "div class='content'", "main", "td"])
+@pytest.mark.parametrize("part", ["div", "section", "article"])
+def test_parts_of_unequal_length_are_all_kept(around, part):
+    """An article in several containers, a short introduction and a short end among them."""
+    long = [f"Sentence {i} of the long part goes on for some while, so that the part is much longer than all others." for i in range(30)]
+    parts = [["A short introduction of a few words, which says what is to come."], ["Second title", *long], ["A third part, much shorter than the second."],
+             ["Last title", "The end of it all, in one sentence of some length."]]
+    own = "".join(f"<{part}>" + "".join(f"<p>{p}</p>" for p in lines) + f"</{part}>" for lines in parts)
+    junk = JUNK["nav"] + JUNK["header"] + JUNK["sidebar"]
+    page = f"<html><body>{junk}<{around}>{own}</{around.split()[0]}>{JUNK['comments']}{JUNK['footer']}</body></html>"
+    assert main_text(page) == "\n".join(p for lines in parts for p in lines)
+
+
+def test_depth_of_markup_does_not_matter():
+    assert main_text("<div>" * 20_000 + f"<article>{BODY}" + "<div><p>and more of it, a sentence that goes on for some while</p>" * 2000).startswith(WANTED)
