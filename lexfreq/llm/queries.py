@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfreq.llm import ann, html_text, line_dedup, mixing, pii, quality, simhash, token_shards, toxicity
+from lexfreq.llm import ann, html_text, line_dedup, mixing, pii, quality, simhash, substring_dedup, token_shards, toxicity
 from lexfreq.llm.decontaminate import covered, decontaminate
 from lexfreq.llm.scratch import table
 from lexfreq.session import scratch_path
@@ -67,6 +67,11 @@ def op10_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP9_ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -95,6 +100,6 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mix_sources, op2_nearest_vectors, op3_simhash_near_duplicates, op4_line_dedup, op5_quality, op6_token_shards, op7_toxicity,
-    op8_main_text, op9_decontaminate, op10_surrogates)}
+    op8_main_text, op9_decontaminate, op10_surrogates, op11_substring_dedup)}
 
-ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op9_decontaminate": OP9_ORACLE}
+ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op9_decontaminate": OP9_ORACLE, "op11_substring_dedup": substring_dedup.ORACLE}

@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lexfreq.llm.scratch import arrow_map, written
+from lexfreq.llm.scratch import arrow_map, dropped_shuffles, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this kind cut a text into pieces.
@@ -161,21 +160,6 @@ def payload(length: int, vocabulary: bytes) -> Column:
     return F.substring(F.concat(F.col("ids"), F.lit(bytearray(filler))), 1, len(filler))
 
 
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Let Spark delete the shuffle files of each job when it ends, for as long as this lasts."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def write_shards(sequences: DataFrame, folder: str, vocabulary_path: str = VOCABULARY, length: int = LENGTH,
                  rounds: int = ROUNDS_OF_SHARDS) -> None:
     """One file below folder/shard=<number> for every shard: its records in slot order.
@@ -190,7 +174,7 @@ def write_shards(sequences: DataFrame, folder: str, vocabulary_path: str = VOCAB
     per_round = -(-shards // rounds)
     tasks = max(1, min(per_round, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-per_round // TASK_SHARDS))))
     per_task = -(-per_round // tasks)
-    with _shuffles_dropped(spark):
+    with dropped_shuffles(spark):
         for number in range(rounds):
             first = number * per_round
             own = sequences.filter((F.col("shard") >= first) & (F.col("shard") < first + per_round)).select("shard", "slot", "ids")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
@@ -62,6 +63,12 @@ class _Powers:
 _powers = _Powers()
 
 
+def weighted(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of a base and of its inverse."""
+    _powers.upto(n)
+    return _powers.forth[base], _powers.back[base]
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with at most `limit` bytes of text, or one row."""
@@ -110,6 +117,23 @@ class Words:
         own = (sums[end] - sums[self.begin]) * _powers.back[base][self.begin]
         return mix(own + (end - self.begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
+    def encoded(self) -> tuple[np.ndarray, pa.Array]:
+        """The number of every word among the different words, and those words as bytes."""
+        ends = np.cumsum(self.end - self.begin)
+        starts = np.concatenate([[0], ends]).astype(np.int64)
+        joined = self.data[np.repeat(self.begin - starts[:-1], np.diff(starts)) + np.arange(starts[-1])]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(starts), pa.py_buffer(joined)])
+        found = words.dictionary_encode()
+        return found.indices.to_numpy(), found.dictionary
+
+    def digests(self) -> np.ndarray:
+        """The XXH64 of every word. Unlike the polynomials of `hashes` it has no algebra by which long words could be made to agree."""
+        if not len(self.begin):
+            return np.zeros(0, np.uint64)
+        numbers, different = self.encoded()
+        digest = xxhash.xxh64_intdigest
+        return np.fromiter((digest(w) for w in different.to_pylist()), np.uint64, len(different))[numbers]
+
     def counts(self) -> np.ndarray:
         return np.bincount(self.text, minlength=self.n_texts)
 
@@ -118,11 +142,16 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.counts())]).astype(np.int64)
 
 
-def find_words(column: pa.Array, kind: np.ndarray) -> Words:
-    """Maximal runs of bytes that are of a kind in lower case; they never cross from one text to the next."""
+def find_words(column: pa.Array, kind: np.ndarray, fold: bool = True) -> Words:
+    """Maximal runs of bytes of a kind, in lower case unless `fold` is off; they never cross from one text to the next."""
     raw, starts = flat(column)
-    raw = LOWER[raw]
-    inside = kind[raw]
+    if fold:
+        raw = LOWER[raw]
+    return runs(raw, starts, kind[raw])
+
+
+def runs(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> Words:
+    """Maximal runs of bytes that are inside; they never cross from one text to the next."""
     opens, closes = inside.copy(), inside.copy()
     if len(raw):
         opens[1:] &= ~inside[:-1]

@@ -19,11 +19,13 @@ COLUMNS = {
     "op3_simhash_near_duplicates": "doc_id fingerprint component_id", "op5_quality": "doc_id held_out score predicted",
     "op7_toxicity": "doc_id held_out score predicted", "op8_main_text": "page_id url text n_chars",
     "op9_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op11_substring_dedup": "doc_id n_words n_removed kept_sha256", "op12_ranked_search": "item_id rank doc_id score",
+    "op13_spelling_variants": "word form root n n_near form_n",
 }
 
 
-def test_ten_operators_are_registered():
-    assert {int(name.split("_")[0][2:]) for name in queries.QUERIES} == {*range(1, 11)}
+def test_operators_are_registered():
+    assert {int(name.split("_")[0][2:]) for name in queries.QUERIES} == {*range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -33,7 +35,7 @@ def test_query(spark, name):
     if name in queries.ORACLES:
         assert oracle.differences(df, oracle.connect(FOLDER), queries.ORACLES[name]) == []
     else:
-        table = {"op2": 1, "op8": "pages"}.get(name.split("_")[0], "documents")
+        table = {"op2": 1, "op8": "pages", "op13": 1}.get(name.split("_")[0], "documents")
         rows = df.count()
         assert rows > 0 if table == 1 or name.startswith("op6") else rows == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
 

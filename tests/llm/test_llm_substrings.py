@@ -1,0 +1,86 @@
+"""Repeated passages against their definition."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexfreq.llm import queries, substring_dedup
+
+SCHEMA = "doc_id bigint, text string, anchor string, span int, windows string, _id int"
+
+
+def by_definition(rows, window=13):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", text or "") for _, text in rows]
+    least = {}
+    for (doc_id, _), own in zip(rows, words):
+        for i in range(len(own) - window + 1):
+            key = tuple(own[i:i + window])
+            if doc_id is not None:
+                least[key] = min(least.get(key, doc_id), doc_id)
+    out = []
+    for (doc_id, _), own in zip(rows, words):
+        gone = set()
+        for i in range(len(own) - window + 1):
+            if doc_id is not None and least[tuple(own[i:i + window])] < doc_id:
+                gone.update(range(i, i + window))
+        out.append((doc_id, len(own), len(gone), " ".join(w for i, w in enumerate(own) if i not in gone)))
+    return sorted(out, key=repr)
+
+
+def found(spark, rows, **parameters):
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], SCHEMA).repartition(3)
+    out = substring_dedup.remove_repeats(docs, **parameters)
+    assert out.columns == ["doc_id", "n_words", "n_removed", "kept", "spans"]
+    got = out.collect()
+    for r in got:
+        assert sum(s.n for s in r.spans) == r.n_removed and all(a.begin + a.n < b.begin for a, b in zip(r.spans, r.spans[1:]))
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_definition(spark, seed):
+    """Texts of few different words, put together from shared passages, so that windows repeat in part, in whole and inside a document."""
+    rng = random.Random(seed)
+    vocabulary = ["a", "b", "A", "ñ"] if seed % 2 else [f"w{i}" for i in range(300)]
+    passages = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 60))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(0, 6)):
+            passage = rng.choice(passages)
+            begin = rng.randint(0, len(passage) // 2)
+            words += passage[begin:] if rng.random() < 0.7 else [rng.choice(vocabulary) for _ in range(rng.randint(1, 30))]
+        rows.append((rng.choice([i, i, i, 5, None]), rng.choice([" ", "\n", " \t "]).join(words)))
+    assert found(spark, rows) == by_definition(rows)
+
+
+def test_window_is_a_parameter(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(40))) for i in range(30)]
+    assert found(spark, rows, window=6, gram=2) == by_definition(rows, 6)
+
+
+def test_odd_documents(spark):
+    """Nulls, empty texts, repeated rows, texts shorter than a window, very long texts and long words."""
+    long = " ".join(f"long{i}" for i in range(40_000))
+    passage = " ".join(f"word{i}" for i in range(13))
+    thue, other = ("".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(2048)) for flip in (0, 1))
+    rows = [(1, None), (2, ""), (3, " \n"), (None, None), (None, passage), (4, passage), (4, passage), (5, "so " + passage + " it ends"), (6, passage[:-7]),
+            (7, long), (8, long + " " + passage), (8, "x " + long), (9, " ".join([thue] * 13)), (10, " ".join([other] * 13)), (5, "so " + passage + " it ends")]
+    assert found(spark, rows) == by_definition(rows)
+    assert found(spark, []) == []
+
+
+def test_many_copies_of_one_passage(spark):
+    """A passage in most documents makes rows in proportion to its occurrences, not to their pairs."""
+    passage = " ".join(f"word{i}" for i in range(50))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(f" own {passage} "), F.col("id").cast("string")).alias("text"))
+    rows = substring_dedup.remove_repeats(docs).groupBy("n_removed").count().collect()
+    assert sorted(map(tuple, rows)) == [(0, 1), (51, 3999)]
+
+
+def test_query_digests_what_is_kept(spark):
+    rows = queries.op11_substring_dedup(spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
