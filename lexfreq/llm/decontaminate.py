@@ -81,7 +81,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM, bits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = find_words(part["text"], ALPHANUMERIC)
-            both = [words.hashes(0), words.hashes(1)]
+            both = [words.hashes(0), words.digests()]
             counts = words.counts()
             for n in range(1, window + 1):
                 if n < window:
@@ -125,7 +125,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 
         for part in slices(batches):
             words = find_words(part["text"], ALPHANUMERIC)
-            both = [words.hashes(0), words.hashes(1)]
+            both = [words.hashes(0), words.digests()]
             found = []
             for n in lengths:
                 if n < window:

@@ -216,7 +216,7 @@ def _bands(shingles: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def _shingle_sets(part: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
     """The distinct shingles of each text; a text of fewer words is one shingle, one without words has none."""
     words = find_words(part["text"], SPACED)
-    hashes, firsts = words.hashes(), words.firsts()
+    hashes, firsts = words.digests(), words.firsts()
     own = {n: grams(hashes, n) for n in range(1, shingle + 1)}
     for begin, end in zip(firsts[:-1], firsts[1:]):
         n = min(shingle, end - begin)

@@ -71,3 +71,11 @@ def test_every_long_shared_span_is_found(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b")]) == []
     assert run(spark, [(1, "a b")], []) == [(1, 2, 0, [])]
+
+
+def test_words_that_agree_in_polynomial_hashes(spark):
+    """The Thue-Morse word and its complement have the same value of any polynomial modulo 2^64 with an odd base."""
+    word, other = ("".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(2048)) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, " ".join([word] * 12)), (2, " ".join([other] * 12))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join([word] * 10)), (2, word)], "item_id bigint, text string")
+    assert {r.doc_id: len(r.item_ids) for r in decontaminate(docs, items).collect()} == {1: 2, 2: 0}
