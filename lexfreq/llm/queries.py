@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexfreq.llm import ann, html_text, line_dedup, mixing, pii, quality, simhash, substring_dedup, token_shards, toxicity
+from lexfreq.llm import ann, html_text, line_dedup, mixing, pii, quality, ranked_search, simhash, spelling, substring_dedup, token_shards, toxicity
 from lexfreq.llm.decontaminate import covered, decontaminate
 from lexfreq.llm.scratch import table
 from lexfreq.session import scratch_path
@@ -72,6 +72,14 @@ def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 OP9_ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -100,6 +108,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mix_sources, op2_nearest_vectors, op3_simhash_near_duplicates, op4_line_dedup, op5_quality, op6_token_shards, op7_toxicity,
-    op8_main_text, op9_decontaminate, op10_surrogates, op11_substring_dedup)}
+    op8_main_text, op9_decontaminate, op10_surrogates, op11_substring_dedup, op12_ranked_search, op13_spelling_variants)}
 
-ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op9_decontaminate": OP9_ORACLE, "op11_substring_dedup": substring_dedup.ORACLE}
+ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op9_decontaminate": OP9_ORACLE, "op11_substring_dedup": substring_dedup.ORACLE,
+           "op12_ranked_search": ranked_search.ORACLE}
