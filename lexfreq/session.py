@@ -91,10 +91,12 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lexfreq/{spark.sparkContext.applicationId}"
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what the application has stored in the shared folder; to be called at the end of a job."""
+def drop_scratch(spark: SparkSession, part: str | None = None) -> None:
+    """Delete what the application has stored in the shared folder, or the part of it with that path; to be called when a job is through with it."""
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = context._jvm.org.apache.hadoop.fs.Path(part or _own_folder(spark))
+    if part and not part.startswith(f"{_own_folder(spark)}/"):
+        raise ValueError(f"{part} is not scratch of this application")
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
