@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StringType
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, functions as F
 
 from lexfreq import fixed_values as V
-from lexfreq.functions.text import characters
+from lexfreq.operators import trie as T
 from lexfreq.session import stored
 
+_HITS = "array<struct<at:int,size:int,weight:bigint>>"
+_HIT = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("weight", pa.int64())])
+
 
 def script_runs(files: DataFrame, script: str = V.HAN, text: str = "text") -> DataFrame:
     """One row per unbroken run of script characters."""
@@ -17,88 +24,116 @@ def script_runs(files: DataFrame, script: str = V.HAN, text: str = "text") -> Da
     return files.select(*others, F.explode(F.regexp_extract_all(F.col(text), F.lit(f"[{script}]+"), 0)).alias("run"))
 
 
-def _best_path():
-    def path(starts, sizes, words, weights):
-        """The words of the path with the largest sum of weights; a longer word wins a tie."""
-        steps: dict[int, list] = {}
-        for start, size, word, weight in zip(starts, sizes, words, weights):
-            steps.setdefault(start, []).append((weight, size, word))
-        first, end = min(steps), max(start + size for start, size in zip(starts, sizes))
-        value, choice = {end: 0}, {}
-        for at in range(end - 1, first - 1, -1):
-            value[at], _, choice[at] = max((weight + value[at + size], size, (size, word)) for weight, size, word in steps[at])
-        out, at = [], first
-        while at < end:
-            size, word = choice[at]
-            out.append(word)
-            at += size
-        return out
-
-    def run_batch(starts: pd.Series, sizes: pd.Series, words: pd.Series, weights: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else path(s, z, t, w) for s, z, t, w in zip(starts, sizes, words, weights)], dtype="object")
-
-    run_batch.__annotations__ = {name: pd.Series for name in ("starts", "sizes", "words", "weights", "return")}
-    return F.pandas_udf(run_batch, returnType=ArrayType(StringType()))
-
-
-def cut_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """runs(run_id, run), lexicon(word, weight) -> (run_id, piece, words): the words of each piece of each run, in order.
-
-    Every character sees the listed words that begin with it, by an equi-join on substrings; the run itself travels
-    nowhere. A run falls into pieces wherever no listed word crosses from one character to the next, and the
-    paths of the pieces are independent. Most pieces are one character; only others reach the Python helper.
-    A character on no path stands alone, with the weight of a word seen once.
+def best_sizes(heads: np.ndarray, n: int, at: np.ndarray, size: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For every position the size of its step on the path with the largest sum of weights; a longer step wins a tie.
+
+    Hits are sorted by position and size, and every position has one. Nothing crosses the heads, so the sums from each position to the next head
+    are found for all of them together, those nearest to it first.
     """
-    total = lexicon.agg(F.sum("weight").cast("double")).scalar()
-    longest = lexicon.agg(F.max(F.length("word"))).scalar()
-    scored = lexicon.select(F.col("word").alias("gram"), F.log(F.col("weight").cast("double")).alias("log_weight"))
-    # Slices of an array take the time of their length; substrings of a long text take that of the way to them.
-    spelled = runs.select("run_id", characters(F.col("run")).alias("letters"), F.coalesce(longest, F.lit(1)).alias("longest"))
-    stretches = spelled.select("run_id", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.size("letters")),
-        lambda i: F.array_join(F.slice("letters", i, F.col("longest")), ""))).alias("start", "stretch"))
-    grams = (stretches
-             .select("run_id", "start", "stretch", F.explode(F.sequence(F.lit(1), F.length("stretch"))).alias("size"))
-             .select("run_id", "start", "size", F.substr("stretch", F.lit(1), F.col("size")).alias("gram")))
-    hits = grams.join(scored, "gram", "left").filter("size = 1 OR log_weight IS NOT NULL")
-    along = Window.partitionBy("run_id").orderBy("start", "size")
-    reach = F.max(F.col("start") + F.col("size")).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (F.col("size") == 1) & (F.col("start") >= F.coalesce(reach, F.lit(0)))
-    pieces = (hits.withColumn("opens", opens.cast("int"))
-              .withColumn("piece", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-              # Whole millionths: sums are exact, so paths that are equally probable tie.
-              .withColumn("weight", F.round((F.coalesce("log_weight", F.lit(0.0)) - F.log(total)) * 1_000_000).cast("bigint")))
-    gathered = pieces.groupBy("run_id", "piece").agg(F.collect_list(F.struct("start", "size", "gram", "weight")).alias("hits"))
-    several = F.when(F.size("hits") > 1, F.col("hits"))
-    path = _best_path()(several["start"], several["size"], several["gram"], several["weight"])
-    return gathered.select("run_id", "piece", F.coalesce(path, F.col("hits.gram")).alias("words"))
-
-
-def _numbered(runs: DataFrame) -> DataFrame:
-    """Distinct runs with a number, as a table of their own: numbers must not change while they are used."""
-    return stored(runs.select("run").distinct().withColumn("run_id", F.monotonically_increasing_id()), "runs")
-
-
-def segment_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    ends = np.append(heads[1:], n)
+    left = ends[np.searchsorted(heads, np.arange(n), side="right") - 1] - np.arange(n)
+    order = np.argsort(left[at], kind="stable")
+    at, size, weight = at[order], size[order], weight[order]
+    levels = np.concatenate([[0], np.cumsum(np.bincount(left[at], minlength=1))])
+    # A sum that ends at a head is 0 there, which is not the head's own sum.
+    value, chosen, stop = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n + 1, bool)
+    stop[ends] = True
+    for begin, end in zip(levels[1:-1], levels[2:]):
+        if begin == end:
+            continue
+        own, to = at[begin:end], at[begin:end] + size[begin:end]
+        total = weight[begin:end] + np.where(stop[to], 0, value[np.minimum(to, n - 1)])
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        most = np.maximum.reduceat(total, first)
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(own))))
+        last = np.maximum.reduceat(np.where(total == most[number], np.arange(len(own)), -1), first)
+        value[own[first]], chosen[own[first]] = most, size[begin:end][last]
+    return chosen
+
+
+def _path(points: np.ndarray, starts: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray], alone: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and sizes of the words on the best paths. A letter that is not listed can stand alone, with the weight `alone`."""
+    at, size, weight = hits
+    n = len(points)
+    single = np.ones(n, bool)
+    single[at[size == 1]] = False
+    more = np.flatnonzero(single)
+    at, size, weight = (np.concatenate(x) for x in ((more, at), (np.ones(len(more), np.int64), size), (np.full(len(more), alone), weight)))
+    order = np.lexsort((size, at))
+    at, size, weight = at[order], size[order], weight[order]
+    heads = T.crossings(starts, at, size, n)
+    chosen = best_sizes(heads, n, at, size, weight)
+    on = T.followed(heads, n, chosen)
+    return on, chosen[on]
+
+
+def _words(points: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The words at these positions, as one array of strings."""
+    text = points.astype(np.uint32).tobytes().decode("utf-32-le")
+    return pa.array([text[a:a + s] for a, s in zip(at.tolist(), size.tolist())], pa.string())
+
+
+def cut(runs: DataFrame, lexicon: DataFrame, most: int = T.PIECE_WORDS) -> DataFrame:
+    """runs(run, others), lexicon(word, weight) -> the same and `words`: the words of the most probable path of each run, in order.
+
+    A run is scanned by the trie of the list; where no listed word crosses from one letter to the next the path falls into parts, which
+    are independent, so time is linear in the length of a run. A letter on no path stands alone, with the weight of a word seen
+    once. If the list has several pieces, runs go from piece to piece with their hits, and the last one finds the paths.
+    """
+    figures = lexicon.agg(F.sum("weight").cast("double").alias("total")).first()
+    total = math.log(figures.total or 1.0)
+    # Whole millionths: sums are exact, so paths that are equally probable tie.
+    millionths = F.round((F.log(F.col("weight").cast("double")) - F.lit(total)) * 1_000_000).cast("bigint")
+    listed = lexicon.groupBy("word").agg(F.max("weight").alias("weight")).select("word", millionths.alias("millionths"))
+    alone = round(-total * 1_000_000)
+    pieces = list(T.pieces_of(listed, most)) or [runs.sparkSession.sparkContext.broadcast(
+        T.Piece(T.Trie.of(pa.array([], pa.string())), pa.RecordBatch.from_pydict({"word": pa.array([], pa.string()), "millionths": pa.array([], pa.int64())})))]
+    found = runs.withColumn("__hits", F.array().cast(_HITS))
+    for number, piece in enumerate(pieces):
+        last = number == len(pieces) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = piece, last: bool = last) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            weights = own.rows["millionths"].to_numpy()
+            for rows in T.text_slices(batches, "run"):
+                points, starts = T.letters_of(rows["run"])
+                at, size, word = own.trie.found(points, starts)
+                before = rows["__hits"].flatten()
+                row = np.repeat(np.arange(rows.num_rows), rows["__hits"].value_lengths().to_numpy())
+                at = np.concatenate([starts[row] + before.field("at").to_numpy(), at])
+                size = np.concatenate([before.field("size").to_numpy(), size])
+                weight = np.concatenate([before.field("weight").to_numpy(), weights[word]])
+                kept = [rows[c] for c in rows.schema.names if c != "__hits"]
+                names = [c for c in rows.schema.names if c != "__hits"]
+                if last:
+                    on, sizes = _path(points, starts, (at, size, weight), alone)
+                    offsets = pa.array(np.searchsorted(on, starts).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, _words(points, on, sizes))], [*names, "words"])
+                else:
+                    row = np.searchsorted(starts, at, side="right") - 1
+                    order = np.argsort(row, kind="stable")
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows.num_rows))]).astype(np.int32)
+                    hits = pa.StructArray.from_arrays([pa.array((at - starts[row])[order].astype(np.int32)), pa.array(size[order].astype(np.int32)),
+                                                       pa.array(weight[order])], fields=list(_HIT))
+                    yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), hits)], [*names, "__hits"])
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
+        found = found.mapInArrow(run, f"{fields}, " + ("words array<string>" if last else f"__hits {_HITS}"))
+        if not last:
+            found = stored(found, "run_hits")
+    return found
+
+
+def segment_runs(runs: DataFrame, lexicon: DataFrame, most: int = T.PIECE_WORDS) -> DataFrame:
     """runs(run), lexicon(word, weight) -> (run, words), one row per distinct run."""
-    numbered = _numbered(runs)
-    pieces = cut_runs(numbered, lexicon).groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("piece", "words"))).alias("pieces"))
-    return numbered.join(pieces, "run_id").select("run", F.flatten("pieces.words").alias("words"))
+    return cut(runs.select("run").distinct(), lexicon, most)
 
 
 def segmented_tokens(files: DataFrame, lexicon: DataFrame, script: str = V.HAN,
-                     text: str = "text") -> DataFrame:
-    """files(keys, text) -> (keys, word, frequency).
-
-    Equal runs are counted before they are cut. The counted runs are stored, because cutting and
-    counting both read them.
-    """
+                     text: str = "text", most: int = T.PIECE_WORDS) -> DataFrame:
+    """files(keys, text) -> (keys, word, frequency). Equal runs of a key are counted before they are cut."""
     runs = script_runs(files, script, text)
     keys = [c for c in runs.columns if c != "run"]
-    counted = stored(runs.groupBy(*keys, "run").agg(F.count("*").alias("n")), "counted_runs")
-    numbered = _numbered(counted)
-    words = (cut_runs(numbered, lexicon).select("run_id", F.explode("words").alias("word"))
-             .groupBy("run_id", "word").agg(F.count("*").alias("times")))
-    return (counted.join(numbered, "run").drop("run").join(words, "run_id")
-            .groupBy(*keys, "word").agg(F.sum(F.col("n") * F.col("times")).alias("frequency")))
+    counted = runs.groupBy(*keys, "run").agg(F.count("*").alias("n"))
+    return (cut(counted, lexicon, most).select(*keys, "n", F.explode("words").alias("word"))
+            .groupBy(*keys, "word").agg(F.sum("n").alias("frequency")))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexfreq import fixed_values as V
 from lexfreq.functions import text as X
+from lexfreq.operators import trie as T
 from lexfreq.operators.keyed import top_k_per_group
 
 
@@ -63,17 +68,21 @@ def distance(sentence: Column, best: int = V.BEST_EXAMPLE_LENGTH) -> Column:
     return F.abs(F.length(sentence) - best)
 
 
-def word_sentence_pairs(sentences: DataFrame, words: DataFrame, keep: list[str]) -> DataFrame:
+def word_sentence_pairs(sentences: DataFrame, words: DataFrame, keep: list[str], most: int = T.PIECE_WORDS) -> DataFrame:
     """(word, columns to keep), once for every word and every sentence row that contains it.
 
-    Each sentence is cut into its substrings of the lengths that occur in `words`, and these are
-    joined with the words by equality. Sentences are short (at most 80 characters) but grow a
-    hundredfold here, so they are dealt out first, and what is kept should be short: a number of the
-    sentence rather than its text.
+    Sentences are scanned by the trie of all words, which finds in each what it holds; nothing is shuffled but the sentences themselves, which
+    are dealt out first. What is kept should be short: a number of the sentence rather than its text.
     """
-    lengths = words.agg(F.array_sort(F.collect_set(F.length("word")))).scalar()
-    grams = F.array_distinct(F.flatten(F.transform(F.col("__lengths"), lambda n: F.transform(
-        F.when(n <= F.length("sentence"), F.sequence(F.lit(1), F.length("sentence") - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda at: F.substr("sentence", at, n)))))
-    dealt = sentences.repartition("sentence").withColumn("__lengths", lengths)
-    return dealt.select(*keep, F.explode(grams).alias("word")).join(words.select("word"), "word").select("word", *keep)
+    kinds = {f.name: f.dataType.simpleString() for f in sentences.schema.fields}
+
+    def take(rows: pa.RecordBatch, piece: T.Piece, points: np.ndarray, starts: np.ndarray, hits: tuple) -> Iterator[pa.RecordBatch]:
+        at, _, word = hits
+        # A word is in a sentence once, however often it stands there.
+        row, word = np.unique(np.stack([np.searchsorted(starts, at, side="right") - 1, word]), axis=1) if len(at) else (at, at)
+        taken = pa.array(row)
+        yield pa.RecordBatch.from_arrays([piece.rows["word"].take(pa.array(word)), *(rows[c].take(taken) for c in keep)], ["word", *keep])
+
+    dealt = sentences.repartition("sentence").select(*dict.fromkeys([*keep, "sentence"]))
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+    return T.scanned(dealt, words.select("word").distinct(), "sentence", f"word string, {fields}", take, most)

@@ -30,11 +30,12 @@ def test_paths_are_the_most_probable(spark):
     lexicon = spark.createDataFrame(list(weights.items()), "word string, weight long")
     runs = {"".join(rng.choices("你好吗我们x", k=rng.randint(1, 9))) for _ in range(120)}
     frame = spark.createDataFrame([(r,) for r in runs], "run string").repartition(4)
-    got = {r.run: r.words for r in G.segment_runs(frame, lexicon).collect()}
-    assert set(got) == runs
-    for run, words in got.items():
-        top, score = best(run, weights)
-        assert "".join(words) == run and abs(score(words) - top) < 1e-4
+    for most in (1000, 4):
+        got = {r.run: r.words for r in G.segment_runs(frame, lexicon, most).collect()}
+        assert set(got) == runs
+        for run, words in got.items():
+            top, score = best(run, weights)
+            assert "".join(words) == run and abs(score(words) - top) < 1e-4
 
 
 def test_time_follows_the_length(spark):
@@ -65,3 +66,10 @@ def test_longer_word_wins_a_tie_and_unknown_stays_single(spark):
     lexicon = spark.createDataFrame([("火车站", 9), ("火车", 9), ("站", 9), ("很", 9)], "word string, weight long")
     got = {r.word for r in G.segmented_tokens(files, lexicon).collect()}
     assert got == {"火车站", "很", "大"}
+
+
+def test_no_list_and_no_runs(spark):
+    lexicon = spark.createDataFrame([], "word string, weight long")
+    runs = spark.createDataFrame([("你好",)], "run string")
+    assert [r.words for r in G.segment_runs(runs, lexicon).collect()] == [["你", "好"]]
+    assert G.segment_runs(runs.limit(0), spark.createDataFrame([("你", 1)], "word string, weight long")).collect() == []

@@ -68,5 +68,16 @@ def test_pairs_match_containment(spark):
                                       "exam_id string, source_type string, sentence string")
     words = ["a", "ab", "bca", "abcabc", "abcabcd", "zz"]
     listed = spark.createDataFrame([(w,) for w in words], "word string")
-    got = {(r.word, r.sentence) for r in S.word_sentence_pairs(sentences, listed, ["sentence"]).collect()}
-    assert got == {(w, s) for w in words for s in ("abcabc", "xbcax", "ab") if w in s}
+    for most in (100, 2):
+        rows = S.word_sentence_pairs(sentences, listed, ["sentence"], most).collect()
+        assert sorted((r.word, r.sentence) for r in rows) == sorted((w, s) for w in words for s in ("abcabc", "xbcax", "ab") if w in s)
+
+
+def test_scan_shuffles_hits_only(spark):
+    """Behind the one exchange that deals out the sentences come rows of hits: no row per substring."""
+    sentences = spark.createDataFrame([(f"e{i}", "reading", "abc " * 18 + str(i)) for i in range(50)], "exam_id string, source_type string, sentence string")
+    words = spark.createDataFrame([("abc",), ("bc 1",), ("none",)], "word string")
+    pairs = S.word_sentence_pairs(sentences, words, ["exam_id"])
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan
+    assert pairs.count() == 50 + 11
