@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lexfreq import fixed_values as V
 from lexfreq.functions import text as X
+from lexfreq.operators import trie as T
+from lexfreq.session import stored
 
 
 def collapse_repeats(text: Column, shortest: int = V.REPEAT_SHORTEST,
@@ -244,6 +252,90 @@ def simplify_text(text: Column, pairs: DataFrame) -> Column:
     return F.call_function("translate", text, both["source"], both["target"])
 
 
+def phrase_pairs(dictionary: DataFrame, pairs: DataFrame, traditional: str = "traditional",
+                 simplified: str = "simplified") -> DataFrame:
+    """(word, target): dictionary phrases of two characters or more with their conversion, and single characters from `pairs`.
+
+    A phrase that stays as it is is listed too: it keeps its characters from being converted one by one.
+    """
+    phrases = (dictionary.filter(F.length(traditional) > 1)
+               .groupBy(F.col(traditional).alias("word")).agg(F.min(simplified).alias("target")))
+    return phrases.unionByName(pairs.select(F.col("source").alias("word"), "target"))
+
+
+def _longest(starts: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, size and word (-1: none) of the steps through all texts that take the longest word wherever one begins."""
+    at, size, word = hits
+    longest, number = np.ones(n, np.int64), np.full(n, -1)
+    # Sorted by position and size, so the longest word of a position is written last.
+    last = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else at
+    longest[at[last]], number[at[last]] = size[last], word[last]
+    on = T.followed(T.crossings(starts, at, size, n), n, longest)
+    return on, longest[on], number[on]
+
+
+def convert_phrases(files: DataFrame, phrases: DataFrame, text: str = "text", output: str = "text", most: int = T.PIECE_WORDS) -> DataFrame:
+    """Convert running text: from left to right the longest listed phrase (word, target) that begins at a place is replaced as a whole.
+
+    Texts are scanned by the trie of the phrases. If the list has several pieces, the hits of all of them go with the text, and the last
+    one chooses between them.
+    """
+    kind = "array<struct<at:int,size:int,target:string>>"
+    arrow_hit = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("target", pa.string())])
+    pieces = list(T.pieces_of(phrases.groupBy("word").agg(F.min("target").alias("target")), most))
+    if not pieces:
+        return files.withColumn(output, F.col(text))
+    others = [f for f in files.schema.fields if f.name != output]
+    found = files.select(*[f.name for f in others], F.col(text).alias("__text"), F.array().cast(kind).alias("__hits"))
+    for place, piece in enumerate(pieces):
+        last = place == len(pieces) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = piece, last: bool = last) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for rows in T.text_slices(batches, "__text"):
+                points, starts = T.letters_of(rows["__text"])
+                at, size, word = own.trie.found(points, starts)
+                before = rows["__hits"].flatten()
+                row = np.repeat(np.arange(rows.num_rows), rows["__hits"].value_lengths().to_numpy())
+                targets = pa.concat_arrays([before.field("target"), own.rows["target"].take(pa.array(word))])
+                at = np.concatenate([starts[row] + before.field("at").to_numpy(), at])
+                size = np.concatenate([before.field("size").to_numpy(), size])
+                order = np.lexsort((size, at))
+                at, size, targets = at[order], size[order], targets.take(pa.array(order))
+                kept = [rows[f.name] for f in others]
+                names = [f.name for f in others]
+                if last:
+                    converted = _replaced(points, starts, _longest(starts, (at, size, np.arange(len(at))), len(points)), targets)
+                    yield pa.RecordBatch.from_arrays([*kept, pc.if_else(pc.is_valid(rows["__text"]), converted, None)], [*names, "__text"])
+                else:
+                    row = np.searchsorted(starts, at, side="right") - 1
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows.num_rows))]).astype(np.int32)
+                    hits = pa.StructArray.from_arrays([pa.array((at - starts[row]).astype(np.int32)), pa.array(size.astype(np.int32)), targets], fields=list(arrow_hit))
+                    yield pa.RecordBatch.from_arrays([*kept, rows["__text"], pa.ListArray.from_arrays(pa.array(offsets), hits)],
+                                                     [*names, "__text", "__hits"])
+
+        fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "__text string", *([] if last else [f"__hits {kind}"])]
+        found = found.mapInArrow(run, ", ".join(fields))
+        if not last:
+            found = stored(found, "phrase_hits")
+    return found.withColumnRenamed("__text", output).select(*dict.fromkeys([*files.columns, output]))
+
+
+def _replaced(points: np.ndarray, starts: np.ndarray, path: tuple[np.ndarray, np.ndarray, np.ndarray], targets: pa.Array) -> pa.Array:
+    """The texts with the words of the path replaced by their targets."""
+    at, size, hit = path
+    letters, begins = T.letters_of(targets)
+    # Each step writes letters of its target, or its own one.
+    source = np.concatenate([points, letters])
+    begin = np.where(hit < 0, at, len(points) + begins[hit])
+    length = np.where(hit < 0, size, np.diff(begins)[hit] if len(targets) else 1)
+    ends = np.cumsum(length)
+    out = source[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+    stops = np.concatenate([[0], ends])[np.searchsorted(at, starts)]
+    text = out.astype(np.uint32).tobytes().decode("utf-32-le")
+    return pa.array([text[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())], pa.string())
+
+
 def simplify_words(words: DataFrame, dictionary: DataFrame, pairs: DataFrame, word: str = "word",
                    traditional: str = "traditional", simplified: str = "simplified") -> DataFrame:
     """Convert whole words: the dictionary entry when there is one, else character by character."""

@@ -100,8 +100,8 @@ def extraction_summary(files: DataFrame) -> DataFrame:
 
 
 def length_groups(files: DataFrame) -> DataFrame:
-    return (files.withColumn("length_group", length_bin(F.col("text_length")))
-            .filter("length_group IS NOT NULL")
+    """Files by length; what is in none of the groups is `other`."""
+    return (files.withColumn("length_group", F.coalesce(length_bin(F.col("text_length")), F.lit("other")))
             .groupBy("length_group")
             .agg(F.count("*").alias("files"), F.avg("text_length").alias("avg_chars"),
                  F.avg("size_mb").alias("avg_mb")))

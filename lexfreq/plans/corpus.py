@@ -52,10 +52,13 @@ def segmented_counts(lexicon: DataFrame, script: str = V.HAN) -> Counting:
     return lambda files: segmented_tokens(files.select(*C.FILE_KEY, "text"), lexicon, script)
 
 
-def cleaned(files: DataFrame, transcripts: Column | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """Files as they are counted: repeats taken out of transcripts, then the script converted by a pairs table."""
+def cleaned(files: DataFrame, transcripts: Column | None = None, pairs: DataFrame | None = None,
+            phrases: DataFrame | None = None) -> DataFrame:
+    """Files as they are counted: repeats taken out of transcripts, then the script converted by a list of phrases or a pairs table."""
     if transcripts is not None:
         files = cleaning.dedupe_transcripts(files, transcripts, output="text")
+    if phrases is not None:
+        return cleaning.convert_phrases(files, phrases)
     if pairs is not None:
         files = files.withColumn("text", cleaning.simplify_text(F.col("text"), pairs))
     return files

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexfreq.functions import names, quality
 from lexfreq.operators import checks, counts as C
-from lexfreq.operators.keyed import first_per_key, merge_latest
+from lexfreq.operators.keyed import first_per_key
 from lexfreq.plans import analysis as A, corpus as K
 from lexfreq.registry import inputs as I
 from lexfreq.registry.base import query
@@ -14,6 +14,7 @@ from lexfreq.registry.inputs import sql
 from lexfreq.schemas import DOCUMENTS
 from lexfreq.session import scratch_path
 from lexfreq.sources import files as FL, sinks, tables
+from lexfreq.sources.versions import KeyedTable, Refused
 from lexfreq.streaming import incremental
 
 # --- names and inventory ------------------------------------------------------------------------
@@ -106,7 +107,9 @@ def _(spark, sf):
   SELECT CASE WHEN length(text) <= 600 THEN '<600' WHEN length(text) <= 4000 THEN '600-4k'
               WHEN length(text) <= 7000 THEN '4k-7k' ELSE '>7k' END AS length_group,
          count(*) AS files, avg(length(text)) AS avg_chars, avg(n_chars) AS avg_mb
-  FROM documents WHERE length(text) BETWEEN 1 AND 20000 GROUP BY 1""")
+  FROM documents WHERE length(text) BETWEEN 1 AND 20000 GROUP BY 1
+  UNION ALL SELECT 'other', count(*), avg(length(text)), avg(n_chars) FROM documents
+  WHERE coalesce(length(text) NOT BETWEEN 1 AND 20000, true) HAVING count(*) > 0""")
 def _(spark, sf):
     return A.length_groups(_sized(spark, sf))
 
@@ -181,6 +184,15 @@ def _(spark, sf):
 
 # --- upserts -----------------------------------------------------------------------------------------
 
+def _upserted(old, new, keys, order, update_cols=None):
+    """What a versioned table holds after a load of `old` and an upsert of `new`."""
+    spark = old.sparkSession
+    own = KeyedTable(spark, scratch_path(spark, "versioned"), old.schema, keys)
+    own.replace(old)
+    own.upsert(new, order, update_cols)
+    return own.read()
+
+
 def _word_rows(spark, sf, name, cap):
     words = K.spaced_tokens(I.table(spark, sf, name).select("text")).distinct()
     return words.select("word", F.lit(name).alias("pinyin"),
@@ -193,7 +205,7 @@ def _word_rows(spark, sf, name, cap):
   SELECT word, 'conversations' AS pinyin, CAST(l AS INTEGER) AS word_level FROM new
   UNION ALL SELECT word, 'benchmark', CAST(l AS INTEGER) FROM old WHERE word NOT IN (SELECT word FROM new)""")
 def _(spark, sf):
-    return merge_latest(_word_rows(spark, sf, "benchmark", 6), _word_rows(spark, sf, "conversations", 9), ["word"], [F.asc("word_level")])
+    return _upserted(_word_rows(spark, sf, "benchmark", 6), _word_rows(spark, sf, "conversations", 9), ["word"], [F.asc("word_level")])
 
 
 def _halves(spark, sf):
@@ -214,7 +226,7 @@ _HALVES = """,
   SELECT * FROM s1 UNION ALL SELECT * FROM s0 WHERE (exam_id, source_type) NOT IN (SELECT (exam_id, source_type) FROM s1)""")
 def _(spark, sf):
     old, new = _halves(spark, sf)
-    return merge_latest(sinks.source_rows(old), sinks.source_rows(new), ["exam_id", "source_type"], [F.asc("filename")])
+    return _upserted(sinks.source_rows(old), sinks.source_rows(new), ["exam_id", "source_type"], [F.asc("filename")])
 
 
 @query("frequency_upsert", sql("files wl", "") + _HALVES + """,
@@ -231,7 +243,42 @@ def _(spark, sf):
     old = C.label_counts(K.file_counts(early), I.wordlist(spark, sf).select("word", "word_level")).select(columns)
     new = (K.file_counts(late)
            .withColumn("word_level", F.lit(9)).withColumn("in_official_wordlist", F.lit(True)).select(columns))
-    return merge_latest(old, new, keys, [F.desc("frequency")], update_cols=["frequency"])
+    return _upserted(old, new, keys, [F.desc("frequency")], update_cols=["frequency"])
+
+
+# Listed words are to have a level of 1 to 9 and to be in the benchmark; the second delivery has others.
+_GATED = """
+  WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS word FROM benchmark),
+  c AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS word FROM conversations)"""
+
+
+def _gated(spark, sf):
+    listed = K.spaced_tokens(I.table(spark, sf, "benchmark").select("text")).distinct()
+    first = _word_rows(spark, sf, "benchmark", 6).select("word", "word_level")
+    second = _word_rows(spark, sf, "conversations", 99).select("word", (F.col("word_level") + 3).alias("word_level"))
+    own = KeyedTable(spark, scratch_path(spark, "gated"), first.schema, ["word"], rules={"word_level": F.col("word_level").between(1, 9)},
+                     parents={"benchmark": (listed, ["word"])})
+    own.replace(first)
+    try:
+        own.upsert(second, [F.asc("word_level")])
+    except Refused:
+        pass
+    return own
+
+
+@query("gated_load", _GATED + " SELECT word, CAST(least(6, length(word)) AS INTEGER) AS word_level FROM b")
+def _(spark, sf):
+    """A delivery with bad rows is refused as a whole: the version before stays the current one."""
+    return _gated(spark, sf).read()
+
+
+# Rows are checked as they would be stored: old rows of the buckets that the delivery falls into are among them, and meet the rules.
+@query("gated_rows_set_aside", _GATED + """
+  SELECT word, CAST(length(word) + 3 AS INTEGER) AS word_level,
+         concat_ws(',', CASE WHEN length(word) + 3 > 9 THEN 'word_level' END, CASE WHEN word NOT IN (SELECT word FROM b) THEN 'benchmark' END) AS broken
+  FROM c WHERE length(word) + 3 > 9 OR word NOT IN (SELECT word FROM b)""")
+def _(spark, sf):
+    return _gated(spark, sf).set_aside().withColumn("broken", F.array_join("broken", ","))
 
 
 # --- checks ---------------------------------------------------------------------------------------------

@@ -71,6 +71,27 @@ def _(spark, sf):
     return C.word_counts(K.spaced_tokens(texts), keys=())
 
 
+# Longest first, so that the first alternative that fits is the longest; then any single character.
+_PHRASES = """
+  WITH ph AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS word FROM benchmark)
+              WHERE length(word) BETWEEN 3 AND 6 AND word <> strip_accents(word)),
+  pat AS (SELECT '(?s)' || string_agg(word, '|' ORDER BY length(word) DESC, word) || '|.' AS p FROM ph),
+  cut AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), (SELECT p FROM pat)),
+                 lambda t: CASE WHEN length(t) > 1 THEN reverse(t) ELSE strip_accents(t) END) AS parts FROM documents)
+  SELECT doc_id, array_to_string(parts, '') AS converted FROM cut"""
+
+
+@query("phrases_converted", _PHRASES)
+def _(spark, sf):
+    """Listed phrases are turned round as wholes, all other characters lose their accents."""
+    phrases = (K.spaced_tokens(I.table(spark, sf, "benchmark").select("text")).distinct()
+               .filter(F.length("word").between(3, 6) & (F.col("word") != reading.without_accents(F.col("word"))))
+               .select(F.col("word").alias("traditional"), F.reverse("word").alias("simplified")))
+    listed = cleaning.phrase_pairs(phrases, cleaning.character_pairs(_spellings(spark, sf)))
+    texts = I.files(spark, sf).select("doc_id", F.lower("text").alias("text"))
+    return cleaning.convert_phrases(texts, listed, output="converted").select("doc_id", "converted")
+
+
 @query("converted_wordlist", sql("wl", """
     SELECT strip_accents(word) AS word, min(word_level) AS word_level FROM (
       SELECT word, word_level FROM wl

@@ -1,12 +1,16 @@
-"""Counts and rollup kept up to date as files arrive.
+"""Counts and rollup kept up to date as files arrive, by signed deltas.
 
-Every micro-batch writes, below folders named batch=<id>: `files`, the files it has counted; `counts`, their words, by hash
-bucket of the word; and `rollup`, the new rollup rows of the words it touched, by the same buckets. A batch that
-runs again overwrites what it wrote, so a replay after a failure changes nothing.
+Every micro-batch writes, below folders named batch=<id>: `counts`, the words of its files, sorted by file; `deltas`, what
+it adds to and takes from the totals of (word, source, exam); and last `files`, the files it has counted. A batch
+that runs again overwrites what it wrote, so a replay after a failure changes nothing.
 
-Counts are kept per file. A file that comes again replaces what it said before as a whole; files of the same exam add up,
-in whichever batches they come. A batch reads only the buckets of the words it touches. `compact` rewrites what
-is current as one folder, so that readers need not go through all batches for ever.
+A delta row says by how much the frequency and the number of supporting files of a key change, and in which batch the contribution
+it changes was made (`origin`). New files add theirs; a file that comes again also takes away what it said before, which is read from
+the counts of the one batch that has it. So a batch reads and writes rows in proportion to its own files, never the store.
+Readers add deltas up; keys without support are gone. Exam and file counts follow from the keys, so the rollup needs no counting of its own.
+
+`compact` adds up the deltas of all batches but the newest into one folder, which readers take instead of them. It can run beside a
+stream: only the newest batch is ever replayed, and later ones are simply not in it yet.
 """
 
 from __future__ import annotations
@@ -17,126 +21,146 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lexfreq.operators.counts import label_counts, relevel, rollup
+from lexfreq.operators.counts import label_counts, rollup
 
 KEY = ["word", "source_type", "exam_id"]
-# Words are dealt to so many folders of a batch. A store of billions of rows wants thousands.
-BUCKETS = 16
 FILES = "file_id STRING, batch BIGINT"
-COUNTS = "file_id STRING, word STRING, source_type STRING, exam_id STRING, frequency BIGINT, word_level INT, " \
-         "in_official_wordlist BOOLEAN, batch BIGINT, bucket INT"
-ROLLUP = "word STRING, word_level INT, source_type STRING, total_frequency BIGINT, exam_count BIGINT, " \
-         "in_official_wordlist BOOLEAN, batch BIGINT, bucket INT"
-
+COUNTS = "file_id STRING, word STRING, source_type STRING, exam_id STRING, frequency BIGINT, batch BIGINT"
+# `listed` is level and membership by the list at the time of the contribution, `now` by the newest list that the word has met.
+_LISTED = "struct<word_level:int,in_official_wordlist:boolean>"
+_NOW = "struct<batch:bigint,word_level:int,in_official_wordlist:boolean>"
+DELTAS = (f"word STRING, source_type STRING, exam_id STRING, origin BIGINT, frequency BIGINT, files BIGINT, "
+          f"listed {_LISTED}, now {_NOW}, batch BIGINT")
+COMPACTED = f"{DELTAS}, upto BIGINT"
 
-def _bucket(word: str = "word"):
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
-
-def _generation(spark: SparkSession, folder: str) -> str:
-    """Where the current batches are: compactions are listed only once they are complete."""
-    listing = spark.createDataFrame([], "generation INT")
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        listing = spark.read.schema("generation INT").parquet(f"{folder}/generations")
+        return spark.read.schema(schema).parquet(path)
     except Exception as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-    last = listing.agg(F.max("generation")).first()[0]
-    return f"{folder}/generation={last or 0}"
+        return spark.createDataFrame([], schema)
+
 
+def _compacted_upto(spark: SparkSession, folder: str) -> int | None:
+    """The last batch of the newest compaction that is complete."""
+    return _stored(spark, f"{folder}/compactions", "upto BIGINT").agg(F.max("upto")).first()[0]
 
-def _current(spark: SparkSession, base: str, up_to: int | None = None) -> DataFrame:
-    """The counts of the newest version of every file."""
-    files, rows = spark.read.schema(FILES).parquet(f"{base}/files"), spark.read.schema(COUNTS).parquet(f"{base}/counts")
-    if up_to is not None:
-        files, rows = files.filter(F.col("batch") <= up_to), rows.filter(F.col("batch") <= up_to)
-    newest = files.groupBy("file_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["file_id", "batch"], "left_semi")
 
+def _deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """All delta rows that count: those of the newest compaction and of the batches behind it."""
+    upto = _compacted_upto(spark, folder)
+    rows = _stored(spark, f"{folder}/deltas", DELTAS)
+    if upto is None:
+        return rows
+    compacted = spark.read.schema(COMPACTED).parquet(f"{folder}/compacted").filter(F.col("upto") == upto).drop("upto")
+    return rows.filter(F.col("batch") > upto).unionByName(compacted)
 
-def _per_key(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEY).agg(
-        F.sum("frequency").alias("frequency"),
-        F.min_by("word_level", "batch").alias("word_level"),
-        F.min_by("in_official_wordlist", "batch").alias("in_official_wordlist"))
 
+def _contributions(rows: DataFrame) -> DataFrame:
+    """One row per key and origin: what is left of the contributions, with the newest level met; no support makes `files` 0."""
+    return rows.groupBy(*KEY, "origin").agg(
+        F.sum("frequency").alias("frequency"), F.sum("files").alias("files"),
+        F.max(F.when(F.col("files") > 0, F.col("listed"))).alias("listed"), F.max("now").alias("now"))
 
-def current_counts(spark: SparkSession, folder: str, up_to: int | None = None) -> DataFrame:
+
+def _per_key(contributions: DataFrame) -> DataFrame:
+    """Keys with support, their level and flag being those of the oldest contribution that is left."""
+    return (contributions.filter("files > 0").groupBy(*KEY)
+            .agg(F.sum("frequency").alias("frequency"), F.min_by("listed", "origin").alias("listed"))
+            .select(*KEY, "frequency", "listed.word_level", "listed.in_official_wordlist"))
+
+
+def current_counts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per word, source and exam: its files added up, with level and flag of the oldest of them."""
-    return _per_key(_current(spark, _generation(spark, folder), up_to))
+    return _per_key(_contributions(_deltas(spark, folder)))
 
 
 def current_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest rollup row of each word and source; words that are in no file any more are left out."""
-    return _newest_rollup(spark.read.schema(ROLLUP).parquet(f"{_generation(spark, folder)}/rollup"))
+    """Totals of all words that are in some file, with the level of the list that the word met last."""
+    rows = _contributions(_deltas(spark, folder))
+    newest = rows.groupBy("word").agg(F.max("now").alias("now"), F.max("files").alias("files")).filter("files > 0")
+    alive = rows.filter("files > 0").groupBy(*KEY).agg(F.sum("frequency").alias("frequency"))
+    levelled = alive.join(newest.select("word", "now.word_level", "now.in_official_wordlist"), "word")
+    return rollup(levelled).select("word", "word_level", "source_type", "total_frequency", "exam_count", "in_official_wordlist")
 
 
-def _newest_rollup(rows: DataFrame) -> DataFrame:
-    values = ["word_level", "total_frequency", "exam_count", "in_official_wordlist"]
-    return (rows.groupBy("word", "source_type")
-            .agg(*[F.max_by(c, "batch").alias(c) for c in values])
-            .filter("total_frequency > 0")
-            .select("word", "word_level", "source_type", *values[1:]))
+def _returning(spark: SparkSession, folder: str, batch: int, seen: DataFrame) -> DataFrame:
+    """(file_id, batch): files of the batch that an earlier one has, and the last that has them."""
+    listed = _stored(spark, f"{folder}/files", FILES).filter(F.col("batch") < batch)
+    return listed.join(seen, "file_id", "left_semi").groupBy("file_id").agg(F.max("batch").alias("batch"))
 
 
 def apply_batch(counts: DataFrame, batch: int, folder: str, wordlist: DataFrame, files: DataFrame | None = None) -> None:
-    """Write a batch of counts(file_id, word, source_type, exam_id, frequency) and the rollup of its words.
+    """Write a batch of counts(file_id, word, source_type, exam_id, frequency) and its deltas.
 
-    `files` (file_id) names the files of the batch where some may have no words. Levels in the rollup come from the
-    word list as it is now, not from the stored rows.
+    `files` (file_id) names the files of the batch where some may have no words. A file's newest version before this batch is taken
+    back as a whole. Levels come from the word list as it is now.
     """
     spark = counts.sparkSession
-    base = _generation(spark, folder)
-    labelled = label_counts(counts, wordlist).select("file_id", *KEY, "frequency", "word_level", "in_official_wordlist")
-    written = f"{base}/counts/batch={batch}"
-    labelled.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(written)
-    own = spark.read.schema(COUNTS).parquet(written)
-    seen = (counts if files is None else files).select("file_id").distinct()
-    seen.write.mode("overwrite").parquet(f"{base}/files/batch={batch}")
-    touched = own.select("word", "bucket")
-    # What a file said before it came again is touched too.
-    listed = spark.read.schema(FILES).parquet(f"{base}/files")
-    again = (listed.filter(F.col("batch") < batch).select("file_id")
-             .join(listed.filter(F.col("batch") == batch).select("file_id"), "file_id", "left_semi").distinct())
-    replaced = not again.isEmpty()
-    if replaced:
-        before = spark.read.schema(COUNTS).parquet(f"{base}/counts").filter(F.col("batch") < batch)
-        touched = touched.unionByName(before.join(again, "file_id", "left_semi").select("word", "bucket"))
-    touched = touched.distinct()
-    # At most BUCKETS numbers.
-    buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]
-    affected = _current(spark, base, batch).filter(F.col("bucket").isin(buckets)).join(
-        touched.select("word"), "word", "left_semi")
-    totals = rollup(relevel(_per_key(affected), wordlist))
-    if replaced:
-        # Rollup rows of words that are gone are replaced by rows without occurrences.
-        earlier = spark.read.schema(ROLLUP).parquet(f"{base}/rollup").filter((F.col("batch") < batch) & F.col("bucket").isin(buckets))
-        gone = (earlier.select("word", "source_type").distinct().join(touched.select("word"), "word", "left_semi")
-                .join(totals, ["word", "source_type"], "left_anti"))
-        totals = totals.unionByName(gone.select(
-            "word", F.lit(None).cast("int").alias("word_level"), "source_type", F.lit(0).cast("bigint").alias("total_frequency"),
-            F.lit(0).cast("bigint").alias("exam_count"), F.lit(False).alias("in_official_wordlist")))
-    target = f"{base}/rollup/batch={batch}"
-    totals.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(target)
+    written = f"{folder}/counts/batch={batch}"
+    (counts.select("file_id", *KEY, F.col("frequency").cast("bigint").alias("frequency"))
+     .sortWithinPartitions("file_id").write.mode("overwrite").parquet(written))
+    own = spark.read.schema(COUNTS).parquet(written).drop("batch")
+    changes = own.groupBy(*KEY).agg(F.sum("frequency").alias("frequency"), F.count_distinct("file_id").alias("files"))
+    changes = changes.withColumn("origin", F.lit(batch).cast("bigint"))
+    seen = (counts.select("file_id") if files is None else files.select("file_id")).distinct()
+    again = _returning(spark, folder, batch, seen)
+    # At most as many numbers as batches that hold files of this one; only their folders are read.
+    batches = [r.batch for r in again.select("batch").distinct().collect()]
+    if batches:
+        before = _stored(spark, f"{folder}/counts", COUNTS).filter(F.col("batch").isin(batches))
+        taken = before.join(again, ["file_id", "batch"], "left_semi").groupBy(*KEY, F.col("batch").alias("origin")).agg(
+            (-F.sum("frequency")).alias("frequency"), (-F.count_distinct("file_id")).alias("files"))
+        changes = changes.unionByName(taken)
+    level = [F.col("word_level"), F.col("in_official_wordlist")]
+    rows = label_counts(changes, wordlist.select("word", "word_level")).select(
+        *KEY, "origin", "frequency", "files", F.struct(*level).alias("listed"),
+        F.struct(F.lit(batch).cast("bigint").alias("batch"), *level).alias("now"))
+    rows.write.mode("overwrite").parquet(f"{folder}/deltas/batch={batch}")
+    seen.write.mode("overwrite").parquet(f"{folder}/files/batch={batch}")
 
 
 def compact(spark: SparkSession, folder: str) -> None:
-    """Rewrite what is current as one batch of a new generation. Not to be run while a stream writes to the folder.
+    """Add up the deltas of all batches but the newest; may run while a stream writes to the folder.
 
-    The compacted batch has the number -1: a batch that is replayed afterwards still replaces its files.
+    A batch counts as written once its files are listed, and a stream replays no batch but its newest. So what is
+    added up here does not change meanwhile. The compaction is listed when it is complete; until then, and for readers that have
+    begun before, the older folders are there.
+    """
+    numbers = [r.batch for r in _stored(spark, f"{folder}/files", FILES).select("batch").distinct().collect()]
+    before = _compacted_upto(spark, folder)
+    ready = [n for n in numbers if n < max(numbers)]
+    if not ready or (before is not None and max(ready) <= before):
+        return
+    upto = max(ready)
+    rows = _contributions(_deltas(spark, folder).filter(F.col("batch") <= upto))
+    newest = rows.groupBy("word").agg(F.max("now").alias("__now"))
+    kept = rows.filter("files > 0").join(newest, "word").drop("now").withColumnRenamed("__now", "now")
+    (kept.withColumn("batch", F.lit(upto).cast("bigint")).sortWithinPartitions("word")
+     .write.mode("overwrite").parquet(f"{folder}/compacted/upto={upto}"))
+    spark.createDataFrame([(upto,)], "upto BIGINT").write.mode("append").parquet(f"{folder}/compactions")
+
+
+def expire(spark: SparkSession, folder: str) -> None:
+    """Delete the deltas that a compaction has taken up, and older compactions; to be run when no reader uses them any more.
+
+    Counts and files stay: files that come again are taken back from them.
     """
-    base = _generation(spark, folder)
-    number = int(base.rpartition("=")[2]) + 1
-    target = f"{folder}/generation={number}"
-    rows = _current(spark, base)
-    oldest = _per_key(rows).select(*KEY, "word_level", "in_official_wordlist")
-    rows = rows.drop("word_level", "in_official_wordlist", "batch").join(oldest, KEY)
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/counts/batch=-1")
-    files = spark.read.schema(FILES).parquet(f"{base}/files")
-    files.select("file_id").distinct().write.mode("overwrite").parquet(f"{target}/files/batch=-1")
-    totals = _newest_rollup(spark.read.schema(ROLLUP).parquet(f"{base}/rollup"))
-    totals.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/rollup/batch=-1")
-    spark.createDataFrame([(number,)], "generation INT").write.mode("append").parquet(f"{folder}/generations")
+    upto = _compacted_upto(spark, folder)
+    if upto is None:
+        return
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    for name, last in (("deltas", upto), ("compacted", upto - 1)):
+        root = path(f"{folder}/{name}")
+        system = root.getFileSystem(context._jsc.hadoopConfiguration())
+        if system.exists(root):
+            for status in system.listStatus(root):
+                number = status.getPath().getName().rpartition("=")[2]
+                if number.lstrip("-").isdigit() and int(number) <= last:
+                    system.delete(status.getPath(), True)
 
 
 def follow_files(spark: SparkSession, source: str, schema: StructType | str, to_counts: Callable[[DataFrame], DataFrame],

@@ -120,3 +120,36 @@ def test_markers_and_scripts(spark):
         X.keep_script(F.array(*[F.lit(w) for w in ("你好", "a1", "你a", "好", "")])).alias("whole"),
         X.keep_script(F.array(*[F.lit(w) for w in ("你好", "a1", "你a", "好", "")]), mode="any").alias("part")).first()
     assert row.n == 6 and row.whole == ["你好", "好"] and row.part == ["你好", "你a", "好"]
+
+
+def longest_first(text, targets):
+    out, at = "", 0
+    while at < len(text):
+        word = max((w for w in targets if text.startswith(w, at)), key=len, default=None)
+        out += text[at] if word is None else targets[word]
+        at += len(word or "x")
+    return out
+
+
+def test_phrases_in_running_text(spark):
+    """The longest phrase from the left is converted as a whole; one that stays as it is keeps its characters."""
+    dictionary = spark.createDataFrame([("乾淨", "干净"), ("乾", "干"), ("乾坤", "乾坤"), ("頭髮", "头发"), ("發", "发"), ("乾坤圈", "乾坤圈儿")],
+                                       "traditional string, simplified string")
+    listed = CL.phrase_pairs(dictionary, CL.character_pairs(dictionary))
+    texts = spark.createDataFrame(list(enumerate(["乾坤乾淨乾頭髮發", "乾坤圈乾坤", "", None, "abc"])), "i int, text string")
+    for most in (1000, 2):
+        got = {r.i: r.text for r in CL.convert_phrases(texts, listed, most=most).collect()}
+        assert got == dict(enumerate(["乾坤干净干头发发", "乾坤圈儿乾坤", "", None, "abc"]))
+
+
+def test_phrases_against_the_definition(spark):
+    rng = random.Random(8)
+    targets = {"".join(rng.choices("abc你", k=rng.randint(1, 5))): "".join(rng.choices("xyz", k=rng.randint(0, 4))) for _ in range(25)}
+    phrases = spark.createDataFrame(list(targets.items()), "word string, target string")
+    texts = ["".join(rng.choices("abc你-", k=rng.randint(0, 60))) for _ in range(80)]
+    frame = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "i int, text string, other string").repartition(3)
+    for most in (1000, 6):
+        out = CL.convert_phrases(frame, phrases, output="new", most=most)
+        assert out.columns == ["i", "text", "other", "new"]
+        assert {r.i: (r.text, r.new) for r in out.collect()} == {i: (t, longest_first(t, targets)) for i, t in enumerate(texts)}
+    assert CL.convert_phrases(frame, phrases.limit(0), output="new").filter("new <> text").count() == 0

@@ -97,7 +97,7 @@ def test_file_summaries(spark):
     df = spark.createDataFrame(rows, "exam_level int, exam_id string, source_type string, filename string, text_length int, size_mb double, pages int, notes string")
     assert {tuple(r) for r in analysis.extraction_summary(df).collect()} == {(3, "reading", 2, 50.0, 1), (4, "listening", 1, 5000.0, 0)}
     assert [tuple(r) for r in analysis.note_counts(df).collect()] == [("ok", 2), ("ocr_empty", 1)]
-    assert {tuple(r) for r in analysis.length_groups(df).collect()} == {("<600", 1, 100.0, 2.0), ("4k-7k", 1, 5000.0, 4.0)}
+    assert {tuple(r) for r in analysis.length_groups(df).collect()} == {("<600", 1, 100.0, 2.0), ("4k-7k", 1, 5000.0, 4.0), ("other", 1, 0.0, 1.0)}
     assert {tuple(r) for r in analysis.method_summary(df).collect()} == {("pdfplumber", 2, 2550.0, 3.5, 525.0, 3.0), ("other", 1, 0.0, 0.0, 0.0, 1.0)}
     assert {tuple(r) for r in analysis.method_by_exam_level(df, (3, 4)).collect()} == {("pdfplumber", 1, 1, 0), ("other", 1, 0, 0)}
     both = analysis.combine_extractions(df.filter("source_type = 'reading'"), df.filter("source_type = 'listening'"))

@@ -119,3 +119,83 @@ def test_a_file_that_comes_again_replaces_itself(spark, tmp_path):
     counts, totals = state(spark, folder)
     assert counts == {("ja", "reading", "e1"): 2, ("neu", "reading", "e1"): 2, ("ende", "reading", "e1"): 1}
     assert ("alt", "all") not in totals and totals[("ende", "all")] == (None, 1, 1, False)
+
+
+def spoil(folder, name):
+    """Make what a batch has written unreadable."""
+    from pathlib import Path
+    for file in Path(folder, name).rglob("*.parquet"):
+        file.write_bytes(b"not to be read")
+
+
+def test_a_batch_of_new_files_reads_nothing_of_the_store(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    words = wordlist_of(spark, ("ja", 1))
+    for n in range(3):
+        N.apply_batch(spark.createDataFrame([(f"f{n}", "ja", "reading", f"e{n}", 5)], COUNTS), n, folder, words)
+    for n in range(3):
+        spoil(folder, f"counts/batch={n}")
+        spoil(folder, f"deltas/batch={n}")
+    N.apply_batch(spark.createDataFrame([("g", "ja", "reading", "e0", 1), ("g", "neu", "reading", "e0", 2)], COUNTS), 3, folder, words)
+    rows = spark.read.schema(N.DELTAS).parquet(f"{folder}/deltas/batch=3").collect()
+    assert sorted((r.word, r.frequency, r.files) for r in rows) == [("ja", 1, 1), ("neu", 2, 1)]
+
+
+def test_a_returning_file_reads_the_batch_that_has_it(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    words = wordlist_of(spark, ("ja", 1))
+    for n in range(3):
+        N.apply_batch(spark.createDataFrame([(f"f{n}", "ja", "reading", "e", n + 1)], COUNTS), n, folder, words)
+    spoil(folder, "counts/batch=0")
+    spoil(folder, "counts/batch=2")
+    N.apply_batch(spark.createDataFrame([("f1", "nein", "reading", "e", 7)], COUNTS), 3, folder, words)
+    counts, totals = state(spark, folder)
+    assert counts == {("ja", "reading", "e"): 4, ("nein", "reading", "e"): 7} and totals[("ja", "all")] == (1, 4, 1, True)
+
+
+def test_compaction_beside_a_stream(spark, tmp_path):
+    """Batches that come, and the newest one that comes again, after a compaction has begun are neither lost nor counted twice."""
+    folder = str(tmp_path / "out")
+    words = wordlist_of(spark, ("ja", 1))
+    batches = [spark.createDataFrame([(f"f{n % 3}", "ja", "reading", f"e{n % 3}", n + 1), (f"f{n % 3}", f"w{n}", "reading", f"e{n % 3}", 1)], COUNTS)
+               for n in range(6)]
+    for n in range(4):
+        N.apply_batch(batches[n], n, folder, words)
+    N.compact(spark, folder)
+    once = state(spark, folder)
+    N.apply_batch(batches[3], 3, folder, words)
+    assert state(spark, folder) == once
+    for n in (4, 5):
+        N.apply_batch(batches[n], n, folder, words)
+    wanted = {("ja", "reading", f"e{n % 3}"): n + 1 for n in (3, 4, 5)} | {(f"w{n}", "reading", f"e{n % 3}"): 1 for n in (3, 4, 5)}
+    assert state(spark, folder)[0] == wanted
+    N.compact(spark, folder)
+    N.expire(spark, folder)
+    counts, totals = state(spark, folder)
+    assert counts == wanted and totals[("ja", "all")] == (1, 15, 3, True) and ("w0", "all") not in totals
+
+
+def test_random_histories_equal_a_rebuild(spark, tmp_path):
+    import random
+    rng = random.Random(4)
+    folder = str(tmp_path / "out")
+    words = wordlist_of(spark, ("a", 1), ("b", 2))
+    files = {}
+    for n in range(7):
+        batch = {}
+        for f in rng.sample(range(6), 2):
+            batch[f"f{f}"] = {w: rng.randint(1, 9) for w in rng.sample("abcd", rng.randint(0, 3))}
+        files |= batch
+        rows = [(f, w, ("reading", "listening")[int(f[1]) % 2], f"e{int(f[1]) % 3}", c) for f, own in batch.items() for w, c in own.items()]
+        N.apply_batch(spark.createDataFrame(rows, COUNTS), n, folder, words, spark.createDataFrame([(f,) for f in batch], "file_id string"))
+        if n in (2, 5):
+            N.compact(spark, folder)
+    wanted = {}
+    for f, own in files.items():
+        for w, c in own.items():
+            key = (w, ("reading", "listening")[int(f[1]) % 2], f"e{int(f[1]) % 3}")
+            wanted[key] = wanted.get(key, 0) + c
+    counts, totals = state(spark, folder)
+    assert counts == wanted
+    assert {w: (t, e) for (w, s), (_, t, e, _) in totals.items() if s == "all"} == {
+        w: (sum(c for k, c in wanted.items() if k[0] == w), len({k[2] for k in wanted if k[0] == w})) for w in {k[0] for k in wanted}}
