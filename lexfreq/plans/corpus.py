@@ -12,9 +12,11 @@ from lexfreq.functions import text as X
 from lexfreq.operators import cleaning, counts as C, sentences as S
 from lexfreq.operators.decompose import RuleSet
 from lexfreq.operators.labels import label_vocabulary
+from lexfreq.operators.ngram_index import write_index
 from lexfreq.operators.segmentation import segmented_tokens
 from lexfreq.schemas import TABLES
 from lexfreq.sources.sinks import save_parquet
+from lexfreq.sources.versions import Versions
 
 Counting = Callable[[DataFrame], DataFrame]
 
@@ -28,6 +30,7 @@ class Corpus:
     frequencies: DataFrame  # word, word_level, effective_level, source_type, exam_id, frequency, in_official_wordlist
     aggregates: DataFrame   # word, word_level, effective_level, source_type, total_frequency, exam_count, in_official_wordlist
     sentences: DataFrame | None  # exam_id, source_type, sentence
+    index: str | None = None     # folder of the stored trigram index of the sentences
 
 
 def spaced_tokens(files: DataFrame, text: str = "text", pattern: str = rf"({X.LETTERS}+)") -> DataFrame:
@@ -89,26 +92,43 @@ def sentences_of(files: DataFrame, ends: str = V.SENTENCE_ENDS, script: str = V.
     return S.exam_sentences(found.select("exam_id", "source_type", "sentence"))
 
 
-def write(corpus: Corpus, folder: str) -> None:
-    """Write the five tables, with the time columns of their schemas.
+def write(corpus: Corpus, folder: str) -> int:
+    """Write the five tables, with the time columns of their schemas, as the next version of the folder; its number.
 
-    Counts and rollup are partitioned by source type and sorted by word, so a query on one source reads that
-    source, and one on a word few row groups. The rollup is derived from the counts as written.
+    The tables are seen together, when all of them are written; readers of the version before keep theirs. Counts and rollup are
+    partitioned by source type, dealt out by word and sorted by it, with Bloom filters: a query on one source reads that source, one on a
+    word a row group of one file. The rollup is derived from the counts as written. Sentences get an index by trigrams.
     """
     spark = corpus.wordlist.sparkSession
+    versions = Versions(spark, folder)
+    base = versions.current()
+    paths = {name: versions.new_data(name) for name in TABLES if name != "exam_sentences" or corpus.sentences is not None}
+    full = {name: f"{folder}/{path}" for name, path in paths.items()}
     now = F.current_timestamp()
-    save_parquet(corpus.wordlist.withColumn("created_at", now), f"{folder}/wordlist")
-    save_parquet(corpus.sources.withColumn("processed_at", now), f"{folder}/exam_sources")
-    save_parquet(corpus.frequencies.withColumn("created_at", now), f"{folder}/word_frequencies", "word", ("source_type",))
-    stored = spark.read.parquet(f"{folder}/word_frequencies")
-    save_parquet(C.rollup(stored).withColumn("updated_at", now), f"{folder}/frequency_aggregates", "word", ("source_type",))
+    save_parquet(corpus.wordlist.withColumn("created_at", now), full["wordlist"])
+    save_parquet(corpus.sources.withColumn("processed_at", now), full["exam_sources"])
+    save_parquet(corpus.frequencies.withColumn("created_at", now).repartition("word"), full["word_frequencies"], "word", ("source_type",), "word")
+    stored = spark.read.parquet(full["word_frequencies"])
+    save_parquet(C.rollup(stored).withColumn("updated_at", now), full["frequency_aggregates"], "word", ("source_type",), "word")
+    index = None
     if corpus.sentences is not None:
-        save_parquet(corpus.sentences.withColumn("created_at", now), f"{folder}/exam_sentences")
+        save_parquet(corpus.sentences.withColumn("created_at", now), full["exam_sentences"])
+        index = versions.new_data("sentence_index")
+        write_index(spark.read.parquet(full["exam_sentences"]).select("exam_id", "source_type", "sentence"), f"{folder}/{index}")
+    return versions.commit({"tables": paths, "index": index}, base)
 
 
-def read(spark: SparkSession, folder: str, sentences: bool = True) -> Corpus:
-    """The corpus of a folder."""
-    wanted = [name for name in TABLES if sentences or name != "exam_sentences"]
-    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in wanted}
+def table_paths(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, str]:
+    """Where the tables of a version are."""
+    return {name: f"{folder}/{path}" for name, path in Versions(spark, folder).manifest(version)["tables"].items()}
+
+
+def read(spark: SparkSession, folder: str, sentences: bool = True, version: int | None = None) -> Corpus:
+    """The corpus of a folder, in its newest version if none is given. It stays with that version."""
+    manifest = Versions(spark, folder).manifest(version)
+    if not manifest:
+        raise FileNotFoundError(f"no corpus in {folder}")
+    tables = {name: spark.read.parquet(f"{folder}/{path}") for name, path in manifest["tables"].items() if sentences or name != "exam_sentences"}
+    index = manifest.get("index") if sentences else None
     return Corpus(tables["wordlist"], tables["exam_sources"], tables["word_frequencies"], tables["frequency_aggregates"],
-                  tables.get("exam_sentences"))
+                  tables.get("exam_sentences"), f"{folder}/{index}" if index else None)

@@ -11,6 +11,7 @@ from lexfreq.functions import arguments, reading
 from lexfreq.functions.quality import all_true
 from lexfreq.operators.counts import live_totals
 from lexfreq.operators.keyed import global_rank, top_k_per_group
+from lexfreq.operators.ngram_index import search
 from lexfreq.operators.sentences import distance, with_first_file, word_sentence_pairs
 from lexfreq.plans.corpus import Corpus
 from lexfreq.session import stored
@@ -146,8 +147,10 @@ def word_aggregates(corpus: Corpus, query: str) -> DataFrame:
 
 
 def sentences_with(corpus: Corpus, query: str) -> DataFrame:
-    """Sentences that hold the query as it is written; no character is a wildcard."""
+    """Sentences that hold the query as it is written; no character is a wildcard. A stored corpus looks them up in its index."""
     arguments.query(query)
+    if corpus.index is not None:
+        return search(corpus.sentences.sparkSession, corpus.index, query)
     return corpus.sentences.filter(F.contains(F.col("sentence"), F.lit(query)))
 
 

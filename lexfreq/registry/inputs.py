@@ -12,6 +12,7 @@ from lexfreq.schemas import SUPPLIED
 from lexfreq.session import scratch_path, stored
 from lexfreq.sources.sinks import source_rows
 from lexfreq.sources.tables import read_parquet, spread
+from lexfreq.sources.versions import Versions
 
 LANGUAGES = ("de", "en", "es", "fr")
 EXAM_LEVELS = (3, 4)
@@ -95,13 +96,17 @@ def load(spark: SparkSession, sf: str) -> str:
     return folder
 
 
-_LOADED: dict[tuple[str, str], str] = {}
+_LOADED: dict[tuple, str] = {}
 
 
 def corpus(spark: SparkSession, sf: str) -> K.Corpus:
-    """The stored corpus, loaded once per application: the queries on it read its tables, not the texts."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LOADED:
+    """The stored corpus: the queries on it read its tables, not the texts.
+
+    It is loaded once per application for the files that the tables have, and again when these change or its folder is gone.
+    """
+    files = tuple(sorted(p for name in ("documents", "benchmark") for p in table(spark, sf, name).inputFiles()))
+    key = (spark.sparkContext.applicationId, sf, files)
+    if key not in _LOADED or not Versions(spark, _LOADED[key]).current():
         _LOADED[key] = load(spark, sf)
     return K.read(spark, _LOADED[key])
 

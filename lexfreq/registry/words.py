@@ -90,8 +90,8 @@ def _(spark, sf):
     UNION ALL SELECT 'word_frequencies', count(*) FROM freq UNION ALL SELECT 'wordlist', count(*) FROM wl"""))
 def _(spark, sf):
     """The whole load: counts, labels, rollup and sentences, written as the five tables."""
-    folder = I.load(spark, sf)
-    counted = [spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("table_rows"))
+    paths = K.table_paths(spark, I.load(spark, sf))
+    counted = [spark.read.parquet(paths[name]).agg(F.count("*").alias("table_rows"))
                .select(F.lit(name).alias("table_name"), "table_rows") for name in TABLES]
     return reduce(DataFrame.unionByName, counted)
 
@@ -256,7 +256,7 @@ def _(spark, sf):
 
 @query("sentences_with_mark", sql("sent", "SELECT * FROM sent WHERE contains(sentence, '%')"))
 def _(spark, sf):
-    return Q.sentences_with(I.corpus(spark, sf), "%").drop("created_at")
+    return Q.sentences_with(I.corpus(spark, sf), "%").select("exam_id", "source_type", "sentence")
 
 
 @query("all_word_sentence_totals", sql("sent wl", """

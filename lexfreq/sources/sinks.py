@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def save_parquet(df: DataFrame, path: str, sort_by: str | None = None, partition_by: tuple[str, ...] = ()) -> None:
-    """Overwrite a table. `sort_by` gives tight row-group statistics for lookups on that column."""
-    rows = df.sortWithinPartitions(sort_by) if sort_by else df
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+def save_parquet(df: DataFrame, path: str, sort_by: str | None = None, partition_by: tuple[str, ...] = (),
+                 bloom: str | None = None) -> None:
+    """Overwrite a table. `sort_by` gives tight page statistics for lookups on that column, `bloom` a Bloom filter in each row group."""
+    rows = df.sortWithinPartitions(*partition_by, sort_by) if sort_by else df
+    writer = rows.write.mode("overwrite").partitionBy(*partition_by)
+    if bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{bloom}", "true")
+    writer.parquet(path)
 
 
 def save_csv(df: DataFrame, path: str) -> None:

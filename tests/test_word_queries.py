@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,7 +236,7 @@ def test_stored_corpus(spark, tmp_path):
     for word, row in rows.items():
         assert (row.total_frequency, row.exam_count, row.effective_level, row.in_official_wordlist) == (
             live[word].total_frequency, live[word].exam_count, live[word].effective_level, live[word].in_official_wordlist)
-    actual = checks.schema_rows(spark, {t: spark.read.parquet(f"{tmp_path}/{t}").columns for t in TABLES})
+    actual = checks.schema_rows(spark, {t: spark.read.parquet(K.table_paths(spark, str(tmp_path))[t]).columns for t in TABLES})
     assert checks.schema_drift(checks.schema_rows(spark, checks.expected_columns()), actual).count() == 0
     assert set(checks.constraint_violations(corpus.wordlist, *[getattr(corpus, n) for n in ("sources", "frequencies", "sentences")])
                .filter("violations > 0").toPandas()["check_name"]) == {"wordlist.word"}
@@ -253,3 +255,64 @@ def test_cleaned_converted_and_segmented(spark):
     got = {(r.word, r.source_type): (r.frequency, r.word_level) for r in corpus.frequencies.collect()}
     assert got == {("他们", "listening"): (1, None), ("去", "listening"): (1, None), ("火车站", "listening"): (1, 2), ("很", "listening"): (1, None),
                    ("好", "listening"): (1, None), ("火车站", "reading"): (1, 2), ("很", "reading"): (2, None), ("大", "reading"): (2, None)}
+
+
+def scanned_rows(df):
+    """Rows that left the scans of a frame that has been collected."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.nodeName() else plan
+
+    def leaves(node):
+        if node.nodeName().endswith("QueryStage"):
+            return leaves(node.plan())
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        return [x for c in children for x in leaves(c)] if children else [node]
+
+    return sum(n.metrics().apply("numOutputRows").value() for n in leaves(plan) if n.nodeName().startswith("Scan"))
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """A stored corpus of 120,000 counts and one sentence for every hundredth word."""
+    folder = str(tmp_path_factory.mktemp("large") / "c")
+    words = spark.range(60_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+    frequencies = words.select("word", F.lit(1).alias("word_level"), F.lit(1).alias("effective_level"), F.explode(F.array(F.lit("reading"), F.lit("listening"))).alias("source_type"),
+                               F.lit("e1").alias("exam_id"), F.lit(2).cast("bigint").alias("frequency"), F.lit(True).alias("in_official_wordlist"))
+    wordlist = words.select("word", F.lit("p").alias("pinyin"), F.lit(1).alias("word_level"), F.lit("d").alias("definition"), F.lit(None).cast("string").alias("definition_th"))
+    sources = spark.createDataFrame([("e1", t, 2020, 3, "f") for t in ("reading", "listening")],
+                                    "exam_id string, source_type string, year int, exam_level int, filename string")
+    sentences = words.filter("word LIKE '%00'").select(F.lit("e1").alias("exam_id"), F.lit("reading").alias("source_type"), F.concat(F.lit("a sentence with "), "word").alias("sentence"))
+    K.write(Corpus(wordlist, sources, frequencies, rollup(frequencies), sentences), folder)
+    return folder
+
+
+def test_a_look_up_reads_few_pages(spark, large):
+    corpus = K.read(spark, large)
+    rows = corpus.frequencies.filter("word = 'w4711'")
+    assert len(rows.collect()) == 2 and scanned_rows(rows) <= 60_000
+    assert corpus.frequencies.filter("word = 'w4711x'").count() == 0
+    none = corpus.frequencies.filter("word = 'w4711x'")
+    none.collect()
+    # No row group's Bloom filter knows the word.
+    assert scanned_rows(none) == 0
+
+
+def test_a_search_of_a_stored_corpus_uses_its_index(spark, large):
+    corpus = K.read(spark, large)
+    plain = replace(corpus, index=None)
+    for query in ("w4700", "with w1", "w5", "no such sentence"):
+        got, wanted = ({(r.exam_id, r.source_type, r.sentence) for r in Q.sentences_with(c, query).collect()} for c in (corpus, plain))
+        assert got == wanted
+    hit = Q.sentences_with(corpus, "w59900")
+    assert len(hit.collect()) == 1 and scanned_rows(hit) < 60
+    assert Q.word_detail(corpus, "w4700").first() == Q.word_detail(plain, "w4700").first()
+
+
+def test_a_reader_keeps_its_version_of_all_tables(spark, large):
+    before = K.read(spark, large)
+    half = before.frequencies.filter("source_type = 'reading'").drop("created_at")
+    number = K.write(Corpus(before.wordlist.drop("created_at"), before.sources.drop("processed_at"), half, rollup(half), None), large)
+    after = K.read(spark, large)
+    assert (before.frequencies.count(), after.frequencies.count()) == (120_000, 60_000) and after.sentences is None
+    assert before.aggregates.filter("source_type = 'all'").first().total_frequency == 4
+    assert K.read(spark, large, version=number - 1).frequencies.count() == 120_000
