@@ -7,7 +7,7 @@ than 3 times the size of its source, the excess goes to the others by weight.
 Quotas: all sizes make equal blocks of words, which go one by one to the source with the highest
 quotient target / (2 k + 1), k being the blocks it has. The blocks of a source go the same way to its
 groups of shards and to the shards in them, by their sizes; a shard holds about a thousand documents
-in seeded order. So every quota is a whole number of blocks, decided from one row per shard.
+in seeded order, dealt by doc_id and text. So every quota is a whole number of blocks, decided from one row per shard.
 
 Selection: the words of a shard form a line of blocks. The quota is taken as whole passes over
 the shard plus the blocks that a seeded permutation puts first; words of a document are taken as
@@ -120,8 +120,11 @@ def mix(docs: DataFrame, keep: list[str] = ["doc_id"], weights: tuple[float, ...
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-                        F.struct(*keep).alias("row"))
-    sized = written(sized.withColumn("dealt", F.xxhash64("doc_id", F.lit(seed))), "sizes")
+                        F.struct(*keep).alias("row"), F.xxhash64("text").alias("text_key"))
+    # Rows without words take no part in the choice; they may be many with one text and no doc_id.
+    dealt = F.when(F.col("size") > 0, F.xxhash64("doc_id", "text_key", F.lit(seed))).otherwise(
+        F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
+    sized = written(sized.withColumn("dealt", dealt).drop("text_key"), "sizes")
     # One row per source: as many as the weights are stated for.
     totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     totals = sorted(totals, key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -176,15 +179,18 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     A document comes as often as the mix takes all of it, and once more with the words taken beyond that, each with
     the white space after it; n_chars, if there is such a column, follows the text.
     """
-    taken = mix(docs, docs.columns, **options)
+    numbered = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered_documents")
+    sizes = numbered.select("row.doc_id", "row.source", "row.text", "number")
+    # Texts are shuffled once, to the rows that say what is taken of them.
+    taken = numbered.join(mix(sizes, ["number"], **options).select("row.number", "passes", "extra"), "number")
     pieces = F.regexp_extract_all(F.col("row.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    rows = taken.withColumn("pieces", F.when(F.size("extra") > 0, pieces))
     part = F.array_join(F.flatten(F.transform(
-        "extra", lambda r: F.slice("_pieces", (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), "")
-    rows = taken.withColumn("_pieces", F.when(F.size("extra") > 0, pieces))
+        "extra", lambda r: F.slice("pieces", (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), "")
     texts = F.concat(F.array_repeat(F.col("row.text"), F.col("passes")), F.when(F.size("extra") > 0, F.array(part)).otherwise(
         F.array().cast("array<string>")))
-    rows = rows.select("row", F.explode(texts).alias("_text"))
-    own = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
+    rows = rows.select("row", F.explode(texts).alias("taken"))
+    own = {"text": F.col("taken"), "n_chars": F.length("taken").cast("bigint")}
     return rows.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lexfreq.session import ready_for_checkpoint, scratch_path, ship_package
+from lexfreq.session import drop_scratch, ready_for_checkpoint, scratch_path, ship_package
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -23,6 +24,31 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(run, schema)
 
 
+# Folders of the stages that are being set up, the innermost last; and, by application, that of the stage before the current one.
+_STAGES: list[str] = []
+_BEFORE: dict[str, str] = {}
+
+
+@contextmanager
+def stage_folder(spark: SparkSession, name: str, last: bool = False) -> Iterator[None]:
+    """A folder for what a stage of a pipeline writes. A stage begins when the result of the one before is written, so that one's folder goes.
+
+    The last stage's folder stays, for nothing tells when its result has been read.
+    """
+    application = spark.sparkContext.applicationId
+    before = _BEFORE.pop(application, None)
+    if before:
+        drop_scratch(spark, before)
+    _STAGES.append(scratch_path(spark, name))
+    try:
+        with dropped_shuffles(spark):
+            yield
+    finally:
+        folder = _STAGES.pop()
+    if not last:
+        _BEFORE[application] = folder
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -32,7 +58,7 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
     A small frame made on the driver goes the same way, for then Spark knows its size and can choose how to join it.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = f"{_STAGES[-1]}/{name}-{uuid.uuid4().hex}" if _STAGES else scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexfreq.llm import mixing, queries, token_shards
+from lexfreq.session import scratch_path
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no supplied tables")
@@ -54,11 +55,13 @@ def test_nearest_vectors_against_brute_force(spark):
 
 
 @pytest.fixture(scope="module")
-def stages(spark):
-    """What goes into each stage, and what the last returns."""
+def stages(spark, tmp_path_factory):
+    """What goes into each stage, and what the last returns; each written and read again."""
+    folder = tmp_path_factory.mktemp("stages")
     docs = [spark.read.parquet(f"{FOLDER}/documents.parquet")]
-    for _, stage in corpus_pipeline.STAGES:
-        docs.append(stage(spark, docs[-1], FOLDER).cache())
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs[-1], FOLDER).write.parquet(str(folder / name))
+        docs.append(spark.read.parquet(str(folder / name)))
     return docs
 
 
@@ -166,8 +169,22 @@ def test_rows_with_null_or_repeated_doc_ids_are_told_apart(spark):
         assert [r.doc_id for r in kept if r.text == clean[1]] == [3]
 
 
+def test_scratch_of_a_stage_goes_with_the_next(spark):
+    docs = spark.createDataFrame([(i, f"some words of text number {i} " * 20, "a") for i in range(40)], "doc_id bigint, text string, source string")
+
+    def folders():
+        return {f.name.split("-")[0] for f in Path(scratch_path(spark, "x")).parent.iterdir()}
+
+    stages = dict(corpus_pipeline.STAGES)
+    stages["near_duplicates"](spark, docs, FOLDER).collect()
+    assert "near_duplicates" in folders()
+    stages["decontamination"](spark, docs, FOLDER).collect()
+    assert "near_duplicates" not in folders() and "decontamination" in folders()
+
+
 def test_last_stage_writes_the_shards(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(corpus_pipeline, "SHARDS", "spark.lexfreq.test.shards")
+    spark.conf.set("spark.lexfreq.test.shards", str(tmp_path / "shards"))
     docs = spark.createDataFrame([(i, f"some words of text number {i} " * 200) for i in range(40)], "doc_id bigint, text string")
     rows = corpus_pipeline.token_stage(spark, docs, FOLDER).collect()
     files = {f.parent.name: f.read_bytes() for f in (tmp_path / "shards").glob("shard=*/part-*")}
