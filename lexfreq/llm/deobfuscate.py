@@ -4,7 +4,9 @@ A word may be disguised by look-alike characters (1d10t), by separators between
 i d i o t), by repeated letters (idiooot) and by masked letters (id*ot). Every disguised span is a lattice:
 each observed character stands for one or more letters, or for none, each at a cost. The path
 with the smallest sum of channel costs and of the letters' costs under a character language model is
-found by Viterbi's algorithm, whose states are the last three characters.
+found by Viterbi's algorithm, whose states are the last three characters. Masks that follow one another, whichever they are, stand for one
+letter, once for each. Where masks leave many states the steps are taken with arrays over them (`_decoded_wide`), so a word's time
+follows its length. Web and mail addresses, numbers and keys are not taken for disguises.
 
 The language model interpolates the counts of one to four characters of all documents. Counts are kept in a
 table of fixed size: its slots are hashes of the character sequences. Characters are the bytes of lower-cased UTF-8;
@@ -43,6 +45,11 @@ MASKS = "*#?%"
 COSTS = {"look_alike": 0.7, "kept_symbol": 6.0, "dropped_separator": 0.1, "kept_separator": 4.0, "mask": 1.5,
          "squeezed": 0.3, "kept_run": 1.0}
 
+# A word of more digits is a number or a key.
+MOST_DIGITS = 8
+# Lattices of so many nodes, with one masked place at most, are decoded state by state.
+_NARROW_NODES = 256
+
 _ALIKE = np.zeros(256, bool)
 _ALIKE[[ord(c) for c in LOOK_ALIKES if ord(c) < 128]] = True
 # Look-alikes that may end a word or stand alone among spaced letters.
@@ -106,6 +113,7 @@ class Restorer:
 
     def __init__(self, table: bytes) -> None:
         self.counts = memoryview(table).cast("I")
+        self.table = np.frombuffer(table, np.uint32).astype(np.float64)
         self.total = sum(self.counts[_one_slot(c, 1)] for c in range(256))
         self.cost = lru_cache(maxsize=1 << 17)(self._cost)
         self.decoded = lru_cache(maxsize=1 << 16)(self._decoded)
@@ -123,8 +131,8 @@ class Restorer:
     def _choices(self, span: str) -> list[list[tuple[bytes, float]]]:
         """The lattice: for each observed character, or run of one letter, what it may stand for."""
         lattice = []
-        for run in re.finditer(r"(.)\1*", span, re.DOTALL):
-            char, n = run[1], len(run[0])
+        for run in re.finditer(rf"[{re.escape(MASKS)}]+|(.)\1*", span, re.DOTALL):
+            char, n = run[0][0], len(run[0])
             own = char.encode()
             if char in SEPARATORS or char in MASKS:
                 options = [(b"", COSTS["dropped_separator"] * n), (b" ", COSTS["kept_separator"])]
@@ -145,23 +153,77 @@ class Restorer:
 
     def _decoded(self, span: str) -> str:
         """Viterbi's algorithm over the lattice."""
-        states = {b" ": (0.0, b"")}
-        for options in [*self._choices(span), [(b" ", 0.0)]]:
-            after: dict[bytes, tuple[float, bytes]] = {}
-            for context, (so_far, letters) in states.items():
-                for emitted, price in options:
-                    total, state = so_far + price, context
-                    for char in emitted:
-                        if char == _SPACE and state[-1] == _SPACE:
-                            continue
-                        total += self.cost(state[-(ORDER - 1):], char)
-                        state = (state + bytes([char]))[-(ORDER - 1):]
-                    if state not in after or total < after[state][0]:
-                        after[state] = (total, letters + emitted)
-            states = after
-        best = min(states.values())[1]
+        lattice = [*self._choices(span), [(b" ", 0.0)]]
+        if len(lattice) > _NARROW_NODES or sum(len(options) > 20 for options in lattice) > 1:
+            best = self._decoded_wide(lattice)
+        else:
+            states = {b" ": (0.0, b"")}
+            for options in lattice:
+                after: dict[bytes, tuple[float, bytes]] = {}
+                for context, (so_far, letters) in states.items():
+                    for emitted, price in options:
+                        total, state = so_far + price, context
+                        for char in emitted:
+                            if char == _SPACE and state[-1] == _SPACE:
+                                continue
+                            total += self.cost(state[-(ORDER - 1):], char)
+                            state = (state + bytes([char]))[-(ORDER - 1):]
+                        if state not in after or total < after[state][0]:
+                            after[state] = (total, letters + emitted)
+                states = after
+            best = min(states.values())[1]
         return " ".join(best.decode(errors="replace").split())
 
+    def _costs(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The cost of a character in each state. A state is a number: how many characters it has, then these."""
+        length = (states >> 24).astype(np.int64)
+        context = states & 0xFFFFFF
+        p = np.full(len(states), 1 / 256)
+        for n in range(ORDER):
+            before = context & ((1 << 8 * n) - 1)
+            seen = self.table[_slots((before << 8) | chars, n + 1)]
+            base = self.table[_slots(before, n)] if n else float(self.total)
+            p = np.where(length >= n, (seen + 5 * p) / (base + 5), p)
+        return -np.log(np.minimum(p, 1.0))
+
+    def _decoded_wide(self, lattice: list[list[tuple[bytes, float]]]) -> bytes:
+        """The same with arrays over the states; of each state the step that led to it is kept."""
+        states, costs = np.array([(1 << 24) | _SPACE]), np.zeros(1)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        for options in lattice:
+            ends, totals, before, chosen = [], [], [], []
+            for size in {len(emitted) for emitted, _ in options}:
+                # Options that write as many characters are taken together, each from all states.
+                own = [i for i, (emitted, _) in enumerate(options) if len(emitted) == size]
+                number = np.repeat(own, len(states))
+                state, total = np.tile(states, len(own)), np.tile(costs, len(own)) + np.repeat([options[i][1] for i in own], len(states))
+                same = all(options[i][0] == options[i][0][:1] * size for i in own)
+                for place in range(size):
+                    char = np.repeat([options[i][0][place] for i in own], len(states))
+                    price = self._costs(state, char)
+                    if place >= ORDER and same:
+                        # A long run of one letter only meets itself: from here on each costs the same.
+                        total = total + (size - place) * price
+                        break
+                    moves = (char != _SPACE) | (state & 0xFF != _SPACE)
+                    length = np.minimum((state >> 24) + 1, ORDER - 1)
+                    moved = (length << 24) | (((state & 0xFFFF) << 8) | char) & ((1 << 8 * length) - 1)
+                    state, total = np.where(moves, moved, state), np.where(moves, total + price, total)
+                ends.append(state)
+                totals.append(total)
+                before.append(np.tile(np.arange(len(states)), len(own)))
+                chosen.append(number)
+            state, total = np.concatenate(ends), np.concatenate(totals)
+            order = np.lexsort((total, state))
+            first = order[np.concatenate([[True], state[order][1:] != state[order][:-1]])]
+            steps.append((np.concatenate(before)[first].astype(np.int32), np.concatenate(chosen)[first].astype(np.int8)))
+            states, costs = state[first], total[first]
+        at, out = int(np.argmin(costs)), []
+        for options, (before, chosen) in zip(reversed(lattice), reversed(steps)):
+            out.append(options[chosen[at]][0])
+            at = int(before[at])
+        return b"".join(reversed(out))
+
     def restore(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Texts with disguised spans replaced, and how many there were; others are passed on as they are."""
         words = find_words(column, SPACED)
@@ -225,6 +287,16 @@ def _disguised(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for i in range(1, tail + 1):
             ok &= _TRAILING[data[last - i]]
         odd[np.flatnonzero(fits)[ok]] = True
+    # Web addresses: letters behind a colon and two strokes, or www and a full stop.
+    address = (data == 0x3A) & (padded[1:n + 1] == 0x2F) & (padded[2:n + 2] == 0x2F)
+    address |= (data == 0x77) & (padded[1:n + 1] == 0x77) & (padded[2:n + 2] == 0x77) & (padded[3:n + 3] == 0x2E)
+    # Mail addresses: a full stop and a letter somewhere behind the sign.
+    dots = np.concatenate([[0], np.cumsum((data == 0x2E) & after)])
+    signs = np.flatnonzero(data == 0x40)
+    address[signs] |= dots[end[np.searchsorted(begin, signs, side="right") - 1]] > dots[signs]
+    sums = np.concatenate([[0], np.cumsum(address)])
+    digits = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
+    odd &= (sums[end] == sums[begin]) & (digits[end] - digits[begin] <= MOST_DIGITS)
     # One character may be several bytes: all but the first are 10xxxxxx.
     leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     single = (leads[end] - leads[begin] == 1) & (letter[begin] | _TRAILING[data[begin]])

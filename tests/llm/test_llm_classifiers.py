@@ -111,3 +111,101 @@ def test_defined_cases(spark, module, label, fold):
     none = spark.createDataFrame([], f"doc_id bigint, {label} int")
     assert len(module(docs, none).collect()) == len(rows)
     assert module(docs.limit(0), labels).collect() == []
+
+
+def all_paths(restorer, span):
+    """The smallest cost over every path of a lattice, and the letters of the paths that have it."""
+    found = {}
+    paths = [(0.0, b" ", b"")]
+    for options in [*restorer._choices(span), [(b" ", 0.0)]]:
+        longer = []
+        for cost, state, letters in paths:
+            for emitted, price in options:
+                total, now = cost + price, state
+                for char in emitted:
+                    if char == 0x20 and now[-1] == 0x20:
+                        continue
+                    total += restorer._cost(now[-3:], char)
+                    now += bytes([char])
+                longer.append((total, now, letters + emitted))
+        paths = longer
+    for cost, _, letters in paths:
+        found.setdefault(round(cost, 6), set()).add(" ".join(letters.decode().split()))
+    return found[min(found)]
+
+
+@pytest.mark.parametrize("span", ["1d10t", "id*ot", "i*i#t", "*#d10", "m0*0n", "a*!*b", "s.t.u", "$*u1d", "ooo*k", "(1*wn"])
+def test_decoding_against_all_paths(restorer, span):
+    """Both ways of decoding find a path that costs least among all."""
+    best = all_paths(restorer, span)
+    assert restorer._decoded(span) in best
+    wide = restorer._decoded_wide([*restorer._choices(span), [(b" ", 0.0)]])
+    assert " ".join(wide.decode().split()) in best
+
+
+@pytest.mark.parametrize("word", ["z*#*#*#*#z*z", "z" + "*#%?" * 5000 + "z", "a*b#*c#*d#*e#*f", "a*" * 200 + "b", "1*" * 30 + "x"])
+def test_masked_words_take_no_time(restorer, word):
+    import time
+    begin = time.process_time()
+    texts, _ = restorer.restore(pa.array([word]))
+    assert time.process_time() - begin < 1 and texts[0].as_py() is not None
+
+
+def test_addresses_stay(restorer):
+    texts = ["see https://ru.wikipedia.org/wiki/%D0%97%D0%B0 and www.m0r0n.example/1d10t there", "to ed.31@mail2.example.com, <a1b@x.org>",
+             "key 3fdf5a35c7b8d733c0b5c7d364eda8ac88d929d1 or 4111111111111111a"]
+    assert restorer.restore(pa.array(texts))[0].to_pylist() == texts
+
+
+DISGUISES = {
+    "look-alikes": lambda w, r: "".join({"o": "0", "i": "1", "e": "3", "a": "4", "s": "5", "t": "7"}.get(c, c) if r.random() < 0.8 else c for c in w),
+    "separators": lambda w, r: r.choice(".-_*").join(w),
+    "repeats": lambda w, r: (lambda i: w[:i] + w[i] * 3 + w[i + 1:])(r.randrange(len(w))),
+    "mask": lambda w, r: (lambda i: w[:i] + "*" + w[i + 1:])(r.randrange(1, len(w) - 1)),
+    "spaced": lambda w, r: " ".join(w),
+}
+
+
+@pytest.fixture(scope="module")
+def disguised(spark):
+    """Held-out toxic texts, the words that mark them among the texts learnt from, and how to score texts with and without restoration."""
+    import re
+    import zlib
+    from collections import Counter
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    language = language_model(docs)
+    model = toxicity.train(docs, labels.select("doc_id", "toxic"), language)
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect()
+    seen = {0: Counter(), 1: Counter()}
+    held = []
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 == 1:
+            held += [r.text] if r.toxic else []
+        elif r.toxic in seen:
+            seen[r.toxic].update(set(re.findall(r"[^\W\d_]{4,}", r.text.lower())))
+    marks = {w for w, n in seen[1].items() if n >= 5 and n >= 3 * seen[0][w]}
+
+    def found(texts):
+        frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(4)
+        return {r.doc_id for r in toxicity.score(frame, language, model).filter("predicted = 1").collect()}
+
+    held = [t for t in held if marks & set(re.findall(r"[^\W\d_]{4,}", t.lower()))]
+    own = found(held)
+    return [t for i, t in enumerate(held) if i in own], marks, found
+
+
+@supplied
+@pytest.mark.parametrize("kind", [*DISGUISES, "any"])
+def test_disguised_toxic_words_are_found(disguised, kind):
+    """Held-out texts that are found as they are, with every marking word disguised."""
+    import random
+    import re
+    texts, marks, found = disguised
+    rng = random.Random(1)
+
+    def change(m):
+        return m[0] if m[0].lower() not in marks else DISGUISES[kind if kind != "any" else rng.choice(sorted(DISGUISES))](m[0], rng)
+
+    changed = [re.sub(r"[^\W\d_]{4,}", change, t) for t in texts]
+    assert len(changed) > 50 and len(found(changed)) >= 0.85 * len(changed)
