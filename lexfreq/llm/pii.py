@@ -3,10 +3,12 @@
 Detected: e-mail addresses, IPv4 and IPv6 addresses, telephone numbers, payment-card and account numbers, social-security numbers, IBANs,
 secrets (long hexadecimal or token-like values) and person names after a title or beginning with a known given name.
 
-A surrogate is made from the entity with a key and nothing else, so an entity has the same one everywhere, in whatever document. It keeps the
-kind and format: digits stand for digits, letters for letters of their case and script, separators stay; card numbers that pass the Luhn
-check still do; IP octets stay in range; given names are replaced by given names of the same gender and script, family names part by part, so
-"Mr Smith" and "John Smith" still share a name. Numbers are replaced by a keyed Feistel permutation of the numbers of their
+A surrogate is made from the normal form of the entity with a key and nothing else, so an entity has the same one everywhere, in whatever document
+and spelling, and is then written as the entity was: a telephone number or IBAN with or without blanks, an address in capitals, an IPv6
+address in short or in full. It keeps the kind and format: digits stand for digits, letters for letters of their script, separators, country codes
+and zero groups of addresses stay; card numbers that pass the Luhn check still do; IBANs get the check digits they need; IP octets stay in
+range; given names are replaced by given names of the same gender and script, family names part by part, so "Mr Smith", "JOHN SMITH" and
+"John Smith" still share a name. Persons without a title are found by given names on the list only. Numbers are replaced by a keyed Feistel permutation of the numbers of their
 format, which cannot give two numbers the same surrogate.
 
 Collision checks: the table of all distinct entities is compared with itself in Spark. An entity whose surrogate is also another entity's
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -50,27 +53,41 @@ SYLLABLES = {
     "cyrillic": ("ба", "вол", "гор", "дал", "зим", "кар", "лес", "мар", "нов", "пет", "рос", "сав", "тар", "фад"),
 }
 
+# Country calling codes of one and two digits; all others have three.
+CALLING_CODES = ("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+                 "81 82 84 86 90 91 92 93 94 95 98")
+
+_CODES = frozenset(CALLING_CODES.split())
 _GENDER = {name: kind for kind, names in GIVEN.items() for name in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я'’-]+"
+_CAPITALS = r"[A-ZÀ-ÖØ-ÞА-Я][A-ZÀ-ÖØ-ÞА-Я'’-]+"
 _PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::"
+            r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
     "secret": r"(?<![\w])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|gh[a-z]|xox[a-z])[-_][A-Za-z0-9_-]{16,})(?![\w])",
-    "person": rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(_GENDER)}) {_NAME})(?!\w)",
+    "person": rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(_GENDER)}) {_NAME}|(?:{'|'.join(n.upper() for n in _GENDER)}) {_CAPITALS})(?!\w)",
 }
 # What has no digit, @ or name cue in it cannot hold an entity.
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _PATTERNS.items()))
 _NUMERIC = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _PATTERNS.items() if kind != "person"))
-_CUE = re.compile(rf"(?:{'|'.join(sorted({*TITLES, *_GENDER}, key=len, reverse=True))})(?!\w)")
+_CUE = re.compile(rf"(?:{'|'.join(sorted({*TITLES, *_GENDER, *(n.upper() for n in _GENDER)}, key=len, reverse=True))})(?!\w)")
 _SOME = re.compile(r"[0-9@]")
 _LONG = re.compile(r"[0-9A-Fa-f]{32}|(?:sk|pk|gh[a-z]|xox[a-z])[-_]")
 
 
+def _is_address(value: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(value))
+    except ValueError:
+        return False
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """Begin, end and kind of every entity, in order and apart from each other. Entities never cross a line."""
     found = []
@@ -78,7 +95,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for line in text.split("\n"):
         pattern = _ANY if _CUE.search(line) else _NUMERIC if _SOME.search(line) or _LONG.search(line) else None
         if pattern:
-            found += [(at + m.start(), at + m.end(), m.lastgroup) for m in pattern.finditer(line)]
+            found += [(at + m.start(), at + m.end(), m.lastgroup) for m in pattern.finditer(line)
+                      if m.lastgroup != "ipv6" or _is_address(m[0])]
         at += len(line) + 1
     return found
 
@@ -87,7 +105,11 @@ def normal(kind: str, value: str) -> str:
     """How an entity is known: formats of numbers do not matter, nor the case of addresses."""
     if kind in ("phone", "card", "ssn", "iban"):
         return re.sub(r"[^0-9A-Za-z+]", "", value).upper()
-    return value.lower() if kind in ("email", "secret", "ipv6") else value
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).exploded
+    if kind == "family":
+        return value.capitalize() if value.isupper() else value
+    return value.lower() if kind == "email" or kind == "secret" and re.fullmatch("[0-9A-Fa-f]+", value) else value
 
 
 def _stream(key: bytes, *parts: object) -> Iterator[int]:
@@ -158,19 +180,20 @@ def parts_of(kind: str, value: str) -> list[tuple[str, str]]:
     """The entities whose surrogates must be distinct: the value, or the family names of a person."""
     if kind != "person":
         return [(kind, normal(kind, value))]
-    return [("family", word) for word in value.split(" ") if word.rstrip(".") not in TITLES and word not in _GENDER]
+    return [("family", normal("family", word)) for word in value.split(" ") if word.rstrip(".") not in TITLES and word.capitalize() not in _GENDER]
 
 
 def person(value: str, attempts_of: dict[tuple[str, str], int], key: bytes = KEY) -> str:
     """Titles stay, given names go by gender and script, family names one by one."""
     out = []
     for word in value.split(" "):
-        if word in _GENDER:
-            out.append(_given_order(key, _GENDER[word])[word])
+        if word.capitalize() in _GENDER:
+            given = _given_order(key, _GENDER[word.capitalize()])[word.capitalize()]
+            out.append(given.upper() if word.isupper() else given)
         elif word.rstrip(".") in TITLES:
             out.append(word)
         else:
-            out.append(surrogate("family", word, attempts_of.get(("family", word), 0), key))
+            out.append(surrogate("family", word, attempts_of.get(("family", normal("family", word)), 0), key))
     return " ".join(out)
 
 
@@ -184,7 +207,13 @@ def _network(key: bytes, tweak: str, value: str) -> str:
     return f"{left >> 8}.{left & 255}.{right >> 8}.{right & 255}"
 
 
+def _check_digits(country: str, account: str) -> str:
+    """What makes an IBAN leave 1 when divided by 97; letters count as 10 to 35."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{account}{country}00')) % 97:02d}"
+
+
 def _once(key: bytes, kind: str, value: str, tweak: str) -> str:
+    """The surrogate of a normal form, in normal form."""
     if kind == "email":
         user, _, domain = value.partition("@")
         name, _, rest = domain.partition(".")
@@ -193,34 +222,56 @@ def _once(key: bytes, kind: str, value: str, tweak: str) -> str:
         return _network(key, tweak, value)
     if kind == "family":
         return _family(key, tweak, value)
-    if kind in ("secret", "ipv6"):
-        script = "0123456789abcdef"
-        if re.fullmatch(r"[0-9A-Fa-f:]+", value):
-            bytes_ = _stream(key, tweak, value.lower())
-            made = "".join(c if c == ":" else script[next(bytes_) % 16] for c in value)
-            return made.upper() if value.upper() == value else made
+    if kind == "ipv6":
+        # Groups of zeros stay, so that what is written in short can be written in short.
+        bytes_ = _stream(key, tweak, value)
+        return ":".join(g if g == "0000" else f"{(next(bytes_) << 8 | next(bytes_)) % 0xFFFF + 1:04x}" for g in value.split(":"))
+    if kind == "secret":
+        if re.fullmatch(r"[0-9a-f]+", value):
+            bytes_ = _stream(key, tweak, value)
+            return "".join("0123456789abcdef"[next(bytes_) % 16] for _ in value)
         return _letters(key, tweak, value)
     if kind == "iban":
-        return value[:2] + _letters(key, tweak, value[2:])
+        account = _letters(key, tweak, value[4:])
+        return value[:2] + _check_digits(value[:2], account) + account
     digits = re.sub(r"\D", "", value)
     if kind == "card" and _luhn(digits) == 0:
         body = _number(key, "card" + tweak, digits[:-1])
-        return _in_format(value, body + str(-_luhn(body + "0") % 10))
+        return body + str(-_luhn(body + "0") % 10)
     if kind == "phone" and value.startswith("+"):
-        country = re.match(r"\+\d{1,3}?(?=[ .(-]|\d{8,10}$)", value)
-        keep = len(country[0]) - 1 if country else 1
-        return _in_format(value, digits[:keep] + _number(key, "phone" + tweak, digits[keep:]))
-    return _in_format(value, _number(key, kind + tweak, digits))
+        keep = next((n for n in (1, 2) if digits[:n] in _CODES), 3)
+        return "+" + digits[:keep] + _number(key, "phone" + tweak, digits[keep:])
+    return _number(key, kind + tweak, digits)
+
+
+def _as_written(kind: str, original: str, made: str) -> str:
+    """A surrogate in normal form, laid out as the original is written."""
+    if kind in ("phone", "card", "ssn", "iban"):
+        rest = iter(made.lstrip("+"))
+        return "".join(next(rest) if c.isalnum() else c for c in original)
+    if kind == "ipv6":
+        groups = made.split(":")
+        head, short, tail = original.partition("::")
+        sides = [side.split(":") if side else [] for side in (head, tail)]
+        new = [groups[:len(sides[0])], groups[len(groups) - len(sides[1]):] if sides[1] else []]
+        out = [":".join(n.lstrip("0").zfill(len(o)) if n != "0000" else o for n, o in zip(*pair)) for pair in zip(new, sides)]
+        return (out[0] + short + out[1]).upper() if original.upper() == original and original.lower() != original else out[0] + short + out[1]
+    if kind == "family" or kind == "secret":
+        return made.upper() if original.isupper() else made
+    if kind == "email":
+        return "".join(m.upper() if o.isupper() else m for o, m in zip(original, made))
+    return made
 
 
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The surrogate of an entity as it is written; formats of one number share their digits."""
-    made = _once(key, kind, value, str(attempt) if attempt else "")
+    """The surrogate of an entity, as the entity is written; all spellings of an entity have one normal form and so has their surrogate."""
+    own = normal(kind, value)
+    made = _once(key, kind, own, str(attempt) if attempt else "")
     step = 0
-    while normal(kind, made) == normal(kind, value):
+    while made == own:
         step += 1
-        made = _once(key, kind, value, f"{attempt}+{step}")
-    return made
+        made = _once(key, kind, own, f"{attempt}+{step}")
+    return _as_written(kind, value, made)
 
 
 def mentions(docs: DataFrame) -> DataFrame:

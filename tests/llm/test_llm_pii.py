@@ -85,3 +85,65 @@ def test_defined_cases(spark):
     texts = {(r.doc_id, r.n_replaced): r.text for r in out}
     assert texts[1, 0] is None and texts[2, 0] == "" and texts[None, 1][2:-2] in texts[3, 1] and len(texts[4, 1]) == len(long)
     assert replaced(spark, []) == []
+
+
+SPELLINGS = {
+    "phone": [["+49 30 1234567", "+49301234567", "+49-30-1234567"], ["+1 (017) 555-7713", "+1 017 555 7713"], ["+420 601 123 456", "+420601123456"]],
+    "iban": [["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"]],
+    "card": [["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]],
+    "ipv6": [["2001:db8::1", "2001:0db8:0:0:0:0:0:1", "2001:DB8::1"], ["fe80::a1:22", "FE80::A1:22"], ["::1", "0:0:0:0:0:0:0:1"]],
+    "email": [["john.smith@mail7.example.com", "John.Smith@Mail7.example.com"]],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(SPELLINGS))
+def test_all_spellings_have_one_surrogate(kind):
+    for written in SPELLINGS[kind]:
+        new = [pii.surrogate(kind, w) for w in written]
+        assert [pii.detect(w)[0][2] for w in written] == [kind] * len(written) == [pii.detect(n)[0][2] for n in new]
+        assert len({pii.normal(kind, n) for n in new}) == 1 and not {pii.normal(kind, n) for n in new} & {pii.normal(kind, w) for w in written}
+        for old, made in zip(written, new):
+            if kind in ("phone", "iban", "card"):
+                assert re.sub(r"[0-9A-Z]", "0", made) == re.sub(r"[0-9A-Z]", "0", old)
+
+
+def test_country_codes_stay_and_check_digits_fit():
+    for number, code in (("+49 30 1234567", "+49 "), ("+1 212 555 0100", "+1 "), ("+420 601 123 456", "+420 "), ("+74951234567", "+7")):
+        assert pii.surrogate("phone", number).startswith(code)
+    for number in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE44 5001 0517 5407 3249 31"):
+        made = pii.surrogate("iban", number).replace(" ", "")
+        assert made[:2] == number[:2] and int("".join(str(int(c, 36)) for c in made[4:] + made[:4])) % 97 == 1
+
+
+def test_capitals_share_the_name(spark):
+    row, = replaced(spark, [(1, "Mr Smith met JOHN SMITH and John Smith; std::vector, 12:30:45 and a::b stay")])
+    family = row.text.split(" ")[1]
+    given = row.text.split(" ")[6]
+    assert row.text == f"Mr {family} met {given.upper()} {family.upper()} and {given} {family}; std::vector, 12:30:45 and a::b stay".replace(f"{family};", f"{family};")
+
+
+def test_against_replacing_one_after_the_other(spark):
+    """A whole small table against a plain loop over its entities, in which attempts are settled one entity after the other."""
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    entities = sorted({part for _, t in rows for b, e, k in pii.detect(t or "") for part in pii.parts_of(k, t[b:e])})
+    tries, open_, taken = {}, {x: 0 for x in entities}, set()
+    while open_:
+        given = {x: (x[0], pii.normal(x[0], pii.surrogate(*x, n))) for x, n in open_.items()}
+        settled = {}
+        for x in sorted(open_):
+            if given[x] not in entities and given[x] not in taken and given[x] not in settled:
+                settled[given[x]] = x
+        tries |= {x: open_[x] for x in settled.values()}
+        taken |= settled.keys()
+        open_ = {x: n + 1 for x, n in open_.items() if x not in settled.values()}
+    wanted = {}
+    for doc_id, text in rows:
+        out, at = [], 0
+        for b, e, k in pii.detect(text or ""):
+            value = text[b:e]
+            new = pii.person(value, tries) if k == "person" else pii.surrogate(k, value, tries[k, pii.normal(k, value)])
+            out += [text[at:b], new]
+            at = e
+        wanted[doc_id] = "".join([*out, (text or "")[at:]])
+    assert {r.doc_id: r.text for r in replaced(spark, rows)} == wanted
