@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lexfreq.operators.keyed import merge_latest
+from lexfreq.session import stored
 
 _BUCKET = "bucket"
 # From claiming a version's number to its manifest it takes a moment; a claim that is this old is of a writer that was lost.
@@ -204,10 +205,12 @@ class KeyedTable:
         """Merge rows into the newest version (see merge_latest) and commit the next one; only buckets that the rows fall into are rewritten."""
         base = self.versions.current()
         old = self.versions.manifest(base).get("buckets", {})
+        # The rows are read for their buckets and again for the merge; they are derived once.
+        rows = stored(rows.select(*self.schema.fieldNames()), "delivery")
         # At most as many numbers as there are buckets.
         touched = {str(r[0]) for r in self._dealt(rows).select(_BUCKET).distinct().collect()}
         before = self._rows(old[b] for b in sorted(touched & old.keys()))
-        merged = merge_latest(before, rows.select(*self.schema.fieldNames()), list(self.keys), order, update_cols)
+        merged = merge_latest(before, rows, list(self.keys), order, update_cols)
         return self.versions.commit({"buckets": {**{b: p for b, p in old.items() if b not in touched}, **self._written(merged)}}, base)
 
     def set_aside(self) -> DataFrame:
