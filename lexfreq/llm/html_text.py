@@ -1,12 +1,16 @@
 """Operator 8, main text of HTML pages by text-to-tag ratios.
 
 The page is streamed through the parser of the standard library; no tree is built. Every block (the text
-between two block-level tags) is a line with a text-to-tag ratio: its characters over its tags. The ratios are
-smoothed with a Gaussian along the page, and lines above the standard deviation of the smoothed ratios form the content
-cluster. Selected is the smallest container (article, main, section, div, cell, body, or the page) around all lines of the cluster. If some of
-these lie in articles or main elements, only the lines in such elements count, and only they are selected. All selected lines
-are kept, short ones too, except those inside navigation, headers, footers, asides, forms, scripts, styles and the like, or inside elements whose class, id or role
-names them as menus, notices, adverts, comments and so on.
+between two block-level tags) is a line with a text-to-tag ratio: its characters over its tags. What the elements say is evidence that
+weighs the ratio: characters of links count an eighth, text that stands in no paragraph, heading, item or the like a quarter, text in
+article or main elements four times; text in navigation, headers, footers, asides and forms, or in elements whose class, id or role names
+them as menus, notices, adverts, comments and so on has the ratio 0. The ratios are smoothed with a Gaussian along the page, in which the border of
+a container parts two lines as a line between them does, and lines from a share of the standard deviation of the smoothed ratios on form the
+content cluster. Lines outside the cluster come in only as neighbours of its lines: selected is the smallest container (article,
+main, section, div, cell, body, or the page) around all lines of the cluster. Where that is the body or the page, only those
+containers in it are selected that hold lines of the cluster, and lines in none. If lines of the cluster lie in articles or main elements,
+only the lines in such elements count, and only they are selected, the whole article with them. All selected lines are kept, short
+ones too, except those with the ratio 0.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by a line feed.
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +39,12 @@ BLOCKS = {
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main",
     "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
-LEFT_OUT = {
-    "applet", "aside", "audio", "button", "canvas", "datalist", "dialog", "embed", "footer", "form", "frameset", "head", "header",
-    "iframe", "input", "map", "menu", "nav", "noembed", "noframes", "noscript", "object", "script", "select", "style", "svg", "template",
-    "textarea", "title", "video",
+# What is never shown as text, and what is shown but is not main text.
+SILENT = {
+    "applet", "audio", "button", "canvas", "datalist", "embed", "frameset", "head", "iframe", "input", "map", "noembed", "noframes",
+    "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title", "video",
 }
+ASIDE = {"aside", "dialog", "footer", "form", "header", "menu", "nav"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Words in a class, id or role that say an element is not main text.
@@ -55,8 +61,11 @@ ABOUT = {"with", "without", "has", "no", "layout"}
 _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 # Elements that hold their place on the stack; others may go unclosed.
-_TRACKED = CONTAINERS | LEFT_OUT | {"figure", "table", "ul", "ol", "dl", "blockquote", "section", "span", "details", "tr", "li", "p"}
+_TRACKED = CONTAINERS | SILENT | ASIDE | {"a", "figure", "table", "ul", "ol", "dl", "blockquote", "section", "span", "details", "tr", "li", "p"}
 WIDTH = 1.0
+# Evidence: what characters of links, of text in no paragraph and of text in articles count for. Lines are content from this share of the deviation on.
+LINK, BARE, ARTICLE = 1 / 8, 1 / 4, 4.0
+SHARE = 0.3
 
 
 def _says_so(name: str) -> bool:
@@ -64,31 +73,53 @@ def _says_so(name: str) -> bool:
     return not NAMES.isdisjoint(words) and ABOUT.isdisjoint(words)
 
 
+class _Line(NamedTuple):
+    text: str
+    ratio: float    # text-to-tag ratio with the evidence; 0 for what is not main text
+    container: int
+    article: bool
+    place: int      # lines and borders of containers before this one
+
+
 class _Lines(HTMLParser):
-    """Collects text, tags, container and place (in an article or main element, or not) of every block that is not left out.
+    """Collects the blocks of a page as lines.
 
     Containers are numbered as they open; those inside container c have the numbers from c to last[c].
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.stack: list[tuple[str, bool]] = []
+        self.lines: list[_Line] = []
+        self.stack: list[tuple[str, bool, bool]] = []
         self.parts: list[str] = []
+        self.linked = 0
         self.tags = 0
-        self.left_out = 0
+        self.block = ""
+        self.silent = 0
+        self.aside = 0
+        self.links = 0
         self.articles = 0
+        self.borders = 0
         self.open = [0]
         self.around = [0]
         self.last = [0]
+        self.whole = {0}
+        self.in_article = [False]    # by container: whether it stands inside an article
 
     def _flush(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            self.parts = []
-            if text:
-                self.lines.append((text, max(1, self.tags), self.open[-1], self.articles > 0))
-                self.tags = 0
+        if not self.parts:
+            return
+        text = " ".join("".join(self.parts).split())
+        linked = min(self.linked, len(text))
+        self.parts, self.linked = [], 0
+        if not text:
+            return
+        ratio = 0.0
+        if not self.aside:
+            ratio = (len(text) - linked + LINK * linked) / max(1, self.tags)
+            ratio *= (BARE if not self.block or self.block in CONTAINERS else 1) * (ARTICLE if self.articles else 1)
+        self.lines.append(_Line("" if self.aside else text, ratio, self.open[-1], self.articles > 0, len(self.lines) + self.borders))
+        self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -97,18 +128,30 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self._flush()
+            self.block = "" if tag == "html" else tag
             if tag in ("p", "li") or tag in HEADINGS:
                 self._close_open(tag)
         if tag in VOID or tag not in _TRACKED:
             return
-        out = tag in LEFT_OUT or bool(attrs) and self._named(tag, attrs)
+        link = tag == "a" and any(name == "href" for name, _ in attrs)
+        if tag == "a" and (not link or self.links):
+            return
+        named = bool(attrs) and not link and self._named(tag, attrs)
+        silent = tag in SILENT or named and tag not in BLOCKS
+        aside = not silent and (named or tag in ASIDE)
         if tag in CONTAINERS:
             self.around.append(self.open[-1])
             self.open.append(len(self.last))
             self.last.append(len(self.last))
+            self.in_article.append(self.articles > 0 and tag not in ARTICLES)
+            if tag == "body":
+                self.whole.add(self.open[-1])
+        self.borders += aside or tag in CONTAINERS
         self.articles += tag in ARTICLES
-        self.left_out += out
-        self.stack.append((tag, out))
+        self.links += link
+        self.silent += silent
+        self.aside += aside
+        self.stack.append((tag, silent, aside))
 
     def _named(self, tag: str, attrs: list) -> bool:
         for name, value in attrs:
@@ -128,14 +171,19 @@ class _Lines(HTMLParser):
             if self.stack[i][0] == "p" or tag == "li" and self.stack[i][0] == "li":
                 self._pop(i)
                 return
-            if self.stack[i][0] != "span":
+            if self.stack[i][0] not in ("span", "a"):
                 return
 
     def _pop(self, depth: int) -> None:
         while len(self.stack) > depth:
-            tag, out = self.stack.pop()
-            self.left_out -= out
+            tag, silent, aside = self.stack.pop()
+            if aside:
+                self._flush()
+            self.silent -= silent
+            self.aside -= aside
             self.articles -= tag in ARTICLES
+            self.links -= tag == "a"
+            self.borders += aside or tag in CONTAINERS
             if tag in CONTAINERS:
                 self.last[self.open.pop()] = len(self.last) - 1
 
@@ -143,6 +191,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self._flush()
+            self.block = ""
         if tag in _TRACKED:
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] == tag:
@@ -150,8 +199,10 @@ class _Lines(HTMLParser):
                     return
 
     def handle_data(self, data: str) -> None:
-        if not self.left_out:
+        if not self.silent:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -160,12 +211,23 @@ class _Lines(HTMLParser):
         self.last[0] = len(self.last) - 1
 
 
-def smoothed(ratios: np.ndarray, width: float = WIDTH) -> np.ndarray:
-    """A Gaussian over the neighbouring lines; at the ends over those there are."""
-    reach = max(1, int(np.ceil(width)) + 1)
-    kernel = np.exp(-np.arange(-reach, reach + 1)**2 / (2 * width**2))
-    weight = np.convolve(np.ones(len(ratios)), kernel)[reach:reach + len(ratios)]
-    return np.convolve(ratios, kernel)[reach:reach + len(ratios)] / weight
+def smoothed(ratios: np.ndarray, places: np.ndarray, width: float = WIDTH) -> np.ndarray:
+    """A Gaussian over the neighbouring lines by the distance of their places; at the ends over those there are."""
+    total, weight = ratios.copy(), np.ones(len(ratios))
+    for step in range(1, min(int(np.ceil(width)) + 2, len(ratios))):
+        near = np.exp(-(places[step:] - places[:-step])**2 / (2 * width**2))
+        total[step:] += near * ratios[:-step]
+        total[:-step] += near * ratios[step:]
+        weight[step:] += near
+        weight[:-step] += near
+    return total / weight
+
+
+def in_cluster(lines: list[_Line]) -> np.ndarray:
+    """Whether each line belongs to the content cluster."""
+    ratios = np.array([line.ratio for line in lines])
+    smooth = smoothed(ratios, np.array([line.place for line in lines], float))
+    return (ratios > 0) & (smooth >= min(SHARE * float(smooth.std()), float(smooth.max(where=ratios > 0, initial=0))))
 
 
 def main_text(html: str | None) -> str:
@@ -176,19 +238,30 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     lines = parser.lines
-    if not lines:
+    dense = [line for line, inside in zip(lines, in_cluster(lines)) if inside] if lines else []
+    if not dense:
         return ""
-    lengths = np.array([len(text) for text, *_ in lines], float)
-    ratios = smoothed(lengths / np.array([tags for _, tags, *_ in lines], float))
-    content = ratios >= min(float(ratios.std()), float(ratios.max()))
-    dense = [(container, article) for (_, _, container, article), inside in zip(lines, content) if inside]
-    articles = any(article for _, article in dense)
-    found = [container for container, article in dense if article or not articles]
+    articles = any(line.article for line in dense)
+    found = {line.container for line in dense if line.article or not articles}
     around, most = min(found), max(found)
     while parser.last[around] < most:
         around = parser.around[around]
-    return "\n".join(text for text, _, container, article in lines
-                     if around <= container <= parser.last[around] and (article or not articles))
+    while parser.in_article[around]:
+        around = parser.around[around]
+    chosen = [(around, parser.last[around])]
+    if around in parser.whole and not articles:
+        # Of the body only its parts with lines of the cluster; numbers of a part follow one another.
+        parts = set()
+        for container in found:
+            while container not in parser.whole and parser.around[container] not in parser.whole:
+                container = parser.around[container]
+            parts.add(container)
+        chosen = [(whole, whole) for whole in parser.whole]
+        chosen += [(part, parser.last[part]) for part in parts if part not in parser.whole]
+    inside = np.zeros(len(parser.last), bool)
+    for first, last in chosen:
+        inside[first:last + 1] = True
+    return "\n".join(line.text for line in lines if line.ratio > 0 and inside[line.container] and (line.article or not articles))
 
 
 def extract(pages: DataFrame) -> DataFrame:
