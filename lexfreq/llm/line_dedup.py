@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexfreq.llm.scratch import fresh
+
 WINDOW = 3
 
 
@@ -55,18 +57,20 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of the documents, the text without repeated lines, and how many lines went."""
+    """All columns of the documents, the text without repeated lines, n_lines and n_removed; columns of these two names are replaced."""
+    docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
-    gone = later_windows(docs, window).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("_starts"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_starts")
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + window - 1))))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    joined = joined.withColumn("_lines", _lines()).withColumn("_gone", F.coalesce(covered, F.array().cast("array<int>")))
-    kept = F.array_except(F.sequence(F.lit(1), F.size("_lines")), "_gone")
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i)), "\n"))
+    id_, key, starts, lines, went = fresh(columns, "_id", "_key", "_starts", "_lines", "_gone")
+    gone = later_windows(docs, window).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias(starts))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), starts)
+    covered = F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + window - 1))))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left")
+    joined = joined.withColumn(lines, _lines()).withColumn(went, F.coalesce(covered, F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), went)
+    text = F.when(F.size(went) == 0, F.col("text")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.element_at(lines, i)), "\n"))
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns],
-                         F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"), F.size("_gone").alias("n_removed"))
+                         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.size(went).alias("n_removed"))
 
 
 ORACLE = r"""

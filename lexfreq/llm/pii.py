@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfreq.llm.scratch import arrow_map, written
+from lexfreq.llm.scratch import arrow_map, fresh, written
 
 KEY = b"surrogates"
 
@@ -328,21 +328,23 @@ def attempts(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """All columns of the documents, with surrogates in the text, and n_replaced."""
+    """All columns of the documents, with surrogates in the text, and n_replaced; a column of that name is replaced."""
+    docs = docs.drop("n_replaced")
+    names = docs.columns
+    id_, text_key, tried = fresh(names, "_id", "_key", "_later")
     own = written(mentions(docs), "mentions")
     again = attempts(own, key).filter("attempt > 0").select("kind", "value", "attempt")
     # Usually empty and always small files, so Spark knows whether the texts must move for this join.
     later = written(own.join(again, ["kind", "value"]).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("kind", "value", "attempt")).alias("_later"))
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_later"), "further_attempts")
-    joined = docs.join(later, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    names = docs.columns
+        F.collect_list(F.struct("kind", "value", "attempt")).alias(tried))
+        .select(F.col("doc_id").alias(id_), F.col("text_key").alias(text_key), tried), "further_attempts")
+    joined = docs.join(later, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(text_key)), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lru_cache(maxsize=1 << 14)(lambda kind, value, attempt: surrogate(kind, value, attempt, key))
         for batch in batches:
             texts, counts = [], []
-            for text, later_ in zip(batch["text"], batch["_later"]):
+            for text, later_ in zip(batch["text"], batch[tried]):
                 text = text.as_py()
                 found = detect(text) if text else []
                 if found:
@@ -360,4 +362,4 @@ def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "n_replaced"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(joined.select(*names, "_later"), run, f"{fields}, n_replaced bigint")
+    return arrow_map(joined.select(*names, tried), run, f"{fields}, n_replaced bigint")

@@ -53,6 +53,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes for none of the columns to have them, in whatever capitals."""
+    taken, free = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Derive a table once: later steps read the files, whichever executors are lost meanwhile.
 

@@ -116,13 +116,14 @@ def train(docs: DataFrame, labels: DataFrame, language: bytes, sample_rows: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = arrow_map(present, only, f"doc_id {kind}, label int, features array<int>").toPandas().sort_values("doc_id", kind="stable")
     label = rows["label"].to_numpy()
-    lift = (label == 0).sum() / max(1, label.sum())
+    lift = (label == 0).sum() / label.sum() if 0 < label.sum() < len(label) else 1.0
     weights, bias = linear.fit_at([np.asarray(f, np.int64) for f in rows["features"]], label, len(buckets), THRESHOLD, lift=lift)
     return buckets, weights, bias
 
 
 def score(docs: DataFrame, language: bytes, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """All columns of the documents, and score, predicted and n_restored (disguised words restored)."""
+    """All columns of the documents, and score, predicted and n_restored (disguised words restored); columns of these names are replaced."""
+    docs = docs.drop("score", "predicted", "n_restored")
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((language, model))
 

@@ -113,6 +113,14 @@ def test_defined_cases(spark, module, label, fold):
     assert module(docs.limit(0), labels).collect() == []
 
 
+@pytest.mark.parametrize("only", [0, 1])
+@pytest.mark.parametrize("module,label", [(toxicity.toxicity, "toxic"), (quality.quality, "quality")])
+def test_labels_of_one_kind(spark, module, label, only):
+    docs = spark.createDataFrame([(i, f"a text with the words number {i}", 1) for i in range(8)], "doc_id bigint, text string, n_chars bigint")
+    out = module(docs, spark.createDataFrame([(i, only) for i in range(8)], f"doc_id bigint, {label} int")).collect()
+    assert len(out) == 8 and all((r.score > 0.5) == bool(only) for r in out)
+
+
 def all_paths(restorer, span):
     """The smallest cost over every path of a lattice, and the letters of the paths that have it."""
     found = {}
