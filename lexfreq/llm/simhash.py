@@ -197,6 +197,9 @@ SIMILARITY = 0.8
 # Two texts at similarity j have the same minima in a band with probability j^ROWS, so at 0.8 they meet in some band but for 3 in a million.
 BANDS = 32
 ROWS = 5
+# A band that this share of all texts has, or twice that, is frequent; texts are counted in chunks.
+FREQUENT = 2.0**-13
+CHUNK = 1 << 16
 _LOTS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.array([[0], [1]], np.uint32)
 
 
@@ -247,21 +250,63 @@ def banded(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(wanted, run, f"doc_id {kind}, text_key bigint, number bigint, size bigint, bands array<bigint>")
 
 
+def _frequent(distinct: DataFrame, count: int) -> np.ndarray:
+    """Bands, sorted, that so many texts have that they must not meet in one task; each is had by at least two.
+
+    A band that a share of 2 * FREQUENT of all texts has is had by FREQUENT of the texts in some chunk of a task, where it is
+    noticed. Kept are those noticed FREQUENT * count times or more, so there are at most BANDS / FREQUENT, which is 2 MB.
+    """
+    def notice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+
+        def chunk() -> pa.RecordBatch:
+            bands, n = np.unique(np.concatenate(waiting), return_counts=True)
+            often = n >= max(2, FREQUENT * rows)
+            return pa.RecordBatch.from_arrays([pa.array(bands[often]), pa.array(n[often])], ["bucket", "n"])
+
+        for batch in batches:
+            waiting.append(batch["bands"].flatten().to_numpy())
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                yield chunk()
+                waiting, rows = [], 0
+        if waiting:
+            yield chunk()
+
+    noticed = arrow_map(distinct.select("bands"), notice, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return np.sort(noticed.filter(F.col("n") >= max(2, FREQUENT * count)).select("bucket").toPandas()["bucket"].to_numpy(np.int64))
+
+
 def _groups(distinct: DataFrame, count: int) -> DataFrame:
-    """Rows bucket, number: the texts (by number) that have a band in common with others."""
+    """Rows bucket, number: the texts (by number) that have a band in common with others.
+
+    Frequent bands are known to be shared, so their rows need not meet. The others are dealt out by band and meet in a task.
+    """
     targets = max(1, -(-count * BANDS // VARIANTS_PER_TASK))
+    shared = distinct.sparkSession.sparkContext.broadcast(_frequent(distinct, count))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch], frequent: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        known = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 14):
                 part = batch.slice(at, 1 << 14)
                 buckets = part["bands"].flatten().to_numpy()
-                if len(buckets):
-                    numbers = np.repeat(part["number"].to_numpy(), part["bands"].value_lengths().to_numpy())
-                    yield _blocks((mix(buckets.view(np.uint64)) % np.uint64(targets)).astype(np.int64), targets, buckets, numbers)
+                own = np.isin(buckets, known) == frequent
+                numbers = np.repeat(part["number"].to_numpy(), part["bands"].value_lengths().to_numpy())
+                if own.any():
+                    yield buckets[own], numbers[own]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buckets, numbers in rows(batches, False):
+            yield _blocks((mix(buckets.view(np.uint64)) % np.uint64(targets)).astype(np.int64), targets, buckets, numbers)
+
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buckets, numbers in rows(batches, True):
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(numbers)], ["bucket", "number"])
 
-    emitted = arrow_map(distinct.select("number", "bands"), emit, _BLOCKS).repartitionById(targets, "target")
-    return arrow_map(emitted, _crowded, "bucket bigint, number bigint")
+    own = distinct.select("number", "bands")
+    met = arrow_map(arrow_map(own, emit, _BLOCKS).repartitionById(targets, "target"), _crowded, "bucket bigint, number bigint")
+    return met.unionByName(arrow_map(own, pass_on, "bucket bigint, number bigint"))
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

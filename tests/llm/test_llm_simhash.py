@@ -166,3 +166,24 @@ def test_lone_pairs_at_the_threshold(spark):
         a, b = sets[2 * pair], sets[2 * pair + 1]
         assert (len(a & b) * 5 >= len(a | b) * 4) == (pair not in below)
         assert got[2 * pair] == 2 * pair and got[2 * pair + 1] == 2 * pair + (pair in below)
+
+
+@pytest.mark.parametrize("frequent,chunk", [(2.0**-13, 1 << 16), (0.1, 50), (0.3, 7), (2.0, 1 << 16)])
+def test_texts_that_share_a_band(spark, monkeypatch, frequent, chunk):
+    """A band that a third of all texts share, one of two texts, and many of one text, whichever bands count as frequent."""
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    draw = random.Random(5)
+    rows = [(i, [1_000_000 + draw.randrange(3000), draw.randrange(20), -7 if i % 3 == 0 else i + 100]) for i in range(600)]
+    rows += [(600, [2_000_000]), (601, [2_000_000]), (602, [])]
+    df = spark.createDataFrame(rows, "number bigint, bands array<bigint>").repartition(5)
+    members = {}
+    for number, bands in rows:
+        for band in bands:
+            members.setdefault(band, set()).add(number)
+    wanted = sorted((band, n) for band, numbers in members.items() if len(numbers) > 1 for n in numbers)
+    assert sorted(map(tuple, simhash._groups(df, len(rows)).collect())) == wanted
+    found = simhash._frequent(df, len(rows)).tolist()
+    assert found == sorted(found) and all(len(members[b]) >= max(2, frequent * len(rows)) for b in found)
+    assert {b for b, numbers in members.items() if len(numbers) >= 2 * frequent * len(rows) + 5} <= set(found) or frequent < 0.01
+    assert simhash._groups(df.limit(0), 0).collect() == []
