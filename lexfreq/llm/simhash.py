@@ -253,8 +253,9 @@ def banded(docs: DataFrame, shingle: int) -> DataFrame:
 def _frequent(distinct: DataFrame, count: int) -> np.ndarray:
     """Bands, sorted, that so many texts have that they must not meet in one task; each is had by at least two.
 
-    A band that a share of 2 * FREQUENT of all texts has is had by FREQUENT of the texts in some chunk of a task, where it is
-    noticed. Kept are those noticed FREQUENT * count times or more, so there are at most BANDS / FREQUENT, which is 2 MB.
+    A chunk of a task notices bands that FREQUENT of its texts have, two at least. What it does not notice of a band is less than that, so a band
+    of 2 * FREQUENT of all texts, and one more for each chunk, is found. Kept are those noticed FREQUENT * count times
+    or more, so there are at most BANDS / FREQUENT, which is 2 MB. The groups are the same whichever bands are found.
     """
     def notice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, rows = [], 0
