@@ -74,6 +74,22 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> Iterator[DataFrame]:
+    """The same in hash buckets of a column, so that joins on it leave the table where it is; table and files are deleted at the end.
+
+    Rows should be partitioned by that column into as many parts already, else a task writes to many buckets.
+    """
+    spark = df.sparkSession
+    path, own = f"{_STAGES[-1]}/{name}-{uuid.uuid4().hex}" if _STAGES else scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "snappy").saveAsTable(own)
+    try:
+        yield spark.table(own)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {own}")
+        drop_scratch(spark, path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same for small tables; Spark removes the files once nothing refers to the frame."""
     ready_for_checkpoint(df.sparkSession)

@@ -39,11 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexfreq.llm.components import components
-from lexfreq.llm.scratch import arrow_map, written
+from lexfreq.llm.scratch import arrow_map, bucketed, written
 from lexfreq.llm.words import BASES, SPACED, find_words, grams, mix, slices
 
 SHINGLE = 3
@@ -200,6 +200,9 @@ ROWS = 5
 # A band that this share of all texts has, or twice that, is frequent; texts are counted in chunks.
 FREQUENT = 2.0**-13
 CHUNK = 1 << 16
+# Bits of the map of texts that share a band (8 MB), and shingles in a bucket of their sets (32 MB).
+PLACES = 1 << 26
+SHINGLES_PER_BUCKET = 1 << 22
 _LOTS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.array([[0], [1]], np.uint32)
 
 
@@ -322,8 +325,36 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bucket[several]), pa.array(number[several])], ["bucket", "number"])
 
 
-def _shingles_of(docs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """number and shingles of the given texts (number, doc_id, text_key); only these texts are read again."""
+def _place(text_key: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id", text_key), F.lit(PLACES))
+
+
+def _possible(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Documents (doc_id, text, text_key) among which all rows of the given texts are, and few others while those are fewer than PLACES.
+
+    A bitmap with a place for every hash of a text goes to the tasks that read the documents, so the other texts are not shuffled. It has
+    PLACES bits however many texts there are.
+    """
+    spark, chunk = docs.sparkSession, 1 << 15
+    place = _place("text_key")
+    parts = texts.groupBy(F.floor(place / chunk).alias("part")).agg(F.bitmap_construct_agg(place % chunk).alias("bits")).collect()
+    bits = np.zeros((PLACES // chunk, chunk // 8), np.uint8)
+    for part in parts:
+        bits[part["part"]] = np.frombuffer(part["bits"], np.uint8)
+    sent = spark.sparkContext.broadcast(bits.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            at = batch["place"].to_numpy()
+            yield batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).drop_columns(["place"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).withColumn("place", _place("text_key"))
+    return arrow_map(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, text_key bigint")
+
+
+def _shingles_of(docs: DataFrame, texts: DataFrame, shingle: int, parts: int) -> DataFrame:
+    """number and shingles of the given texts (number, doc_id, text_key), partitioned by number; only these texts are read again."""
     needed = texts.select("number", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,17 +364,29 @@ def _shingles_of(docs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [part["number"], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["number", "shingles"])
 
-    found = docs.select("doc_id", "text").join(
-        needed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")))
-    return arrow_map(found.select("number", "text").dropDuplicates(["number"]), run, "number bigint, shingles array<bigint>")
+    found = _possible(docs, texts).join(needed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key")))
+    once = found.select("number", "text").repartition(parts, "number").dropDuplicates(["number"])
+    return arrow_map(once, run, "number bigint, shingles array<bigint>")
 
 
 def _exactly(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs member, centre with the Jaccard similarity of their shingle sets, `exact`."""
-    for side in ("member", "centre"):
-        pairs = pairs.join(sets.select(F.col("number").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
+    """The pairs member, centre with the Jaccard similarity of their shingle sets, `exact`.
+
+    The sets lie in buckets of their number, so pairs go to them. The sets of the centres, which are few, are written apart: a
+    centre may have very many members, and Spark can split a join of two shuffled sides.
+    """
+    members = pairs.join(sets.select(F.col("number").alias("member"), F.col("shingles").alias("shingles_member")), "member")
+    centres = written(pairs.select("centre").distinct().join(
+        sets.select(F.col("number").alias("centre"), F.col("shingles").alias("shingles_centre")), "centre"), "centre_sets")
     both = F.size(F.array_intersect("shingles_member", "shingles_centre"))
-    return pairs.select("member", "centre", (both / (F.size("shingles_member") + F.size("shingles_centre") - both)).alias("exact"))
+    return members.join(centres, "centre").select(
+        "member", "centre", (both / (F.size("shingles_member") + F.size("shingles_centre") - both)).alias("exact"))
+
+
+def _reaches(groups: DataFrame) -> DataFrame:
+    """number and reach: the members of all buckets that a text is in. An original shares more bands with its copies than these with one another."""
+    members = groups.groupBy("bucket").agg(F.count("*").alias("n"))
+    return groups.join(members, "bucket").groupBy("number").agg(F.sum("n").alias("reach"))
 
 
 def _joined(groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -351,8 +394,8 @@ def _joined(groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: fl
 
     In each round some members of a bucket, its centres, are compared with all others of the bucket that are not of their component yet. Then
     they are done with and leave the bucket, and a bucket whose members are all of one component is done with. So in the end any two
-    members of a bucket have been compared or are of one component. Centres are the members with most links so far; there are
-    four times as many in every round, so even where no two are similar the rounds grow with the logarithm of the members.
+    members of a bucket have been compared or are of one component. Centres are the members with most links so far, at first those of the
+    largest reach; there are four times as many in every round, so even where no two are similar the rounds grow with the logarithm of the members.
     """
     spark = groups.sparkSession
     roots = spark.createDataFrame([], "node bigint, root bigint")
@@ -360,13 +403,13 @@ def _joined(groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: fl
     tested: DataFrame | None = None
     centres = 1
     while True:
-        state = sizes.join(roots, sizes["number"] == roots["node"], "left").select("number", "size", F.coalesce("root", "number").alias("root"))
+        state = sizes.join(roots, sizes["number"] == roots["node"], "left").select("number", "size", "reach", F.coalesce("root", "number").alias("root"))
         links = F.lit(0).cast("bigint")
         if found is not None:
             degrees = (found.select(F.explode(F.array("member", "centre")).alias("end")).groupBy("end").agg(F.count("*").alias("links")))
             state = state.join(degrees, state["number"] == degrees["end"], "left")
             links = F.coalesce("links", F.lit(0).cast("bigint"))
-        state = state.select("number", "size", "root", F.struct((-links).alias("less"), F.xxhash64("number").alias("lot"), "number").alias("rank"))
+        state = state.select("number", "size", "root", F.struct((-links).alias("less"), (-F.col("reach")).alias("narrow"), F.xxhash64("number").alias("lot"), "number").alias("rank"))
         members = groups.join(state, "number")
         several = members.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("bucket")
         members = written(members.join(several, "bucket"), "open_groups")
@@ -401,8 +444,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIM
         F.min(text).alias("text")), "distinct_texts")
     groups = written(_groups(distinct, distinct.count()), "groups")
     texts = written(distinct.join(groups.select("number").distinct(), "number").select("number", "size", "text.*"), "grouped_texts")
-    sets = written(_shingles_of(docs, texts, shingle), "shingle_sets")
-    members = _joined(groups, texts.select("number", "size"), sets, similarity)
+    spark = docs.sparkSession
+    shingles = texts.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // SHINGLES_PER_BUCKET))
+    with bucketed(_shingles_of(docs, texts, shingle, parts), "shingle_sets", "number", parts) as sets:
+        sizes = written(texts.select("number", "size").join(_reaches(groups), "number"), "reaches")
+        members = _joined(groups, sizes, sets, similarity)
     joined = distinct.join(members, distinct["number"] == members["node"], "left").select(
         "number", "first_id", F.coalesce("root", "number").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
