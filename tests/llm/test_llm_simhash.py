@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexfreq.llm import simhash
 from lexfreq.llm.components import components
@@ -187,3 +188,32 @@ def test_texts_that_share_a_band(spark, monkeypatch, frequent, chunk):
     assert found == sorted(found) and all(len(members[b]) >= max(2, frequent * len(rows)) for b in found)
     assert {b for b, numbers in members.items() if len(numbers) >= 2 * frequent * len(rows) + 5} <= set(found) or frequent < 0.01
     assert simhash._groups(df.limit(0), 0).collect() == []
+
+
+def test_pairs_ruled_out_are_not_similar(spark):
+    """Pairs of sets around the threshold, exactly on it too: by their sizes and parities only pairs below it may be ruled out."""
+    draw = random.Random(8)
+    rows = []
+    for n in [1, 2, 5, 9, 90, 450, 900, 9000]:
+        for share in (0.5, 0.75, 0.79, 8 / 9, 8 / 9 - 1 / n, 8 / 9 + 1 / n, 1):
+            common = max(0, min(n, round(n * share)))
+            same = draw.sample(range(1 << 60), common)
+            sides = [np.array(sorted(same + draw.sample(range(1 << 60, 1 << 61), n - common)), np.uint64) for _ in range(2)]
+            a, b = (set(s.tolist()) for s in sides)
+            rows.append((len(a), simhash._parities(sides[0]).tolist(), len(b), simhash._parities(sides[1]).tolist(), 5 * len(a & b) >= 4 * len(a | b)))
+    df = spark.createDataFrame(rows, "m bigint, p array<bigint>, n bigint, q array<bigint>, similar boolean")
+    got = df.select("similar", "n", simhash._may_be_similar("m", "p", "n", "q", 0.8).alias("kept")).collect()
+    assert any(r.similar for r in got) and all(r.kept for r in got if r.similar)
+    assert sum(not r.kept for r in got if not r.similar) > 8
+
+
+def test_possible_texts(spark, monkeypatch):
+    """All rows of the texts asked for come through, and hardly others; none for no texts; with few places still all."""
+    rows = [(i % 7 if i % 5 else None, f"text {i // 2}" if i % 11 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key")).filter("doc_id = 3 OR doc_id IS NULL")
+    wanted = sorted(map(str, (r for r in rows if r[0] in (3, None))))
+    assert sorted(str((r.doc_id, r.text)) for r in simhash._possible(docs, texts).collect()) == wanted
+    assert simhash._possible(docs, texts.limit(0)).collect() == []
+    monkeypatch.setattr(simhash, "PLACES", 1 << 15)
+    assert {str((r.doc_id, r.text)) for r in simhash._possible(docs, texts).collect()} >= set(wanted)
