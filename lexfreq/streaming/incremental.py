@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -48,8 +48,37 @@ def _compacted_upto(spark: SparkSession, folder: str) -> int | None:
     return _stored(spark, f"{folder}/compactions", "upto BIGINT").agg(F.max("upto")).first()[0]
 
 
+# Level and flag as one number in the order of the struct, with a batch of up to 28 bits in front: of numbers Spark keeps a running maximum
+# in a hash table, of structs only over rows that it has sorted.
+_LOWEST, _BITS = -(1 << 31), 34
+
+
+def _code(listed: Column) -> Column:
+    level = F.coalesce(listed["word_level"].cast("bigint") - F.lit(_LOWEST) + 1, F.lit(0).cast("bigint"))
+    return level * 2 + listed["in_official_wordlist"].cast("bigint")
+
+
+def _level(code: Column) -> Column:
+    level = F.nullif(F.shiftright(code, 1).bitwiseAND(F.lit((1 << (_BITS - 1)) - 1)), F.lit(0).cast("bigint"))
+    return (level + F.lit(_LOWEST) - 1).cast("int")
+
+
+def _flag(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def _coded(rows: DataFrame) -> DataFrame:
+    """Deltas with `listed` and `now` as numbers."""
+    now = F.shiftleft(F.col("now.batch"), _BITS) + _code(F.col("now"))
+    return rows.select(*KEY, "origin", "frequency", "files", _code(F.col("listed")).alias("listed"), now.alias("now"), "batch")
+
+
 def _deltas(spark: SparkSession, folder: str) -> DataFrame:
-    """All delta rows that count: those of the newest compaction and of the batches behind it."""
+    """All delta rows that count, coded: those of the newest compaction and of the batches behind it."""
+    return _coded(_delta_rows(spark, folder))
+
+
+def _delta_rows(spark: SparkSession, folder: str) -> DataFrame:
     upto = _compacted_upto(spark, folder)
     rows = _stored(spark, f"{folder}/deltas", DELTAS)
     if upto is None:
@@ -69,7 +98,7 @@ def _per_key(contributions: DataFrame) -> DataFrame:
     """Keys with support, their level and flag being those of the oldest contribution that is left."""
     return (contributions.filter("files > 0").groupBy(*KEY)
             .agg(F.sum("frequency").alias("frequency"), F.min_by("listed", "origin").alias("listed"))
-            .select(*KEY, "frequency", "listed.word_level", "listed.in_official_wordlist"))
+            .select(*KEY, "frequency", _level(F.col("listed")).alias("word_level"), _flag(F.col("listed")).alias("in_official_wordlist")))
 
 
 def current_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,10 +108,13 @@ def current_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def current_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Totals of all words that are in some file, with the level of the list that the word met last."""
-    rows = _contributions(_deltas(spark, folder))
-    newest = rows.groupBy("word").agg(F.max("now").alias("now"), F.max("files").alias("files")).filter("files > 0")
+    deltas = _deltas(spark, folder)
+    newest = deltas.groupBy("word").agg(F.max("now").alias("now"))
+    # Deltas of a batch are unique, so there is nothing to add up before the shuffle; dealt out by key once, they serve both steps.
+    rows = _contributions(deltas.select(*KEY, "origin", "frequency", "files").withColumns({
+        c: F.lit(0).cast("bigint") for c in ("listed", "now")}).repartition(*KEY))
     alive = rows.filter("files > 0").groupBy(*KEY).agg(F.sum("frequency").alias("frequency"))
-    levelled = alive.join(newest.select("word", "now.word_level", "now.in_official_wordlist"), "word")
+    levelled = alive.join(newest.select("word", _level(F.col("now")).alias("word_level"), _flag(F.col("now")).alias("in_official_wordlist")), "word")
     return rollup(levelled).select("word", "word_level", "source_type", "total_frequency", "exam_count", "in_official_wordlist")
 
 
@@ -93,17 +125,18 @@ def _returning(spark: SparkSession, folder: str, batch: int, seen: DataFrame) ->
 
 
 def apply_batch(counts: DataFrame, batch: int, folder: str, wordlist: DataFrame, files: DataFrame | None = None) -> None:
-    """Write a batch of counts(file_id, word, source_type, exam_id, frequency) and its deltas.
+    """Write a batch of counts(file_id, word, source_type, exam_id, frequency), added up by file and key, and its deltas.
 
     `files` (file_id) names the files of the batch where some may have no words. A file's newest version before this batch is taken
     back as a whole. Levels come from the word list as it is now.
     """
     spark = counts.sparkSession
     written = f"{folder}/counts/batch={batch}"
-    (counts.select("file_id", *KEY, F.col("frequency").cast("bigint").alias("frequency"))
+    (counts.groupBy("file_id", *KEY).agg(F.sum("frequency").cast("bigint").alias("frequency"))
      .sortWithinPartitions("file_id").write.mode("overwrite").parquet(written))
     own = spark.read.schema(COUNTS).parquet(written).drop("batch")
-    changes = own.groupBy(*KEY).agg(F.sum("frequency").alias("frequency"), F.count_distinct("file_id").alias("files"))
+    # A row for each file, so they are counted as they are, in each task before the shuffle.
+    changes = own.groupBy(*KEY).agg(F.sum("frequency").alias("frequency"), F.count("file_id").alias("files"))
     changes = changes.withColumn("origin", F.lit(batch).cast("bigint"))
     seen = (counts.select("file_id") if files is None else files.select("file_id")).distinct()
     again = _returning(spark, folder, batch, seen)
@@ -135,9 +168,13 @@ def compact(spark: SparkSession, folder: str) -> None:
     if not ready or (before is not None and max(ready) <= before):
         return
     upto = max(ready)
-    rows = _contributions(_deltas(spark, folder).filter(F.col("batch") <= upto))
-    newest = rows.groupBy("word").agg(F.max("now").alias("__now"))
-    kept = rows.filter("files > 0").join(newest, "word").drop("now").withColumnRenamed("__now", "now")
+    ready_rows = _deltas(spark, folder).filter(F.col("batch") <= upto)
+    rows = _contributions(ready_rows)
+    newest = ready_rows.groupBy("word").agg(F.max("now").alias("__now"))
+    now = F.struct(F.shiftright("__now", _BITS).alias("batch"), _level(F.col("__now")).alias("word_level"), _flag(F.col("__now")).alias("in_official_wordlist"))
+    listed = F.struct(_level(F.col("listed")).alias("word_level"), _flag(F.col("listed")).alias("in_official_wordlist"))
+    kept = rows.filter("files > 0").join(newest, "word").select(
+        *KEY, "origin", "frequency", "files", listed.alias("listed"), now.alias("now"))
     (kept.withColumn("batch", F.lit(upto).cast("bigint")).sortWithinPartitions("word")
      .write.mode("overwrite").parquet(f"{folder}/compacted/upto={upto}"))
     spark.createDataFrame([(upto,)], "upto BIGINT").write.mode("append").parquet(f"{folder}/compactions")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lexfreq.operators.counts import rollup, word_counts
 from lexfreq.plans import corpus as K
 from lexfreq.streaming import incremental as N
@@ -199,3 +201,34 @@ def test_random_histories_equal_a_rebuild(spark, tmp_path):
     assert counts == wanted
     assert {w: (t, e) for (w, s), (_, t, e, _) in totals.items() if s == "all"} == {
         w: (sum(c for k, c in wanted.items() if k[0] == w), len({k[2] for k in wanted if k[0] == w})) for w in {k[0] for k in wanted}}
+
+
+def test_levels_as_numbers_keep_their_order(spark):
+    """Coded levels come back as they were, in the order of the struct, and are added up without sorting the rows."""
+    rows = [(batch, level, flag) for batch in (0, 1, (1 << 28) - 1) for level in (None, -(1 << 31), -1, 0, 1, 9, (1 << 31) - 1) for flag in (False, True)]
+    frame = spark.createDataFrame([("w", "s", "e", 0, 1, 1, r[1:], r, r[0]) for r in rows], N.DELTAS)
+    coded = N._coded(frame)
+    order = [r.now for r in frame.orderBy("now").collect()]
+    now = coded.orderBy("now").select(
+        F.shiftright("now", N._BITS).alias("batch"), N._level(F.col("now")).alias("word_level"), N._flag(F.col("now")).alias("flag"))
+    assert [tuple(r) for r in now.collect()] == [tuple(r) for r in order]
+    listed = coded.select("batch", N._level(F.col("listed")), N._flag(F.col("listed")))
+    assert sorted(map(tuple, listed.collect()), key=str) == sorted(rows, key=str)
+    added = N._contributions(coded)
+    assert "SortAggregate" not in added._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_part_of_the_stream_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from lexfreq.registry import loads
+
+    spark.range(400).selectExpr("id AS doc_id", "'one two three' AS text", "'en' AS lang", "'src1' AS source", "13L AS n_chars").repartition(4).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", "one two")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    landed, follow = [], N.follow_files
+    monkeypatch.setattr(N, "follow_files", lambda spark, source, *args, **kw: (
+        landed.append((len(spark.read.parquet(source).inputFiles()), kw["files_per_batch"])), follow(spark, source, *args, **kw))[1])
+    folder = loads._follow(spark, str(tmp_path))
+    scanned = spark.read.parquet(str(tmp_path / "documents.parquet")).rdd.getNumPartitions()
+    assert landed == [(5 * scanned, scanned)] and scanned > 1
+    assert spark.read.parquet(f"{folder}/deltas").select("batch").distinct().count() == 5
+    assert {(r.word, r.frequency) for r in N.current_counts(spark, folder).collect()} == {("one", 400), ("two", 400), ("three", 400)}
