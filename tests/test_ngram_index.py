@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,19 @@ def test_lists_are_sorted_and_whole(spark, rows, folder):
 def test_no_sentences(spark, tmp_path):
     N.write_index(spark.createDataFrame([], SENTENCES), str(tmp_path / "i"))
     assert N.search(spark, str(tmp_path / "i"), "abc").collect() == N.search(spark, str(tmp_path / "i"), "a").collect() == []
+
+
+def test_lists_of_a_block_are_sorted_as_two_columns(monkeypatch):
+    """Pairs out of order and repeated give sorted lists, and rows of two numbers are not compared one by one."""
+    unique = np.unique
+
+    def of_one_column(values, axis=None):
+        assert axis is None
+        return unique(values)
+
+    monkeypatch.setattr(np, "unique", of_one_column)
+    draw = np.random.default_rng(1)
+    gram, place = draw.integers(0, 300, 20_000), draw.integers(0, 1 << 8, 20_000)
+    got = [(g, p) for b in N._lists(5, [gram[:400], gram[400:]], [place[:400], place[400:]]) for g, gaps in zip(b["gram"].to_pylist(), b["gaps"].to_pylist())
+           for p in np.cumsum(np.frombuffer(gaps, "<u2").astype(np.int64)).tolist()]
+    assert got == sorted(set(zip(gram.tolist(), place.tolist()))) and list(N._lists(5, [], [])) == []

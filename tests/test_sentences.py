@@ -81,3 +81,13 @@ def test_scan_shuffles_hits_only(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan
     assert pairs.count() == 50 + 11
+
+
+def test_boilerplate_is_found_without_sets(spark):
+    """Sets of source types would be sorted where a task has many sentences; rows are not."""
+    rows = [("e1", "a", "two exams."), ("e1", "b", "two exams."), ("e2", "a", "two exams."), *[(f"e{i}", "a", "three.") for i in range(3)],
+            *[("e1", t, "one exam, many types.") for t in "abcde"], ("e1", "a", "two exams.")]
+    found = spark.createDataFrame(rows, "exam_id string, source_type string, sentence string")
+    kept = S.exam_sentences(found)
+    assert sorted(map(tuple, kept.collect())) == sorted({r for r in rows if r[2] != "three."})
+    assert "ObjectHashAggregate" not in kept._jdf.queryExecution().executedPlan().toString()
