@@ -21,9 +21,9 @@ bits and are that close meet elsewhere too. So links grow with the members of a
 pairs, and a group holds at most the 2,081 fingerprints of a ball. Copies share a fingerprint and
 count once. Links are deduplicated and their distances verified.
 
-Similar texts: three of 64 bits are soon exceeded (texts with 0.8 of their five-word shingles in common differ in about ten), and short
-fingerprints within two bits lose every seventh lone pair at 0.8, so `similar_documents` takes minima of hashes instead: two sets have the same
-minimum with a probability of their Jaccard similarity, whatever their sizes. Texts with five equal minima in one of 32 bands are a group, in which a pair
+Similar texts: `similar_documents` takes the components of fingerprints and checks their members exactly, by shingle sets. But three of 64 bits are
+soon exceeded (texts with 0.8 of their five-word shingles in common differ in about ten), and short fingerprints within two bits lose every seventh
+lone pair at 0.8, so texts farther apart are found by minima of hashes besides: two sets have the same minimum with a probability of their Jaccard similarity, whatever their sizes. Texts with five equal minima in one of 32 bands are a group, in which a pair
 at 0.8 meets but for 3 in a million, at 0.85 but for 2 in a hundred million. Similarity is not transitive, so a star around one member would lose
 pairs of others; members are compared by their shingle sets, all candidates exactly, in rounds, until any two of a group are in one component
 or have been compared (see `_joined`). A pair whose sizes, or the parities of the numbers of their shingles in 512 classes, show that it is below
@@ -181,13 +181,16 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
     return arrow_map(emitted, meet, "u bigint, v bigint").distinct()
 
 
+def linked(distinct: DataFrame) -> DataFrame:
+    """Distinct fingerprints, with whatever stands beside them, and the root of their component."""
+    members = components(links(distinct, distinct.count()))
+    return distinct.join(members, distinct["fp"] == members["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint as 16 lower-case hex digits, and component_id of every document."""
     own = written(fingerprints(docs, shingle), "fingerprints")
-    distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fingerprints")
-    members = components(links(distinct, distinct.count()))
-    joined = distinct.join(members, distinct["fp"] == members["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    joined = linked(written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct_fingerprints"))
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = joined.join(smallest, "root").select("fp", "component_id")
     return own.join(named, "fp").select(
@@ -233,7 +236,7 @@ def _shingle_sets(part: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
 
 
 def banded(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, number (a hash of the set of shingles), size (distinct shingles) and bands of every document; no bands if size is 0."""
+    """doc_id, text_key, fp (the fingerprint), number (a hash of the set of shingles), size (distinct shingles) and bands of every document; no bands if size is 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = list(_shingle_sets(part, shingle))
@@ -246,14 +249,15 @@ def banded(docs: DataFrame, shingle: int) -> DataFrame:
                 number[full] = mix(np.add.reduceat(mix(values ^ np.uint64(SEED)), begins) + sizes[full].astype(np.uint64))
                 bands = _bands(values, begins)
             offsets = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
+            fps = np.fromiter((fingerprint(t.as_py()) for t in part["text"]), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], part["text_key"], pa.array(number.view(np.int64)), pa.array(sizes.astype(np.int64)),
+                [part["doc_id"], part["text_key"], pa.array(fps.view(np.int64)), pa.array(number.view(np.int64)), pa.array(sizes.astype(np.int64)),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel().view(np.int64)))],
-                ["doc_id", "text_key", "number", "size", "bands"])
+                ["doc_id", "text_key", "fp", "number", "size", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     wanted = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return arrow_map(wanted, run, f"doc_id {kind}, text_key bigint, number bigint, size bigint, bands array<bigint>")
+    return arrow_map(wanted, run, f"doc_id {kind}, text_key bigint, fp bigint, number bigint, size bigint, bands array<bigint>")
 
 
 def _frequent(distinct: DataFrame, count: int) -> np.ndarray:
@@ -316,6 +320,15 @@ def _groups(distinct: DataFrame, count: int) -> DataFrame:
     return met.unionByName(arrow_map(own, pass_on, "bucket bigint, number bigint"))
 
 
+def _alike(own: DataFrame) -> DataFrame:
+    """Rows bucket, number: the texts whose fingerprints are of one component, where these are several texts."""
+    texts = written(own.filter("size > 0").select("fp", "number").distinct(), "fingerprints")
+    roots = linked(written(texts.select("fp").distinct(), "distinct_fingerprints"))
+    members = written(texts.join(roots, "fp").select("root", "number").distinct(), "fingerprint_components")
+    several = members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    return members.join(several, "root").select(F.xxhash64("root", F.lit("fingerprints")).alias("bucket"), "number")
+
+
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets and numbers of the buckets that hold more than one number."""
     for _, bucket, number in _gathered(batches, np.int64, np.int64):
@@ -460,13 +473,16 @@ def _joined(groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: fl
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id: documents joined by pairs of texts whose shingles are that similar."""
+    """doc_id and component_id: documents joined by pairs of texts whose shingles are that similar.
+
+    Candidates are the components of fingerprints within RADIUS bits, as in `near_duplicates`, and the texts that share a band.
+    """
     own = written(banded(docs, shingle), "banded_texts")
     text = F.struct("doc_id", "text_key")
     distinct = written(own.groupBy("number").agg(
         F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("doc_id").alias("first_id"),
         F.min(text).alias("text")), "distinct_texts")
-    groups = written(_groups(distinct, distinct.count()), "groups")
+    groups = written(_alike(own).unionByName(_groups(distinct, distinct.count())), "groups")
     texts = written(distinct.join(groups.select("number").distinct(), "number").select("number", "size", "text.*"), "grouped_texts")
     spark = docs.sparkSession
     shingles = texts.agg(F.sum("size")).first()[0] or 0

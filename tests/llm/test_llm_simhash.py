@@ -217,3 +217,18 @@ def test_possible_texts(spark, monkeypatch):
     assert simhash._possible(docs, texts.limit(0)).collect() == []
     monkeypatch.setattr(simhash, "PLACES", 1 << 15)
     assert {str((r.doc_id, r.text)) for r in simhash._possible(docs, texts).collect()} >= set(wanted)
+
+
+def test_similar_documents_come_from_fingerprints(spark, monkeypatch):
+    """Texts at 3 bits or fewer are found by ball hashing, without any band, and checked by their shingles."""
+    draw = random.Random(1)
+    base = [f"w{draw.randint(0, 10**6)}" for _ in range(3000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, " ".join(f"v{w}" for w in base)), (4, None), (5, "")]
+    one, two, other = (simhash.fingerprint(t) for _, t in rows[:3])
+    assert 0 < (one ^ two).bit_count() <= 3 < (one ^ other).bit_count()
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], SCHEMA)
+    monkeypatch.setattr(simhash, "_groups", lambda distinct, count: distinct.select(distinct["number"].alias("bucket"), "number").limit(0))
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    # What the fingerprints join is checked: copies of another text that only seem to be near are let go.
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle=3: 7)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
