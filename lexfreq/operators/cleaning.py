@@ -18,6 +18,10 @@ from lexfreq.operators import trie as T
 from lexfreq.session import stored
 
 
+# Characters that are compared together. Whole texts, so it bounds a task's memory and says nothing of the result.
+BATCH_CHARS = 1 << 19
+
+
 def collapse_repeats(text: Column, shortest: int = V.REPEAT_SHORTEST,
                      longest: int = V.REPEAT_LONGEST) -> Column:
     """Keep one copy of any span that is immediately repeated, trying long spans first.
@@ -26,7 +30,7 @@ def collapse_repeats(text: Column, shortest: int = V.REPEAT_SHORTEST,
     the characters of a batch of texts are compared with themselves, shifted by each length, at so
     few places that no repeat can fall between them. Whole texts; a repeat never crosses two texts.
     """
-    batch_chars = 4_000_000
+    batch_chars = BATCH_CHARS
 
     def collapse(texts):
         import numpy as np

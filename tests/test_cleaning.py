@@ -153,3 +153,13 @@ def test_phrases_against_the_definition(spark):
         assert out.columns == ["i", "text", "other", "new"]
         assert {r.i: (r.text, r.new) for r in out.collect()} == {i: (t, longest_first(t, targets)) for i, t in enumerate(texts)}
     assert CL.convert_phrases(frame, phrases.limit(0), output="new").filter("new <> text").count() == 0
+
+
+def test_repeats_do_not_depend_on_how_many_texts_are_taken_together(spark, monkeypatch):
+    texts = ["abcdabcd" * i + "x" * (i % 9) for i in range(40)] + [None, "", "no repeat here"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    found = []
+    for chars in (1, 100, 4_000_000):
+        monkeypatch.setattr(CL, "BATCH_CHARS", chars)
+        found.append([r.t for r in rows.select(CL.collapse_repeats(F.col("text")).alias("t")).collect()])
+    assert found[0] == found[1] == found[2] and found[0][0] == "" and len(found[0]) == len(texts) and found[0][2] == "abcdabcdxx"
