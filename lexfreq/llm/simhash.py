@@ -209,6 +209,8 @@ PLACES = 1 << 26
 # Bits of the parities of a set, in words of 64.
 PARITY_WORDS = 8
 SHINGLES_PER_BUCKET = 1 << 22
+# A bucket is finished in a round if this many times the round's centres, or fewer, are outside its largest component.
+LAST = 64
 _LOTS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.array([[0], [1]], np.uint32)
 
 
@@ -406,7 +408,7 @@ def _shingles_of(docs: DataFrame, texts: DataFrame, shingle: int, parts: int) ->
 
 
 def _exactly(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs member, centre with the Jaccard similarity of their shingle sets, `exact`.
+    """The pairs member, centre, with whatever stands beside them, and the Jaccard similarity of their shingle sets, `exact`.
 
     The sets lie in buckets of their number, so pairs go to them. The sets of the centres, which are few, are written apart: a
     centre may have very many members, and Spark can split a join of two shuffled sides.
@@ -416,7 +418,7 @@ def _exactly(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         sets.select(F.col("number").alias("centre"), F.col("shingles").alias("shingles_centre")), "centre"), "centre_sets")
     both = F.size(F.array_intersect("shingles_member", "shingles_centre"))
     return members.join(centres, "centre").select(
-        "member", "centre", (both / (F.size("shingles_member") + F.size("shingles_centre") - both)).alias("exact"))
+        *pairs.columns, (both / (F.size("shingles_member") + F.size("shingles_centre") - both)).alias("exact"))
 
 
 def _reaches(groups: DataFrame) -> DataFrame:
@@ -425,51 +427,66 @@ def _reaches(groups: DataFrame) -> DataFrame:
     return groups.join(members, "bucket").groupBy("number").agg(F.sum("n").alias("reach"))
 
 
+def _after(state: DataFrame, found: DataFrame) -> DataFrame:
+    """The state when the links found in a round (member, centre and their roots so far) are added. Components are joined by their roots."""
+    merged = components(found.select(F.col("root").alias("u"), F.col("centre_root").alias("v"))).select("node", F.col("root").alias("least"))
+    more = found.select(F.explode(F.array("member", "centre")).alias("end")).groupBy("end").agg(F.count("*").alias("more"))
+    joined = state.join(more, state["number"] == more["end"], "left").join(merged, state["root"] == merged["node"], "left")
+    return written(joined.select("number", "size", "reach", (F.col("links") + F.coalesce("more", F.lit(0).cast("bigint"))).alias("links"),
+                                 F.coalesce("least", "root").alias("root")), "states")
+
+
 def _joined(groups: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """node and root of all texts with a link: two that share a bucket and are that similar have the same root.
+    """node and root of all texts: two that share a bucket and are that similar have the same root.
 
     In each round some members of a bucket, its centres, are compared with all others of the bucket that are not of their component yet. Then
     they are done with and leave the bucket, and a bucket whose members are all of one component is done with. So in the end any two
     members of a bucket have been compared or are of one component. Centres are the members with most links so far, at first those of the
     largest reach; there are four times as many in every round, so even where no two are similar the rounds grow with the logarithm of the members.
+
+    From the second round on a bucket with few members outside its largest component, LAST times the centres at most, has all of these as
+    centres and is done with: their pairs have to be compared in any case, and each round costs jobs of its own however little it compares.
     """
-    spark = groups.sparkSession
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    found: DataFrame | None = None
+    state = sizes.select("number", "size", "reach", F.lit(0).cast("bigint").alias("links"), F.col("number").alias("root"))
     tested: DataFrame | None = None
-    centres = 1
+    centres, last = 1, 0
     while True:
-        state = sizes.join(roots, sizes["number"] == roots["node"], "left").select("number", "size", "reach", F.coalesce("root", "number").alias("root"))
-        links = F.lit(0).cast("bigint")
-        if found is not None:
-            degrees = (found.select(F.explode(F.array("member", "centre")).alias("end")).groupBy("end").agg(F.count("*").alias("links")))
-            state = state.join(degrees, state["number"] == degrees["end"], "left")
-            links = F.coalesce("links", F.lit(0).cast("bigint"))
-        state = state.select("number", "size", "root", F.struct((-links).alias("less"), (-F.col("reach")).alias("narrow"), F.xxhash64("number").alias("lot"), "number").alias("rank"))
         members = groups.join(state, "number")
-        several = members.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("bucket")
-        members = written(members.join(several, "bucket"), "open_groups")
+        kinds = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+            F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
+        several = kinds.filter("kinds > 1").select("bucket", F.col("main.root").alias("main"), (F.col("n") - F.col("main.n")).alias("others"))
+        ends = F.col("others") <= last
+        rank = F.struct((ends & (F.col("root") == F.col("main"))).alias("late"), (-F.col("links")).alias("less"), (-F.col("reach")).alias("narrow"),
+                        F.xxhash64("number").alias("lot"), "number")
+        members = written(members.join(several, "bucket").select(
+            "bucket", "number", "size", "root", rank.alias("rank"), F.when(ends, F.col("others")).otherwise(centres).alias("wanted")), "open_groups")
         if members.isEmpty():
-            return roots
+            return state.select(F.col("number").alias("node"), "root")
         # The parities come along only where pairs are made, so a pair that is certainly not similar is no row.
         wide = members.join(sets.select("number", "parities"), "number")
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))
-        first = members.withColumn("place", place).filter(F.col("place") <= centres).join(sets.select("number", "parities"), "number")
+        # The bound that is the same for all buckets reaches the map side.
+        first = (members.withColumn("place", place).filter((F.col("place") <= max(centres, last)) & (F.col("place") <= F.col("wanted")))
+                 .join(sets.select("number", "parities"), "number"))
         chosen = written(first.select("bucket", *(F.col(c).alias(n) for c, n in (
             ("number", "centre"), ("root", "centre_root"), ("size", "centre_size"), ("rank", "centre_rank"), ("parities", "centre_parities")))), "centres")
         pairs = (wide.join(chosen, "bucket").filter("root <> centre_root AND centre_rank < rank")
                  .filter(_may_be_similar("size", "parities", "centre_size", "centre_parities", similarity))
-                 .select(F.col("number").alias("member"), "centre").distinct())
+                 .select(F.col("number").alias("member"), "centre", "root", "centre_root").distinct())
         if tested is not None:
             before = tested.select(F.least("member", "centre").alias("one"), F.greatest("member", "centre").alias("other"))
             pairs = pairs.join(before, (F.least("member", "centre") == F.col("one")) & (F.greatest("member", "centre") == F.col("other")), "left_anti")
-        compared = written(_exactly(written(pairs, "pairs"), sets), "compared_pairs")
-        tested = compared if tested is None else tested.unionByName(compared)
-        found = tested.filter(F.col("exact") >= similarity)
-        roots = components(found.select(F.col("member").alias("u"), F.col("centre").alias("v")))
+        pairs = written(pairs, "pairs")
+        if not pairs.isEmpty():
+            compared = written(_exactly(pairs, sets), "compared_pairs")
+            tested = compared if tested is None else tested.unionByName(compared)
+            found = compared.filter(F.col("exact") >= similarity)
+            if not found.isEmpty():
+                state = _after(state, found)
         groups = members.join(chosen.select(F.col("bucket").alias("_bucket"), "centre"),
                               (F.col("bucket") == F.col("_bucket")) & (F.col("number") == F.col("centre")), "left_anti").select("bucket", "number")
         centres *= 4
+        last = LAST * centres
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:

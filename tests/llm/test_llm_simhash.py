@@ -232,3 +232,22 @@ def test_similar_documents_come_from_fingerprints(spark, monkeypatch):
     # What the fingerprints join is checked: copies of another text that only seem to be near are let go.
     monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle=3: 7)
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_a_group_with_few_others_takes_few_rounds(spark, monkeypatch):
+    """A bucket of one large component and some texts that are not similar to it, two of them to each other, is finished in the second round."""
+    draw = np.random.default_rng(9)
+    base = draw.integers(0, 1 << 62, 200)
+    sets = [np.append(base[:195], draw.integers(0, 1 << 62, 5)) for _ in range(250)]
+    # Half of the text, so that sizes and parities do not tell all of these apart, and the rest of their own.
+    sets += [np.append(base[:100], draw.integers(0, 1 << 62, 100)) for _ in range(20)]
+    sets.append(np.append(sets[-1][:190], draw.integers(0, 1 << 62, 10)))
+    rows = [(i, s.tolist(), simhash._parities(s.astype(np.uint64)).tolist()) for i, s in enumerate(sets)]
+    texts = spark.createDataFrame(rows, "number bigint, shingles array<bigint>, parities array<bigint>").repartition(4)
+    sizes = texts.select("number", F.size("shingles").cast("bigint").alias("size"), F.lit(271).cast("bigint").alias("reach"))
+    groups = texts.select(F.lit(1).cast("bigint").alias("bucket"), "number")
+    rounds, write = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: rounds.append(name) or write(df, name))
+    got = {r.node: r.root for r in simhash._joined(groups, sizes, texts, 0.8).collect()}
+    assert {i: got.get(i, i) for i in range(len(sets))} == {i: 0 if i < 250 else 269 if i == 270 else i for i in range(len(sets))}
+    assert rounds.count("open_groups") <= 3
