@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,25 @@ def test_lists_of_a_block_are_sorted_as_two_columns(monkeypatch):
     got = [(g, p) for b in N._lists(5, [gram[:400], gram[400:]], [place[:400], place[400:]]) for g, gaps in zip(b["gram"].to_pylist(), b["gaps"].to_pylist())
            for p in np.cumsum(np.frombuffer(gaps, "<u2").astype(np.int64)).tolist()]
     assert got == sorted(set(zip(gram.tolist(), place.tolist()))) and list(N._lists(5, [], [])) == []
+
+
+def test_postings_of_a_full_block_take_little_memory():
+    """Trigrams and places are sorted as one number for each posting, and the lists are those of the definition."""
+    draw = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    sentences = ["".join(s) for s in letters[draw.integers(0, len(letters), (1 << 14, 40))]]
+    sentences[5:8] = ["ab", "", "aaaaaa"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(n, 7)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(sentences[at:at + n])],
+                                          ["block", "place", "sentence"]) for at in range(0, 1 << 14, 10_000) for n in [min(10_000, (1 << 14) - at)]]
+    tracemalloc.start()
+    found = list(N._postings(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {g: np.cumsum(np.frombuffer(gaps, "<u2").astype(int)).tolist()
+           for b in found for g, gaps in zip(b["gram"].to_pylist(), b["gaps"].to_pylist())}
+    wanted = {}
+    for place, s in enumerate(sentences):
+        for gram in N.query_trigrams(s):
+            wanted.setdefault(gram, []).append(place)
+    assert got == wanted and sum(b.num_rows for b in found) == len(wanted)
+    assert peak < 40 * sum(map(len, wanted.values()))
