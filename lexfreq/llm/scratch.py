@@ -10,7 +10,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lexfreq.session import drop_scratch, ready_for_checkpoint, scratch_path, ship_package
+from lexfreq.session import drop_scratch, dropped_shuffles, ready_for_checkpoint, scratch_path, ship_package
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -98,18 +98,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same for small tables; Spark removes the files once nothing refers to the frame."""
     ready_for_checkpoint(df.sparkSession)
     return df.checkpoint()
-
-
-@contextmanager
-def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Let Spark delete the shuffle files of each job when it ends, for as long as this lasts."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)

@@ -1,4 +1,6 @@
+import time
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from lexfreq.operators.decompose import PLAIN_RULES
 from lexfreq.plans import corpus as K, word_queries as Q
 from lexfreq.plans.corpus import Corpus
 from lexfreq.schemas import TABLES
+from lexfreq.sources.sinks import source_rows
 
 
 def pairs(df, a, b):
@@ -297,6 +300,25 @@ def test_a_look_up_reads_few_pages(spark, large):
     assert scanned_rows(none) == 0
 
 
+def test_a_load_leaves_no_shuffle_files(spark, tmp_path):
+    def shuffles():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {p.name for folder in folders for p in Path(folder).rglob("shuffle_*.data")}
+
+    files = spark.createDataFrame([(f"m{i % 5}", "reading", 3, 2020, f"f{i}.pdf", f"Words and word{i} stand here. Number {i} is another line.") for i in range(40)],
+                                  "exam_id string, source_type string, exam_level int, year int, filename string, text string")
+    listed = spark.createDataFrame([("words", "w", 1, None, None)], "word string, pinyin string, word_level int, definition string, definition_th string")
+    before = shuffles()
+    built = K.build(files.repartition(4), listed, source_rows(files), K.sentences_of(files.repartition(4), ".", r"\p{L}", glued=False))
+    K.write(built, str(tmp_path / "corpus"))
+    # Spark deletes them behind the job.
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert K.read(spark, str(tmp_path / "corpus")).frequencies.filter("word = 'words'").count() == 5
+
+
 def test_a_search_of_a_stored_corpus_uses_its_index(spark, large):
     corpus = K.read(spark, large)
     plain = replace(corpus, index=None)
