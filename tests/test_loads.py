@@ -175,6 +175,15 @@ def test_rank_is_global(spark):
         assert got == expected
 
 
+def test_ranked_rows_are_not_moved_again(spark):
+    ranked = global_rank(spark.range(100).repartition(8).withColumn("n", F.col("id") % 7), [F.desc("n"), F.asc("id")])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ExistingRDD" not in plan
+    # One shuffle is of the sizes of the partitions, one gathers these.
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange SinglePartition") == 1
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 101))
+
+
 def test_top_k_limits_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 2 AS g", "id AS v").repartition(8)
     top = top_k_per_group(df, ["g"], [F.desc("v")], 3, rank="r")
