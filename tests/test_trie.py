@@ -35,3 +35,24 @@ def test_pieces_hold_the_whole_list(spark):
 def test_slices_are_bounded():
     batch = pa.RecordBatch.from_pydict({"t": ["a" * n for n in (3, 4, 9, 1, 1, 1)] + [None]})
     assert [s["t"].to_pylist() for s in T.text_slices([batch], "t", 5)] == [["aaa"], ["aaaa"], ["a" * 9], ["a", "a", "a", None]]
+
+
+def test_steps_beyond_the_table_are_searched(monkeypatch):
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(80)})
+    points, starts = T.letters_of(pa.array(["".join(rng.choices("abcz", k=40)) for _ in range(30)]))
+    found = {}
+    for steps in (1, 40, 1 << 22):
+        monkeypatch.setattr(T, "TABLE_STEPS", steps)
+        own = T.Trie.of(pa.array(words))
+        found[steps] = [x.tolist() for x in own.found(points, starts)]
+        assert len(own._table) == 4 * min(len(own.word), max(1, steps // 4))
+    assert found[1] == found[40] == found[1 << 22]
+    text = "".join(map(chr, points))
+    assert sorted(zip(*found[1])) == sorted((p, len(w), n) for n, w in enumerate(words) for p in range(len(text))
+                                            if text.startswith(w, p) and p + len(w) <= starts[np.searchsorted(starts, p, side="right")])
+
+
+def test_numbers_are_listed_once():
+    numbers = np.array([5, -1, 5, 3, -1], np.int64)
+    assert T.distinct(numbers).tolist() == [-1, 3, 5] and T.distinct(numbers[:0]).tolist() == [] and numbers.tolist() == [5, -1, 5, 3, -1]
